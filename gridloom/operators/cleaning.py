@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.robust import median_and_mad
+from gridloom.session import cut_lineage
 
 # --- Fixed values: source headers and accepted aliases (compared in lower case) --------
 SOURCE_HEADERS = {
@@ -109,13 +110,13 @@ def validate_table(
         text = F.col(f"`{names[ts]}`").cast("string")
         bad = F.count_if(F.col(f"`{names[ts]}`").isNotNull() & parse_ts(text).isNull())
     stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), bad.alias("bad_ts"))
+    def rule(name, ok, measure):
+        return F.struct(F.lit(name).alias("rule"), ok.alias("ok"), measure.cast("double").alias("measure"))
+
     rules = F.array(
-        F.struct(
-            F.lit("required_columns").alias("rule"), F.lit(not missing).alias("ok"),
-            F.lit(float(len(missing))).alias("measure"),
-        ),
-        F.struct(F.lit("enough_rows"), F.col("n") >= min_rows, F.col("n").cast("double")),
-        F.struct(F.lit("timestamps_parse"), F.col("bad_ts") == 0, F.col("bad_ts").cast("double")),
+        rule("required_columns", F.lit(not missing), F.lit(len(missing))),
+        rule("enough_rows", F.col("n") >= min_rows, F.col("n")),
+        rule("timestamps_parse", F.col("bad_ts") == 0, F.col("bad_ts")),
     )
     return stats.select(*keys, F.explode(rules).alias("r")).select(*keys, "r.rule", "r.ok", "r.measure")
 
@@ -258,11 +259,14 @@ def apply_profile(df: DataFrame, profiles: DataFrame, tenant="tenant", ts="ts",
 
 
 def clean_series(df: DataFrame, keys: Sequence[str], ts="ts", col="usage_kwh", order=None) -> DataFrame:
-    """Interpolate, clip outliers, add calendar and cyclic columns, default the power factor."""
+    """Interpolate, clip outliers, add calendar and cyclic columns, default the power factor.
+
+    The filled rows feed the medians and the clipping, so they are materialised once.
+    """
     from gridloom.operators.windows import interpolate_linear
 
     order = list(order or [ts])
-    out = interpolate_linear(df, keys, order, col)
+    out = cut_lineage(interpolate_linear(df, keys, order, col))
     out = mad_clip(out, keys, col)
     out = cyclic_hour(calendar_features(out, ts), ts, whole_hours=True)
     if "power_factor" in out.columns:
