@@ -48,7 +48,6 @@ DEFAULT_VALUES = {
     "day_of_week": "Monday",
 }
 DAY_FIRST_PATTERNS = [
-    "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd",
     "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm", "dd/MM/yyyy", "dd-MM-yyyy HH:mm:ss", "dd-MM-yyyy HH:mm",
 ]
 # --- End of fixed values ------------------------------------------------------------
@@ -71,7 +70,8 @@ def align_headers(df: DataFrame) -> DataFrame:
 
 
 def parse_ts(col: Column, patterns: Sequence[str] = DAY_FIRST_PATTERNS) -> Column:
-    return F.coalesce(*[F.try_to_timestamp(col, F.lit(p)) for p in patterns])
+    """ISO text first, then the patterns, day before month; null when nothing fits."""
+    return F.coalesce(col.try_cast("timestamp"), *[F.try_to_timestamp(col, F.lit(p)) for p in patterns])
 
 
 def coerce_numeric(df: DataFrame, defaults: Mapping[str, float]) -> DataFrame:

@@ -25,19 +25,19 @@ def _supplied(df: DataFrame, name: str, computed):
 
 
 def emissions_ingest(df: DataFrame, curve: DataFrame, keys: Sequence[str], ts="ts", order=None) -> DataFrame:
-    """Scopes for arriving readings; supplied values win over computed ones."""
+    """Scopes for arriving readings, unrounded; supplied values win over computed ones."""
     out = df
     if "nsm" not in out.columns:
         out = out.withColumn("nsm", F.hour(ts) * 3600)
     out = join_hour_curve(ewma(out, keys, order or [ts], "usage_kwh", alpha=0.2, name="_smooth"), curve, ts)
-    s1 = _supplied(df, "scope1_co2_kg", F.round(F.col("_smooth") * GAS_PER_KWH * CO2_PER_GAS, 3))
-    s2 = _supplied(df, "scope2_co2_kg", F.round(F.col("usage_kwh") * (F.col("carbon_g") / 1000.0), 3))
+    s1 = _supplied(df, "scope1_co2_kg", F.col("_smooth") * GAS_PER_KWH * CO2_PER_GAS)
+    s2 = _supplied(df, "scope2_co2_kg", F.col("usage_kwh") * (F.col("carbon_g") / 1000.0))
     s3 = _supplied(
         df, "scope3_co2_kg",
-        F.round(F.col("usage_kwh") * SCOPE3_PER_KWH + SCOPE3_PER_DAY * (F.col("nsm") / 86400.0), 3),
+        F.col("usage_kwh") * SCOPE3_PER_KWH + SCOPE3_PER_DAY * (F.col("nsm") / 86400.0),
     )
     out = out.withColumns({"scope1_co2_kg": s1, "scope2_co2_kg": s2, "scope3_co2_kg": s3})
-    total = F.round((F.col("scope1_co2_kg") + F.col("scope2_co2_kg") + F.col("scope3_co2_kg")) / 1000.0, 4)
+    total = (F.col("scope1_co2_kg") + F.col("scope2_co2_kg") + F.col("scope3_co2_kg")) / 1000.0
     return out.withColumn("co2_tco2", _supplied(df, "co2_tco2", total)).drop(
         "_smooth", "tariff", "carbon_g", "solar_factor"
     )
@@ -65,22 +65,20 @@ def carbon_intensity(df: DataFrame, curve: DataFrame, ts="ts") -> DataFrame:
 
 
 def emissions_batch(df: DataFrame, curve: DataFrame, keys: Sequence[str], ts="ts", order=None) -> DataFrame:
-    """Scopes for a loaded history; needs ``temp`` and ``cloud``."""
+    """Scopes for a loaded history, unrounded; needs ``temp`` and ``cloud``."""
     out = carbon_intensity(thermal_state(df, keys, order or [ts], "usage_kwh", "temp"), curve, ts)
     gas = F.greatest(F.lit(0.0), (200.0 - F.col("thermal_state_c")) * 0.12 + 0.05 * F.col("usage_kwh"))
     out = out.withColumns(
         {
-            "scope1_co2_kg": F.round(gas * CO2_PER_GAS, 3),
-            "scope2_co2_kg": F.round(F.col("usage_kwh") * (F.col("carbon_intensity") / 1000.0), 3),
-            "scope3_co2_kg": F.round(
-                F.col("usage_kwh") * SCOPE3_PER_KWH
-                + SCOPE3_PER_DAY * ((F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)) / 86400.0), 3
-            ),
+            "scope1_co2_kg": gas * CO2_PER_GAS,
+            "scope2_co2_kg": F.col("usage_kwh") * (F.col("carbon_intensity") / 1000.0),
+            "scope3_co2_kg": F.col("usage_kwh") * SCOPE3_PER_KWH
+            + SCOPE3_PER_DAY * ((F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)) / 86400.0),
         }
     )
     return out.withColumn(
         "co2_tco2",
-        F.round((F.col("scope1_co2_kg") + F.col("scope2_co2_kg") + F.col("scope3_co2_kg")) / 1000.0, 4),
+        (F.col("scope1_co2_kg") + F.col("scope2_co2_kg") + F.col("scope3_co2_kg")) / 1000.0,
     )
 
 

@@ -202,14 +202,14 @@ def emission_totals(spark, sf_dir):
 
 @query("rolling", f"""WITH {READINGS} SELECT reading_id, round(avg(usage_kwh) OVER (w ROWS 3 PRECEDING), 6) AS mean_4,
   round(coalesce(stddev_samp(usage_kwh) OVER (w ROWS 3 PRECEDING), 0), 5) AS std_4, round(avg(usage_kwh) OVER (w ROWS 15 PRECEDING), 6) AS mean_16,
-  round(coalesce(stddev_samp(usage_kwh) OVER (w ROWS 15 PRECEDING), 0), 5) AS std_16, round(avg(usage_kwh) OVER (w ROWS 191 PRECEDING), 8) AS mean_192
+  round(coalesce(stddev_samp(usage_kwh) OVER (w ROWS 15 PRECEDING), 0), 5) AS std_16, round(avg(usage_kwh) OVER (w ROWS 191 PRECEDING), 9) AS mean_192
 FROM readings WINDOW w AS (PARTITION BY meter_id ORDER BY ts, reading_id)""")
 def rolling(spark, sf_dir):
     df = readings(spark, sf_dir).select("meter_id", "reading_id", "ts", "usage_kwh")
     out = W.rolling(df, KEYS, ORDER, "usage_kwh", {
         "mean_4": (4, "mean"), "std_4": (4, "std"), "mean_16": (16, "mean"), "std_16": (16, "std"), "mean_192": (192, "mean"),
     })
-    out = rounded(rounded(out, 6, "mean_4", "mean_16"), 8, "mean_192")
+    out = rounded(rounded(out, 6, "mean_4", "mean_16"), 9, "mean_192")
     return rounded(out, 5, "std_4", "std_16").drop("meter_id", "ts", "usage_kwh")
 
 

@@ -109,12 +109,15 @@ def truncate_table(spark: SparkSession, path: str) -> None:
     spark.createDataFrame([], spark.read.parquet(path).schema).write.mode("overwrite").parquet(path)
 
 
+MICROSECONDS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
+
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).option("timestampFormat", MICROSECONDS).csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+    df.write.mode("overwrite").option("timestampFormat", MICROSECONDS).json(path)
 
 
 def stored_decimals(df: DataFrame, types: Mapping[str, str] = STORED_DECIMALS) -> DataFrame:

@@ -76,7 +76,7 @@ def stream_ewma_emissions(df: DataFrame, keys: Sequence[str], ts="ts", col="usag
             s = x if s is None else decay * s + alpha * x
             out.append(s)
         state.update((float(s),))
-        yield pdf.assign(smooth_kwh=out, scope1_co2_kg=[round(v * GAS_PER_KWH * CO2_PER_GAS, 3) for v in out])
+        yield pdf.assign(smooth_kwh=out, scope1_co2_kg=[v * GAS_PER_KWH * CO2_PER_GAS for v in out])
 
     return df.groupBy(*keys).applyInPandasWithState(
         update, _fields(df, "smooth_kwh double, scope1_co2_kg double"), StructType.fromDDL("s double"),
