@@ -19,17 +19,16 @@ def resample(df: DataFrame, keys: Sequence[str], ts="ts", unit="hour", cols: Seq
 def fill_grid(grid: DataFrame, keys: Sequence[str], ts="ts", step="1 hour", cols: Sequence[str] = ("usage_kwh",)):
     """Add the missing grid points; fill forward, then backward, then 0.
 
-    Works on resampled rows: a key has at most one row per calendar step.
+    Works on resampled rows: a key has at most one row per calendar step.  After the
+    forward fill only leading gaps remain, and those take the key's first known value.
     """
-    span = grid.groupBy(*keys).agg(F.min(ts).alias("_a"), F.max(ts).alias("_b"))
-    spine = span.select(*keys, F.explode(F.sequence("_a", "_b", F.expr(f"interval {step}"))).alias(ts))
+    first = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col(ts))).alias(f"_f_{c}") for c in cols]
+    span = grid.groupBy(*keys).agg(F.min(ts).alias("_a"), F.max(ts).alias("_b"), *first)
+    spine = span.withColumn(ts, F.explode(F.sequence("_a", "_b", F.expr(f"interval {step}")))).drop("_a", "_b")
     full = spine.join(grid, [*keys, ts], "left")
-    w = Window.partitionBy(*keys).orderBy(ts)
-    back = w.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = w.rowsBetween(0, Window.unboundedFollowing)
-    return full.withColumns(
-        {c: F.coalesce(F.last(c, True).over(back), F.first(c, True).over(ahead), F.lit(0.0)) for c in cols}
-    )
+    back = Window.partitionBy(*keys).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
+    filled = {c: F.coalesce(F.last(c, True).over(back), F.col(f"_f_{c}"), F.lit(0.0)) for c in cols}
+    return full.withColumns(filled).drop(*[f"_f_{c}" for c in cols])
 
 
 def resample_filled(df, keys, ts="ts", cols=("usage_kwh",)) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 EULER = 0.5772156649
-POOL_FACTOR = 64  # rows of the sampling pool per row of a tree's sample
+POOL_FACTOR = 16  # rows of the sampling pool per row of a tree's sample
 NODE_SCHEMA = (
     "tree int, node int, left int, right int, size int, depth int, feature int, cut double, "
     "normal array<double>, point array<double>"
@@ -33,7 +33,7 @@ def path_correction(n):
 def sample_per_tree(df: DataFrame, row_id: Sequence[str], trees: int, sample: int, seed: int) -> DataFrame:
     """``sample`` rows (or all, if fewer) for each tree, without replacement.
 
-    A hash threshold first thins the table to a pool of about 64 samples, so only the
+    A hash threshold first thins the table to a pool of about 16 samples, so only the
     pool - a fixed number of rows - is paired with the trees.
     """
     n = df.count()

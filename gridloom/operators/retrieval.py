@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.session import cut_lineage
+
 CATEGORY_POINTS, TITLE_POINTS, BODY_POINTS, INSIDE_POINTS = 8, 4, 2, 3
 
 
@@ -41,62 +43,81 @@ def _word_matches(query_words: DataFrame, doc_words: DataFrame) -> DataFrame:
     return sized.select("word", F.explode(cut).alias("term")).join(query_words, "term")
 
 
-def keyword_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score) for all pairs that share a word or word part.
+def _weighted_words(docs: DataFrame, title: int, body: int) -> DataFrame:
+    """(doc_id, word, weight): distinct title words and distinct body words."""
+    def tagged(column, weight):
+        return F.transform(words(F.col(column)), lambda w: F.struct(w.alias("word"), F.lit(weight).alias("weight")))
 
-    ``queries``: query_id, text, category (may be null); ``docs``: doc_id, title, body,
-    category.
+    return docs.select("doc_id", F.inline(F.concat(tagged("title", title), tagged("body", body))))
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(words(F.col("text"))).alias("term"))
+
+
+def word_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score) of the pairs that share a whole word.
+
+    A shared word also occurs inside the text, so each of these pairs has those points.
     """
-    asked = queries.select("query_id", F.explode(words(F.col("text"))).alias("term"))
-    terms = asked.select("term").distinct()
-    posts = docs.select(
-        "doc_id",
-        F.explode(
-            F.concat(
-                F.transform(words(F.col("title")), lambda w: F.struct(w.alias("word"), F.lit(1).alias("t"), F.lit(0).alias("b"))),
-                F.transform(words(F.col("body")), lambda w: F.struct(w.alias("word"), F.lit(0).alias("t"), F.lit(1).alias("b"))),
-            )
-        ).alias("_p"),
-    ).select("doc_id", "_p.*").groupBy("doc_id", "word").agg(F.max("t").alias("t"), F.max("b").alias("b"))
-    vocabulary = posts.select("word").distinct()
-    matches = _word_matches(terms, vocabulary)
-    exact = F.col("word") == F.col("term")
-    # per document and query word: is it a title word, a body word
-    hits = posts.join(matches, "word").groupBy("doc_id", "term").agg(
-        F.max(F.when(exact, F.col("t")).otherwise(0)).alias("in_title"),
-        F.max(F.when(exact, F.col("b")).otherwise(0)).alias("in_body"),
-    )
-    return hits.join(asked, "term").groupBy("query_id", "doc_id").agg(
-        (F.sum(TITLE_POINTS * F.col("in_title") + BODY_POINTS * F.col("in_body")) + INSIDE_POINTS).alias("score")
+    posts = _weighted_words(docs, TITLE_POINTS, BODY_POINTS)
+    return posts.join(_asked(queries).withColumnRenamed("term", "word"), "word").groupBy("query_id", "doc_id").agg(
+        (F.sum("weight") + INSIDE_POINTS).alias("score")
     )
 
 
+def inside_pairs(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query_id, doc_id) of the pairs where a query word occurs inside a document word."""
+    asked = _asked(queries)
+    posts = _weighted_words(docs, 0, 0).select("doc_id", "word").distinct()
+    matches = _word_matches(asked.select("term").distinct(), posts.select("word").distinct())
+    reach = matches.join(asked, "term").select("query_id", "word").distinct()
+    return posts.join(reach, "word").select("query_id", "doc_id").distinct()
+
+
+def _ranked(scored: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
 def keyword_search(queries: DataFrame, docs: DataFrame, k=3) -> DataFrame:
     """Top k documents per query: score descending, then document order; a query without
-    any match gets the first document with score 0."""
-    scored = keyword_scores(queries, docs)
-    named = queries.filter(F.col("category").isNotNull()).select("query_id", F.lower("category").alias("_qc"))
+    any match gets the first document with score 0.
+
+    ``queries``: query_id, text, category (may be null); ``docs``: doc_id, title, body,
+    category.  Pairs without a shared word score at most 3, or 11 with a category.  Where
+    k documents with shared words score more than that, nothing else can reach the top k;
+    only for the other queries are word parts and plain category matches looked up.
+    """
+    named = queries.select("query_id", F.lower("category").alias("_qc"))
     cat = docs.select("doc_id", F.lower("category").alias("_dc"))
     bonus = F.when(F.col("_qc") == F.col("_dc"), CATEGORY_POINTS).otherwise(0)
-    scored = scored.join(named, "query_id", "left").join(cat, "doc_id").select(
+    scored = word_scores(queries, docs).join(named, "query_id").join(cat, "doc_id").select(
         "query_id", "doc_id", (F.col("score") + F.coalesce(bonus, F.lit(0))).alias("score")
     )
+    best = cut_lineage(_ranked(scored, k))
+
+    most_without = INSIDE_POINTS + F.when(F.col("_qc").isNotNull(), CATEGORY_POINTS).otherwise(0)
+    settled = best.join(named, "query_id").filter((F.col("rank") == k) & (F.col("score") > most_without))
+    rest = cut_lineage(queries.join(settled.select("query_id"), "query_id", "left_anti"))
+    rest_named = rest.filter(F.col("category").isNotNull()).select("query_id", F.lower("category").alias("_qc"))
+
+    parts = inside_pairs(rest, docs).join(rest_named, "query_id", "left").join(cat, "doc_id").select(
+        "query_id", "doc_id", (INSIDE_POINTS + F.coalesce(bonus, F.lit(0))).cast("bigint").alias("score")
+    )
     # documents that match by category alone all score 8 and rank by document order; if one of
     # them is not among the first k of its category, those k score at least 8 and precede it,
     # so it cannot reach a top k: the first k per category are enough
     w = Window.partitionBy("_dc").orderBy("doc_id")
     firsts = cat.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)
-    by_category = named.join(firsts, F.col("_qc") == F.col("_dc")).select(
+    by_category = rest_named.join(firsts, F.col("_qc") == F.col("_dc")).select(
         "query_id", "doc_id", F.lit(CATEGORY_POINTS).cast("bigint").alias("score")
     )
-    both = scored.unionByName(by_category).groupBy("query_id", "doc_id").agg(F.max("score").alias("score"))
-    rank = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
-    best = both.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
+    # a pair's true score is the largest of its entries; entries of ``best`` are complete
+    everything = best.select("query_id", "doc_id", "score").unionByName(parts).unionByName(by_category)
+    final = _ranked(everything.groupBy("query_id", "doc_id").agg(F.max("score").alias("score")), k)
     first_doc = docs.agg(F.min("doc_id")).scalar()
-    return (
-        queries.select("query_id").join(best, "query_id", "left")
-        .select(
-            "query_id", F.coalesce(F.col("doc_id"), first_doc).alias("doc_id"),
-            F.coalesce("score", F.lit(0)).alias("score"), F.coalesce("rank", F.lit(1)).alias("rank"),
-        )
+    return queries.select("query_id").join(final, "query_id", "left").select(
+        "query_id", F.coalesce(F.col("doc_id"), first_doc).alias("doc_id"),
+        F.coalesce("score", F.lit(0)).alias("score"), F.coalesce("rank", F.lit(1)).alias("rank"),
     )

@@ -83,20 +83,24 @@ def interpolate_linear(df, keys, order, col, slot=None, **kw) -> DataFrame:
         F.max_by("_pt", F.when(F.col("_pt").isNotNull(), F.col("_pos"))).alias("_last"),
         F.min_by("_pt", F.when(F.col("_pt").isNotNull(), F.col("_pos"))).alias("_first"),
     )
-    wk = Window.partitionBy(*keys).orderBy("_chunk")
+    # looking ahead is looking back in reverse order: a frame that grows row by row, where
+    # one that ends at the last row would be evaluated anew for every row
+    so_far = (Window.unboundedPreceding, 0)
+    before_this = (Window.unboundedPreceding, -1)
+    wk = Window.partitionBy(*keys)
     carry = ends.select(
         *keys, "_chunk",
-        F.last("_last", True).over(wk.rowsBetween(Window.unboundedPreceding, -1)).alias("_in_prev"),
-        F.first("_first", True).over(wk.rowsBetween(1, Window.unboundedFollowing)).alias("_in_next"),
+        F.last("_last", True).over(wk.orderBy("_chunk").rowsBetween(*before_this)).alias("_in_prev"),
+        F.last("_first", True).over(wk.orderBy(F.desc("_chunk")).rowsBetween(*before_this)).alias("_in_next"),
     )
-    w = Window.partitionBy(*keys, "_chunk").orderBy("_pos")
+    w = Window.partitionBy(*keys, "_chunk")
     near = rows.join(carry, [*keys, "_chunk"]).withColumns(
         {
             "_prev": F.coalesce(
-                F.last("_pt", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("_in_prev")
+                F.last("_pt", True).over(w.orderBy("_pos").rowsBetween(*so_far)), F.col("_in_prev")
             ),
             "_next": F.coalesce(
-                F.first("_pt", True).over(w.rowsBetween(0, Window.unboundedFollowing)), F.col("_in_next")
+                F.last("_pt", True).over(w.orderBy(F.desc("_pos")).rowsBetween(*so_far)), F.col("_in_next")
             ),
         }
     )
