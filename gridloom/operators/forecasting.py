@@ -108,8 +108,7 @@ def holt_winters(train: DataFrame, keys, order, horizon: int, col="usage_kwh", m
 def _adf(y: np.ndarray):
     """(lag, t-statistic, p): trend regression with the lag order of least AIC.
 
-    Normal equations of the largest design are built once; a smaller lag order uses its
-    own rows, as the regression starts later the more lags it has.
+    Lag orders that leave no degrees of freedom are passed over.
     """
     best = None
     n = len(y)

@@ -10,22 +10,18 @@ from pyspark.sql import functions as F
 from gridloom.dims import SEVERITY_RANK
 from gridloom.operators.series import time_slot
 
-GROUP_LIMIT = 1000  # Spark prunes per task up to this rank before the shuffle
-
-
 def recent_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, slot: Column | None = None) -> DataFrame:
     """The last n rows per key.
 
-    Small n: rank with the per-task limit Spark pushes below the shuffle.  Larger n: row
-    counts per time slot first rule out all slots that end before the last n rows.
+    Row counts per time slot rule out all slots that end before the last n rows, so only
+    about n rows per key are sorted and shuffled.
     """
-    if n > GROUP_LIMIT:
-        slot = time_slot(order[0]) if slot is None else slot
-        late = Window.partitionBy(*keys).orderBy(F.col("_slot").desc())
-        counts = df.groupBy(*keys, slot.alias("_slot")).agg(F.count(F.lit(1)).alias("_c"))
-        newer = F.coalesce(F.sum("_c").over(late.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        keep = counts.withColumn("_newer", newer).filter(F.col("_newer") < n).select(*keys, "_slot")
-        df = df.withColumn("_slot", slot).join(keep, [*keys, "_slot"], "left_semi").drop("_slot")
+    slot = time_slot(order[0]) if slot is None else slot
+    late = Window.partitionBy(*keys).orderBy(F.col("_slot").desc())
+    counts = df.groupBy(*keys, slot.alias("_slot")).agg(F.count(F.lit(1)).alias("_c"))
+    newer = F.coalesce(F.sum("_c").over(late.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    keep = counts.withColumn("_newer", newer).filter(F.col("_newer") < n).select(*keys, "_slot")
+    df = df.withColumn("_slot", slot).join(keep, [*keys, "_slot"], "left_semi").drop("_slot")
     w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 

@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -38,20 +38,28 @@ def _starts(table: pa.Table, cols: Sequence[str]) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(change) + 1]) if n else np.array([], dtype=int)
 
 
+def in_runs(df: DataFrame, parts: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows with equal ``parts`` side by side and in order.
+
+    A ranking window states both needs to Spark, which then plans the shuffle and the sort
+    only where the input does not have them already, and keeps runs whole when it adapts
+    the plan.
+    """
+    w = Window.partitionBy(*parts).orderBy(*order)
+    return df.withColumn("_rn", F.row_number().over(w))
+
+
 def segment_map(
     df: DataFrame,
     parts: Sequence[str],
     order: Sequence[str],
     fn: Callable[[pa.Table], pa.Table],
     schema: str | StructType,
-    shuffle: bool = True,
 ) -> DataFrame:
     """Apply ``fn`` to each run of equal ``parts``, rows sorted by ``order``."""
     struct = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     out_schema = to_arrow_schema(struct)
     parts = list(parts)
-    placed = df.repartition(*parts) if shuffle else df
-    placed = placed.sortWithinPartitions(*parts, *order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_run: pa.Table | None = None
@@ -73,7 +81,40 @@ def segment_map(
         if open_run is not None:
             yield from finish([open_run])
 
-    return placed.mapInArrow(run, struct)
+    return in_runs(df, parts, order).mapInArrow(run, struct)
+
+
+def running_fold(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    start: Callable[[dict], object],
+    step: Callable[[object, dict], object],
+    emit: Callable[[object], dict],
+    schema: StructType,
+) -> DataFrame:
+    """For each row the state before it; rows stream by, so a run may have any length.
+
+    ``start`` makes a key's first state from its first row, ``step`` advances it.
+    """
+    keys = list(keys)
+    out_schema = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, None
+        for batch in batches:
+            rows = batch.to_pylist()
+            out = []
+            for row in rows:
+                mine = tuple(row[k] for k in keys)
+                if mine != key:
+                    key, state = mine, start(row)
+                out.append({k: row[k] for k in [*keys, order]} | emit(state))
+                state = step(state, row)
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema=out_schema)
+
+    return in_runs(df, keys, [order]).mapInArrow(run, schema)
 
 
 def _schema_with(df: DataFrame, extra: str, drop: Sequence[str] = ()) -> StructType:
@@ -99,44 +140,31 @@ def carry_scan(
     carry_schema: str,
     output_schema: str,
     summarise: Callable[[pa.Table], dict],
-    fold: Callable[[list[dict]], list[dict]],
+    start: Callable[[dict], object],
+    step: Callable[[object, dict], object],
+    emit: Callable[[object], dict],
     replay: Callable[[pa.Table], dict],
     slot=None,
     target: int = TARGET_ROWS,
 ) -> DataFrame:
     """Two-pass scan; see the module text.
 
-    ``summarise`` reads a chunk, ``fold`` turns a series' ordered summaries into entry
-    states, ``replay`` reads a chunk whose rows carry the entry state and returns columns.
+    ``summarise`` reads a chunk; ``start``, ``step`` and ``emit`` run over a series' ordered
+    summaries and give each chunk its entry state; ``replay`` reads a chunk whose rows
+    carry that state and returns the new columns.  Both passes read the same shuffle.
     """
-    keys = list(keys)
-    key_fields = [df.schema[k] for k in keys]
-    chunk_field = StructType.fromDDL("_chunk bigint").fields
+    keys, names = list(keys), list(df.columns)
+    parts = [*keys, "_chunk"]
+    head = StructType([df.schema[k] for k in keys] + StructType.fromDDL("_chunk bigint").fields)
+    carry = StructType.fromDDL(carry_schema)
     slot = time_slot(order[0]) if slot is None else slot
-    chunks = chunk_rows(df, keys, slot, 0, target).drop("_start", "_n", "_own")
+    chunks = chunk_rows(df, keys, slot, 0, target).select(*names, "_chunk").repartition(*parts)
 
     summaries = segment_map(
-        chunks, [*keys, "_chunk"], order,
-        lambda t: _one(t, [*keys, "_chunk"], summarise(t)),
-        StructType(key_fields + chunk_field + StructType.fromDDL(summary_schema).fields),
+        chunks, parts, order, lambda t: _one(t, parts, summarise(t)),
+        StructType(head.fields + StructType.fromDDL(summary_schema).fields),
     )
-    carry_fields = StructType.fromDDL(carry_schema).fields
-    carry_arrow = to_arrow_schema(StructType(carry_fields))
-
-    def fold_run(t: pa.Table) -> pa.Table:
-        entry = fold(t.drop_columns([*keys, "_chunk"]).to_pylist())
-        cols = {k: t.column(k) for k in [*keys, "_chunk"]}
-        return pa.table(
-            cols | {f.name: pa.array([e[f.name] for e in entry], f.type) for f in carry_arrow}
-        )
-
-    entries = segment_map(
-        summaries, keys, ["_chunk"], fold_run, StructType(key_fields + chunk_field + carry_fields)
-    )
-    carry_names = [f.name for f in carry_fields]
-    names = list(df.columns)
-    rows = chunks.join(entries, [*keys, "_chunk"])
-    out_struct = _schema_with(df, output_schema)
+    entries = running_fold(summaries, keys, "_chunk", start, step, emit, StructType(head.fields + carry.fields))
 
     def replay_run(t: pa.Table) -> pa.Table:
         new = replay(t)
@@ -145,8 +173,7 @@ def carry_scan(
             kept = kept.append_column(name, pa.array(values))
         return kept
 
-    wide = rows.select(*df.columns, "_chunk", *carry_names)
-    return segment_map(wide, [*keys, "_chunk"], order, replay_run, out_struct)
+    return segment_map(chunks.join(entries, parts), parts, order, replay_run, _schema_with(df, output_schema))
 
 
 # --- exponential smoothing ------------------------------------------------------------
@@ -170,21 +197,14 @@ def ewma(df: DataFrame, keys, order, col: str, alpha=0.2, name="ewma", seed: str
         # a seed is the state before the first row; without one the first value is kept as is
         return {"m": float(len(x)), "exit0": float(local(x)[-1]), "first": float(x[0] if start is None else start)}
 
-    def fold(chunks):
-        state, out = chunks[0]["first"], []
-        for c in chunks:
-            out.append({"_in": state})
-            state = c["exit0"] + decay ** c["m"] * state
-        return out
-
     def replay(t):
         x = doubles(t, col)
         s0 = t.column("_in")[0].as_py()
         return {name: local(x) + s0 * np.power(decay, np.arange(1, len(x) + 1))}
 
     return carry_scan(
-        df, keys, order, "m double, exit0 double, first double", "_in double", f"{name} double",
-        summarise, fold, replay, **kw,
+        df, keys, order, "m double, exit0 double, first double", "_in double", f"{name} double", summarise,
+        lambda c: c["first"], lambda s, c: c["exit0"] + decay ** c["m"] * s, lambda s: {"_in": s}, replay, **kw,
     )
 
 
@@ -211,13 +231,6 @@ def thermal_state(df: DataFrame, keys, order, power="usage_kwh", ambient="temp",
             a, b, k = max(lo_i, keep * a + c_i), b * keep, keep * k + c_i
         return {"a": float(a), "b": float(b), "c": float(k)}
 
-    def fold(chunks):
-        h, out = INITIAL_C, []
-        for s in chunks:
-            out.append({"_in": h})
-            h = max(s["a"], s["b"] * h + s["c"])
-        return out
-
     def replay(t):
         lo, c = step_constants(t)
         h = t.column("_in")[0].as_py()
@@ -228,8 +241,8 @@ def thermal_state(df: DataFrame, keys, order, power="usage_kwh", ambient="temp",
         return {name: states}
 
     return carry_scan(
-        df, keys, order, "a double, b double, c double", "_in double", f"{name} double",
-        summarise, fold, replay, **kw,
+        df, keys, order, "a double, b double, c double", "_in double", f"{name} double", summarise,
+        lambda c: INITIAL_C, lambda h, c: max(c["a"], c["b"] * h + c["c"]), lambda h: {"_in": h}, replay, **kw,
     )
 
 
@@ -332,24 +345,16 @@ def cusum(
             "u_sum": float(u[-1]), "v_sum": float(v[-1]), "p0": float(up[-1]), "n0": float(dn[-1]),
         }
 
-    def fold(chunks):
-        p = n = 0.0
-        out = []
-        for s in chunks:
-            out.append({"_p": p, "_q": n})
-            hits = [s["own"]] if s["own"] >= 0 else []
-            i = int(np.searchsorted(s["u_lev"], s["h"] - p, side="right"))
-            if i < len(s["u_lev"]):
-                hits.append(s["u_at"][i])
-            i = int(np.searchsorted(s["v_lev"], s["h"] - n, side="right"))
-            if i < len(s["v_lev"]):
-                hits.append(s["v_at"][i])
-            if hits:
-                e = s["at"].index(min(hits))
-                p, n = s["end_p"][e], s["end_n"][e]
-            else:
-                p, n = max(p + s["u_sum"], s["p0"]), max(n + s["v_sum"], s["n0"])
-        return out
+    def step(state, c):
+        p, n = state
+        hits = [c["own"]] if c["own"] >= 0 else []
+        for levels, places, entry in (("u_lev", "u_at", p), ("v_lev", "v_at", n)):
+            i = int(np.searchsorted(c[levels], c["h"] - entry, side="right"))
+            hits += c[places][i : i + 1]
+        if hits:
+            e = c["at"].index(min(hits))
+            return c["end_p"][e], c["end_n"][e]
+        return max(p + c["u_sum"], c["p0"]), max(n + c["v_sum"], c["n0"])
 
     def replay(t):
         d, k, h = scaled(t)
@@ -379,7 +384,7 @@ def cusum(
         "at array<bigint>, end_p array<double>, end_n array<double>, u_sum double, v_sum double, p0 double, n0 double",
         "_p double, _q double",
         "cusum_pos double, cusum_neg double, drift string, drift_severity string",
-        summarise, fold, replay, **kw,
+        summarise, lambda c: (0.0, 0.0), step, lambda s: {"_p": s[0], "_q": s[1]}, replay, **kw,
     )
     return out.drop("_mu", "_sd")
 
