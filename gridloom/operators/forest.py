@@ -73,7 +73,8 @@ def _grow(x: np.ndarray, tree: int, seed: int, extended: bool) -> list[dict]:
                 continue
             nodes[me] |= {"normal": normal.tolist(), "point": point.tolist()}
         else:
-            f = int(rng.choice(np.flatnonzero(hi > lo)))
+            open_features = np.flatnonzero(hi > lo)
+            f = int(open_features[rng.integers(len(open_features))])
             cut = float(rng.uniform(lo[f], hi[f]))
             goes_left = part[:, f] <= cut
             if goes_left.all():
@@ -97,19 +98,24 @@ def fit(
         pdf = pdf.sort_values(order)
         return pd.DataFrame(_grow(pdf[cols].to_numpy(float), int(pdf["tree"].iloc[0]), seed, extended))
 
-    return drawn.groupBy("tree").applyInPandas(build, NODE_SCHEMA)
+    # a fixed number of partitions, so that the few rows are not merged into one task
+    tasks = min(trees, df.sparkSession.sparkContext.defaultParallelism)
+    return drawn.repartition(tasks, "tree").groupBy("tree").applyInPandas(build, NODE_SCHEMA)
 
 
 def _compile(nodes: pd.DataFrame, extended: bool) -> list[dict]:
+    """Trees as arrays; leaves lead to themselves, so all rows take the same steps."""
     forest = []
     for _, t in nodes.sort_values(["tree", "node"]).groupby("tree", sort=True):
-        leaf = t["left"].to_numpy() < 0
+        leaf, me = t["left"].to_numpy() < 0, np.arange(len(t), dtype=np.int32)
+        next_node = np.empty(2 * len(t), dtype=np.int32)  # right child, then left child, per node
+        next_node[0::2] = np.where(leaf, me, t["right"])
+        next_node[1::2] = np.where(leaf, me, t["left"])
         width = len(next((p for p in t["point"] if p is not None), []))
         fill = lambda v: np.stack([np.zeros(width) if p is None else np.asarray(p, float) for p in v])
         forest.append({
-            "left": t["left"].to_numpy(), "right": t["right"].to_numpy(), "leaf": leaf,
-            "feature": t["feature"].to_numpy(), "cut": t["cut"].to_numpy(),
-            "rows": int(t["size"].iloc[0]),
+            "rows": int(t["size"].iloc[0]), "steps": int(t["depth"].max()), "next": next_node,
+            "feature": np.where(leaf, 0, t["feature"]).astype(np.int32), "cut": t["cut"].to_numpy(),
             "length": t["depth"].to_numpy() + path_correction(t["size"].to_numpy()),
             "normal": fill(t["normal"]) if extended and width else None,
             "point": fill(t["point"]) if extended and width else None,
@@ -118,18 +124,15 @@ def _compile(nodes: pd.DataFrame, extended: bool) -> list[dict]:
 
 
 def _mean_path(x: np.ndarray, forest: list[dict]) -> np.ndarray:
-    total = np.zeros(len(x))
+    total, row = np.zeros(len(x)), np.arange(len(x))
     for t in forest:
-        at = np.zeros(len(x), dtype=int)
-        active = np.flatnonzero(~t["leaf"][at])
-        while len(active):
-            node = at[active]
+        at = np.zeros(len(x), dtype=np.int32)
+        for _ in range(t["steps"]):
             if t["normal"] is not None:
-                side = np.einsum("ij,ij->i", x[active] - t["point"][node], t["normal"][node]) < 0
+                left = np.einsum("ij,ij->i", x - t["point"][at], t["normal"][at]) < 0
             else:
-                side = x[active, t["feature"][node]] <= t["cut"][node]
-            at[active] = np.where(side, t["left"][node], t["right"][node])
-            active = active[~t["leaf"][at[active]]]
+                left = x[row, t["feature"][at]] <= t["cut"][at]
+            at = t["next"][2 * at + left]
         total += t["length"][at]
     return total / max(len(forest), 1)
 

@@ -88,13 +88,37 @@ def prediction_interval(spark, sf_dir):
     return rounded(V.prediction_interval(df, KEYS), 6, "lower", "upper").select("reading_id", "lower", "upper")
 
 
-@query("holt_winters")
+def tune_sql(src: str) -> str:
+    """Best of 64 smoothing settings over the last 500 rows of ``src`` (meter_id, ts, usage_kwh)."""
+    return f"""tl AS (SELECT meter_id, usage_kwh AS v, row_number() OVER (PARTITION BY meter_id ORDER BY ts) - 1 AS t FROM (
+  SELECT * FROM {src} QUALIFY row_number() OVER (PARTITION BY meter_id ORDER BY ts DESC) <= 500)),
+t0 AS (SELECT meter_id, avg(v) FILTER (WHERE t < 24) AS m1, avg(v) FILTER (WHERE t >= 24 AND t < 48) AS m2, list(v ORDER BY t) FILTER (WHERE t < 24) AS c1, count(*) AS n FROM tl GROUP BY meter_id),
+g AS (SELECT unnest([0.1, 0.3, 0.5, 0.7])::DOUBLE AS x),
+ts AS (SELECT meter_id, 23::BIGINT AS t, ga.x AS a, gb.x AS b, gg.x AS g, m1 AS level, (m2 - m1) / 24 AS trend, list_transform(c1, lambda v: v - m1) AS season, 0.0::DOUBLE AS sse
+    FROM t0 CROSS JOIN g ga CROSS JOIN g gb CROSS JOIN g gg
+  UNION ALL SELECT meter_id, t, a, b, g, lv, b * (lv - level) + (1 - b) * trend,
+    list_transform(season, lambda v, i: CASE WHEN i = t % 24 + 1 THEN g * (y - lv) + (1 - g) * v ELSE v END), sse + power(y - (level + trend + season[t % 24 + 1]), 2)
+  FROM (SELECT s.meter_id, tl.t, a, b, g, level, trend, season, sse, tl.v AS y, a * (tl.v - season[tl.t % 24 + 1]) + (1 - a) * (level + trend) AS lv
+        FROM ts s JOIN tl ON tl.meter_id = s.meter_id AND tl.t = s.t + 1)),
+tuned AS (SELECT ts.meter_id, a AS alpha, b AS beta, g AS gamma, sse / (n - 24) AS mse FROM ts JOIN t0 ON t0.meter_id = ts.meter_id AND ts.t = n - 1
+  QUALIFY row_number() OVER (PARTITION BY ts.meter_id ORDER BY sse, a, b, g) = 1)"""
+
+
+@query("holt_winters", f"""WITH RECURSIVE {READINGS}, {PARTS}, {tune_sql('tr')},
+z AS (SELECT meter_id, usage_kwh AS v, pos AS t FROM tr),
+z0 AS (SELECT meter_id, avg(v) FILTER (WHERE t < 24) AS m1, avg(v) FILTER (WHERE t >= 24 AND t < 48) AS m2, list(v ORDER BY t) FILTER (WHERE t < 24) AS c1, count(*) AS n FROM z GROUP BY meter_id),
+hw AS (SELECT z0.meter_id, (-1)::BIGINT AS t, alpha AS a, beta AS b, gamma AS g, m1 AS level, (m2 - m1) / 24 AS trend, list_transform(c1, lambda v: v - m1) AS season FROM z0 JOIN tuned ON tuned.meter_id = z0.meter_id
+  UNION ALL SELECT meter_id, t, a, b, g, lv, b * (lv - level) + (1 - b) * trend, list_transform(season, lambda v, i: CASE WHEN i = t % 24 + 1 THEN g * (y - lv) + (1 - g) * v ELSE v END)
+  FROM (SELECT h.meter_id, z.t, a, b, g, level, trend, season, z.v AS y, a * (z.v - season[z.t % 24 + 1]) + (1 - a) * (level + trend) AS lv FROM hw h JOIN z ON z.meter_id = h.meter_id AND z.t = h.t + 1))
+SELECT hw.meter_id, step, round(greatest(0, level + (step + 1) * trend + season[(n + step) % 24 + 1]), 6) AS predicted
+FROM hw JOIN z0 ON z0.meter_id = hw.meter_id AND hw.t = n - 1 CROSS JOIN (SELECT unnest(range(0, 48)) AS step) st""")
 def holt_winters(spark, sf_dir):
     train = parts(spark, sf_dir).filter("part = 'train'")
     return rounded(T.holt_winters(train, KEYS, ["ts"], 48), 6, "predicted")
 
 
-@query("holt_winters_tune")
+@query("holt_winters_tune", f"""WITH RECURSIVE {READINGS}, {HOURLY}, {SPINE}, {tune_sql('filled')}
+SELECT meter_id, alpha, beta, gamma, round(mse, 6) AS mse FROM tuned""")
 def holt_winters_tune(spark, sf_dir):
     return rounded(T.holt_winters_tune(hourly(spark, sf_dir), KEYS, ["ts"]), 6, "mse")
 

@@ -353,19 +353,42 @@ def _solar_steps(spark, sf_dir):
     return steps.withColumn("_s", F.explode(both)).select("*", "_s.*").drop("_s")
 
 
-@query("battery_dispatch")
+DISPATCH_SQL = f"""WITH RECURSIVE {READINGS}, {CURVE},
+q AS (SELECT meter_id, time_bucket(INTERVAL 15 MINUTE, ts) AS ts, sum(usage_kwh) AS load, sum(solar_factor * 12.0) AS base FROM readings JOIN curve ON hour(ts) = curve.hour GROUP BY ALL),
+x AS (SELECT *, base * (kw / 100) AS sun, 0.5 * cap * 0.25 AS lim, row_number() OVER (PARTITION BY meter_id, kw ORDER BY ts) AS pos FROM q CROSS JOIN (VALUES (150.0::DOUBLE, 50.0::DOUBLE), (300.0, 200.0)) v(kw, cap)),
+s AS (SELECT meter_id, kw, 0::BIGINT AS pos, NULL::TIMESTAMP AS ts, 0.5 * cap AS soc, 0.0::DOUBLE AS grid, 0.0::DOUBLE AS used FROM (SELECT DISTINCT meter_id, kw, cap FROM x)
+  UNION ALL SELECT meter_id, kw, pos, ts, CASE WHEN need <= 0 THEN soc + room * eta ELSE soc - given / eta END,
+    CASE WHEN need <= 0 THEN 0 ELSE need - given END, CASE WHEN need <= 0 THEN sun + need + room ELSE sun END
+  FROM (SELECT *, least(room, soc * eta) AS given FROM (
+    SELECT *, CASE WHEN room > 0 THEN greatest(0.70::DOUBLE, least(0.98::DOUBLE, 0.98::DOUBLE - 0.05::DOUBLE * power(room / 0.25 / cap, 2))) ELSE 1 END AS eta FROM (
+      SELECT x.*, s.soc, x.load - x.sun AS need, least(abs(x.load - x.sun), lim, CASE WHEN x.load - x.sun <= 0 THEN cap - s.soc ELSE lim END) AS room
+      FROM s JOIN x ON x.meter_id = s.meter_id AND x.kw = s.kw AND x.pos = s.pos + 1))))
+SELECT meter_id, ts, kw AS solar_kw, round(grid, 6) AS grid_draw, round(used, 6) AS solar_used, round(soc, 6) AS soc_kwh FROM s WHERE pos > 0"""
+
+
+@query("battery_dispatch", DISPATCH_SQL)
 def battery_dispatch(spark, sf_dir):
     out = R.battery_dispatch(_solar_steps(spark, sf_dir), KEYS)
-    return rounded(out, 6, "grid_draw", "solar_used", "soc_kwh", "solar_generated", "usage_kwh")
-
-
-@query("soc_soh_scan")
+    out = rounded(out, 6, "grid_draw", "solar_used", "soc_kwh")
+    return out.select("meter_id", "ts", "solar_kw", "grid_draw", "solar_used", "soc_kwh")
+
+
+@query("soc_soh_scan", f"""WITH RECURSIVE {READINGS},
+x0 AS (SELECT meter_id, date_trunc('hour', ts) AS ts, least(avg(reactive_lagging_kvarh) / 4, 25.0::DOUBLE) AS c, least(avg(usage_kwh) / 4, 25.0::DOUBLE) AS d FROM readings GROUP BY ALL),
+x AS (SELECT *, row_number() OVER (PARTITION BY meter_id ORDER BY ts) AS pos FROM x0),
+s AS (SELECT DISTINCT meter_id, 0::BIGINT AS pos, NULL::TIMESTAMP AS ts, 25.0::DOUBLE AS soc, 0.0::DOUBLE AS dod, 100.0::DOUBLE AS soh FROM x
+  UNION ALL SELECT meter_id, pos, ts, soc1, 1 - soc1 / 50, greatest(0, soh - d / 100 * 0.00005 * (1 + 1.5 * (1 - soc1 / 50)) * 100) FROM (
+    SELECT x.meter_id, x.pos, x.ts, x.d, s.soh, least(50.0::DOUBLE, greatest(0, s.soc + x.c * greatest(0.7::DOUBLE, least(0.98::DOUBLE, 0.98::DOUBLE - 0.05::DOUBLE * power(x.c / 50, 2)))
+      - x.d / greatest(0.7::DOUBLE, least(0.98::DOUBLE, 0.98::DOUBLE - 0.05::DOUBLE * power(x.d / 50, 2))))) AS soc1
+    FROM s JOIN x ON x.meter_id = s.meter_id AND x.pos = s.pos + 1))
+SELECT meter_id, ts, round(soc, 6) AS soc_kwh, round(dod, 6) AS dod, round(soh, 6) AS soh_pct FROM s WHERE pos > 0""")
 def soc_soh_scan(spark, sf_dir):
     steps = A.resample(readings(spark, sf_dir), KEYS, cols=("usage_kwh", "reactive_lagging_kvarh")).select(
         "meter_id", "ts", F.least(F.col("reactive_lagging_kvarh") / 4, F.lit(25.0)).alias("charge_kwh"),
         F.least(F.col("usage_kwh") / 4, F.lit(25.0)).alias("discharge_kwh"), F.lit(50.0).alias("battery_kwh"),
     )
-    return rounded(R.soc_soh_scan(steps, KEYS, ["ts"]), 8, "soc_kwh", "dod", "soh_pct")
+    out = rounded(R.soc_soh_scan(steps, KEYS, ["ts"]), 6, "soc_kwh", "dod", "soh_pct")
+    return out.select("meter_id", "ts", "soc_kwh", "dod", "soh_pct")
 
 
 # --- ranking and sets -------------------------------------------------------------------------

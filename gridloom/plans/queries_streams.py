@@ -9,6 +9,7 @@ from gridloom.operators import forest as I
 from gridloom.plans.queries_base import KEYS
 from gridloom.plans.queries_domain import live_readings
 from gridloom.plans.queries_models import RAW_FEATURES
+from gridloom.plans.queries_series import CUSUM_SQL
 from gridloom.plans.registry import READINGS, USER_READINGS, query, rounded, scratch
 from gridloom.sources.files import write_json
 from gridloom.sources.tables import as_readings, readings, table
@@ -79,7 +80,8 @@ def stream_moments(spark, sf_dir):
     return rounded(last.select("meter_id", "_r.n", "_r.mean", "_r.std"), 6, "mean", "std")
 
 
-@query("stream_cusum")
+@query("stream_cusum", CUSUM_SQL + """SELECT reading_id, round(p, 4) AS cusum_pos, round(q, 4) AS cusum_neg,
+  CASE WHEN p > h THEN 'Upper' WHEN q > h THEN 'Lower' END AS drift FROM s""")
 def stream_cusum(spark, sf_dir):
     base = readings(spark, sf_dir).groupBy("meter_id").agg(F.avg("usage_kwh").alias("mean"), F.stddev_pop("usage_kwh").alias("std"))
     df = events_stream(spark, sf_dir).select("meter_id", "reading_id", "ts", "usage_kwh")
