@@ -87,7 +87,7 @@ def outlier_rate(df: DataFrame, keys: Sequence[str], cols: Sequence[str], lo=0.0
     marks = [
         F.coalesce(
             (F.col(f"{c}_mad") > 1e-5)
-            & (F.abs(0.6745 * (F.col(c) - F.col(f"{c}_med")) / F.col(f"{c}_mad")) > threshold),
+            & (F.abs(F.try_divide(0.6745 * (F.col(c) - F.col(f"{c}_med")), F.col(f"{c}_mad"))) > threshold),
             F.lit(False),
         )
         for c in cols

@@ -12,6 +12,9 @@ consecutive rows of about ``TARGET_ROWS`` each:
 
 Operators that look back ``halo`` rows receive the last rows of the previous chunk as
 extra rows with ``_own = false``; unbounded look-back travels through per-chunk summaries.
+
+Key and order columns must not be null: a row without a key or a time has no place in any
+series.  ``validate_table`` and ``validate_ranges`` report such rows beforehand.
 """
 
 from __future__ import annotations

@@ -152,7 +152,7 @@ def cumulative_payback(flows: DataFrame, project: str, year="year", cash="cash_f
     """
     w = Window.partitionBy(project).orderBy(year).rowsBetween(Window.unboundedPreceding, 0)
     run = flows.withColumn("_run", F.sum(cash).over(w) - F.col(capex))
-    point = F.col(year) - 1 + (F.col(cash) - F.col("_run")) / F.col(cash)
+    point = F.col(year) - 1 + F.try_divide(F.col(cash) - F.col("_run"), F.col(cash))
     return run.groupBy(project).agg(
         F.coalesce(F.min_by(point, F.when(F.col("_run") >= 0, F.col(year))), F.lit(default)).alias("payback_years")
     )

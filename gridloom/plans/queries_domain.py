@@ -383,12 +383,14 @@ def run_hours(spark, sf_dir):
 
 
 @query("hourly_cost", f"""WITH {TASKS_SQL}, {HOURS_SQL}, {CURVE}, {COST_SQL}
-SELECT task_id, start_hour, hour, round(net, 6) AS net_draw, round(pfn, 6) AS pf_net, round(cost, 6) AS cost, round(kg, 6) AS carbon_kg FROM hc WHERE start_hour = 9""")
+SELECT start_hour, hour, count(*) AS n, round(sum(net), 4) AS net_draw, round(sum(cost), 4) AS cost, round(sum(kg), 4) AS carbon_kg, round(min(pfn), 8) AS worst_pf FROM hc GROUP BY ALL""")
 def hourly_cost(spark, sf_dir):
-    """Hourly detail of the base start; the other starts are summed in the queries below."""
-    out = S.hourly_cost(tasks(spark, sf_dir), dims.hour_curve(spark)).filter(F.col("start_hour") == S.BASE_HOUR)
-    cols = ("net_draw", "pf_net", "cost", "carbon_kg")
-    return rounded(out, 6, *cols).select("task_id", "start_hour", "hour", *cols)
+    """The hourly table of all candidates, totalled by start and clock hour."""
+    out = S.hourly_cost(tasks(spark, sf_dir), dims.hour_curve(spark)).groupBy("start_hour", "hour").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("net_draw").alias("net_draw"), F.sum("cost").alias("cost"),
+        F.sum("carbon_kg").alias("carbon_kg"), F.min("pf_net").alias("worst_pf"),
+    )
+    return rounded(rounded(out, 4, "net_draw", "cost", "carbon_kg"), 8, "worst_pf")
 
 
 @query("best_start", f"WITH {TASKS_SQL}, {HOURS_SQL}, {CURVE}, {COST_SQL} SELECT task_id, start_hour, round(score, 6) AS score, round(cost, 6) AS cost, round(kg, 6) AS carbon_kg FROM best")

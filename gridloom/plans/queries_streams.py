@@ -17,9 +17,9 @@ from gridloom.streaming import streams as S
 
 
 def events_stream(spark, sf_dir, meter="event_type"):
+    """The events table as a stream, be it one file or a folder of files."""
     schema = table(spark, sf_dir, "events").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return as_readings(raw, meter)
+    return as_readings(S.read_stream(spark, f"{sf_dir.rstrip('/')}/event[s].parquet", schema, "parquet"), meter)
 
 
 def drained(df, name):

@@ -16,7 +16,7 @@ def power_factor_pct(active: Column, reactive: Column) -> Column:
 
 
 def as_readings(events: DataFrame, meter: str) -> DataFrame:
-    reactive = F.get_json_object("props", "$.k").cast("double")
+    reactive = F.get_json_object("props", "$.k").try_cast("double")
     return events.select(
         F.col(meter).cast("string").alias("meter_id"),
         F.col("event_id").alias("reading_id"),

@@ -13,11 +13,19 @@ from pyspark.sql.types import StructType
 from gridloom.operators.emissions import CO2_PER_GAS, GAS_PER_KWH, threshold_alerts
 
 
-def read_stream(spark: SparkSession, path: str, schema: str | StructType, fmt="json", files_per_batch=None) -> DataFrame:
-    """Records from a folder that files arrive in."""
+def read_stream(
+    spark: SparkSession, path: str, schema: str | StructType, fmt="json", files_per_batch=None, bytes_per_batch=1 << 30
+) -> DataFrame:
+    """Records from a folder that files arrive in.
+
+    The size limit bounds a micro-batch, and with it what a keyed function holds for one
+    key at a time.
+    """
     reader = spark.readStream.schema(schema).format(fmt)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    else:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_batch)
     return reader.load(path)
 
 
