@@ -33,16 +33,16 @@ def parts(spark, sf_dir):
     return W.split_by_position(hourly(spark, sf_dir), KEYS, ["ts"], 0.8)
 
 
-@query("persistence_forecast", f"WITH {READINGS}, {PARTS} SELECT meter_id, ts, round(usage_kwh, 6) AS usage_kwh, round(guess, 5) AS predicted FROM f_pers")
+@query("persistence_forecast", f"WITH {READINGS}, {PARTS} SELECT meter_id, ts, round(usage_kwh, 6) AS usage_kwh, round(guess, 9) AS predicted FROM f_pers")
 def persistence_forecast(spark, sf_dir):
     out = T.persistence_forecast(parts(spark, sf_dir), KEYS, ["ts"])
-    return rounded(rounded(out, 6, "usage_kwh"), 5, "predicted").select("meter_id", "ts", "usage_kwh", "predicted")
+    return rounded(rounded(out, 6, "usage_kwh"), 9, "predicted").select("meter_id", "ts", "usage_kwh", "predicted")
 
 
-@query("hour_mean_forecast", f"WITH {READINGS}, {PARTS} SELECT meter_id, ts, round(usage_kwh, 6) AS usage_kwh, round(guess, 5) AS predicted FROM f_hour")
+@query("hour_mean_forecast", f"WITH {READINGS}, {PARTS} SELECT meter_id, ts, round(usage_kwh, 6) AS usage_kwh, round(guess, 9) AS predicted FROM f_hour")
 def hour_mean_forecast(spark, sf_dir):
     out = T.hour_mean_forecast(parts(spark, sf_dir), KEYS)
-    return rounded(rounded(out, 6, "usage_kwh"), 5, "predicted").select("meter_id", "ts", "usage_kwh", "predicted")
+    return rounded(rounded(out, 6, "usage_kwh"), 9, "predicted").select("meter_id", "ts", "usage_kwh", "predicted")
 
 
 @query("leaderboard", f"""WITH {READINGS}, {PARTS}, a AS (SELECT 'hour_mean' AS model, * FROM f_hour UNION ALL SELECT 'persistence', * FROM f_pers),

@@ -190,11 +190,11 @@ def self_consumption(spark, sf_dir):
   usage_kwh * 0.22 + 5.0 * (hour(ts) * 3600 / 86400) AS s3 FROM readings JOIN curve ON hour(ts) = curve.hour)
 SELECT meter_id, day, round(CAST(sum(CAST(round(s2, 6) AS DECIMAL(28,6))) AS DOUBLE), 6) AS scope2_kg,
   round(CAST(sum(CAST(round(s3, 6) AS DECIMAL(28,6))) AS DOUBLE), 6) AS scope3_kg,
-  round((CAST(sum(CAST(round(s2, 6) AS DECIMAL(28,6))) AS DOUBLE) + CAST(sum(CAST(round(s3, 6) AS DECIMAL(28,6))) AS DOUBLE)) / 1000, 6) AS total_tco2 FROM s GROUP BY ALL""")
+  round((CAST(sum(CAST(round(s2, 6) AS DECIMAL(28,6))) AS DOUBLE) + CAST(sum(CAST(round(s3, 6) AS DECIMAL(28,6))) AS DOUBLE)) / 1000, 10) AS total_tco2 FROM s GROUP BY ALL""")
 def emission_totals(spark, sf_dir):
     rows = E.scope23(readings(spark, sf_dir), dims.hour_curve(spark)).withColumn("day", F.to_date("ts"))
     out = A.emission_totals(rows, ["meter_id", "day"], {"scope2_co2_kg": "scope2_kg", "scope3_co2_kg": "scope3_kg"})
-    return rounded(out, 6, "scope2_kg", "scope3_kg", "total_tco2")
+    return rounded(rounded(out, 6, "scope2_kg", "scope3_kg"), 10, "total_tco2")
 
 
 # --- windows ------------------------------------------------------------------------------

@@ -11,7 +11,7 @@ from gridloom.sources.tables import table
 
 
 def mask_in_order(texts):
-    """Reference semantics by hand: one store for a session, texts in order."""
+    """The expected result by hand: one store for a session, texts in order."""
     store, out = {}, []
 
     def placeholder(value, kind):
