@@ -2,8 +2,9 @@
 
 A mergeable quantile sketch brackets the middle of each group; exact counts below the
 bracket and the value counts inside it then give the exact middle.  Only values inside
-the narrow bracket are shuffled, already counted per distinct value, so neither a hot
-group nor a hot value gathers its rows in one task.
+the narrow bracket are shuffled, already counted per distinct value, and the bracket is
+divided into cells of which only the one or two that hold the middle are sorted.  So
+neither a hot group nor a hot value gathers its rows in one task.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 SKETCH_ACCURACY = 1000
 BRACKET = (0.49, 0.51)
+CELLS = 1024
 
 
 def long_form(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -34,20 +36,33 @@ def exact_median(values: DataFrame, group: Sequence[str], col="value", name="med
         F.count(col).alias("n"),
         F.percentile_approx(col, list(BRACKET), SKETCH_ACCURACY).alias("_b"),
     ).withColumn("_lo", F.col("_b")[0]).withColumn("_hi", F.col("_b")[1]).drop("_b")
-    tagged = values.join(bracket, group).withColumn(
-        "_bin",
-        F.when(F.col(col) < F.col("_lo"), F.lit(None).cast("double"))
-        .when(F.col(col) <= F.col("_hi"), F.col(col)),
-    ).filter(F.col(col) <= F.col("_hi"))
-    # one row per distinct value inside the bracket, plus one (null) row for all values below
-    counts = tagged.groupBy(*group, "n", "_bin").agg(F.count(F.lit(1)).alias("_c"))
-    run = Window.partitionBy(*group).orderBy(F.col("_bin").asc_nulls_first())
-    ranked = counts.withColumn("_upto", F.sum("_c").over(run.rowsBetween(Window.unboundedPreceding, 0)))
-    low, high = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
-    hit = lambda r: (F.col("_upto") >= r) & (F.col("_upto") - F.col("_c") < r)
-    return ranked.groupBy(*group, "n").agg(
-        ((F.max(F.when(hit(low), F.col("_bin"))) + F.max(F.when(hit(high), F.col("_bin")))) / 2).alias(name)
+    # cell -1 holds everything below the bracket, cells 0.. divide the bracket evenly
+    place = F.coalesce(
+        F.floor(F.try_divide(F.col(col) - F.col("_lo"), F.col("_hi") - F.col("_lo")) * CELLS), F.lit(0)
     )
+    tagged = values.join(bracket, group).filter(F.col(col) <= F.col("_hi")).select(
+        *group, "n",
+        F.when(F.col(col) < F.col("_lo"), F.lit(-1)).otherwise(place).alias("_cell"),
+        F.when(F.col(col) >= F.col("_lo"), F.col(col)).alias("_v"),
+    )
+    counts = tagged.groupBy(*group, "n", "_cell", "_v").agg(F.count(F.lit(1)).alias("_c"))
+
+    ranks = {"low": F.floor((F.col("n") + 1) / 2), "high": F.floor(F.col("n") / 2) + 1}
+
+    def holds(rank, width):
+        return (F.col("_upto") >= rank) & (F.col("_upto") - F.col(width) < rank)
+
+    by_cell = Window.partitionBy(*group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+    cells = (
+        counts.groupBy(*group, "n", "_cell").agg(F.sum("_c").alias("_w"))
+        .withColumn("_upto", F.sum("_w").over(by_cell))
+        .filter(holds(ranks["low"], "_w") | holds(ranks["high"], "_w"))
+        .select(*group, "_cell", (F.col("_upto") - F.col("_w")).alias("_before"))
+    )
+    in_cell = Window.partitionBy(*group, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.join(cells, [*group, "_cell"]).withColumn("_upto", F.col("_before") + F.sum("_c").over(in_cell))
+    middle = [F.max(F.when(holds(rank, "_c"), F.col("_v"))) for rank in ranks.values()]
+    return ranked.groupBy(*group, "n").agg(((middle[0] + middle[1]) / 2).alias(name))
 
 
 def median_and_mad(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
