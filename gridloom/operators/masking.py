@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.operators.series import number_slot, with_position
+from gridloom.session import cut_lineage
 
 # --- Fixed values: patterns, known names, indicator words ------------------------------
 PATTERNS = [
@@ -141,13 +142,20 @@ def replace_all(text: Column, pairs: Column, old: str, new: str) -> Column:
     return F.aggregate(pairs, text, lambda t, e: F.replace(t, e[old], e[new]))
 
 
-def mask(df: DataFrame, mapping: DataFrame, session: str, text_id: Sequence[str], text="text", name="masked"):
+def found_table(df: DataFrame, session: str, order: str, text_id: Sequence[str], text="text", **kw) -> DataFrame:
+    """(session, order, text_id, found) of the texts with finds, materialised without the
+    texts, so that numbering and replacing do not search the texts again."""
+    cols = list(dict.fromkeys([session, order, *text_id]))
+    return cut_lineage(find_sensitive(df.select(*dict.fromkeys([*cols, text])), text, **kw).filter(F.size("found") > 0).select(*cols, "found"))
+
+
+def mask(df: DataFrame, found: DataFrame, mapping: DataFrame, session: str, text_id: Sequence[str], text="text", name="masked"):
     """Replace each text's finds, in their order, by the session's placeholders.
 
-    ``df`` carries ``found``; the list gathered per text is that text's own finds.
+    The list gathered per text is that text's own finds.
     """
     ids = list(text_id)
-    each = df.select(session, *[c for c in ids if c != session], F.posexplode("found").alias("_i", "_f"))
+    each = found.select(session, *[c for c in ids if c != session], F.posexplode("found").alias("_i", "_f"))
     pairs = (
         each.withColumn("value", F.col("_f.value")).join(mapping.select(session, "value", "placeholder"), [session, "value"])
         .groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct("_i", "value", "placeholder"))).alias("_pairs"))
@@ -181,11 +189,11 @@ def unmask(df: DataFrame, mapping: DataFrame, session: str, text_id: Sequence[st
     return out.withColumn(name, done).drop("_pairs")
 
 
-def mask_messages(df: DataFrame, session: str, order: str, text_id: Sequence[str], text="text"):
+def mask_messages(df: DataFrame, session: str, order: str, text_id: Sequence[str], text="text", **kw):
     """(masked texts, mapping): the whole round for a table of messages."""
-    found = find_sensitive(df, text)
+    found = found_table(df, session, order, text_id, text, **kw)
     mapping = assign_placeholders(found, session, order)
-    return mask(found, mapping, session, text_id, text).drop("found"), mapping
+    return mask(df, found, mapping, session, text_id, text), mapping
 
 
 def coarsen(col: Column, step=0.5) -> Column:

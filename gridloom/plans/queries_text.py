@@ -64,9 +64,8 @@ SELECT doc_id, CASE WHEN l IS NULL THEN text ELSE list_reduce(list_prepend(struc
 def mask_documents(spark, sf_dir):
     """Whole documents with e-mails, addresses and times replaced per source session."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    found = M.find_sensitive(docs, names=[], indicators=[])
-    mapping = M.assign_placeholders(found, "source", "doc_id")
-    return M.mask(found, mapping, "source", ["doc_id"]).select("doc_id", "masked")
+    masked, _ = M.mask_messages(docs, "source", "doc_id", ["doc_id"], names=[], indicators=[])
+    return masked.select("doc_id", "masked")
 
 
 @query("mask_messages")
