@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom import dims
-from gridloom.session import ensure_checkpoint_dir
+from gridloom.session import scratch_path as scratch  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECK_SQL: dict[str, str] = {}
@@ -74,8 +73,3 @@ def query(name: str, sql: str | None = None):
 
 def rounded(df: DataFrame, digits: int, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), digits) for c in cols})
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
