@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.operators.series import number_slot, with_position
+from gridloom.operators.series import with_position
 from gridloom.session import cut_lineage
 
 # --- Fixed values: patterns, known names, indicator words ------------------------------
@@ -133,7 +133,7 @@ def assign_placeholders(found: DataFrame, session: str, order: str, slot_width:
     first = each.groupBy(session, F.col("_f.value").alias("value")).agg(
         F.min(F.struct(F.col("_o"), F.col("_i"), F.col("_f.kind").alias("kind"))).alias("_m")
     ).select(session, "value", "_m.*")
-    numbered = with_position(first, [session], ["_o", "_i"], slot=number_slot("_o", slot_width))
+    numbered = with_position(first, [session], ["_o", "_i"], width=slot_width)
     name = F.concat(F.lit("[REDACTED_"), F.col("kind"), F.lit("_"), F.col("_pos").cast("string"), F.lit("]"))
     return numbered.select(session, "value", "kind", F.col("_pos").alias("number"), name.alias("placeholder"))
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from gridloom.operators.series import TARGET_ROWS, chunk_rows, time_slot
+from gridloom.operators.series import TARGET_ROWS, chunk_rows
 
 
 def _starts(table: pa.Table, cols: Sequence[str]) -> np.ndarray:
@@ -144,7 +144,6 @@ def carry_scan(
     step: Callable[[object, dict], object],
     emit: Callable[[object], dict],
     replay: Callable[[pa.Table], dict],
-    slot=None,
     target: int = TARGET_ROWS,
 ) -> DataFrame:
     """Two-pass scan; see the module text.
@@ -157,8 +156,7 @@ def carry_scan(
     parts = [*keys, "_chunk"]
     head = StructType([df.schema[k] for k in keys] + StructType.fromDDL("_chunk bigint").fields)
     carry = StructType.fromDDL(carry_schema)
-    slot = time_slot(order[0]) if slot is None else slot
-    chunks = chunk_rows(df, keys, slot, 0, target).select(*names, "_chunk").repartition(*parts)
+    chunks = chunk_rows(df, keys, order, 0, target).select(*names, "_chunk").repartition(*parts)
 
     summaries = segment_map(
         chunks, parts, order, lambda t: _one(t, parts, summarise(t)),

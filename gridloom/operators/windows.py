@@ -71,12 +71,12 @@ def sequence_windows(df, keys, order, cols: Sequence[str], target_col: str, n=24
     return out.filter(F.size("features") == n).withColumn("target", F.col(target_col))
 
 
-def interpolate_linear(df, keys, order, col, slot=None, **kw) -> DataFrame:
+def interpolate_linear(df, keys, order, col, **kw) -> DataFrame:
     """Fill gaps in ``col`` linearly by row position; ends take the nearest value.
 
     Neighbours outside the chunk come from a table with one row per chunk.
     """
-    rows = with_position(df, keys, order, slot=slot, **kw).withColumn(
+    rows = with_position(df, keys, order, **kw).withColumn(
         "_pt", F.when(F.col(col).isNotNull(), F.struct(F.col("_pos").alias("p"), F.col(col).alias("v")))
     )
     ends = rows.groupBy(*keys, "_chunk").agg(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import aggregates, recurrences, windows
 from gridloom.operators.ranking import recent_rows
-from gridloom.operators.series import chunk_rows, time_slot, with_position
+from gridloom.operators.series import chunk_rows, with_position
 
 KEYS, ORDER = ["meter_id"], ["ts", "reading_id"]
 
@@ -47,8 +47,7 @@ def test_position_and_chunk_bounds(series, target):
     got = ordered(with_position(df, KEYS, ORDER, target=target))
     assert (got["_pos"] == groups(pdf, lambda g: np.arange(len(g)))).all()
     assert (got["_n"] == groups(pdf, lambda g: np.full(len(g), len(g)))).all()
-    largest_slot = pdf.groupby(["meter_id", pdf["ts"].dt.floor("D")]).size().max()
-    assert got.groupby(["meter_id", "_chunk"]).size().max() <= target + largest_slot
+    assert got.groupby(["meter_id", "_chunk"]).size().max() <= 2 * target
 
 
 @pytest.mark.parametrize("halo", [1, 24, 168, 200])
@@ -62,7 +61,45 @@ def test_halo_reaches_back_exactly(series, halo):
 
 def test_halo_must_fit_a_chunk(series):
     with pytest.raises(ValueError):
-        chunk_rows(series[1], KEYS, time_slot("ts"), halo=300, target=200)
+        chunk_rows(series[1], KEYS, ORDER, halo=300, target=200)
+
+
+@pytest.fixture(scope="module")
+def crowded(spark):
+    """One meter with 400 000 rows in one hour, a tenth of them at one instant, and a thin one."""
+    hour = F.to_timestamp(F.lit("2024-01-05 10:00:00"))
+    spread = F.pmod(F.xxhash64("id"), F.lit(3_600_000_000))
+    at = F.when(F.col("id") % 10 == 0, F.lit(1_800_000_000)).otherwise(spread)
+    hot = spark.range(400_000).select(
+        F.lit("hot").alias("meter_id"), F.col("id").alias("reading_id"),
+        F.timestamp_micros(F.unix_micros(hour) + at).alias("ts"), (F.col("id") % 97).cast("double").alias("usage_kwh"),
+    )
+    thin = spark.range(50).select(
+        F.lit("thin").alias("meter_id"), "id", F.timestamp_seconds(F.unix_seconds(hour) + F.col("id") * 86_400), F.lit(1.0)
+    )
+    return hot.union(thin).repartition(8).cache()
+
+
+def test_crowded_hour_is_cut_and_halo_is_exact(crowded):
+    target, halo = 5_000, 24
+    sizes = chunk_rows(crowded, KEYS, ORDER, halo=halo, target=target).groupBy("meter_id", "_chunk").agg(
+        F.count_if("_own").alias("own"), F.count_if(~F.col("_own")).alias("copied"), F.min("_start").alias("start")
+    ).toPandas()
+    assert sizes["own"].max() <= 2 * target and sizes["own"].min() > 0 and sizes["own"].sum() == 400_050
+    hot = sizes[sizes["meter_id"] == "hot"]
+    assert len(hot) >= 40 and hot["copied"].max() == halo and (hot["copied"] > 0).sum() == len(hot) - 1
+    assert sizes[sizes["meter_id"] == "thin"]["copied"].sum() == 0
+
+
+def test_crowded_hour_matches_straight_loops(crowded):
+    got = ordered(windows.lags(crowded, KEYS, ORDER, "usage_kwh", {"back": 24}, target=5_000))
+    np.testing.assert_allclose(got["back"], got.groupby("meter_id")["usage_kwh"].shift(24))
+    assert len(got) == 400_050
+    places = ordered(with_position(crowded, KEYS, ORDER, target=5_000))
+    assert (places["_pos"] == places.groupby("meter_id").cumcount()).all()
+    smooth = ordered(recurrences.ewma(crowded, KEYS, ORDER, "usage_kwh", target=5_000))
+    want = groups(smooth, lambda g: g["usage_kwh"].ewm(alpha=0.2, adjust=False).mean().to_numpy())
+    np.testing.assert_allclose(smooth["ewma"], want, rtol=1e-10)
 
 
 @SIZES
