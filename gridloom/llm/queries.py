@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import exact_dedup, mixing, packing, quality_classifier, simhash
+from gridloom.llm import (
+    check_sql,
+    exact_dedup,
+    license_scan,
+    line_dedup,
+    mixing,
+    packing,
+    pii,
+    quality_classifier,
+    quality_rules,
+    simhash,
+    url_filters,
+)
 from gridloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,10 +48,35 @@ def _packing(spark, sf_dir):
     return pieces.withColumn("ids_crc32", F.crc32("token_ids")).drop("token_ids")
 
 
-WORDS_SQL = "len(regexp_extract_all(coalesce({}, ''), '[^\\x20\\x09-\\x0D]+'))"
+def placed_files(docs: DataFrame) -> DataFrame:
+    """Documents as files of a directory tree: source, language, then thousands and hundreds of ids
+    (a tenth of them directly below the language, two tenths below the thousands)."""
+    n = F.col("doc_id")
+    parts = [
+        F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")),
+        F.when(n % 10 != 0, F.floor(n / 1000).cast("string")), F.when(n % 10 >= 3, F.floor(n / 100).cast("string")),
+        n.cast("string"),
+    ]
+    return docs.withColumn("path", F.concat_ws("/", *parts))
 
 
-@query("op4_block_mixing")
+@query("op2_license_scan", check_sql.LICENSES)
+def _licenses(spark, sf_dir):
+    files = placed_files(table(spark, sf_dir, "documents"))
+    return license_scan.license_scan(files, license_file=F.lit(True))
+
+
+#: Action, host and path of the rules that every page is judged by.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+@query("op3_url_trie", check_sql.URLS)
+def _urls(spark, sf_dir):
+    rules = spark.createDataFrame(URL_RULES, "action string, host string, path string")
+    return url_filters.filter_urls(table(spark, sf_dir, "pages"), rules)
+
+
+@query("op4_block_mixing", check_sql.MIX)
 def _mixing(spark, sf_dir):
     return mixing.mix_counts(table(spark, sf_dir, "documents"))
 
@@ -49,11 +86,30 @@ def _simhash(spark, sf_dir):
     return simhash.simhash_dedup(table(spark, sf_dir, "documents"))
 
 
-@query("op8_mph_exact_dedup", """
-SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-       doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
-FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS t FROM documents) d
-WINDOW w AS (PARTITION BY t)""")
+@query("op6_pii_deobfuscation")
+def _pii(spark, sf_dir):
+    found = pii.pii_spans(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: ~s["added"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    return found.select(
+        "doc_id", *(
+            (F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("long").alias(f"n_{kind}") for kind in pii.KINDS
+        ),
+        F.sha2(pii.span_text(base), 256).alias("base_sha256"),
+        pii.span_text(F.col("spans")).alias("spans"), F.size(F.filter("spans", lambda s: s["added"])).cast("long").alias("n_added"),
+    )
+
+
+@query("op7_fuzzy_line_dedup")
+def _lines(spark, sf_dir):
+    found = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_lines", "n_judged", F.size("dropped").cast("long").alias("n_dropped"),
+        F.concat_ws(",", F.col("dropped").cast("array<string>")).alias("dropped_lines"),
+    )
+
+
+@query("op8_mph_exact_dedup", check_sql.EXACT)
 def _exact(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -61,3 +117,8 @@ def _exact(spark, sf_dir):
 @query("op9_subword_quality")
 def _quality(spark, sf_dir):
     return quality_classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_compression_rules")
+def _rules(spark, sf_dir):
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
