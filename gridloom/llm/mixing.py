@@ -145,7 +145,7 @@ def positions(sized: DataFrame, goals: DataFrame) -> DataFrame:
     within = W.partitionBy("key", "bucket").orderBy("id", "size").rowsBetween(W.unboundedPreceding, -1)
     placed = dealt.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
     return (
-        placed.join(starts, ["key", "bucket"]).join(goals, "key")
+        placed.join(starts.hint("merge"), ["key", "bucket"]).join(goals, "key")
         .withColumn("begin", F.col("ahead") + F.col("inside")).drop("ahead", "inside", "bucket")
     )
 
@@ -161,7 +161,9 @@ def taken_blocks(sized: DataFrame, block_words: int) -> tuple[DataFrame, DataFra
     cut = rows.where("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
     start = F.greatest(F.col("begin"), F.col("block") * block_words)
     stop = F.least(F.col("begin") + F.col("size"), (F.col("block") + 1) * block_words)
-    pieces = cut.withColumns({"word": start - F.col("begin"), "words": stop - start}).join(used, ["source_rank", "block"])
+    pieces = cut.withColumns({"word": start - F.col("begin"), "words": stop - start}).join(
+        used.hint("merge"), ["source_rank", "block"]  # as many blocks as the corpus has: never broadcast
+    )
     return rows, pieces
 
 
@@ -239,7 +241,7 @@ def mix_documents(
     same = [counted[c].eqNullSafe(plan[c]) if c == "_id" else counted[c] == plan[c] for c in alike]
     text = F.col("_doc")[text_col]
     cuts = F.element_at("_cuts", F.col("_n"))
-    chosen = counted.join(plan, same).where(cuts.isNotNull()).select(
+    chosen = counted.join(plan.hint("merge"), same).where(cuts.isNotNull()).select(
         "_doc", "_passes", cuts.alias("_runs"),
         F.when(F.size(cuts) > 0, F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).alias("_words"),
     )
