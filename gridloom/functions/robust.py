@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SKETCH_ACCURACY = 1000
-BRACKET = (0.49, 0.51)
+REACH = 0.01  # of the bracket, to both sides of the quantile
 CELLS = 1024
 
 
@@ -30,11 +30,17 @@ def long_form(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFr
 
 
 def exact_median(values: DataFrame, group: Sequence[str], col="value", name="median") -> DataFrame:
-    """(group, name, n): the middle value, or the mean of the two middle values."""
+    """(group, n, name): the middle value, or the mean of the two middle values."""
+    return exact_quantile(values, group, 0.5, col, name)
+
+
+def exact_quantile(values: DataFrame, group: Sequence[str], q: float, col="value", name="quantile") -> DataFrame:
+    """(group, n, name): the value at the share ``q``, interpolated between neighbours."""
     group = list(group)
+    around = [max(0.0, q - REACH), min(1.0, q + REACH)]
     bracket = values.groupBy(*group).agg(
         F.count(col).alias("n"),
-        F.percentile_approx(col, list(BRACKET), SKETCH_ACCURACY).alias("_b"),
+        F.percentile_approx(col, around, SKETCH_ACCURACY).alias("_b"),
     ).withColumn("_lo", F.col("_b")[0]).withColumn("_hi", F.col("_b")[1]).drop("_b")
     # cell -1 holds everything below the bracket, cells 0.. divide the bracket evenly
     place = F.coalesce(
@@ -47,7 +53,9 @@ def exact_median(values: DataFrame, group: Sequence[str], col="value", name="med
     )
     counts = tagged.groupBy(*group, "n", "_cell", "_v").agg(F.count(F.lit(1)).alias("_c"))
 
-    ranks = {"low": F.floor((F.col("n") + 1) / 2), "high": F.floor(F.col("n") / 2) + 1}
+    at = (F.col("n") - 1) * q
+    low = F.floor(at) + 1
+    ranks = [low, F.least(low + 1, F.col("n"))]
 
     def holds(rank, width):
         return (F.col("_upto") >= rank) & (F.col("_upto") - F.col(width) < rank)
@@ -56,13 +64,17 @@ def exact_median(values: DataFrame, group: Sequence[str], col="value", name="med
     cells = (
         counts.groupBy(*group, "n", "_cell").agg(F.sum("_c").alias("_w"))
         .withColumn("_upto", F.sum("_w").over(by_cell))
-        .filter(holds(ranks["low"], "_w") | holds(ranks["high"], "_w"))
+        .filter(holds(ranks[0], "_w") | holds(ranks[1], "_w"))
         .select(*group, "_cell", (F.col("_upto") - F.col("_w")).alias("_before"))
     )
     in_cell = Window.partitionBy(*group, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = counts.join(cells, [*group, "_cell"]).withColumn("_upto", F.col("_before") + F.sum("_c").over(in_cell))
-    middle = [F.max(F.when(holds(rank, "_c"), F.col("_v"))) for rank in ranks.values()]
-    return ranked.groupBy(*group, "n").agg(((middle[0] + middle[1]) / 2).alias(name))
+    ends = [F.max(F.when(holds(rank, "_c"), F.col("_v"))).alias(f"_{i}") for i, rank in enumerate(ranks)]
+    between = F.col("_0") + (F.col("_1") - F.col("_0")) * (at - F.floor(at))
+    middle = (F.col("_0") + F.col("_1")) / 2 if q == 0.5 else between
+    if q == 0.5:
+        middle = F.when(F.col("n") % 2 == 1, F.col("_0")).otherwise(middle)
+    return ranked.groupBy(*group, "n").agg(*ends).select(*group, "n", middle.alias(name))
 
 
 def median_and_mad(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:

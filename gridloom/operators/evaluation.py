@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+Z_80, Z_95 = 1.2816, 1.96  # normal quantiles of two-sided 80 % and 95 % bands
+
+
 def standard_scale(df: DataFrame, keys: Sequence[str], cols: Sequence[str], suffix="_z") -> DataFrame:
     """Population z-scores; a constant column scales by 1."""
     stats = df.groupBy(*keys).agg(
@@ -83,7 +86,7 @@ def bootstrap_far_difference(
     )
 
 
-def prediction_interval(df: DataFrame, keys: Sequence[str], actual="actual", predicted="predicted", z=1.96) -> DataFrame:
+def prediction_interval(df: DataFrame, keys: Sequence[str], actual="actual", predicted="predicted", z=Z_95) -> DataFrame:
     """Predictions with ± z population deviations of the key's residuals."""
     spread = df.groupBy(*keys).agg(F.stddev_pop(F.col(actual) - F.col(predicted)).alias("_sd"))
     return df.join(spread, list(keys)).withColumns({

@@ -22,7 +22,6 @@ from gridloom.session import cut_lineage
 # --- Fixed values: search grid, defaults, lag candidates and critical values -----------
 SMOOTHING_GRID = (0.1, 0.3, 0.5, 0.7)
 DEFAULT_SMOOTHING = (0.3, 0.1, 0.2)
-TUNE_ROWS = 500
 ADF_LAGS = (4, 12, 24, 48, 96, 168)
 ADF_STEPS = ((-3.96, 0.01), (-3.41, 0.05), (-3.12, 0.10))
 FEATURES = ("hour", "weekday", "month", "is_weekend", "lag_1d", "lag_7d", "temp")
@@ -46,9 +45,12 @@ def _smooth(y: np.ndarray, m: int, alpha, beta, gamma, level, trend, season, fir
     return level, trend, season, sse / max(len(y) - first, 1)
 
 
-def _tune(y: np.ndarray, m: int):
-    """Grid search on the last rows, all combinations advanced together."""
-    y = y[-TUNE_ROWS:]
+def _tune(y: np.ndarray, m: int, rows: int | None = None):
+    """Grid search on the series (or its last ``rows``), all combinations advanced together.
+
+    Fewer than two cycles give the default setting.
+    """
+    y = y[-rows:] if rows else y
     if len(y) < 2 * m:
         return DEFAULT_SMOOTHING, None
     grid = np.array([(a, b, g) for a in SMOOTHING_GRID for b in SMOOTHING_GRID for g in SMOOTHING_GRID])
@@ -78,12 +80,12 @@ def _repeat(t: pa.Table, keys, n: int) -> dict:
     return {k: pa.array([t.column(k)[0].as_py()] * n, t.schema.field(k).type) for k in keys}
 
 
-def holt_winters_tune(hourly: DataFrame, keys, order, col="usage_kwh", m=24) -> DataFrame:
+def holt_winters_tune(hourly: DataFrame, keys, order, col="usage_kwh", m=24, tune_rows: int | None = None) -> DataFrame:
     """Best (alpha, beta, gamma) of 64 per series by one-step error."""
     keys = list(keys)
 
     def run(t):
-        (a, b, g), mse = _tune(doubles(t, col), m)
+        (a, b, g), mse = _tune(doubles(t, col), m, tune_rows)
         return pa.table(_repeat(t, keys, 1) | {
             "alpha": [a], "beta": [b], "gamma": [g], "mse": pa.array([mse], pa.float64()),
         })
@@ -197,8 +199,29 @@ def _vector(df: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(df)
 
 
+def series_scale(train: DataFrame, keys, col="usage_kwh") -> DataFrame:
+    """(keys, _mean, _sd) of the training rows; a constant series has deviation 1."""
+    sd = F.stddev_pop(col)
+    return train.groupBy(*keys).agg(F.avg(col).alias("_mean"), F.when(sd > 0, sd).otherwise(1.0).alias("_sd"))
+
+
+def to_scale(df: DataFrame, scale: DataFrame, keys, cols) -> DataFrame:
+    """``cols`` in deviations from their series' training mean; ``_floor`` is the scaled zero."""
+    return df.join(scale, list(keys)).withColumns(
+        {c: (F.col(c) - F.col("_mean")) / F.col("_sd") for c in cols}
+    ).withColumn("_floor", -F.col("_mean") / F.col("_sd")).drop("_mean", "_sd")
+
+
+def from_scale(df: DataFrame, scale: DataFrame, keys, col="predicted") -> DataFrame:
+    return df.join(scale, list(keys)).withColumn(col, F.col(col) * F.col("_sd") + F.col("_mean")).drop("_mean", "_sd")
+
+
 def rf_fit(train: DataFrame, col="usage_kwh", trees=50, depth=10, seed=42):
-    """Random-forest regression over the training rows of all series."""
+    """Random-forest regression over the training rows of all series.
+
+    One model serves all series, so its target and lags should be on each series' own scale
+    (``to_scale``): then no series is drawn to the level of the others.
+    """
     from pyspark.ml.regression import RandomForestRegressor
 
     rf = RandomForestRegressor(labelCol=col, numTrees=trees, maxDepth=depth, seed=seed, featuresCol="features")
@@ -210,7 +233,8 @@ def rf_forecast(model, history: DataFrame, future: DataFrame, keys, horizon: int
 
     The shortest lag is 24 rows, so the 24 rows of a block depend only on rows before it:
     ceil(horizon/24) passes replace one pass per step.  ``future`` holds (keys, ts, step,
-    temp).  The known rows a block needs are the last 168, so only those are carried.
+    temp), and the least possible value in ``_floor`` where that is not 0.  The known rows a
+    block needs are the last 168, so only those are carried.
     """
     keys = list(keys)
     w = Window.partitionBy(*keys).orderBy(F.col(ts).desc())
@@ -220,7 +244,7 @@ def rf_forecast(model, history: DataFrame, future: DataFrame, keys, horizon: int
         .select(*keys, (-F.col("_b")).cast("bigint").alias("step"), "y")
     )
     ends = known.groupBy(*keys).agg(F.min("step").alias("_first"), F.max_by("y", "step").alias("_newest"))
-    out = None
+    out, floor = None, F.col("_floor") if "_floor" in future.columns else F.lit(0.0)
     for start in range(0, horizon, 24):
         block = future.filter((F.col("step") >= start) & (F.col("step") < min(start + 24, horizon)))
         rows = block.join(ends, keys)
@@ -230,7 +254,7 @@ def rf_forecast(model, history: DataFrame, future: DataFrame, keys, horizon: int
         # a series shorter than the lag repeats its newest known value
         rows = rows.withColumns({n: F.coalesce(f"_{n}", "_newest") for n in ("lag_1d", "lag_7d")})
         done = model.transform(_vector(with_calendar(rows, ts))).select(
-            *keys, "step", F.greatest(F.lit(0.0), F.col("prediction")).alias("y")
+            *keys, "step", F.greatest(floor, F.col("prediction")).alias("y")
         )
         if start + 24 < horizon:
             done = cut_lineage(done)
@@ -260,9 +284,12 @@ def backtest(hourly: DataFrame, keys, folds=3, horizon=48, ts="ts", col="usage_k
         per_fold = []
         for f in range(folds):
             one = fparts.filter(F.col("fold") == f)
+            scale = cut_lineage(series_scale(one.filter("part = 'train'"), keys, col))
+            one = to_scale(one, scale, keys, [col, "lag_1d", "lag_7d"])
             model = rf_fit(one.filter("part = 'train'"), col, trees=30, depth=8)
-            ahead = one.filter("part = 'validate'").select(*keys, ts, "step", "temp")
+            ahead = one.filter("part = 'validate'").select(*keys, ts, "step", "temp", "_floor")
             guess = rf_forecast(model, one.filter("part = 'train'"), ahead, keys, horizon, ts, col)
+            guess = from_scale(guess, scale, keys)
             per_fold.append(guess.withColumn("fold", F.lit(f)).select(*fkeys, "step", "predicted"))
         forest = per_fold[0]
         for p in per_fold[1:]:
@@ -301,5 +328,6 @@ def leaderboard(hourly: DataFrame, keys, order, ratio=0.8, ts="ts", col="usage_k
 
 __all__ = [
     "adf", "backtest", "combine_leaderboard", "holt_winters", "holt_winters_tune", "hour_mean_forecast",
-    "leaderboard", "persistence_forecast", "resample_filled", "rf_fit", "rf_forecast", "temporal_features",
+    "from_scale", "leaderboard", "persistence_forecast", "resample_filled", "rf_fit", "rf_forecast", "series_scale",
+    "temporal_features", "to_scale",
 ]

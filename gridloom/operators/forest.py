@@ -11,11 +11,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.functions.robust import exact_quantile
+
 EULER = 0.5772156649
-POOL_FACTOR = 16  # rows of the sampling pool per row of a tree's sample
 NODE_SCHEMA = (
     "tree int, node int, left int, right int, size int, depth int, feature int, cut double, "
     "normal array<double>, point array<double>"
@@ -30,17 +31,36 @@ def path_correction(n):
     return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, full))
 
 
+def _lots(row_id: Sequence[str], round_: Column, seed: int) -> Column:
+    """Trees to skip before the next hit: geometric with the hit rate ``_p``."""
+    u = (F.pmod(F.xxhash64(*row_id, round_, F.lit(seed)), F.lit(1 << 52)) + 1) / float(1 << 52)
+    return F.floor(F.log(u) / F.log1p(-F.col("_p"))).cast("long")
+
+
 def sample_per_tree(df: DataFrame, row_id: Sequence[str], trees: int, sample: int, seed: int) -> DataFrame:
-    """``sample`` rows (or all, if fewer) for each tree, without replacement.
+    """``sample`` rows (or all, if fewer) for each tree, without replacement, from the whole table.
 
-    A hash threshold first thins the table to a pool of about 16 samples, so only the
-    pool - a fixed number of rows - is paired with the trees.
+    Each row and tree meet with such a probability that a tree meets about twice ``sample``
+    rows.  A row skips from hit to hit by geometric draws, so most rows cost one draw for all
+    trees.  Of a tree's hits those with the smallest hashes are its sample; about
+    2 x trees x sample rows are shuffled at any table size.
     """
     n = df.count()
-    share = min(1.0, POOL_FACTOR * sample * 1.25 / max(n, 1))
-    lot = F.pmod(F.xxhash64(*row_id, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    pool = df if share >= 1.0 else df.filter(lot < share)
-    draws = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(
+    rate = 2.0 * sample / max(n, 1)
+    if rate >= 0.5:  # a table of a few samples: every row meets every tree
+        hits = F.sequence(F.lit(0).cast("long"), F.lit(trees - 1).cast("long"))
+        met = df.withColumn("_hits", hits)
+    else:
+        first = df.withColumn("_p", F.lit(rate)).withColumn("_first", _lots(row_id, F.lit(0), seed)).filter(F.col("_first") < trees)
+        none = F.array().cast("array<bigint>")
+        start = F.struct(F.col("_first").alias("at"), F.array("_first").alias("hits"))
+
+        def hop(state, i):
+            at = state["at"] + 1 + _lots(row_id, i, seed)
+            return F.struct(at.alias("at"), F.concat(state["hits"], F.when(at < trees, F.array(at)).otherwise(none)).alias("hits"))
+
+        met = first.withColumn("_hits", F.aggregate(F.sequence(F.lit(1), F.lit(trees)), start, hop)["hits"]).drop("_p", "_first")
+    draws = met.withColumn("tree", F.explode(F.col("_hits").cast("array<int>"))).drop("_hits").withColumn(
         "_draw", F.xxhash64(*row_id, F.col("tree"), F.lit(seed + 1))
     )
     w = Window.partitionBy("tree").orderBy("_draw", *row_id)
@@ -138,7 +158,7 @@ def _mean_path(x: np.ndarray, forest: list[dict]) -> np.ndarray:
 
 
 def score(df: DataFrame, nodes: DataFrame, features: Sequence[str], sample=256, extended=False, name="score") -> DataFrame:
-    """Anomaly score 2^(-mean path / c) to 6 decimals; works on batch and streaming rows."""
+    """Anomaly score 2^(-mean path / c); works on batch and streaming rows."""
     forest = _compile(nodes.toPandas(), extended)
     fitted = sample if extended else min(sample, max(t["rows"] for t in forest))
     norm = float(path_correction(fitted)) or 1.0
@@ -149,40 +169,18 @@ def score(df: DataFrame, nodes: DataFrame, features: Sequence[str], sample=256,
         trees = shared.value
         for cols in batches:
             x = np.column_stack([c.to_numpy(float) for c in cols])
-            yield pd.Series(np.round(np.power(2.0, -_mean_path(x, trees) / norm), 6))
+            yield pd.Series(np.power(2.0, -_mean_path(x, trees) / norm))
 
     return df.withColumn(name, rate(*[F.col(c).cast("double") for c in features]))
 
 
 def score_cutoffs(scored: DataFrame, rates: Sequence[float], name="score") -> DataFrame:
-    """(rate, cutoff): the score at the upper ``rate`` quantile, linearly interpolated.
-
-    Scores have 6 decimals, so the histogram has at most a million rows whatever the
-    table size; the quantile over it is exact.
-    """
-    hist = scored.groupBy(name).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.orderBy(name).rowsBetween(Window.unboundedPreceding, 0)
-    run = hist.withColumn("_upto", F.sum("_c").over(w)).withColumn("_n", hist.agg(F.sum("_c")).scalar())
-
-    def at(rate):
-        return (F.col("_n") - 1) * (1.0 - rate)
-
-    def value(rank):
-        return F.min(F.when(F.col("_upto") >= rank, F.col(name)))
-
-    ends = run.agg(
-        F.max("_n").alias("_n"),
-        *[value(F.floor(at(r)) + 1).alias(f"_a{i}") for i, r in enumerate(rates)],
-        *[value(F.least(F.floor(at(r)) + 2, F.col("_n"))).alias(f"_b{i}") for i, r in enumerate(rates)],
-    )
-    points = [
-        F.struct(
-            F.lit(float(r)).alias("rate"),
-            (F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * (at(r) - F.floor(at(r)))).alias("cutoff"),
-        )
-        for i, r in enumerate(rates)
-    ]
-    return ends.select(F.inline(F.array(*points)))
+    """(rate, cutoff): the score at the upper ``rate`` quantile, linearly interpolated and exact."""
+    out = None
+    for r in rates:
+        one = exact_quantile(scored.select(F.lit(float(r)).alias("rate"), name), ["rate"], 1.0 - r, name, "cutoff")
+        out = one if out is None else out.unionByName(one)
+    return out.select("rate", "cutoff")
 
 
 def _above(score, cutoff, inclusive: bool):
@@ -204,7 +202,7 @@ def contamination_sweep(scored: DataFrame, rates: Sequence[float], truth="y_true
     """Score once; measures for several contamination rates side by side."""
     from gridloom.operators.aggregates import detection_metrics
 
-    cuts = F.broadcast(score_cutoffs(scored, rates, name))  # one row per literal rate
+    cuts = score_cutoffs(scored, rates, name)
     each = F.explode(F.array(*[F.lit(float(r)) for r in rates]))
     grid = scored.select(truth, name).withColumn("rate", each).join(cuts, "rate").withColumn(
         "y_pred", _above(F.col(name), F.col("cutoff"), False).cast("int")

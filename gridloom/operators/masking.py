@@ -98,12 +98,33 @@ def extract_entities(df: DataFrame, text="text", names=KNOWN_NAMES, indicators=I
     ).drop("_e")
 
 
+def _find_patterns(df: DataFrame, text: str, patterns) -> DataFrame:
+    """``found`` for patterns alone, by built-in functions.
+
+    Each pattern is searched in the text left by the ones before it.
+    """
+    out, found = df.withColumn("_left", F.coalesce(F.col(text), F.lit(""))), []
+    for i, (kind, pattern) in enumerate(patterns):
+        hits = F.array_distinct(F.regexp_extract_all("_left", F.lit(UNICODE + pattern), F.lit(0)))
+        out = out.withColumn(f"_h{i}", hits)
+        mark = F.lit(f"[REDACTED_{kind}_0]")
+        out = out.withColumn("_left", _replaced(F.col("_left"), F.col(f"_h{i}"), mark))
+        found.append(F.transform(f"_h{i}", _tagged(kind)))
+    return out.withColumn("found", F.flatten(F.array(*found))).drop("_left", *(f"_h{i}" for i in range(len(patterns))))
+
+
+def _replaced(text: Column, values: Column, mark: Column) -> Column:
+    return F.aggregate(values, text, lambda t, v: F.replace(t, v, mark))
+
+
 def find_sensitive(df: DataFrame, text="text", names=KNOWN_NAMES, indicators=INDICATORS, patterns=PATTERNS):
     """Adds ``found``: the values to mask in the order of replacement, entities first.
 
     Patterns are searched in the text whose earlier finds are already replaced.
     """
     names, indicators, patterns = list(names), list(indicators), list(patterns)
+    if not names and not indicators:
+        return _find_patterns(df, text, patterns)
 
     def finds(whole: str) -> list[dict]:
         out = [{"kind": k, "value": v} for v, k, _ in _entities(whole, names, indicators)]

@@ -55,14 +55,47 @@ def _asked(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(words(F.col("text"))).alias("term"))
 
 
-def word_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score) of the pairs that share a whole word.
-
-    A shared word also occurs inside the text, so each of these pairs has those points.
+def word_scores(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, score) of pairs that share a whole word: all that can be in a top ``k``.
+
+    A query has a list of documents per word and field, worth that field's points.  Its
+    shortest lists, until they hold ``k`` documents, give candidates whose scores set a bar.
+    The longest lists that together stay below the bar, with all other points added, cannot
+    lift a document over it; only documents on one of the other lists are scored.  A shared
+    word also occurs inside the text, so each pair has those points.
     """
-    posts = _weighted_words(docs, TITLE_POINTS, BODY_POINTS)
-    return posts.join(_asked(queries).withColumnRenamed("term", "word"), "word").groupBy("query_id", "doc_id").agg(
-        (F.sum("weight") + INSIDE_POINTS).alias("score")
+    asked = _asked(queries)
+    terms = asked.select(F.col("term").alias("word")).distinct()
+    posts = cut_lineage(
+        _weighted_words(docs, TITLE_POINTS, BODY_POINTS).join(terms, "word").select("word", "weight", "doc_id")
+    )
+    lists = posts.groupBy("word", "weight").agg(F.count(F.lit(1)).alias("df"))
+    short_first = Window.partitionBy("query_id").orderBy("df", "word", "weight")
+    ranked = cut_lineage(
+        asked.withColumnRenamed("term", "word").join(lists, "word").withColumns({
+            "held": F.coalesce(F.sum("df").over(short_first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+            "rest": F.sum("weight").over(short_first.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
+        })
+    )
+    probes = _candidates(ranked.where(F.col("held") < k), posts)
+    bar = _ranked(_scores(probes, queries, docs), k).where(F.col("rank") == k).select("query_id", F.col("score").alias("bar"))
+    # what a document scores at most by the lists from here on
+    most = F.col("rest") + INSIDE_POINTS + CATEGORY_POINTS
+    needed = ranked.join(bar, "query_id", "left").where(F.col("bar").isNull() | (most >= F.col("bar")))
+    return _scores(_candidates(needed, posts), queries, docs)
+
+
+def _candidates(lists: DataFrame, posts: DataFrame) -> DataFrame:
+    return posts.join(lists.select("query_id", "word", "weight"), ["word", "weight"]).select("query_id", "doc_id").distinct()
+
+
+def _scores(pairs: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """Points for whole words of the given pairs."""
+    asked = queries.select("query_id", words(F.col("text")).alias("_q"))
+    held = docs.select("doc_id", words(F.col("title")).alias("_t"), words(F.col("body")).alias("_b"))
+    points = TITLE_POINTS * F.size(F.array_intersect("_q", "_t")) + BODY_POINTS * F.size(F.array_intersect("_q", "_b"))
+    return pairs.join(held, "doc_id").join(asked, "query_id").select(
+        "query_id", "doc_id", (points + INSIDE_POINTS).cast("bigint").alias("score")
     )
 
 
@@ -92,7 +125,7 @@ def keyword_search(queries: DataFrame, docs: DataFrame, k=3) -> DataFrame:
     named = queries.select("query_id", F.lower("category").alias("_qc"))
     cat = docs.select("doc_id", F.lower("category").alias("_dc"))
     bonus = F.when(F.col("_qc") == F.col("_dc"), CATEGORY_POINTS).otherwise(0)
-    scored = word_scores(queries, docs).join(named, "query_id").join(cat, "doc_id").select(
+    scored = word_scores(queries, docs, k).join(named, "query_id").join(cat, "doc_id").select(
         "query_id", "doc_id", (F.col("score") + F.coalesce(bonus, F.lit(0))).alias("score")
     )
     best = cut_lineage(_ranked(scored, k))

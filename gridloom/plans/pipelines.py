@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom import dims
 from gridloom.operators import aggregates, cleaning, emissions, forecasting, forest, recurrences, windows
+from gridloom.operators.evaluation import standard_scale
 from gridloom.operators.ranking import best_model
 from gridloom.session import cut_lineage
 
@@ -51,16 +52,22 @@ def detect_anomalies(
     """
     keys, order = list(keys), list(order)
     feats = cut_lineage(anomaly_features(df, keys, order, ts))
+    # one forest serves all meters: each feature counts in deviations of its own meter
+    scaled = standard_scale(feats, keys, ANOMALY_FEATURES)
+    columns = [f"{c}_z" for c in ANOMALY_FEATURES]
     if rate is None:
         rate = aggregates.outlier_rate(feats.withColumn("_all", F.lit(1)), ["_all"], ANOMALY_FEATURES).first()["rate"]
-    nodes = forest.fit(feats, ANOMALY_FEATURES, [*keys, order[-1]], trees, sample, seed)
-    scored = cut_lineage(forest.score(feats, nodes, ANOMALY_FEATURES, sample))
+    nodes = forest.fit(scaled, columns, [*keys, order[-1]], trees, sample, seed)
+    scored = cut_lineage(forest.score(scaled, nodes, columns, sample).select(*feats.columns, "score"))
     flagged = forest.flag(scored, rate).filter("is_outlier")
     return emissions.classify_anomaly(flagged, aggregates.baseline_thresholds(feats, keys), keys)
 
 
-def forecast(df: DataFrame, keys=("meter_id",), ts="ts", horizon=48, ratio=0.9, folds=3, col="usage_kwh") -> DataFrame:
-    """Actuals and forecasts per meter, model and step, as one long table."""
+def forecast(df: DataFrame, keys=("meter_id",), ts="ts", horizon=48, ratio=0.9, col="usage_kwh") -> DataFrame:
+    """Actuals and forecasts per meter, model and step, as one long table.
+
+    The forest works on each meter's own scale.
+    """
     keys = list(keys)
     cols = [col] + (["temp"] if "temp" in df.columns else [])
     hourly = cut_lineage(aggregates.resample_filled(df, keys, ts, cols))
@@ -74,8 +81,11 @@ def forecast(df: DataFrame, keys=("meter_id",), ts="ts", horizon=48, ratio=0.9,
     truth = ahead.select(*keys, ts, "step", F.col(col).alias("actual"))
     naive = forecasting.persistence_forecast(parts, keys, [ts], col).select(*keys, ts, "predicted")
     smooth = forecasting.holt_winters(train, keys, [ts], horizon, col)
-    model = forecasting.rf_fit(train, col)
-    wood = forecasting.rf_forecast(model, train, ahead.select(*keys, ts, "step", "temp"), keys, horizon, ts, col)
+    scale = cut_lineage(forecasting.series_scale(train, keys, col))
+    scaled = forecasting.to_scale(train, scale, keys, [col, "lag_1d", "lag_7d"])
+    model = forecasting.rf_fit(scaled, col)
+    future = forecasting.to_scale(ahead.select(*keys, ts, "step", "temp"), scale, keys, [])
+    wood = forecasting.from_scale(forecasting.rf_forecast(model, scaled, future, keys, horizon, ts, col), scale, keys)
     named = [
         ("persistence", truth.join(naive, [*keys, ts])),
         ("holt_winters", truth.join(smooth, [*keys, "step"])),
@@ -96,8 +106,25 @@ def forecast_summary(long: DataFrame, keys=("meter_id",)) -> DataFrame:
     return errors.join(best, keys).withColumn("is_best", F.col("model") == F.col("best_model"))
 
 
+def forecast_report(df: DataFrame, keys=("meter_id",), ts="ts", horizon=48, ratio=0.9, folds=3, col="usage_kwh") -> DataFrame:
+    """Errors per meter and model, with the unit-root test of the meter and the errors of a backtest."""
+    keys = list(keys)
+    hourly = cut_lineage(aggregates.resample_filled(df, keys, ts, [col]))
+    summary = forecast_summary(forecast(df, keys, ts, horizon, ratio, col), keys)
+    stationary = forecasting.adf(hourly, keys, [ts], col).select(
+        *keys, F.col("p_value").alias("adf_p"), "is_stationary"
+    )
+    tested = forecasting.backtest(hourly, keys, folds, horizon, ts, col).select(
+        *keys, "model", F.col("rmse").alias("backtest_rmse"), F.col("mae").alias("backtest_mae")
+    )
+    return summary.join(stationary, keys, "left").join(tested, [*keys, "model"], "left")
+
+
 def retrain(df: DataFrame, keys=("meter_id",), order=("ts",), ts="ts", col="usage_kwh") -> DataFrame:
-    """One status row per meter: rejected with its reason, or rows, drift and best model."""
+    """One status row per meter: rejected with its reason, or rows, drift and best model.
+
+    Models are ranked on hourly means, at most one row per meter and calendar hour.
+    """
     keys, order = list(keys), list(order)
     checks = cleaning.validate_table(
         df.withColumnRenamed(ts, "timestamp"), required=("timestamp", col), keys=keys
@@ -110,7 +137,8 @@ def retrain(df: DataFrame, keys=("meter_id",), order=("ts",), ts="ts", col="usag
     cleaned = cut_lineage(cleaning.clean_series(good, keys, ts, col, order))
     rows = cleaned.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows_processed"))
     drift = recurrences.drift_summary(recurrences.cusum(cleaned.select(*keys, *order, col), keys, order, col), keys)
-    board = forecasting.leaderboard(cleaned.select(*keys, *order, col), keys, order, 0.8, ts, col)
+    hourly = cut_lineage(aggregates.resample_filled(cleaned, keys, ts, [col]))
+    board = forecasting.leaderboard(hourly, keys, [ts], 0.8, ts, col)
     best = best_model(board, keys)
     return (
         verdict.join(rows, keys, "left").join(drift, keys, "left").join(best, keys, "left")

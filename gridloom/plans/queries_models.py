@@ -69,9 +69,17 @@ def mcnemar(spark, sf_dir):
     return rounded(V.mcnemar(detections(spark, sf_dir)), 8, "chi2")
 
 
-@query("mcnemar_p_value")
+# p = erfc(sqrt(chi2 / 2)): twice the normal tail beyond z = sqrt(chi2), by Simpson's rule on [z, z + 12]
+@query("mcnemar_p_value", """WITH c AS (SELECT toxic = quality AS a, doc_id % 2 = quality AS b FROM labels),
+t AS (SELECT count(*) FILTER (WHERE a AND b) AS both_right, count(*) FILTER (WHERE a AND NOT b) AS only_a, count(*) FILTER (WHERE NOT a AND b) AS only_b, count(*) FILTER (WHERE NOT a AND NOT b) AS both_wrong FROM c),
+x AS (SELECT *, power(abs(only_a - only_b) - 1, 2) / (only_a + only_b) AS chi2 FROM t),
+g AS (SELECT both_right, only_a, only_b, both_wrong, chi2, i, sqrt(chi2) + i * 0.003::DOUBLE AS z,
+        CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS k FROM x, range(0, 4001) r(i))
+SELECT both_right, only_a, only_b, both_wrong, round(chi2, 8) AS chi2,
+  round(2 * sum(k * exp(-z * z / 2)) * 0.003::DOUBLE / 3 / sqrt(2 * pi()), 9) AS p_value FROM g GROUP BY ALL""")
 def mcnemar_p_value(spark, sf_dir):
-    return V.mcnemar_p_value(V.mcnemar(detections(spark, sf_dir)))
+    out = V.mcnemar_p_value(V.mcnemar(detections(spark, sf_dir)))
+    return rounded(rounded(out, 8, "chi2"), 9, "p_value")
 
 
 @query("bootstrap_far_difference")
@@ -79,6 +87,15 @@ def bootstrap(spark, sf_dir):
     return V.bootstrap_far_difference(detections(spark, sf_dir))
 
 
+@query("prediction_interval_80", f"""WITH {READINGS}, s AS (SELECT meter_id, stddev_pop(usage_kwh - reactive_lagging_kvarh) AS d FROM readings GROUP BY meter_id)
+SELECT reading_id, round(reactive_lagging_kvarh - 1.2816 * d, 6) AS lower, round(reactive_lagging_kvarh + 1.2816 * d, 6) AS upper FROM readings JOIN s USING (meter_id)""")
+def prediction_interval_80(spark, sf_dir):
+    df = readings(spark, sf_dir).select(
+        "meter_id", "reading_id", F.col("usage_kwh").alias("actual"), F.col("reactive_lagging_kvarh").alias("predicted")
+    )
+    return rounded(V.prediction_interval(df, KEYS, z=V.Z_80), 6, "lower", "upper").select("reading_id", "lower", "upper")
+
+
 @query("prediction_interval", f"""WITH {READINGS}, s AS (SELECT meter_id, stddev_pop(usage_kwh - reactive_lagging_kvarh) AS d FROM readings GROUP BY meter_id)
 SELECT reading_id, round(reactive_lagging_kvarh - 1.96 * d, 6) AS lower, round(reactive_lagging_kvarh + 1.96 * d, 6) AS upper FROM readings JOIN s USING (meter_id)""")
 def prediction_interval(spark, sf_dir):
@@ -89,9 +106,8 @@ def prediction_interval(spark, sf_dir):
 
 
 def tune_sql(src: str) -> str:
-    """Best of 64 smoothing settings over the last 500 rows of ``src`` (meter_id, ts, usage_kwh)."""
-    return f"""tl AS (SELECT meter_id, usage_kwh AS v, row_number() OVER (PARTITION BY meter_id ORDER BY ts) - 1 AS t FROM (
-  SELECT * FROM {src} QUALIFY row_number() OVER (PARTITION BY meter_id ORDER BY ts DESC) <= 500)),
+    """Best of 64 smoothing settings over ``src`` (meter_id, ts, usage_kwh)."""
+    return f"""tl AS (SELECT meter_id, usage_kwh AS v, row_number() OVER (PARTITION BY meter_id ORDER BY ts) - 1 AS t FROM {src}),
 t0 AS (SELECT meter_id, avg(v) FILTER (WHERE t < 24) AS m1, avg(v) FILTER (WHERE t >= 24 AND t < 48) AS m2, list(v ORDER BY t) FILTER (WHERE t < 24) AS c1, count(*) AS n FROM tl GROUP BY meter_id),
 g AS (SELECT unnest([0.1, 0.3, 0.5, 0.7])::DOUBLE AS x),
 ts AS (SELECT meter_id, 23::BIGINT AS t, ga.x AS a, gb.x AS b, gg.x AS g, m1 AS level, (m2 - m1) / 24 AS trend, list_transform(c1, lambda v: v - m1) AS season, 0.0::DOUBLE AS sse
@@ -137,7 +153,8 @@ def rf_forecast(spark, sf_dir):
 
 @query("forecast")
 def forecast(spark, sf_dir):
-    return rounded(pipelines.forecast_summary(pipelines.forecast(readings(spark, sf_dir), KEYS)), 4, "rmse", "mae", "mape")
+    out = pipelines.forecast_report(readings(spark, sf_dir), KEYS)
+    return rounded(out, 4, "rmse", "mae", "mape", "backtest_rmse", "backtest_mae")
 
 
 @query("backtest")
@@ -177,13 +194,13 @@ def _scored(spark, sf_dir, extended=False):
 @query("isolation_forest")
 def isolation_forest(spark, sf_dir):
     out = I.flag(cut_lineage(_scored(spark, sf_dir)), 0.0247)
-    return out.select("reading_id", "score", "anomaly_score", "is_outlier")
+    return rounded(out, 6, "score").select("reading_id", "score", "anomaly_score", "is_outlier")
 
 
 @query("extended_isolation_forest")
 def extended_isolation_forest(spark, sf_dir):
     out = I.flag(cut_lineage(_scored(spark, sf_dir, True)), 0.0247, inclusive=True)
-    return out.select("reading_id", "score", "anomaly_score", "is_outlier")
+    return rounded(out, 6, "score").select("reading_id", "score", "anomaly_score", "is_outlier")
 
 
 @query("contamination_sweep")

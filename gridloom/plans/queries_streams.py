@@ -22,6 +22,22 @@ def events_stream(spark, sf_dir, meter="event_type"):
     return as_readings(S.read_stream(spark, f"{sf_dir.rstrip('/')}/event[s].parquet", schema, "parquet"), meter)
 
 
+def shuffled_stream(spark, sf_dir, files=4):
+    """Readings that arrive in several files, one a micro-batch, in no order of time."""
+    inbox = scratch(spark, "arrivals")
+    rows = readings(spark, sf_dir).select("meter_id", "reading_id", "ts", "usage_kwh")
+    rows.repartition(files, F.xxhash64("reading_id")).write.parquet(inbox)
+    return S.read_stream(spark, inbox, rows.schema, "parquet", 1)
+
+
+def newest(df, name, keys, mode="append"):
+    """Run a stream of versions to its end and read the newest of each key."""
+    spark = df.sparkSession
+    out = scratch(spark, name)
+    S.keep_versions(df, out, scratch(spark, f"{name}-progress"), mode).awaitTermination()
+    return S.latest(spark.read.parquet(out), keys)
+
+
 def drained(df, name):
     """Run a stream to its end into Parquet and read the result."""
     spark = df.sparkSession
@@ -39,56 +55,101 @@ def stream_ingest_json(spark, sf_dir):
     return drained(df, "ingest")
 
 
-@query("stream_dedup", f"""WITH {READINGS} SELECT DISTINCT meter_id, date_trunc('minute', ts) AS ts FROM readings""")
+DEDUP_SQL = f"""WITH {READINGS} SELECT DISTINCT meter_id, date_trunc('minute', ts) AS ts FROM readings"""
+
+
+@query("stream_dedup", DEDUP_SQL)
 def stream_dedup(spark, sf_dir):
     df = events_stream(spark, sf_dir).select("meter_id", F.date_trunc("minute", "ts").alias("ts"))
     return drained(S.dedup_stream(df, KEYS, delay="40 days"), "dedup")
 
 
-@query("stream_tumbling_load", f"""WITH {READINGS}, h AS (SELECT meter_id, date_trunc('hour', ts) AS ts, round(avg(usage_kwh), 6) AS usage_kwh, count(*) AS n FROM readings GROUP BY ALL)
-SELECT * FROM h WHERE ts + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM readings)""")
+@query("stream_dedup_late", DEDUP_SQL)
+def stream_dedup_late(spark, sf_dir):
+    """Rows arrive in no order; each key is stored once, none is dropped for coming late."""
+    df = shuffled_stream(spark, sf_dir).select("meter_id", F.date_trunc("minute", "ts").alias("ts"), "reading_id")
+    out = scratch(spark, "dedup-late")
+    S.keep_new_rows(df, out, scratch(spark, "dedup-late-progress"), ["meter_id", "ts"], "reading_id", "ts").awaitTermination()
+    return spark.read.parquet(out).select("meter_id", "ts")
+
+
+HOURS_SQL = f"""WITH {READINGS} SELECT meter_id, date_trunc('hour', ts) AS ts, round(avg(usage_kwh), 6) AS usage_kwh, count(*) AS n FROM readings GROUP BY ALL"""
+
+
+@query("stream_tumbling_load", HOURS_SQL)
 def stream_tumbling_load(spark, sf_dir):
-    """Windows that the watermark has closed."""
-    return rounded(drained(S.tumbling_load(events_stream(spark, sf_dir), KEYS), "tumbling"), 6, "usage_kwh")
+    """All windows, the last ones with what has arrived."""
+    return rounded(newest(S.tumbling_load(events_stream(spark, sf_dir), KEYS), "tumbling", ["meter_id", "ts"], "update"), 6, "usage_kwh")
 
 
-@query("stream_ewma_emissions", f"""WITH RECURSIVE {READINGS}, numbered AS (SELECT *, row_number() OVER (PARTITION BY meter_id ORDER BY ts, reading_id) AS pos FROM readings),
+@query("stream_tumbling_late", HOURS_SQL)
+def stream_tumbling_late(spark, sf_dir):
+    load = S.tumbling_load(shuffled_stream(spark, sf_dir), KEYS, delay="40 days")
+    return rounded(newest(load, "tumbling-late", ["meter_id", "ts"], "update"), 6, "usage_kwh")
+
+
+EWMA_SQL = f"""WITH RECURSIVE {READINGS}, numbered AS (SELECT *, row_number() OVER (PARTITION BY meter_id ORDER BY ts, reading_id) AS pos FROM readings),
 s AS (SELECT meter_id, pos, reading_id, usage_kwh AS v FROM numbered WHERE pos = 1
   UNION ALL SELECT n.meter_id, n.pos, n.reading_id, 0.8::DOUBLE * s.v + 0.2::DOUBLE * n.usage_kwh FROM s JOIN numbered n ON n.meter_id = s.meter_id AND n.pos = s.pos + 1)
-SELECT reading_id, round(v, 6) AS smooth_kwh, round(v * 0.062176 * 1.93, 6) AS scope1_co2_kg FROM s""")
-def stream_ewma_emissions(spark, sf_dir):
-    df = events_stream(spark, sf_dir).select("meter_id", "reading_id", "ts", "usage_kwh")
-    out = drained(S.stream_ewma_emissions(df, KEYS), "ewma")
+SELECT reading_id, round(v, 6) AS smooth_kwh, round(v * 0.062176 * 1.93, 6) AS scope1_co2_kg FROM s"""
+
+
+def _smoothed(df, delay):
+    out = newest(S.stream_ewma_emissions(df, KEYS, delay=delay), "ewma", ["reading_id"])
     return rounded(out, 6, "smooth_kwh", "scope1_co2_kg").select("reading_id", "smooth_kwh", "scope1_co2_kg")
 
 
+@query("stream_ewma_emissions", EWMA_SQL)
+def stream_ewma_emissions(spark, sf_dir):
+    return _smoothed(events_stream(spark, sf_dir).select("meter_id", "reading_id", "ts", "usage_kwh"), "1 hour")
+
+
+@query("stream_ewma_shuffled", EWMA_SQL)
+def stream_ewma_shuffled(spark, sf_dir):
+    return _smoothed(shuffled_stream(spark, sf_dir), "40 days")
+
+
+@query("stream_ingest_pipeline", EWMA_SQL)
+def stream_ingest_pipeline(spark, sf_dir):
+    """Two loads, the second with rows of the first among its own: checked, smoothed from the
+    stored values on, priced, and each reading stored once."""
+    rows = readings(spark, sf_dir).select("meter_id", "reading_id", "ts", "usage_kwh")
+    inbox, out, progress = (scratch(spark, n) for n in ("loads", "ingested", "loads-progress"))
+    for part in (rows.where("ts < timestamp '2024-01-16'"), rows.where("ts >= timestamp '2024-01-15 12:00:00'")):
+        broken = part.limit(3).withColumns({"usage_kwh": F.lit(-5.0), "reading_id": -F.col("reading_id") - 1})
+        part.unionByName(broken).coalesce(1).write.mode("append").parquet(inbox)
+        load = S.read_stream(spark, inbox, rows.schema, "parquet", 1)
+        S.ingest(load, out, progress, F.col("usage_kwh") >= 0).awaitTermination()
+    return rounded(spark.read.parquet(out), 6, "smooth_kwh", "scope1_co2_kg").select("reading_id", "smooth_kwh", "scope1_co2_kg")
+
+
 @query("stream_moments", f"""WITH {USER_READINGS} SELECT meter_id, count(*) AS n, round(avg(usage_kwh), 6) AS mean, round(coalesce(stddev_samp(usage_kwh), 0), 6) AS std FROM readings GROUP BY meter_id""")
 def stream_moments(spark, sf_dir):
-    """Running moments in update mode; each batch appends the keys it changed and the
-    reader keeps the newest batch per key."""
-    out = scratch(spark, "moments")
-    agg = S.stream_moments(events_stream(spark, sf_dir, "user_id"), KEYS)
+    """Running moments in update mode; the newest batch of each key is read."""
+    rows = newest(S.stream_moments(events_stream(spark, sf_dir, "user_id"), KEYS), "moments", ["meter_id"], "update")
+    return rounded(rows.select("meter_id", "n", "mean", "std"), 6, "mean", "std")
 
-    def keep(batch, batch_id):
-        batch.withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(out)
 
-    agg.writeStream.outputMode("update").foreachBatch(keep).option(
-        "checkpointLocation", scratch(spark, "moments-progress")
-    ).trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.parquet(out)
-    last = rows.groupBy("meter_id").agg(F.max(F.struct("batch", "n", "mean", "std")).alias("_r"))
-    return rounded(last.select("meter_id", "_r.n", "_r.mean", "_r.std"), 6, "mean", "std")
+CUSUM_STREAM_SQL = CUSUM_SQL + """SELECT reading_id, round(p, 4) AS cusum_pos, round(q, 4) AS cusum_neg,
+  CASE WHEN p > h THEN 'Upper' WHEN q > h THEN 'Lower' END AS drift FROM s"""
 
 
-@query("stream_cusum", CUSUM_SQL + """SELECT reading_id, round(p, 4) AS cusum_pos, round(q, 4) AS cusum_neg,
-  CASE WHEN p > h THEN 'Upper' WHEN q > h THEN 'Lower' END AS drift FROM s""")
-def stream_cusum(spark, sf_dir):
+def _drift(spark, sf_dir, df, delay):
     base = readings(spark, sf_dir).groupBy("meter_id").agg(F.avg("usage_kwh").alias("mean"), F.stddev_pop("usage_kwh").alias("std"))
-    df = events_stream(spark, sf_dir).select("meter_id", "reading_id", "ts", "usage_kwh")
-    out = drained(S.stream_cusum(df, base, KEYS, threshold=4.0), "cusum")
+    out = newest(S.stream_cusum(df, base, KEYS, threshold=4.0, delay=delay), "cusum", ["reading_id"])
     return rounded(out, 4, "cusum_pos", "cusum_neg").select("reading_id", "cusum_pos", "cusum_neg", "drift")
 
 
+@query("stream_cusum", CUSUM_STREAM_SQL)
+def stream_cusum(spark, sf_dir):
+    return _drift(spark, sf_dir, events_stream(spark, sf_dir).select("meter_id", "reading_id", "ts", "usage_kwh"), "1 hour")
+
+
+@query("stream_cusum_shuffled", CUSUM_STREAM_SQL)
+def stream_cusum_shuffled(spark, sf_dir):
+    return _drift(spark, sf_dir, shuffled_stream(spark, sf_dir), "40 days")
+
+
 @query("stream_alerts", """SELECT event_id AS reading_id, 'Thermal Overload' AS alert_type, 'CRITICAL' AS severity FROM events WHERE 40 + value > 85
 UNION ALL SELECT event_id, 'Power Factor Drop', 'HIGH' FROM events WHERE CAST(json_extract_string(props, '$.k') AS DOUBLE) / 100 < 0.9
 UNION ALL SELECT event_id, 'Phase Imbalance', 'MEDIUM' FROM (SELECT event_id, 100 + value / 60 AS m, value FROM events)

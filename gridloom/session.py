@@ -46,8 +46,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise in the shared checkpoint folder; survives the loss of executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return stored(df, "step")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -55,12 +54,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+ROWS_PER_FILE = 250_000
+
+
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write to a fresh folder below the shared checkpoint folder and read it again.
 
     Cuts lineage like a checkpoint, and keeps what a checkpoint loses: measured size for
-    the choice of joins, and column pruning.
+    the choice of joins, and column pruning.  With ``rows``, a bound of the rows that the last
+    stage handles, that stage has one task and file for each 250 000 of them at most.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

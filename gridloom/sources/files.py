@@ -47,12 +47,13 @@ def scan_readings(spark: SparkSession, path: str, order: Sequence[str] = ("ts",)
     return spark.read.parquet(path).orderBy(*order)
 
 
-def scan_side_input_json(spark: SparkSession, path: str) -> DataFrame:
+def scan_side_input_json(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
     """(ts, temp, cloud) from JSON objects that map a time to {temp, cloud} or to a number.
 
-    Each input line (or whole file) is parsed as a variant and exploded to rows.
+    Each line is parsed as a variant and exploded to rows, so large files are split.  An
+    object that spans lines needs ``whole_files``; each such file is one row.
     """
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.option("wholetext", whole_files).text(path)
     return side_input_rows(text, "value")
 
 
@@ -84,11 +85,24 @@ def new_rows(df: DataFrame, existing: DataFrame | None, key: Sequence[str], seq:
     return batch.join(existing.select(*key), list(key), "left_anti")
 
 
-def append_new(df: DataFrame, target: str, key: Sequence[str], seq: str) -> None:
-    """Insert-or-ignore into a Parquet table."""
+def append_new(df: DataFrame, target: str, key: Sequence[str], seq: str, day: str | None = None) -> None:
+    """Insert-or-ignore into a Parquet table.
+
+    With ``day``, a time column that is part of the key, the table is partitioned by its
+    date, and only the folders of the days that the batch touches are read.
+    """
     spark = df.sparkSession
     existing = spark.read.parquet(target) if table_exists(spark, target) else None
-    new_rows(df, existing, key, seq).write.mode("append").parquet(target)
+    if day is None:
+        new_rows(df, existing, key, seq).write.mode("append").parquet(target)
+        return
+    if day not in key:
+        raise ValueError("the day column must be part of the key")
+    dated = df.withColumn("day", F.to_date(day))
+    if existing is not None:
+        days = [r[0] for r in dated.select("day").distinct().collect()]  # a batch's days: bounded by the calendar
+        existing = existing.where(F.col("day").isin(days))
+    new_rows(dated, existing, key, seq).write.mode("append").partitionBy("day").parquet(target)
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
@@ -125,12 +139,14 @@ def stored_decimals(df: DataFrame, types: Mapping[str, str] = STORED_DECIMALS) -
 
 
 def write_day_partitioned(df: DataFrame, path: str, ts="ts", max_records_per_file=5_000_000) -> None:
-    """One folder per day; rows are spread by day and a hash so that a heavy day is written
-    by several tasks, and sorted by time within files for min/max pruning."""
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(16))
+    """One folder per day; a day is dealt by a hash into as many tasks as its row count asks
+    for, one for each file, and sorted by time within files for min/max pruning."""
+    dated = stored_decimals(df).withColumn("day", F.to_date(ts))
+    tasks = dated.groupBy("day").agg(F.ceil(F.count(F.lit(1)) / max_records_per_file).alias("_n"))
+    spread = F.pmod(F.xxhash64(*df.columns), F.col("_n"))
     (
-        stored_decimals(df).withColumn("day", F.to_date(ts)).withColumn("_s", spread)
-        .repartition("day", "_s").sortWithinPartitions("day", ts).drop("_s")
+        dated.join(tasks, dated["day"].eqNullSafe(tasks["day"])).drop(tasks["day"]).withColumn("_s", spread)
+        .repartition("day", "_s").sortWithinPartitions("day", ts).drop("_s", "_n")
         .write.mode("overwrite").option("maxRecordsPerFile", max_records_per_file).partitionBy("day").parquet(path)
     )
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,28 +12,33 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from gridloom.operators.emissions import CO2_PER_GAS, GAS_PER_KWH, threshold_alerts
+from gridloom.operators.recurrences import ewma
+from gridloom.session import cut_lineage
+from gridloom.sources.files import append_new, table_exists
 
 
 def read_stream(
-    spark: SparkSession, path: str, schema: str | StructType, fmt="json", files_per_batch=None, bytes_per_batch=1 << 30
+    spark: SparkSession, path: str, schema: str | StructType, fmt="json", files_per_batch: int | None = None
 ) -> DataFrame:
     """Records from a folder that files arrive in.
 
-    The size limit bounds a micro-batch, and with it what a keyed function holds for one
-    key at a time.
+    ``files_per_batch`` bounds a micro-batch; results do not depend on it.
     """
     reader = spark.readStream.schema(schema).format(fmt)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    else:
-        reader = reader.option("maxBytesPerTrigger", bytes_per_batch)
     return reader.load(path)
 
 
+def kafka_records(raw: DataFrame, schema: str) -> DataFrame:
+    """JSON records in the ``value`` bytes of Kafka rows; a value that is no JSON gives nulls."""
+    return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("r")).select("r.*")
+
+
 def read_kafka(spark: SparkSession, servers: str, topic: str, schema: str) -> DataFrame:
     """Records from a Kafka topic (needs the Kafka connector on the class path)."""
     raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).load()
-    return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("r")).select("r.*")
+    return kafka_records(raw, schema)
 
 
 def micro_batch_sink(df: DataFrame, path: str, checkpoint: str, mode="append", interval: str | None = None, fmt="parquet"):
@@ -42,12 +48,49 @@ def micro_batch_sink(df: DataFrame, path: str, checkpoint: str, mode="append", i
     return writer.start(path)
 
 
+def keep_new_rows(df: DataFrame, path: str, checkpoint: str, key: Sequence[str], seq: str, day: str | None = None):
+    """Insert-or-ignore each micro-batch: the first row of a key stays, however late it comes.
+
+    A batch that is run again after a failure finds its rows stored and adds none.
+    """
+    def write(batch: DataFrame, _: int) -> None:
+        append_new(batch, path, key, seq, day)
+
+    return _each_batch(df, write, checkpoint)
+
+
+def _each_batch(df: DataFrame, write, checkpoint: str, mode="append"):
+    return (
+        df.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )
+
+
+def keep_versions(df: DataFrame, path: str, checkpoint: str, mode="update"):
+    """Append what each micro-batch changed, with the batch number; ``latest`` reads the newest."""
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
+
+    return _each_batch(df, write, checkpoint, mode)
+
+
+def latest(versions: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The newest version of each key; a max over structs combines before the shuffle."""
+    rest = [c for c in versions.columns if c not in {*keys, "batch"}]
+    return versions.groupBy(*keys).agg(F.max(F.struct("batch", *rest)).alias("_r")).select(*keys, *(F.col(f"_r.{c}") for c in rest))
+
+
 def dedup_stream(df: DataFrame, keys: Sequence[str], ts="ts", delay="1 hour") -> DataFrame:
+    """First rows by key and time as they arrive; rows later than the watermark are dropped.
+
+    ``keep_new_rows`` drops none: it looks late rows up in what is stored.
+    """
     return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark([*keys, ts])
 
 
 def tumbling_load(df: DataFrame, keys: Sequence[str], ts="ts", width="1 hour", delay="1 hour", cols=("usage_kwh",)):
-    """Mean per window; rows later than the watermark are dropped."""
+    """Mean per window.  In update mode every window that a batch touched is written, also the
+    last ones; a window takes rows until the watermark is ``delay`` past its end."""
     return (
         df.withWatermark(ts, delay).groupBy(*keys, F.window(ts, width))
         .agg(*[F.avg(c).alias(c) for c in cols], F.count(F.lit(1)).alias("n"))
@@ -64,63 +107,129 @@ def stream_moments(df: DataFrame, keys: Sequence[str], col="usage_kwh") -> DataF
     )
 
 
-def _fields(df: DataFrame, extra: str) -> StructType:
-    return StructType(df.schema.fields + StructType.fromDDL(extra).fields)
+def _ordered_fold(df: DataFrame, keys, ts, row_id, cols, state_cols, start, step, finish, output, delay):
+    """Fold each key's rows in (ts, row_id) order as they arrive, late rows included.
 
+    The state of a key is the fold's value at the watermark and the rows after it.  New rows
+    are put in their places, and the rows from the first new place on are written again
+    with their results; ``latest`` by row id reads the final ones.  Rows that the watermark
+    has passed join the folded value, so what is held per key is the rows of ``delay``.  A
+    row older than that is folded in front of what is held.
+    """
+    keys, cols = list(keys), list(cols)
+    fields = [df.schema[k] for k in keys] + [df.schema[row_id], df.schema[ts]] + [df.schema[cols[0]]]
+    held = StructType.fromDDL(
+        ", ".join(f"{c} double" for c in state_cols) + ", at array<bigint>, ids array<bigint>, "
+        + ", ".join(f"v{i} array<double>" for i in range(len(cols)))
+    )
 
-def stream_ewma_emissions(df: DataFrame, keys: Sequence[str], ts="ts", col="usage_kwh", alpha=0.2) -> DataFrame:
-    """Smoothed load and scope 1 per reading; state is one number per key.
+    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        width = len(state_cols)
+        old = state.get if state.exists else None
+        value = start(old[:width] if old else None)
+        parts = [(np.asarray(old[width], np.int64), np.asarray(old[width + 1], np.int64),
+                  *(np.asarray(v, float) for v in old[width + 2 :]))] if old else []
+        n_old = len(parts[0][0]) if parts else 0
+        for pdf in batches:
+            micros = pdf[ts].to_numpy("datetime64[us]").astype(np.int64)
+            parts.append((micros, pdf[row_id].to_numpy(np.int64), *(pdf[c].to_numpy(float) for c in cols)))
+        at, ids, *values = (np.concatenate(p) for p in zip(*parts))
+        order = np.lexsort((ids, at))
+        fresh = order >= n_old
+        first = int(np.argmax(fresh)) if fresh.any() else len(order)
+        at, ids, values = at[order], ids[order], [v[order] for v in values]
+        passed = int(np.searchsorted(at, state.getCurrentWatermarkMs() * 1000, "left"))
+        results, base = [], value
+        for i, row in enumerate(zip(*(v.tolist() for v in values))):
+            value, result = step(value, *row)
+            results.append(result)
+            if i + 1 == passed:
+                base = value
+        state.update((*finish(base), at[passed:].tolist(), ids[passed:].tolist(), *(v[passed:].tolist() for v in values)))
+        out = pd.DataFrame({row_id: ids[first:], ts: pd.to_datetime(at[first:], unit="us"), cols[0]: values[0][first:]})
+        for k, v in zip(keys, key):
+            out[k] = v
+        for name, column in zip(output, zip(*results[first:]) if results[first:] else [[]] * len(output)):
+            out[name] = list(column)
+        yield out[[f.name for f in fields] + list(output)]
+
+    schema = StructType(fields + StructType.fromDDL(", ".join(f"{n} {t}" for n, t in output.items())).fields)
+    rows = df.select(*dict.fromkeys([*keys, row_id, ts, *cols])).withWatermark(ts, delay)
+    return rows.groupBy(*keys).applyInPandasWithState(update, schema, held, "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_ewma_emissions(
+    df: DataFrame, keys: Sequence[str], ts="ts", col="usage_kwh", alpha=0.2, row_id="reading_id", delay="1 hour"
+) -> DataFrame:
+    """Smoothed load and scope 1 per reading, in (time, id) order whatever the order of arrival.
 
-    Rows are folded in time order within a micro-batch; a row older than the state is
-    folded when it arrives.
+    Written by ``keep_versions`` and read by ``latest``; see ``_ordered_fold`` for late rows.
     """
     decay = 1.0 - alpha
 
-    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches)).sort_values(ts, kind="stable")
-        s = state.get[0] if state.exists else None
-        out = []
-        for x in pdf[col]:
-            s = x if s is None else decay * s + alpha * x
-            out.append(s)
-        state.update((float(s),))
-        yield pdf.assign(smooth_kwh=out, scope1_co2_kg=[v * GAS_PER_KWH * CO2_PER_GAS for v in out])
-
-    return df.groupBy(*keys).applyInPandasWithState(
-        update, _fields(df, "smooth_kwh double, scope1_co2_kg double"), StructType.fromDDL("s double"),
-        "append", GroupStateTimeout.NoTimeout,
+    def step(s, x):
+        s = x if s is None else decay * s + alpha * x
+        return s, (s, s * GAS_PER_KWH * CO2_PER_GAS)
+
+    return _ordered_fold(
+        df, keys, ts, row_id, [col], ["s"], lambda old: old[0] if old else None, step, lambda s: (s,),
+        {"smooth_kwh": "double", "scope1_co2_kg": "double"}, delay,
     )
 
 
 def stream_cusum(
-    df: DataFrame, baseline: DataFrame, keys: Sequence[str], ts="ts", col="usage_kwh", allowance=0.5, threshold=5.0
+    df: DataFrame, baseline: DataFrame, keys: Sequence[str], ts="ts", col="usage_kwh", allowance=0.5, threshold=5.0,
+    row_id="reading_id", delay="1 hour",
 ) -> DataFrame:
-    """Drift alarms as readings arrive; ``baseline`` is a static table (keys, mean, std)."""
+    """Drift alarms per reading, in (time, id) order; ``baseline`` is a static table (keys, mean, std).
+
+    Written by ``keep_versions`` and read by ``latest``.
+    """
     rows = df.join(baseline.select(*keys, F.col("mean").alias("_mu"), F.col("std").alias("_sd")), list(keys))
 
-    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(batches)).sort_values(ts, kind="stable")
-        up, down = state.get if state.exists else (0.0, 0.0)
-        ups, downs, kinds = [], [], []
-        for x, mu, sd in zip(pdf[col], pdf["_mu"], pdf["_sd"]):
-            sd = sd if sd > 0 else 1.0
-            up = max(0.0, up + (x - mu) - allowance * sd)
-            down = max(0.0, down - (x - mu) - allowance * sd)
-            ups.append(up)
-            downs.append(down)
-            alarm = up > threshold * sd or down > threshold * sd
-            kinds.append(("Upper" if up > threshold * sd else "Lower") if alarm else None)
-            if alarm:
-                up = down = 0.0
-        state.update((float(up), float(down)))
-        yield pdf.drop(columns=["_mu", "_sd"]).assign(cusum_pos=ups, cusum_neg=downs, drift=kinds)
-
-    return rows.groupBy(*keys).applyInPandasWithState(
-        update, _fields(df, "cusum_pos double, cusum_neg double, drift string"),
-        StructType.fromDDL("up double, down double"), "append", GroupStateTimeout.NoTimeout,
+    def step(sums, x, mu, sd):
+        sd = sd if sd > 0 else 1.0
+        up = max(0.0, sums[0] + (x - mu) - allowance * sd)
+        down = max(0.0, sums[1] - (x - mu) - allowance * sd)
+        kind = "Upper" if up > threshold * sd else "Lower" if down > threshold * sd else None
+        return (0.0, 0.0) if kind else (up, down), (up, down, kind)
+
+    return _ordered_fold(
+        rows, keys, ts, row_id, [col, "_mu", "_sd"], ["up", "down"], lambda old: tuple(old) if old else (0.0, 0.0), step,
+        lambda sums: sums, {"cusum_pos": "double", "cusum_neg": "double", "drift": "string"}, delay,
     )
 
 
+def ingest(
+    df: DataFrame, path: str, checkpoint: str, bounds, keys: Sequence[str] = ("meter_id",), ts="ts", col="usage_kwh",
+    row_id="reading_id", alpha=0.2,
+):
+    """Checked, smoothed and priced readings, stored once each.
+
+    A micro-batch drops rows outside ``bounds`` (a condition), smooths each meter's rows from
+    the value of its newest stored row on, computes scope 1, and inserts what is not stored.
+    A meter's batches must follow each other in time, as from a meter's own clock; the newest
+    row is looked up in the days that the table has for the batch's meters.
+    """
+    keys = list(keys)
+
+    def write(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        good = batch.where(bounds)
+        if table_exists(spark, path):
+            stored_rows = spark.read.parquet(path)
+            good = good.join(stored_rows.select(*keys, ts, row_id), [*keys, ts, row_id], "left_anti")
+            newest = stored_rows.groupBy(*keys).agg(F.max_by("smooth_kwh", F.struct(ts, row_id)).alias("_seed"))
+            good = good.join(newest, keys, "left")
+        else:
+            good = good.withColumn("_seed", F.lit(None).cast("double"))
+        smooth = ewma(cut_lineage(good), keys, [ts, row_id], col, alpha, "smooth_kwh", seed="_seed").drop("_seed")
+        priced = smooth.withColumn("scope1_co2_kg", F.col("smooth_kwh") * GAS_PER_KWH * CO2_PER_GAS)
+        append_new(priced, path, [*keys, ts, row_id], col, ts)
+
+    return _each_batch(df, write, checkpoint)
+
+
 def stream_alerts(df: DataFrame, limits: DataFrame, keep: Sequence[str]) -> DataFrame:
     """Threshold alerts on a stream: a literal limits table joins each micro-batch."""
     return threshold_alerts(df, limits, keep)
@@ -144,7 +253,8 @@ def acknowledge(alerts: DataFrame, alert_ids: Sequence[str], operator: str, at)
 
 
 def keep_alert_state(transitions: DataFrame, path: str, checkpoint: str):
-    """Append transitions as they arrive; the latest state is read through ``alert_state``."""
+    """Append transitions as they arrive, acknowledgements with operator and time among them;
+    the latest state is read through ``alert_state``."""
     return micro_batch_sink(transitions, path, checkpoint)
 
 

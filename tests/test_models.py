@@ -47,7 +47,6 @@ def start_state(y, m):
 
 
 def tune_loop(y, m=24):
-    y = y[-500:]
     grid = [0.1, 0.3, 0.5, 0.7]
     errors = {
         (a, b, g): smoothing_loop(y, a, b, g, m, m, *start_state(y, m))[1] for a in grid for b in grid for g in grid
@@ -239,3 +238,31 @@ def test_forecast_long_table(spark):
     counts = {r.model: r["count"] for r in out.groupBy("model").count().collect()}
     assert counts == {"persistence": 24, "holt_winters": 24, "random_forest": 24}
     assert pipelines.forecast_summary(out).filter("is_best").count() == 1
+
+
+@pytest.mark.parametrize("n", [100, 1_000, 50_000])
+def test_trees_draw_from_the_whole_table(spark, n):
+    df = spark.range(n).withColumnRenamed("id", "reading_id")
+    drawn = forest.sample_per_tree(df, ["reading_id"], trees=100, sample=256, seed=1).toPandas()
+    sizes = drawn.groupby("tree")["reading_id"].agg(["size", "nunique"])
+    assert len(sizes) == 100 and (sizes == min(n, 256)).all().all()
+    seen = drawn["reading_id"].nunique() / n
+    assert seen > (0.99 if n <= 1_000 else 0.38)  # 25 600 draws meet 40 % of 50 000 rows
+    halves = (drawn["reading_id"] < n // 2).mean()
+    assert abs(halves - 0.5) < 0.02
+    assert not drawn.groupby("tree")["reading_id"].apply(frozenset).duplicated().any() or n <= 256
+
+
+def test_each_meter_is_forecast_on_its_own_level(spark):
+    low, high = hourly_frame(400, 5, "low"), hourly_frame(400, 6, "high")
+    high["usage_kwh"] = high["usage_kwh"] * 50 + 10_000
+    out = pipelines.forecast(spark.createDataFrame(pd.concat([low, high])), horizon=24).filter("model = 'random_forest'").toPandas()
+    for meter, frame in (("low", low), ("high", high)):
+        mine = out[out.meter_id == meter]
+        assert np.abs(mine["predicted"] - mine["actual"]).mean() < 0.6 * frame["usage_kwh"].std()
+
+
+def test_report_adds_unit_root_and_backtest(spark):
+    got = pipelines.forecast_report(spark.createDataFrame(hourly_frame(400)), horizon=24, folds=2).toPandas()
+    assert set(got["model"]) == {"persistence", "holt_winters", "random_forest"}
+    assert got["adf_p"].notna().all() and got["backtest_rmse"].notna().all() and got["is_best"].sum() == 1
