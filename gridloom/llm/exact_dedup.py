@@ -111,7 +111,7 @@ def winners(history: DataFrame, incoming: DataFrame) -> DataFrame:
     winner's locator.  Distinct incoming digests are looked up in the table of their bits and
     compared byte by byte: members take the stored winner, nonmembers group among themselves.
     """
-    old = stored(_distinct(history), "history")
+    old = stored(_distinct(history), "history", history.count())
     bits = max(0, math.ceil(math.log2(max(1, old.count()) / DIGESTS_PER_TABLE)))
     bucket = F.shiftright(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long"), 32 - bits).alias("bucket")
     tables = old.select(bucket, "digest", "locator").groupBy("bucket").applyInPandas(
@@ -147,7 +147,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     last = (1 << 63) - 1  # locator of rows without id
     located = rows.select("digest", F.coalesce("id", F.lit(last)).alias("locator"))
     groups = winners(located.where(F.col("locator") < split), located.where(F.col("locator") >= split))
-    joined = rows.join(groups.where("copies > 1"), "digest", "left")
+    # read again as a table, so that the join can split the rows of a large group
+    joined = rows.join(stored(groups.where("copies > 1"), "groups", rows.count()).hint("merge"), "digest", "left")
     keep = F.coalesce(F.col("keep"), F.col("id"), F.lit(last))
     return joined.select(
         F.col("id").alias(id_col),
