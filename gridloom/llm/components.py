@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.session import stored
+from gridloom.session import ROWS_PER_FILE, stored
 
 
 def _forest(batches):
@@ -41,30 +42,39 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
 
-def components(edges: DataFrame, a: str, b: str) -> DataFrame:
+def components(edges: DataFrame, a: str, b: str, rows: int | None = None) -> DataFrame:
     """``node``, ``root``: the smallest node reachable, for every node that has an edge.
 
-    Local forests shrink each partition first; then large-star and small-star rounds (each
-    links a node's neighbours to its smallest one) run until nothing changes.  The number of
-    rounds is logarithmic in the longest path.  Each round is written to the shared folder;
-    the driver sees a count and a checksum only.  Nulls and loops are left out.
+    Local forests shrink each partition first.  Then rounds of large-star and small-star run
+    until nothing changes; an edge points from its larger node ``u`` to its smaller node ``v``.
+    Large-star moves an edge on to the smallest neighbour of ``v``; the centre of a star has
+    no smaller neighbour, so the spokes of a large star stay where they are and are joined
+    with few rows.  Small-star links all smaller neighbours of ``u`` to the smallest one.  The
+    number of rounds is logarithmic in the longest path.  Each round is written to the shared
+    folder; the driver sees a count and a checksum only.  Nulls and loops are left out.
+    ``rows`` bounds the number of edges, if known; the number of tasks follows it.
     """
     kind = edges.schema[a].dataType.simpleString()
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
+    # a forest edge points from any node of a tree to its root, the smallest one
+    if rows is not None:
+        pairs = pairs.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
     current = stored(pairs.mapInArrow(_forest, f"u {kind}, v {kind}"), "edges")
     before = _state(current)
+    smaller = W.partitionBy("u")
     while before[0]:
-        both = current.union(current.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        down = large.where("u > v").distinct()
-        lowest = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
-        current = stored(small.union(lowest.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        least = current.groupBy(F.col("u").alias("inner")).agg(F.min("v").alias("m"))
+        moved = current.join(least.hint("merge"), F.col("v") == F.col("inner"), "left").select("u", F.coalesce("m", "v").alias("v"))
+        starred = moved.withColumn("m", F.min("v").over(smaller))
+        current = stored(
+            starred.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")),
+            "edges", before[0],
+        )
         after = _state(current)
         if after == before:
             break
         before = after
-    return current.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
+    spokes = current.distinct()
+    return spokes.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.llm.arrays import slices, utf8
@@ -56,8 +57,9 @@ def _flips(fp: Column, blocks: tuple[int, ...]) -> Column:
     return F.array(fp, *(fp.bitwiseXOR(F.lit(m - (1 << 64) if m >> 63 else m)) for m in masks))
 
 
-def close_pairs(distinct: DataFrame) -> DataFrame:
-    """Edges (a, b) that join fingerprints at 2 or fewer differing bits; same components as all such pairs.
+def close_pairs(distinct: DataFrame) -> tuple[DataFrame, int]:
+    """Edges (a, b) that join fingerprints at 2 or fewer differing bits, with the same components
+    as all such pairs, and a bound of their number.
 
     Two differing bits leave at least two of four 16-bit blocks equal, so the pair shares one
     of the six 32-bit block pairs.  Buckets of up to 64 distinct fingerprints are joined with
@@ -71,7 +73,8 @@ def close_pairs(distinct: DataFrame) -> DataFrame:
     ))
     rows = distinct.select("fp", F.explode(keys).alias("k")).select("fp", "k.choice", "k.part")
     sizes = rows.groupBy("choice", "part").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = stored(rows.join(sizes, ["choice", "part"]), "blocks")
+    shared = stored(rows.join(sizes.hint("merge"), ["choice", "part"]), "blocks", len(choices) * distinct.count())
+    members = shared.agg(F.count(F.lit(1)), F.count_if(F.col("n") > SMALL_BUCKET)).first()
     small = shared.where(F.col("n") <= SMALL_BUCKET)
     pairs = (
         small.select("choice", "part", F.col("fp").alias("a"))
@@ -82,10 +85,10 @@ def close_pairs(distinct: DataFrame) -> DataFrame:
     flips = F.lit(None).cast("array<long>")
     for i, c in enumerate(choices):
         flips = F.when(F.col("choice") == i, _flips(F.col("fp"), c)).otherwise(flips)
-    meets = shared.where(F.col("n") > SMALL_BUCKET).select("choice", "part", "fp", F.explode(flips).alias("meet"))
-    stars = meets.groupBy("choice", "meet").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    spokes = meets.join(stars.drop("n"), ["choice", "meet"]).where("a < fp").select("a", F.col("fp").alias("b"))
-    return pairs.union(spokes).distinct()
+    meets = shared.where(F.col("n") > SMALL_BUCKET).select("choice", "fp", F.explode(flips).alias("meet"))
+    around = W.partitionBy("choice", "meet")  # a value and those one flip away: 33 rows at most
+    spokes = meets.withColumn("a", F.min("fp").over(around)).where("a < fp").select("a", F.col("fp").alias("b"))
+    return pairs.union(spokes), members[0] * SMALL_BUCKET // 2 + members[1] * 33
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -97,13 +100,18 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     its component no id (null if no member has one).
     """
     rows = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = stored(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    roots = components(close_pairs(distinct.select("fp")), "a", "b")
-    linked = distinct.join(roots.withColumnRenamed("node", "fp"), "fp")
-    least = linked.groupBy("root").agg(F.min("least").alias("linked_least"))
-    named = distinct.join(linked.join(least, "root").select("fp", "linked_least"), "fp", "left").select(
-        "fp", F.coalesce("linked_least", "least").alias("component_id")
+    distinct = stored(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct", rows.count())
+    pairs, most = close_pairs(distinct.select("fp"))
+    roots = components(pairs, "a", "b", most)
+    linked = stored(distinct.select("fp", "least").join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp"), "linked", distinct.count())
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    # fingerprints that stand for one row, and are linked to none, need no entry
+    named = stored(
+        linked.join(least.hint("merge"), "root").select("fp", "component_id")
+        .union(distinct.where("n > 1").select("fp", "least"))
+        .groupBy("fp").agg(F.min("component_id").alias("component_id"), F.lit(True).alias("named")), "named", distinct.count(),
     )
-    return rows.join(named, "fp").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    component = F.when(F.col("named"), F.col("component_id")).otherwise(F.col("id"))
+    return rows.join(named.hint("merge"), "fp", "left").select(
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component.alias("component_id")
     )
