@@ -98,12 +98,12 @@ def notices(
     unit = parts.withColumn("w", F.col("w") / length).select("template", "license", "term", "w")
     telling = telling_terms([tuple(r) for r in parts.select("template", "term", "w").collect()], least)
     outside = weights.where("term IS NULL").first()["idf"]
-    sought = "|".join(t.replace(".", "\\.") for t in telling)
-    lower = F.translate(F.col(text_col), UPPER, LOWER)
+    # whole terms only: a letter or digit next to the match would make it part of another term
+    sought = f"(?i)(?<![a-z0-9])(?:{'|'.join(t.replace('.', '[.]') for t in telling)})(?![a-z0-9])"
     lines = (
-        docs.where(lower.rlike(f"(?:{sought})"))
+        docs.where(F.col(text_col).rlike(sought))
         .select(F.col(id_col).alias("id"), F.explode(F.split(F.col(text_col), "\n")).alias("line"))
-        .where(F.translate("line", UPPER, LOWER).rlike(f"(?:{sought})"))
+        .where(F.col("line").rlike(sought))
         .distinct()
     )
     words = (
