@@ -90,22 +90,27 @@ def _range_value(ranges, hour):
     raise ValueError(hour)
 
 
+def _fixed(spark, rows, schema: str) -> DataFrame:
+    """A literal table; joins may broadcast it, since its size is that of this module's text."""
+    return F.broadcast(spark.createDataFrame(rows, schema))
+
+
 def hour_curve(spark: SparkSession) -> DataFrame:
     rows = [
         (h, _range_value(TARIFF_RANGES, h), _range_value(CARBON_RANGES, h), SOLAR_FACTOR[h])
         for h in range(24)
     ]
-    return spark.createDataFrame(rows, "hour int, tariff double, carbon_g double, solar_factor double")
+    return _fixed(spark, rows, "hour int, tariff double, carbon_g double, solar_factor double")
 
 
 def tenant_profiles(spark):
-    return spark.createDataFrame(
+    return _fixed(spark, 
         TENANT_PROFILES, "tenant string, mult double, pf_base double, peak_hour int, kwh_offset double"
     )
 
 
 def utility_tariffs(spark):
-    return spark.createDataFrame(
+    return _fixed(spark, 
         UTILITY_TARIFFS,
         "utility string, base_rate double, peak_surcharge double, offpeak_rebate double, "
         "demand_rate double, pf_penalty_pct double, max_incentive_pct double",
@@ -113,7 +118,7 @@ def utility_tariffs(spark):
 
 
 def tariff_bands(spark):
-    return spark.createDataFrame(TARIFF_BANDS, "utility string, band string, start_hour int, end_hour int")
+    return _fixed(spark, TARIFF_BANDS, "utility string, band string, start_hour int, end_hour int")
 
 
 def band_hours(bands: DataFrame) -> DataFrame:
@@ -125,32 +130,32 @@ def band_hours(bands: DataFrame) -> DataFrame:
 
 
 def sector_norms(spark):
-    return spark.createDataFrame(SECTOR_NORMS, "sector string, baseline_sec double, target_sec double, sec_unit string")
+    return _fixed(spark, SECTOR_NORMS, "sector string, baseline_sec double, target_sec double, sec_unit string")
 
 
 def grid_factors(spark):
-    return spark.createDataFrame(GRID_FACTORS, "region string, grid_factor double")
+    return _fixed(spark, GRID_FACTORS, "region string, grid_factor double")
 
 
 def state_grid_factors(spark):
-    return spark.createDataFrame(STATE_GRID_FACTORS, "state string, grid_factor double")
+    return _fixed(spark, STATE_GRID_FACTORS, "state string, grid_factor double")
 
 
 def battery_chemistries(spark):
-    return spark.createDataFrame(
+    return _fixed(spark, 
         BATTERY_CHEMISTRIES,
         "chemistry string, b_cal double, b_cyc double, dod_exp double, cycle_exp double, activation double",
     )
 
 
 def alert_limits(spark):
-    return spark.createDataFrame(
+    return _fixed(spark, 
         ALERT_LIMITS, "alert_type string, measure string, limit_value double, direction string, severity string"
     )
 
 
 def tax_depreciation(spark):
-    return spark.createDataFrame(TAX_DEPRECIATION, "year int, write_off double")
+    return _fixed(spark, TAX_DEPRECIATION, "year int, write_off double")
 
 
 def sql_values(rows) -> str:

@@ -229,12 +229,9 @@ def filter_events(df: DataFrame, severities=None, types=None, statuses=None, con
 
 
 def apply_profile(df: DataFrame, profiles: DataFrame, tenant="tenant", ts="ts", default="steel") -> DataFrame:
-    """Scale readings to their tenant's profile; unknown tenants take the default one.
-
-    ``profiles`` is a literal table of a handful of rows.
-    """
-    names = F.broadcast(profiles.select(F.col("tenant").alias("_known")))
-    cfg = F.broadcast(profiles.withColumnRenamed("tenant", "_profile"))
+    """Scale readings to their tenant's profile; unknown tenants take the default one."""
+    names = profiles.select(F.col("tenant").alias("_known"))
+    cfg = profiles.withColumnRenamed("tenant", "_profile")
     out = (
         df.join(names, F.col(tenant) == F.col("_known"), "left")
         .withColumn("_pick", F.coalesce("_known", F.lit(default)))

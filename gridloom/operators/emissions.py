@@ -143,7 +143,7 @@ def threshold_alerts(df: DataFrame, limits: DataFrame, keep: Sequence[str]) -> D
     broken = F.when(F.col("direction") == "above", F.col("value") > F.col("limit_value")).otherwise(
         F.col("value") < F.col("limit_value")
     )
-    return long.join(F.broadcast(limits), "measure").filter(broken).drop("direction")
+    return long.join(limits, "measure").filter(broken).drop("direction")
 
 
 # --- Fixed values: number patterns and intent words in messages -----------------------

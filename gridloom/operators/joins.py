@@ -1,7 +1,7 @@
 """Dimension joins, weather, membership flags and parameter fan-out.
 
-Literal dimensions (``gridloom.dims``) are broadcast: their size is fixed.  For any other
-side no hint is given, so Spark broadcasts it only when its measured size allows.
+Literal dimensions carry their broadcast hint from ``gridloom.dims``: their size is fixed.
+No hint is given here, so Spark broadcasts any other side only when its measured size allows.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from gridloom.dims import band_hours
 
 def join_hour_curve(df: DataFrame, curve: DataFrame, ts="ts") -> DataFrame:
     """Adds tariff, carbon_g and solar_factor of the row's clock hour."""
-    c = F.broadcast(curve.withColumnRenamed("hour", "_h"))
+    c = curve.withColumnRenamed("hour", "_h")
     return df.join(c, F.hour(ts) == F.col("_h")).drop("_h")
 
 
@@ -25,10 +25,8 @@ def join_tod_bands(df: DataFrame, bands: DataFrame, tariffs: DataFrame, utility=
 
     Bands are unrolled to clock hours first, so the range join becomes an equi-join.
     """
-    hours = F.broadcast(band_hours(bands).select(F.col("utility").alias("_u"), F.col("hour").alias("_h"), "band"))
-    rates = F.broadcast(
-        tariffs.select(F.col("utility").alias("_u2"), "base_rate", "peak_surcharge", "offpeak_rebate")
-    )
+    hours = band_hours(bands).select(F.col("utility").alias("_u"), F.col("hour").alias("_h"), "band")
+    rates = tariffs.select(F.col("utility").alias("_u2"), "base_rate", "peak_surcharge", "offpeak_rebate")
     out = df.join(hours, (F.col(utility) == F.col("_u")) & (F.hour(ts) == F.col("_h")), "left")
     out = out.join(rates, F.col(utility) == F.col("_u2"))
     rate = (
@@ -44,8 +42,8 @@ def join_tod_bands(df: DataFrame, bands: DataFrame, tariffs: DataFrame, utility=
 
 
 def join_dim(df: DataFrame, dim: DataFrame, key: str, default: Mapping[str, object]) -> DataFrame:
-    """Look up a literal dimension; keys it lacks take the default row."""
-    out = df.join(F.broadcast(dim.withColumnRenamed(key, "_k")), F.col(key) == F.col("_k"), "left").drop("_k")
+    """Look up a dimension; keys it lacks take the default row."""
+    out = df.join(dim.withColumnRenamed(key, "_k"), F.col(key) == F.col("_k"), "left").drop("_k")
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in default.items()})
 
 

@@ -33,12 +33,11 @@ def hourly_cost(
     of ``curve`` serves where none is given.
     """
     hours = run_hours(tasks)
-    # one row per clock hour, so both sides may be broadcast
-    c = F.broadcast(curve.select("hour", "tariff", "carbon_g", "solar_factor"))
+    c = curve.select("hour", "tariff", "carbon_g", "solar_factor")
     out = hours.join(c, "hour")
     base = F.col("solar_factor") * 100.0 * 0.12
     if solar is not None:
-        out = out.join(F.broadcast(solar.select("hour", "solar_kwh")), "hour", "left")
+        out = out.join(solar.select("hour", "solar_kwh"), "hour", "left")
         base = F.coalesce("solar_kwh", F.lit(0.0))
     gen = base * (F.col("solar_kw") / 100.0) * (yield_coeff / 0.12)
     q = F.greatest(F.lit(0.0), reactive_power(F.col("load_kw"), F.lit(pf)) - bank_kvar)

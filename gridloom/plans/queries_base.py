@@ -9,7 +9,7 @@ from gridloom.operators import cleaning as C
 from gridloom.operators import joins as J
 from gridloom.operators import ranking as G
 from gridloom.operators.aggregates import table_profile
-from gridloom.plans.registry import BANDS, CURVE, FACTORS, PLANTS, PROFILES, READINGS, TARIFFS, USER_READINGS, query, rounded, scratch
+from gridloom.plans.registry import BANDS, CHECK_SQL, CURVE, FACTORS, PLANTS, PROFILES, READINGS, TARIFFS, USER_READINGS, query, rounded, scratch
 from gridloom.sources import files
 from gridloom.sources.tables import plants, readings, readings_by_user, table
 
@@ -80,6 +80,18 @@ SELECT date_trunc('second', ts) AS ts,
        CASE WHEN meter_id IN ('click', 'error') THEN 0.3 ELSE round(usage_kwh / 500.0, 4) END AS cloud FROM readings""")
 def side_input_json(spark, sf_dir):
     """Numbers for one meter, structs with missing fields for others."""
+    return files.side_input_rows(_side_documents(spark, sf_dir), "doc")
+
+
+@query("side_input_path", CHECK_SQL["side_input_json"])
+def side_input_path(spark, sf_dir):
+    """The same objects, written to files and read by path, line by line."""
+    path = scratch(spark, "side-input")
+    _side_documents(spark, sf_dir).write.text(path)
+    return files.scan_side_input_json(spark, path)
+
+
+def _side_documents(spark, sf_dir):
     r = readings(spark, sf_dir)
     key = F.concat(F.lit('{"'), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit('": '))
     temp, cloud = F.col("reactive_lagging_kvarh").cast("string"), F.round(F.col("usage_kwh") / 500.0, 4)
@@ -90,7 +102,7 @@ def side_input_json(spark, sf_dir):
         .when(F.col("meter_id") == "signup", F.concat(F.lit('{"cloud": '), cloud, F.lit("}")))
         .otherwise(F.concat(F.lit('{"temp": '), temp, F.lit(', "cloud": '), cloud, F.lit("}")))
     )
-    return files.side_input_rows(r.select(F.concat(key, value, F.lit("}")).alias("doc")), "doc")
+    return r.select(F.concat(key, value, F.lit("}")).alias("doc"))
 
 
 @query("append_new", f"""WITH {READINGS}
@@ -411,3 +423,17 @@ def site_factor_join(spark, sf_dir):
     return out.groupBy("region").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("annual_kwh") * F.col("grid_factor")) / 1000, 2).alias("scope2_t")
     )
+
+
+@query("state_factor_join", f"""WITH {PLANTS}, states(i, state, grid_factor) AS (VALUES (0, 'Maharashtra', 0.82), (1, 'Gujarat', 0.81),
+  (2, 'Karnataka', 0.64), (3, 'Tamil Nadu', 0.67), (4, 'Telangana', 0.76), (5, 'Odisha', 0.91), (6, 'West Bengal', 0.88), (7, 'Rajasthan', 0.78)),
+p AS (SELECT *, CASE WHEN plant_id % 9 = 8 THEN 'Elsewhere' ELSE state END AS place FROM plants LEFT JOIN states ON i = plant_id % 9)
+SELECT place AS state, count(*) AS n, round(sum(annual_kwh * coalesce(grid_factor, 0.73)::DOUBLE) / 1000, 2) AS scope2_t FROM p GROUP BY place""")
+def state_factor_join(spark, sf_dir):
+    """Grid factors by state, the default one elsewhere."""
+    names = ["Maharashtra", "Gujarat", "Karnataka", "Tamil Nadu", "Telangana", "Odisha", "West Bengal", "Rajasthan", "Elsewhere"]
+    state = F.element_at(F.array(*map(F.lit, names)), (F.col("plant_id") % 9 + 1).cast("int"))
+    out = J.site_factor_join(plants(spark, sf_dir).withColumn("state", state), dims.state_grid_factors(spark), "state")
+    return out.groupBy("state").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("annual_kwh") * F.col("grid_factor")) / 1000, 2).alias("scope2_t")
+    )

@@ -345,7 +345,7 @@ def drift_summary(spark, sf_dir):
 
 def _solar_steps(spark, sf_dir):
     """Quarter-hour load with clear-sky yield of 100 kW, for two storage scenarios."""
-    r = readings(spark, sf_dir).join(F.broadcast(dims.hour_curve(spark)), F.hour("ts") == F.col("hour"))
+    r = readings(spark, sf_dir).join(dims.hour_curve(spark), F.hour("ts") == F.col("hour"))
     r = r.select("meter_id", "ts", "usage_kwh", (F.col("solar_factor") * 12.0).alias("solar_kwh"))
     steps = R.fifteen_minutes(r, KEYS)
     both = F.array(F.struct(F.lit(150.0).alias("solar_kw"), F.lit(50.0).alias("battery_kwh")),

@@ -185,3 +185,27 @@ def score_stream(spark, sf_dir):
     return drained(S.score_stream(live, nodes, RAW_FEATURES, 0.6).select("reading_id", "score", "is_outlier"), "scores")
 
 
+@query("alert_acknowledgements", """WITH moves AS (
+  SELECT user_id AS alert_id, ts AS at, CASE WHEN event_type = 'error' THEN 'CLOSED' ELSE 'TRIGGERED' END AS status, NULL AS operator FROM events
+  UNION ALL SELECT user_id, max(ts) + INTERVAL 1 MINUTE, 'ACKNOWLEDGED', 'operator-' || (user_id % 3) FROM events WHERE user_id % 4 = 0 GROUP BY user_id)
+SELECT alert_id, "at", status, coalesce(operator, '-') AS operator FROM moves
+QUALIFY row_number() OVER (PARTITION BY alert_id ORDER BY "at" DESC, status DESC) = 1""")
+def alert_acknowledgements(spark, sf_dir):
+    """Transitions stream into a table; operators acknowledge some alerts; the newest state of each."""
+    out, progress = scratch(spark, "alert-moves"), scratch(spark, "alert-progress")
+    status = F.when(F.col("event_type") == "error", "CLOSED").otherwise("TRIGGERED")
+    schema = table(spark, sf_dir, "events").schema
+    live = S.read_stream(spark, f"{sf_dir.rstrip('/')}/event[s].parquet", schema, "parquet").select(
+        F.col("user_id").alias("alert_id"), F.col("ts").alias("at"), status.alias("status"), F.lit("-").alias("operator")
+    )
+    S.keep_alert_state(live, out, progress).awaitTermination()
+    moves = spark.read.schema(live.schema).parquet(out)
+    answered = S.alert_state(moves).where("alert_id % 4 = 0").select(
+        "alert_id", (F.col("at") + F.expr("INTERVAL 1 MINUTE")).alias("at"), F.lit("ACKNOWLEDGED").alias("status"),
+        F.concat(F.lit("operator-"), (F.col("alert_id") % 3).cast("string")).alias("operator"),
+    )
+    inbox = scratch(spark, "answers")
+    answered.write.parquet(inbox)
+    # a stream has a sink folder of its own: its log of finished batches lies there
+    answers = drained(S.read_stream(spark, inbox, live.schema, "parquet"), "answer-moves")
+    return S.alert_state(moves.unionByName(answers))

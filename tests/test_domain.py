@@ -221,3 +221,23 @@ def test_phase_imbalance(spark):
     out = emissions.threshold_alerts(df, dims.alert_limits(spark), ["reading_id"]).collect()
     assert [(r.reading_id, r.alert_type) for r in out] == [(1, "Phase Imbalance")]
     assert out[0].value == pytest.approx(100 * 20 / 110)
+
+
+def test_kafka_records_are_parsed(spark):
+    from gridloom.streaming.streams import kafka_records
+
+    rows = [(bytearray(b'{"meter_id": "a", "usage_kwh": 2.5}'), 1), (bytearray(b"no json"), 2), (None, 3)]
+    raw = spark.createDataFrame(rows, "value binary, offset long")
+    got = kafka_records(raw, "meter_id string, usage_kwh double").collect()
+    assert [tuple(r) for r in got] == [("a", 2.5), (None, None), (None, None)]
+
+
+def test_append_by_day_reads_only_the_days_of_the_batch(spark, tmp_path):
+    from gridloom.sources.files import append_new
+
+    target = str(tmp_path / "table")
+    first = spark.createDataFrame([("a", "2024-01-01 10:00:00", 1), ("a", "2024-01-02 10:00:00", 2)], "k string, ts string, v int")
+    again = spark.createDataFrame([("a", "2024-01-02 10:00:00", 9), ("b", "2024-01-02 10:00:00", 3)], "k string, ts string, v int")
+    for batch in (first, again, again):
+        append_new(batch.withColumn("ts", F.to_timestamp("ts")), target, ["k", "ts"], "v", "ts")
+    assert sorted((r.k, r.v) for r in spark.read.parquet(target).collect()) == [("a", 1), ("a", 2), ("b", 3)]
