@@ -8,9 +8,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(app: str, cpus: int | str = 8, memory: str = "12g") -> SparkSession:
-    """A single-JVM session for tests and the bench; clusters bring their own."""
-    spark = (
+def local_session(app: str, cpus: int | str = 8, memory: str = "12g", shared: str | None = None) -> SparkSession:
+    """A single-JVM session for tests and the bench; clusters bring their own.
+
+    ``shared`` names the folder for intermediate tables (``spark.checkpoint.dir``).
+    """
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.driver.memory", memory)
@@ -19,8 +22,8 @@ def local_session(app: str, cpus: int | str = 8, memory: str = "12g") -> SparkSe
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .getOrCreate()
     )
+    spark = (builder.config("spark.checkpoint.dir", shared) if shared else builder).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 

@@ -9,10 +9,10 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from gridloom.session import local_session
 
-    session = local_session("gridloom-tests", 8, "8g")
+    session = local_session("gridloom-tests", 8, "8g", str(tmp_path_factory.mktemp("shared")))
     session.sparkContext.setLogLevel("OFF")
     return session
 
