@@ -8,6 +8,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def slices(batches: Iterable[pa.RecordBatch], text: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
@@ -15,8 +16,8 @@ def slices(batches: Iterable[pa.RecordBatch], text: str, max_bytes: int = 1 << 2
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = batch.column(text).cast(pa.large_binary()).fill_null(b"")
-        ends = np.cumsum(np.array([len(x) for x in sizes.to_pylist()], np.int64))
+        sizes = pc.fill_null(pc.binary_length(batch.column(text).cast(pa.large_binary())), 0)
+        ends = np.cumsum(sizes.to_numpy(zero_copy_only=False))
         start = 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0
@@ -60,17 +61,3 @@ def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
     for i in range(size):
         packed |= data[i : i + n].astype(np.uint64) << np.uint64(8 * i)
     return mix64(packed + np.uint64(size << 58))
-
-
-def sorted_groups(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[object, list[dict]]]:
-    """Consecutive rows with equal ``key`` of a sorted partition; a group may cross batches."""
-    held, rows = None, []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if rows and row[key] != held:
-                yield held, rows
-                rows = []
-            held = row[key]
-            rows.append(row)
-    if rows:
-        yield held, rows

@@ -6,18 +6,21 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.llm.arrays import mix64, slices
 from gridloom.llm.components import components
 from gridloom.session import stored
 
-SHINGLE = 5
+SHINGLE = 8  # long enough that lines of one language share few by chance
 MIN_WORDS = 5
 SIMILARITY = 0.8
-BANDS, BAND_ROWS = 9, 3
+BANDS, BAND_ROWS = 10, 4
 SMALL_BUCKET = 128
-_CUTS = np.random.default_rng(3).integers(0, 1 << 32, BANDS * BAND_ROWS, dtype=np.uint32)
+PIVOT_ROUNDS = 3
+COLUMNS = 4_096  # shingles compared at a time
+PAGE, MOST_PAGES = 32_768, 4_096  # bits of a page of marks, and pages at most
 _TIMES = np.random.default_rng(4).integers(0, 1 << 32, BANDS * BAND_ROWS, dtype=np.uint32) | np.uint32(1)
 _PLACES = np.random.default_rng(6).integers(1, 1 << 63, SHINGLE, dtype=np.uint64) | np.uint64(1)
 
@@ -34,13 +37,19 @@ def judged_lines(text: str) -> list[tuple[int, str]]:
 
 
 def line_key(line: str) -> bytes:
+    """128-bit hash: lines with equal keys count as equal."""
     return xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
 
 
+def _halves(keys: list[bytes]) -> list[pa.Array]:
+    both = np.frombuffer(b"".join(keys), ">i8").astype(np.int64).reshape(-1, 2)
+    return [pa.array(both[:, 0]), pa.array(both[:, 1])]
+
+
 def signatures(lines: list[str]) -> np.ndarray:
-    """One 64-bit value per line and band: the hash of the band's three MinHash values.
+    """One 64-bit value per line and band: the hash of the band's four MinHash values.
 
-    Shingles are runs of five characters; a line has at least nine.
+    Shingles are runs of eight characters; a line has at least nine.
     """
     codes = np.frombuffer("\n".join([*lines, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = np.array([len(x) for x in lines])
@@ -54,7 +63,8 @@ def signatures(lines: list[str]) -> np.ndarray:
         inside[np.clip(starts[1:] - 1 - i, 0, n - 1)] = False
     hashed = (mix64(grams[inside]) >> np.uint64(32)).astype(np.uint32)
     firsts = np.concatenate([[0], np.cumsum(lengths - SHINGLE + 1)[:-1]])
-    least = [np.minimum.reduceat((hashed ^ c) * t, firsts) for c, t in zip(_CUTS, _TIMES)]
+    turned = np.empty_like(hashed)
+    least = [np.minimum.reduceat(np.multiply(hashed, t, out=turned), firsts) for t in _TIMES]
     out = np.empty((len(lines), BANDS), np.uint64)
     for b in range(BANDS):
         value = np.full(len(lines), b + 1, np.uint64)
@@ -76,8 +86,34 @@ def similar(a: set[str], b: set[str], least: float = SIMILARITY) -> bool:
     return both >= least * (len(a) + len(b) - both)
 
 
+def similar_pairs(lines: list[str], least: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs of lines with a Jaccard similarity of at least ``least``, exactly.
+
+    Counts the shingles that two lines share by products of 0-1 matrices, some thousand
+    shingles at a time; shingles of one line only are left out of them.
+    """
+    if len(lines) < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    numbers: dict[str, int] = {}
+    held = [np.array([numbers.setdefault(s, len(numbers)) for s in shingles(x)], np.int64) for x in lines]
+    sizes = np.array([len(h) for h in held])
+    line, number = np.repeat(np.arange(len(lines)), sizes), np.concatenate(held)
+    shared = np.bincount(number)[number] > 1
+    line, place = line[shared], np.unique(number[shared], return_inverse=True)[1]
+    both = np.zeros((len(lines), len(lines)), np.float32)
+    order = np.argsort(place, kind="stable")
+    line, place = line[order], place[order]
+    for start in range(0, int(place[-1]) + 1 if len(place) else 0, COLUMNS):
+        a, z = np.searchsorted(place, [start, start + COLUMNS])
+        ones = np.zeros((len(lines), min(COLUMNS, int(place[-1]) + 1 - start)), np.float32)
+        ones[line[a:z], place[a:z] - start] = 1
+        both += ones @ ones.T
+    whole = sizes[:, None] + sizes[None, :] - both
+    return np.nonzero(np.triu(both >= least * whole - 1e-4, 1))
+
+
 def _line_table(docs: DataFrame) -> DataFrame:
-    """Of each document (id, text): line number, key and bands of its judged lines."""
+    """Of each document (id, text): line number, key (two longs) and bands of its judged lines."""
     kind = pa.list_(pa.int64())
 
     def run(batches):
@@ -91,24 +127,53 @@ def _line_table(docs: DataFrame) -> DataFrame:
             if lines:
                 bands = signatures(lines).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(numbers, pa.int64()), pa.array(map(line_key, lines), pa.binary()),
+                    [pa.array(ids, pa.int64()), pa.array(numbers, pa.int64()), *_halves(list(map(line_key, lines))),
                      pa.array(list(bands), kind)],
-                    names=["id", "line", "key", "bands"],
+                    names=["id", "line", "k1", "k2", "bands"],
                 )
 
-    return docs.mapInArrow(run, "id long, line long, key binary, bands array<long>")
+    return docs.mapInArrow(run, "id long, line long, k1 long, k2 long, bands array<long>")
+
+
+def _marks(keys: DataFrame) -> np.ndarray:
+    """A bit for each remainder of ``k1`` among ``keys``, about eight bits a key, at most 16 MB."""
+    bits = PAGE * min(MOST_PAGES, max(1, -(-8 * keys.count() // PAGE)))
+    place = F.pmod("k1", F.lit(bits))
+    pages = keys.groupBy(F.floor(place / PAGE).alias("page")).agg(F.bitmap_construct_agg((place % PAGE).cast("long")).alias("bits"))
+    marks = np.zeros((bits // PAGE, PAGE // 8), np.uint8)
+    for page, found in pages.collect():
+        marks[page] = np.frombuffer(found, np.uint8)
+    return marks.reshape(-1)
 
 
-def _line_texts(docs: DataFrame) -> DataFrame:
+def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Key and normal form of the lines whose ``k1`` is wanted, once each.
+
+    Lines without a mark stay where they are, so the documents are not shuffled; where the
+    marks are full, more lines are sent and the join leaves the rest out.
+    """
+    marks = docs.sparkSession.sparkContext.broadcast(_marks(wanted))
+
     def run(batches):
+        held = marks.value
         for batch in slices(batches, "text"):
-            lines = [x for text in batch.column("text").to_pylist() for _, x in judged_lines(text or "")]
-            if lines:
+            lines = list({x for text in batch.column("text").to_pylist() for _, x in judged_lines(text or "")})
+            if not lines:
+                continue
+            keys = list(map(line_key, lines))
+            place = _halves(keys)[0].to_numpy() % (8 * len(held))
+            chosen = np.flatnonzero(held[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+            if len(chosen):
+                keys = [keys[i] for i in chosen]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(map(line_key, lines), pa.binary()), pa.array(lines, pa.string())], names=["key", "line_text"]
+                    [pa.array(keys, pa.binary()), *_halves(keys), pa.array([lines[i] for i in chosen], pa.string())],
+                    names=["key", "k1", "k2", "line_text"],
                 )
 
-    return docs.select("id", "text").mapInArrow(run, "key binary, line_text string")
+    sent = docs.select("text").mapInArrow(run, "key binary, k1 long, k2 long, line_text string")
+    return sent.join(wanted.select("k1").distinct().hint("merge"), "k1", "left_semi").groupBy("key", "k1", "k2", "line_text").agg(
+        F.count(F.lit(1)).alias("n")
+    ).drop("n")
 
 
 def _edges(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
@@ -119,58 +184,56 @@ def _link_to_pivot(batches):
     """Whether each row's line is similar to its bucket's first line."""
     for batch in batches:
         held, wanted, out = None, set(), []
-        for key, text, pivot, pivot_text in zip(*(batch.column(c).to_pylist() for c in ("key", "line_text", "pivot", "pivot_text"))):
+        for text, pivot in zip(batch.column("line_text").to_pylist(), batch.column("pivot_text").to_pylist()):
             if pivot != held:
-                held, wanted = pivot, shingles(pivot_text)
-            out.append(key == pivot or similar(shingles(text), wanted))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(out, pa.bool_())], names=[*batch.schema.names[:5], "linked"])
+                held, wanted = pivot, shingles(pivot)
+            out.append(text == pivot or similar(shingles(text), wanted))
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in ("bucket", "n", "key", "line_text", "pivot_key")), pa.array(out, pa.bool_())],
+            names=["bucket", "n", "key", "line_text", "pivot_key", "linked"],
+        )
 
 
 def _compare_cells(batches):
     """Edges among the rows of each cell: those marked ``left`` against all, until connected.
 
-    Rows arrive sorted by cell; a cell has at most about twice ``SMALL_BUCKET`` rows.  Pairs
-    that other pairs of the cell connect already are not compared.
+    Rows arrive sorted by cell; a cell has at most about twice ``SMALL_BUCKET`` rows.  Lines of
+    one label are connected already, and pairs that other pairs connect are not compared.
     """
 
     def finish(rows):
-        keys = [k for k, _ in rows]
-        parent = {k: k for k in keys}
+        texts, label, left = {}, {}, set()
+        for key, text, name, is_left in rows:
+            texts[key], label[key] = text, name
+            if is_left:
+                left.add(key)
+        parent = {name: name for name in label.values()}
 
         def root(x):
             while parent[x] != x:
                 parent[x] = x = parent[parent[x]]
             return x
 
-        sets = {k: None for k in keys}
-        texts = {}
-        for k, (text, left) in rows:
-            texts[k] = (text, left or texts.get(k, (None, False))[1])
         keys, found = sorted(texts), []
-        for a in keys:
-            if not texts[a][1]:
-                continue
-            for b in keys:
-                if a == b or (texts[b][1] and b < a):
-                    continue
-                ra, rb = root(a), root(b)
-                if ra == rb:
-                    continue
-                for k in (a, b):
-                    if sets[k] is None:
-                        sets[k] = shingles(texts[k][0])
-                if similar(sets[a], sets[b]):
+        rows, columns = similar_pairs([texts[k] for k in keys])
+        for a, b in zip(rows.tolist(), columns.tolist()):
+            a, b = keys[a], keys[b]
+            if a in left or b in left:
+                ra, rb = root(label[a]), root(label[b])
+                if ra != rb:
                     parent[max(ra, rb)] = min(ra, rb)
                     found.append((a, b))
         return found
 
     cell, rows, out = None, [], []
     for batch in batches:
-        for *now, key, text, left in zip(*(batch.column(c).to_pylist() for c in ("band", "bucket", "i", "j", "key", "line_text", "left"))):
+        for *now, key, text, label, left in zip(
+            *(batch.column(c).to_pylist() for c in ("bucket", "i", "j", "key", "line_text", "label", "left"))
+        ):
             if now != cell:
                 out += finish(rows)
                 cell, rows = now, []
-            rows.append((key, (text, left)))
+            rows.append((key, text, label, left))
         if out:
             yield _edges(out)
             out = []
@@ -182,76 +245,93 @@ def _cell_number(n: Column) -> Column:
     return F.ceil(n / SMALL_BUCKET).cast("int")
 
 
-def similar_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
+def similar_lines(docs: DataFrame, lines: DataFrame, n_lines: int) -> tuple[DataFrame, DataFrame, int]:
     """Edges (a, b) between keys of similar lines, enough to connect what all similar pairs
-    that share a band would connect.
+    that share a band would connect; the compared lines' ``key``, ``k1``, ``k2``; and a bound
+    of the number of edges.
 
-    Lines of a band bucket are compared within cells of about 128.  In a larger bucket every
-    line is first compared with the bucket's first line; those that are similar are connected,
-    and only the others are compared with all lines of the bucket, cell by cell.
+    Lines of a band bucket are compared within cells of about 128.  In a larger bucket all
+    lines are first compared with one of them; those similar to it are connected and take its
+    label, and the rest goes through two more such rounds.  Then every line outside the first
+    label is compared with all lines of the bucket that have another label, cell by cell.
     """
-    distinct = lines.groupBy("key").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
-    rows = distinct.select("key", "id", F.posexplode("bands").alias("band", "bucket"))
-    sizes = rows.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("pivot")).where("n > 1")
-    shared = stored(rows.join(sizes, ["band", "bucket"]), "buckets")
-    wanted = shared.groupBy("key").agg(F.min("id").alias("id"))
-    ids = wanted.select(F.col("id").alias("wanted_id")).distinct()
-    holders = docs.join(ids, docs["id"].eqNullSafe(ids["wanted_id"]), "left_semi")
-    texts = stored(
-        _line_texts(holders).join(wanted.select("key"), "key", "left_semi").groupBy("key")
-        .agg(F.first("line_text").alias("line_text")), "line_texts",
+    rows = lines.groupBy("k1", "k2", "bands").agg(F.count(F.lit(1))).select("k1", F.explode("bands").alias("bucket"))
+    bucket = W.partitionBy("bucket")
+    shared = stored(
+        rows.withColumn("n", F.count(F.lit(1)).over(bucket)).where("n > 1"), "buckets", BANDS * n_lines
     )
-    members = shared.drop("id").join(texts, "key")
+    n_shared = shared.count()
+    texts = stored(_line_texts(docs, stored(shared.select("k1").distinct(), "wanted", n_shared)), "line_texts")
+    members = shared.join(texts.drop("k2").hint("merge"), "k1")
     small = members.where(F.col("n") <= SMALL_BUCKET).select(
-        "band", "bucket", F.lit(0).alias("i"), F.lit(0).alias("j"), "key", "line_text", F.lit(True).alias("left")
-    )
-    pivots = texts.select(F.col("key").alias("pivot"), F.col("line_text").alias("pivot_text"))
-    large = members.where(F.col("n") > SMALL_BUCKET).select("band", "bucket", "n", "key", "line_text", "pivot").join(pivots, "pivot")
-    checked = stored(
-        large.select("band", "bucket", "n", "key", "line_text", "pivot", "pivot_text").mapInArrow(
-            _link_to_pivot, "band int, bucket long, n long, key binary, line_text string, linked boolean"
-        ), "checked",
+        "bucket", F.lit(0).alias("i"), F.lit(0).alias("j"), "key", "line_text", F.col("key").alias("label"), F.lit(True).alias("left")
     )
-    spokes = checked.where("linked").join(
-        sizes.select("band", "bucket", "pivot"), ["band", "bucket"]
-    ).where("key <> pivot").select(F.col("pivot").alias("a"), F.col("key").alias("b"))
-    others = checked.where("NOT linked").groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("m"))
-    open_rows = checked.join(others, ["band", "bucket"])
+    unlinked = members.where(F.col("n") > SMALL_BUCKET).select("bucket", "n", "key", "line_text")
+    labelled = None
+    for number in range(PIVOT_ROUNDS):
+        first = unlinked.groupBy("bucket").agg(F.min(F.struct("key", "line_text")).alias("p"))
+        checked = stored(
+            unlinked.join(first.hint("merge"), "bucket")
+            .select("bucket", "n", "key", "line_text", F.col("p.key").alias("pivot_key"), F.col("p.line_text").alias("pivot_text"))
+            .mapInArrow(_link_to_pivot, "bucket long, n long, key binary, line_text string, pivot_key binary, linked boolean"),
+            "checked",
+        )
+        near = checked.where("linked").select(
+            "bucket", "n", "key", "line_text", F.col("pivot_key").alias("label"), F.lit(number > 0).alias("left")
+        )
+        labelled = near if labelled is None else labelled.unionByName(near)
+        unlinked = checked.where("NOT linked").select("bucket", "n", "key", "line_text")
+    spokes = labelled.where("key <> label").select(F.col("label").alias("a"), F.col("key").alias("b"))
+    labelled = labelled.unionByName(unlinked.select("*", F.col("key").alias("label"), F.lit(True).alias("left")))
+    others = labelled.where("left").groupBy("bucket").agg(F.count(F.lit(1)).alias("m"))
+    open_rows = labelled.join(others, "bucket")
     deal = F.pmod(F.xxhash64("key"), F.lit(1 << 20))
     rights, lefts = _cell_number(F.col("n")), _cell_number(F.col("m"))
     as_right = open_rows.withColumns({"j": (deal % rights).cast("int"), "i": F.explode(F.sequence(F.lit(0), lefts - 1))})
-    as_left = open_rows.where("NOT linked").withColumns(
+    as_left = open_rows.where("left").withColumns(
         {"i": (deal % lefts).cast("int"), "j": F.explode(F.sequence(F.lit(0), rights - 1))}
     )
     cells = small.unionByName(
-        as_right.select("band", "bucket", "i", "j", "key", "line_text", F.lit(False).alias("left"))
-    ).unionByName(as_left.select("band", "bucket", "i", "j", "key", "line_text", F.lit(True).alias("left")))
+        as_right.select("bucket", "i", "j", "key", "line_text", "label", F.lit(False).alias("left"))
+    ).unionByName(as_left.select("bucket", "i", "j", "key", "line_text", "label", F.lit(True).alias("left")))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    in_cells = cells.repartition(parts, "band", "bucket", "i", "j").sortWithinPartitions("band", "bucket", "i", "j")
-    return in_cells.mapInArrow(_compare_cells, "a binary, b binary").union(spokes).distinct()
+    in_cells = cells.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    found = stored(in_cells.mapInArrow(_compare_cells, "a binary, b binary"), "found")
+    return found.union(spokes), texts.drop("line_text"), found.count() + spokes.count()
+
+
+def _cell_number(n: Column) -> Column:
+    return F.ceil(n / SMALL_BUCKET).cast("int")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, ``n_lines``, ``n_judged``, ``dropped`` (line numbers from 0).
 
     Lines with at least five words are compared in normal form (lower case, single spaces) by
-    the Jaccard similarity of their five-character shingles; those at 0.8 or more are linked.
+    the Jaccard similarity of their eight-character shingles; those at 0.8 or more are linked.
     Of each component the first line (by id, then line number; a null id comes last) stays,
-    the others are dropped.  Shorter lines stay.  Nine bands of three MinHash values miss a
-    pair at 0.8 with probability 0.002, a pair at 0.9 with 0.0000001.  Null and empty texts
+    the others are dropped.  Shorter lines stay.  Ten bands of four MinHash values miss a pair
+    at 0.8 with probability 0.005, a pair at 0.9 with 0.00002.  Null and empty texts
     have one empty line and lose nothing.  Rows that repeat an id lose the same lines.
     """
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     lines = stored(_line_table(picked), "lines")
-    roots = components(similar_lines(picked, lines), "a", "b")
-    spots = lines.groupBy("key").agg(
-        F.min(F.struct(F.col("id").isNull().alias("last"), "id", "line")).alias("spot"), F.count(F.lit(1)).alias("n")
+    n_lines = lines.count()
+    edges, keys, most = similar_lines(picked, lines, n_lines)
+    roots = components(edges, "a", "b", most)
+    top = keys.select(F.col("key").alias("root"), F.col("k1").alias("r1"), F.col("k2").alias("r2"))
+    linked = keys.join(roots.withColumnRenamed("node", "key"), "key").join(top, "root").select("k1", "k2", "r1", "r2")
+    # lines that occur once and resemble none stay; only the others go on
+    copies = lines.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    alone = copies.join(linked.hint("merge"), ["k1", "k2"], "left_anti").select(
+        "k1", "k2", F.col("k1").alias("r1"), F.col("k2").alias("r2")
     )
-    grouped = spots.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    winners = grouped.groupBy("root").agg(F.min("spot").alias("first"), F.sum("n").alias("lines")).where("lines > 1")
-    repeated = grouped.join(winners, "root").select("key", "first")
+    groups = stored(linked.unionByName(alone), "groups", n_lines)
+    spots = stored(lines.select("k1", "k2", "id", "line").join(groups.hint("merge"), ["k1", "k2"]), "spots", n_lines)
+    spot = F.struct(F.col("id").isNull().alias("last"), "id", "line")
+    first = stored(spots.groupBy("r1", "r2").agg(F.min(spot).alias("first")), "first", n_lines)
     dropped = (
-        lines.select("key", "id", "line").join(repeated, "key")
+        spots.join(first.hint("merge"), ["r1", "r2"])
         .where(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("line") == F.col("first.line"))))
         .groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("dropped"))
     )
@@ -262,8 +342,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .groupBy(F.col("id").alias("_id"))
         .agg(F.max("n_judged").alias("n_judged"), F.first("dropped", ignorenulls=True).alias("dropped"))
     )
-    n_lines = F.length("text") - F.length(F.translate("text", "\n", "")) + 1
-    counted = picked.select("id", F.coalesce(n_lines, F.lit(1)).cast("long").alias("n_lines"))
+    breaks = F.length("text") - F.length(F.translate("text", "\n", "")) + 1
+    counted = picked.select("id", F.coalesce(breaks, F.lit(1)).cast("long").alias("n_lines"))
     return counted.join(found, counted["id"].eqNullSafe(found["_id"]), "left").select(
         F.col("id").alias(id_col), "n_lines", F.coalesce("n_judged", F.lit(0).cast("long")).alias("n_judged"),
         F.coalesce("dropped", F.array().cast("array<long>")).alias("dropped"),

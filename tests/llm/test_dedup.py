@@ -179,3 +179,13 @@ def test_minhash_agreement_follows_jaccard():
     first, second = ld.signatures([a for a, _ in pairs]), ld.signatures([b for _, b in pairs])
     assert ((first == second).any(axis=1)).all()
     assert (first[1:] != first[:-1]).all()
+
+
+def test_similar_pairs_are_exact(monkeypatch):
+    monkeypatch.setattr(ld, "COLUMNS", 7)
+    draw = random.Random(6)
+    lines = [prose(draw, 9).replace("\n", " ") for _ in range(20)]
+    lines += [x + "!" * draw.randrange(1, 9) for x in lines] + lines[:3] + ["short", "a b c d e"]
+    sets = [ld.shingles(x) for x in lines]
+    want = {(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines)) if ld.similar(sets[a], sets[b])}
+    assert set(zip(*map(list, ld.similar_pairs(lines)))) == want and len(want) > 20
