@@ -56,6 +56,8 @@ def train(
 ) -> Model:
     """Stochastic gradient descent on (buckets, counts) of each document, classes weighted evenly.
 
+    Documents come in a fixed order, so that reruns agree.
+
     As in word-vector training the gradient of the average goes to each of its vectors in
     full, scaled by the share of the bucket in the document relative to the largest one.
     """
@@ -117,13 +119,13 @@ def held_out(id_col: Column) -> Column:
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     label_col: str = "quality", sample_rows: int = SAMPLE_ROWS,
-) -> Model:
+) -> tuple[np.ndarray, float]:
     """Learn from at most ``sample_rows`` labelled documents outside the held-out third.
 
-    The sample is the first rows by a hash of the id, the same at any partitioning; the
-    driver gets its bucket counts (bounded by sample_rows x 65 536).  Null labels, labels
-    other than 0 and 1 and ids without text rows are passed over; if an id has several
-    labels the smallest counts.
+    The sample is the first rows by a hash of the id, the same at any partitioning.  One task
+    gets its bucket counts (bounded by sample_rows x 65 536) and trains; the driver gets the
+    model's 65 536 weights.  Null labels, labels other than 0 and 1 and ids without text rows
+    are passed over; if an id has several labels the smallest counts.
     """
     known = (
         labels.where(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col)))
@@ -131,22 +133,30 @@ def fit(
         .orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     )
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = _packed(texts.join(F.broadcast(known), "id").select("id", "label", "text")).toPandas().sort_values(
-        ["id", "buckets"], ignore_index=True
-    )
-    packed = [
-        (np.frombuffer(b, "<u4"), np.frombuffer(c, "<f4")) for b, c in zip(rows["buckets"], rows["counts"])
-    ]
-    return train(packed, rows["label"].to_numpy(np.int64))
 
+    def learn(batches):
+        rows = [row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in range(4)))]
+        rows.sort()
+        model = train(
+            [(np.frombuffer(b, "<u4"), np.frombuffer(c, "<f4")) for _, _, b, c in rows], np.array([r[1] for r in rows], np.int64)
+        )
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([model.weights().astype("<f8").tobytes()]), pa.array([model.margin()])], names=["weights", "margin"]
+        )
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    sample = _packed(texts.join(F.broadcast(known), "id").select("id", "label", "text"))
+    found = sample.repartition(1).mapInArrow(learn, "weights binary, margin double").first()
+    return np.frombuffer(found["weights"], "<f8"), found["margin"]
+
+
+def score(
+    docs: DataFrame, weights: np.ndarray, margin: float, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """``id`` and ``score`` of every row; the model sees the text only.
 
     A document's output is an average, so each bucket's part of it is looked up in one table
     of 65 536 numbers.  An empty or null text scores by the bias alone.
     """
-    weights, margin = model.weights().astype(np.float64), model.margin()
 
     def run(batches):
         for batch in slices(batches, "text"):
@@ -169,7 +179,7 @@ def quality_scores(
 
     Without usable labels every score is 0.5.  A null id is never held out.
     """
-    scored = score(docs, fit(docs, labels, id_col, text_col, label_col), id_col, text_col)
+    scored = score(docs, *fit(docs, labels, id_col, text_col, label_col), id_col, text_col)
     return scored.select(
         F.col("id").alias(id_col), F.coalesce(held_out(F.col("id")), F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
