@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import gc
+import json
 import os
+import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -10,21 +14,36 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from gridloom.llm.arrays import slices, utf8, word_hashes
-
-BUCKETS, DIMS, BITS = 1024, 3, 16
-CACHED_WORDS = 600_000
-WORDS_PER_CALL = 500  # longer calls take more time a word
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from gridloom.llm.arrays import slices, utf8
+from gridloom.session import stored
+
+BUCKETS, DIMS, BITS = 512, 3, 16
+CACHED_WORDS, CACHED_PIECES = 250_000, 100_000
+# The settings under which words of Latin letters fall into letter runs, single
+# digits and runs of signs, and the characters for which that holds.
+_NORMALIZER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+     "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+_LETTERS = [chr(c) for c in (*range(0xDF, 0xF7), *range(0xF8, 0x100))]  # beyond a-z, lower case
+_PLAIN = re.compile("[!-&(-~À-ÖØ-öø-ÿ]+").fullmatch  # no apostrophe
+_PIECES = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+").findall
 #: Random axes; a document's coordinate on each is that of its unit vector of hashed word counts.
 _AXES = np.random.default_rng(7).standard_normal((BUCKETS, DIMS)).astype(np.float32)
 
 
-def project(texts: list[bytes]) -> np.ndarray:
-    """Coordinates in [-1, 1]: square-rooted hashed word counts, unit length, on random axes."""
-    hashes, of = word_hashes(texts)
-    cells = of * BUCKETS + (hashes & np.uint64(BUCKETS - 1)).astype(np.int64)
-    counts = np.sqrt(np.bincount(cells, minlength=len(texts) * BUCKETS).reshape(len(texts), BUCKETS), dtype=np.float32)
+def project(documents: list[np.ndarray]) -> np.ndarray:
+    """Coordinates in [-1, 1] of token id arrays: square-rooted hashed counts, unit length, on random axes."""
+    n = len(documents)
+    ids = np.concatenate([*documents, np.zeros(0, np.uint16)]).astype(np.uint32)
+    hashed = (ids * np.uint32(2654435761) >> np.uint32(32 - BUCKETS.bit_length() + 1)).astype(np.int64)
+    cells = np.repeat(np.arange(n) * BUCKETS, [len(d) for d in documents]) + hashed
+    counts = np.sqrt(np.bincount(cells, minlength=n * BUCKETS).reshape(n, BUCKETS), dtype=np.float32)
     length = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
     return np.tanh((counts / np.maximum(length, 1e-9)) @ _AXES)
 
@@ -59,40 +78,66 @@ def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key.astype(np.int64)
 
 
+class Memo(dict):
+    """Makes what it does not hold; of two generations of ``limit`` entries the older one goes."""
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.limit, self.older = make, limit, {}
+
+    def __missing__(self, key):
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self[key] = found
+        return found
+
+
 class WordEncoder:
     """Token ids of texts, word by word; frequent words are looked up instead of encoded.
 
     For tokenizers that drop white space no token crosses it, so a text's ids are its words'
-    ids in order.  Words not seen yet are encoded together in one call and told apart by
-    their offsets.  The table is emptied at ``CACHED_WORDS`` words.
+    ids in order.  An unknown word of Latin letters, digits and signs falls into the pieces
+    that the tokenizer's own pattern makes, after lower-casing; pieces are looked up or go
+    straight to its merges.  Any other word takes the whole tokenizer.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        for part in range(0, len(words), WORDS_PER_CALL):
-            some = words[part : part + WORDS_PER_CALL]
-            texts = [w.decode("utf-8", "replace") for w in some]
-            found = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
-            starts = np.cumsum([0] + [len(t) + 1 for t in texts])
-            cuts = np.searchsorted(np.array([a for a, _ in found.offsets], np.int64), starts)
-            for word, a, z in zip(some, cuts, cuts[1:]):
-                self.known[word] = ids[a:z].tobytes()
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        split = [t.split() for t in texts]
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        self._learn(list(set().union(*split).difference(self.known)))
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        settings = json.loads(self.tokenizer.to_str())
+        self.by_pieces = settings["normalizer"] == _NORMALIZER and settings["pre_tokenizer"] == _PRE_TOKENIZER
+        self.merge = self.tokenizer.model.tokenize
+        as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.spelled = {ord(c): as_bytes(c)[0][0] for c in _LETTERS}
+        self.kind, self.code = ("<u2", "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else ("<u4", "I")
+        self.words = Memo(self._word, CACHED_WORDS)
+        self.pieces = Memo(self._piece, CACHED_PIECES)
+
+    def _piece(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = piece.translate(self.spelled)
+        return array(self.code, [t.id for t in self.merge(piece)]).tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        if self.by_pieces:
+            if word.isalpha():  # ASCII letters only
+                return self.pieces[word.lower().decode()]
+            text = word.decode("utf-8", "replace")
+            if _PLAIN(text) and "<|" not in text:
+                return b"".join(map(self.pieces.__getitem__, _PIECES(text.lower())))
+        found = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False)
+        return array(self.code, found.ids).tobytes()
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text, in the smallest of 16 and 32 bits that holds the vocabulary."""
+        ids = self.words.__getitem__
+        return [np.frombuffer(b"".join(map(ids, t.split())), self.kind) for t in texts]
 
 
 @lru_cache(maxsize=2)
@@ -135,39 +180,44 @@ def pack_along_curve(
     """Pieces of documents in sequences of ``length`` ids: id, ``start``, ``length``, ``token_ids``
     (little-endian unsigned 32-bit), ``doc_tokens``, ``sequence_id``, ``offset``, ``curve_key``.
 
-    A document's vector is its hashed word counts, projected to three dimensions; documents
-    are range-partitioned and sorted by their Hilbert key (ties by id and a text hash, so
-    copies spread over partitions), and each partition fills sequences in that order.
-    Sequence ids are unique, not gapless.  A null or empty text is the end id alone.  The
-    tokenizer file must be readable on every executor and drop white space.
+    A document's vector is its hashed token counts, projected to three dimensions; documents
+    are range-partitioned and sorted by their Hilbert key (ties by id and a hash of the ids,
+    so copies spread over partitions), and each partition fills sequences in that order.
+    Token ids and keys are made once and stored.  Sequence ids are unique, not gapless.  A
+    null or empty text is the end id alone.  The tokenizer file must be readable on every
+    executor and drop white space.
     """
-    picked = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = picked.schema["id"].dataType.simpleString()
 
-    def keys(batches):
+    def tokenize(batches):
+        encode = encoder(tokenizer_path).encode
         for batch in slices(batches, "text"):
-            found = hilbert_keys(project(utf8(batch.column("text"))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=["id", "text", "key"])
+            gc.disable()  # nothing in here makes cycles, and the word tables are costly to walk
+            ids = encode(utf8(batch.column("text")))
+            gc.enable()
+            keys = hilbert_keys(project(ids))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(keys)],
+                names=["id", "tokens", "key"],
+            )
 
     def pack(batches):
-        encode, end = encoder(tokenizer_path).encode, np.array([end_id], "<u4")
+        wide, end = encoder(tokenizer_path).kind, np.array([end_id], "<u4")
         base = TaskContext.get().partitionId() << 40
-        columns = [[] for _ in range(8)]
+        columns = [[] for _ in out]
 
         def documents():
-            for batch in slices(batches, "text"):
-                ids = encode(utf8(batch.column("text")))
-                for doc, key, part in zip(batch.column("id").to_pylist(), batch.column("key").to_pylist(), ids):
-                    tokens = np.concatenate([np.frombuffer(part, "<u4"), end])
+            for batch in batches:
+                for doc, part, key in zip(*(batch.column(c).to_pylist() for c in ("id", "tokens", "key"))):
+                    tokens = np.concatenate([np.frombuffer(part, wide), end], dtype="<u4")
                     yield (doc, key, len(tokens)), tokens
 
         def flush():
-            made = pa.RecordBatch.from_arrays(
-                [pa.array(c, f.type) for c, f in zip(columns, out)], names=[f.name for f in out]
-            )
+            made = [pa.array(c, f.type) for c, f in zip(columns, out)]
             for c in columns:
                 c.clear()
-            return made
+            return pa.RecordBatch.from_arrays(made, schema=out)
 
         for (doc, key, n), start, ids, sequence, offset in cut_into_sequences(documents(), length, base):
             for c, v in zip(columns, (doc, start, len(ids), ids.tobytes(), n, sequence, offset, key)):
@@ -177,20 +227,12 @@ def pack_along_curve(
         if columns[0]:
             yield flush()
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    out = [
-        pa.field("id", to_arrow_type(picked.schema["id"].dataType)), *(pa.field(n, pa.int64()) for n in ("start", "length")),
-        pa.field("token_ids", pa.binary()), *(pa.field(n, pa.int64()) for n in ("doc_tokens", "sequence_id", "offset", "key")),
-    ]
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (
-        picked.mapInArrow(keys, f"id {kind}, text string, key long")
-        .repartitionByRange(parts, "key", "id", F.xxhash64("text"))
-        .sortWithinPartitions("key", "id", F.xxhash64("text"))
-    )
-    pieces = ordered.mapInArrow(
-        pack,
-        f"id {kind}, start long, length long, token_ids binary, doc_tokens long, sequence_id long, offset long, key long",
+    schema = StructType.fromDDL(
+        f"id {kind}, start long, length long, token_ids binary, doc_tokens long, sequence_id long, offset long, key long"
     )
+    out = to_arrow_schema(schema)
+    tokens = stored(picked.mapInArrow(tokenize, f"id {kind}, tokens binary, key long"), "tokens")
+    order = ["key", "id", F.xxhash64("tokens")]
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = tokens.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(pack, schema)
     return pieces.withColumnsRenamed({"id": id_col, "key": "curve_key"})
