@@ -21,7 +21,7 @@ from gridloom.llm.arrays import slices, utf8
 from gridloom.session import stored
 
 BUCKETS, DIMS, BITS = 512, 3, 16
-CACHED_WORDS, CACHED_PIECES = 250_000, 100_000
+CACHED_WORDS = 250_000  # of two generations, per worker: about 100 MB
 # The settings under which words of Latin letters fall into letter runs, single
 # digits and runs of signs, and the characters for which that holds.
 _NORMALIZER = {"type": "Sequence", "normalizers": [
@@ -105,7 +105,7 @@ class WordEncoder:
     straight to its merges.  Any other word takes the whole tokenizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached_words: int = CACHED_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -116,8 +116,8 @@ class WordEncoder:
         as_bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.spelled = {ord(c): as_bytes(c)[0][0] for c in _LETTERS}
         self.kind, self.code = ("<u2", "H") if self.tokenizer.get_vocab_size() <= 1 << 16 else ("<u4", "I")
-        self.words = Memo(self._word, CACHED_WORDS)
-        self.pieces = Memo(self._piece, CACHED_PIECES)
+        self.words = Memo(self._word, cached_words)
+        self.pieces = Memo(self._piece, max(1, cached_words * 2 // 5))
 
     def _piece(self, piece: str) -> bytes:
         if not piece.isascii():
@@ -141,8 +141,8 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def encoder(path: str, cached_words: int = CACHED_WORDS) -> WordEncoder:
+    return WordEncoder(path, cached_words)
 
 
 def cut_into_sequences(documents, length: int, first_id: int):
@@ -175,7 +175,7 @@ def cut_into_sequences(documents, length: int, first_id: int):
 
 def pack_along_curve(
     docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int = 1,
-    id_col: str = "doc_id", text_col: str = "text",
+    id_col: str = "doc_id", text_col: str = "text", cached_words: int = CACHED_WORDS,
 ) -> DataFrame:
     """Pieces of documents in sequences of ``length`` ids: id, ``start``, ``length``, ``token_ids``
     (little-endian unsigned 32-bit), ``doc_tokens``, ``sequence_id``, ``offset``, ``curve_key``.
@@ -185,13 +185,14 @@ def pack_along_curve(
     so copies spread over partitions), and each partition fills sequences in that order.
     Token ids and keys are made once and stored.  Sequence ids are unique, not gapless.  A
     null or empty text is the end id alone.  The tokenizer file must be readable on every
-    executor and drop white space.
+    executor and drop white space.  ``cached_words`` trades memory of the Python workers, which
+    they keep after the job, for time; results do not depend on it.
     """
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = picked.schema["id"].dataType.simpleString()
 
     def tokenize(batches):
-        encode = encoder(tokenizer_path).encode
+        encode = encoder(tokenizer_path, cached_words).encode
         for batch in slices(batches, "text"):
             gc.disable()  # nothing in here makes cycles, and the word tables are costly to walk
             ids = encode(utf8(batch.column("text")))
@@ -203,7 +204,7 @@ def pack_along_curve(
             )
 
     def pack(batches):
-        wide, end = encoder(tokenizer_path).kind, np.array([end_id], "<u4")
+        wide, end = encoder(tokenizer_path, cached_words).kind, np.array([end_id], "<u4")
         base = TaskContext.get().partitionId() << 40
         columns = [[] for _ in out]
 

@@ -44,7 +44,7 @@ def query(name: str, sql: str | None = None):
 
 @query("op1_hilbert_packing")
 def _packing(spark, sf_dir):
-    pieces = packing.pack_along_curve(table(spark, sf_dir, "documents"), tokenizer_path())
+    pieces = packing.pack_along_curve(table(spark, sf_dir, "documents"), tokenizer_path(), cached_words=500_000)
     return pieces.withColumn("ids_crc32", F.crc32("token_ids")).drop("token_ids")
 
 

@@ -18,9 +18,8 @@ def test_hilbert_keys_visit_neighbouring_cells():
     assert (np.abs(np.diff(cells[np.argsort(keys)], axis=0)).sum(axis=1) == 1).all()
 
 
-def test_word_encoder_gives_the_tokenizers_ids(monkeypatch):
-    monkeypatch.setattr(pk, "CACHED_WORDS", 40)
-    encoder = pk.WordEncoder(tokenizer_path())
+def test_word_encoder_gives_the_tokenizers_ids():
+    encoder = pk.WordEncoder(tokenizer_path(), cached_words=40)
     texts = [
         "", "  ", "a\x0bb c\x0cd\x85e f\x1cg", "<|endoftext|>x y<|startoftext|>", "é ́z don't 's 're Σ ΑΣ İstanbul ﬁ",
         "ﷺ ǆ ẞ ΐ ͅ 한국 𝒳 ‍\U0001f469‍\U0001f469​ ́ x", *[" ".join(f"w{i}q{j}" for i in range(30)) for j in range(9)],
