@@ -257,9 +257,14 @@ def similar_lines(docs: DataFrame, lines: DataFrame, n_lines: int) -> tuple[Data
     """
     rows = lines.groupBy("k1", "k2", "bands").agg(F.count(F.lit(1))).select("k1", F.explode("bands").alias("bucket"))
     bucket = W.partitionBy("bucket")
-    shared = stored(
-        rows.withColumn("n", F.count(F.lit(1)).over(bucket)).where("n > 1"), "buckets", BANDS * n_lines
-    )
+    met = {
+        "n": F.count(F.lit(1)).over(bucket), "least": F.min("k1").over(bucket), "sum": F.bit_xor("k1").over(bucket),
+        "mixed": F.bit_xor(F.xxhash64("k1")).over(bucket),
+    }
+    met_rows = stored(rows.withColumns(met).where("n > 1"), "buckets", BANDS * n_lines)
+    # similar lines meet in most bands: of buckets that hold the same lines one is enough
+    chosen = met_rows.groupBy("n", "least", "sum", "mixed").agg(F.min("bucket").alias("bucket")).select("bucket")
+    shared = stored(met_rows.select("k1", "bucket", "n").join(chosen.hint("merge"), "bucket", "left_semi"), "chosen", met_rows.count())
     n_shared = shared.count()
     texts = stored(_line_texts(docs, stored(shared.select("k1").distinct(), "wanted", n_shared)), "line_texts")
     members = shared.join(texts.drop("k2").hint("merge"), "k1")
@@ -342,7 +347,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .groupBy(F.col("id").alias("_id"))
         .agg(F.max("n_judged").alias("n_judged"), F.first("dropped", ignorenulls=True).alias("dropped"))
     )
-    breaks = F.length("text") - F.length(F.translate("text", "\n", "")) + 1
+    breaks = F.regexp_count("text", F.lit("\n")) + 1
     counted = picked.select("id", F.coalesce(breaks, F.lit(1)).cast("long").alias("n_lines"))
     return counted.join(found, counted["id"].eqNullSafe(found["_id"]), "left").select(
         F.col("id").alias(id_col), "n_lines", F.coalesce("n_judged", F.lit(0).cast("long")).alias("n_judged"),
