@@ -13,10 +13,10 @@ from gridloom.llm.arrays import mix64, slices
 from gridloom.llm.components import components
 from gridloom.session import stored
 
-SHINGLE = 8  # long enough that lines of one language share few by chance
+SHINGLE = 5
 MIN_WORDS = 5
 SIMILARITY = 0.8
-BANDS, BAND_ROWS = 10, 4
+BANDS, BAND_ROWS = 9, 3
 SMALL_BUCKET = 128
 PIVOT_ROUNDS = 3
 COLUMNS = 4_096  # shingles compared at a time
@@ -47,9 +47,9 @@ def _halves(keys: list[bytes]) -> list[pa.Array]:
 
 
 def signatures(lines: list[str]) -> np.ndarray:
-    """One 64-bit value per line and band: the hash of the band's four MinHash values.
+    """One 64-bit value per line and band: the hash of the band's three MinHash values.
 
-    Shingles are runs of eight characters; a line has at least nine.
+    Shingles are runs of five characters; a line has at least as many.
     """
     codes = np.frombuffer("\n".join([*lines, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = np.array([len(x) for x in lines])
@@ -313,10 +313,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row per row of ``docs``: id, ``n_lines``, ``n_judged``, ``dropped`` (line numbers from 0).
 
     Lines with at least five words are compared in normal form (lower case, single spaces) by
-    the Jaccard similarity of their eight-character shingles; those at 0.8 or more are linked.
+    the Jaccard similarity of their five-character shingles; those at 0.8 or more are linked.
     Of each component the first line (by id, then line number; a null id comes last) stays,
-    the others are dropped.  Shorter lines stay.  Ten bands of four MinHash values miss a pair
-    at 0.8 with probability 0.005, a pair at 0.9 with 0.00002.  Null and empty texts
+    the others are dropped.  Shorter lines stay.  Nine bands of three MinHash values miss a pair
+    at 0.8 with probability 0.002, a pair at 0.9 with 0.000008.  Null and empty texts
     have one empty line and lose nothing.  Rows that repeat an id lose the same lines.
     """
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))

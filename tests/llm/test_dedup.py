@@ -189,3 +189,17 @@ def test_similar_pairs_are_exact(monkeypatch):
     sets = [ld.shingles(x) for x in lines]
     want = {(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines)) if ld.similar(sets[a], sets[b])}
     assert set(zip(*map(list, ld.similar_pairs(lines)))) == want and len(want) > 20
+
+
+def test_lines_with_one_changed_character_are_linked(spark):
+    draw = random.Random(21)
+    rows = []
+    for i in range(60):
+        line = prose(draw, 30).replace("\n", " ")[: 52 + i % 26].strip()
+        place = 10 + i % 30
+        other = line[:place] + "#" + line[place + 1 :]
+        a, b = ({x[j : j + 5] for j in range(len(x) - 4)} for x in (line, other))
+        assert len(a & b) >= 0.8 * len(a | b)  # own shingle length, not the operator's
+        rows += [(2 * i, line, "en", "s", 0), (2 * i + 1, other, "en", "s", 0)]
+    got = {r["doc_id"]: r["dropped"] for r in ld.line_dedup(frame(spark, rows)).collect()}
+    assert [i for i in range(60) if got[2 * i + 1] != [0]] == []
