@@ -46,22 +46,17 @@ def template_terms(docs: DataFrame, templates: list[tuple[str, str]]) -> DataFra
     )
 
 
-def term_weights(docs: DataFrame, vocabulary: list[str], text_col: str) -> DataFrame:
-    """``term`` and ``idf`` of the vocabulary by document frequency over all rows, and the weight of any other word.
+def term_counts(docs: DataFrame, text_col: str) -> DataFrame:
+    """``term`` and ``df`` (rows that hold it) of every term; the row with an empty term counts all rows."""
+    held = F.coalesce(F.array_distinct(terms(F.col(text_col))), F.array().cast("array<string>"))
+    return docs.select(F.explode(F.concat(held, F.array(F.lit("")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
-    The row with a null term holds the weight of a word outside the vocabulary, counted as if
-    it were in no document.
-    """
-    held = F.array_intersect(F.array_distinct(terms(F.col(text_col))), F.array(*map(F.lit, vocabulary)))
-    marks = docs.select(F.explode(F.concat(held, F.array(F.lit("")))).alias("term"))  # "" counts the documents
-    nulls = docs.where(F.col(text_col).isNull()).select(F.lit("").alias("term"))
-    counts = marks.unionByName(nulls).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    total = F.max(F.when(F.col("term") == "", F.col("df")))
-    every = docs.sparkSession.createDataFrame([(t,) for t in [*vocabulary, ""]], "term string")
-    joined = every.join(counts, "term", "left").withColumn("n", total.over(W.partitionBy()))
-    df = F.when(F.col("term") == "", F.lit(0)).otherwise(F.coalesce("df", F.lit(0)))
-    idf = F.log((F.coalesce("n", F.lit(0)) + 1.0) / (df + 1.0)) + 1.0
-    return joined.select(F.when(F.col("term") != "", F.col("term")).alias("term"), idf.alias("idf"))
+
+def term_weights(counts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``term`` and ``idf`` of the distinct ``wanted`` terms, by document frequency over all rows."""
+    n = counts.where("term = ''").agg(F.coalesce(F.max("df"), F.lit(0)).alias("n")).first()["n"]
+    joined = wanted.join(counts, "term", "left")
+    return joined.select("term", (F.log(F.lit(n + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + 1.0).alias("idf"))
 
 
 def telling_terms(weighted: list[tuple[int, str, float]], least: float) -> list[str]:
@@ -87,17 +82,16 @@ def notices(
 ) -> DataFrame:
     """``id``, ``own_license`` and ``score`` of each document with a line at or above the cosine ``least``.
 
-    Word weights count all documents.  Lines without a telling term cannot match and are
+    Word weights, also those of words in no template, count all documents.  Lines without a telling term cannot match and are
     passed over.  The best line decides; of equal scores the first template.
     """
-    vocabulary = sorted({r[0] for r in template_terms(docs, templates).select("term").distinct().collect()})
-    weights = stored(term_weights(docs, vocabulary, text_col), "idf")
-    known = weights.where("term IS NOT NULL")
-    parts = template_terms(docs, templates).join(known, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    counts = stored(term_counts(docs, text_col), "counts")
+    held = template_terms(docs, templates)
+    known = stored(term_weights(counts, held.select("term").distinct()), "idf")
+    parts = held.join(known, "term").withColumn("w", F.col("tf") * F.col("idf"))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("template")))
     unit = parts.withColumn("w", F.col("w") / length).select("template", "license", "term", "w")
     telling = telling_terms([tuple(r) for r in parts.select("template", "term", "w").collect()], least)
-    outside = weights.where("term IS NULL").first()["idf"]
     # whole terms only: a letter or digit next to the match would make it part of another term
     sought = f"(?i)(?<![a-z0-9])(?:{'|'.join(t.replace('.', '[.]') for t in telling)})(?![a-z0-9])"
     lines = (
@@ -106,10 +100,13 @@ def notices(
         .where(F.col("line").rlike(sought))
         .distinct()
     )
+    lines = stored(lines, "candidates")
+    asked = lines.select(F.explode(F.array_distinct(terms(F.col("line")))).alias("term")).distinct()
+    weights = stored(term_weights(counts, asked), "weights")
     words = (
         lines.withColumn("term", F.explode(terms(F.col("line")))).groupBy("id", "line", "term")
-        .agg(F.count(F.lit(1)).alias("tf")).join(known, "term", "left")
-        .withColumn("v", F.col("tf") * F.coalesce("idf", F.lit(outside)))
+        .agg(F.count(F.lit(1)).alias("tf")).join(weights, "term")
+        .withColumn("v", F.col("tf") * F.col("idf"))
     )
     words = words.withColumn("norm", F.sqrt(F.sum(F.col("v") * F.col("v")).over(W.partitionBy("id", "line"))))
     scores = words.join(unit, "term").groupBy("id", "line", "template", "license").agg(

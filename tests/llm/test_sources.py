@@ -148,3 +148,21 @@ def test_licenses(spark):
     assert final[1] == ("MIT", "a/b") and final[2] == ("Apache-2.0", "a/b") and final[3] == ("CC-BY-NC-4.0", "a")
     assert final[6] == ("Apache-2.0", "a/b") and final[5] == (None, None) and final[7] == (None, None)
     assert ls.license_scan(files.limit(0)).count() == 0
+
+
+def test_license_verdicts_do_not_change_with_the_size_of_the_corpus(spark):
+    from pyspark.sql import functions as F
+
+    header = "Released under the MIT License, 2021 by Example Labs and others."
+    got = []
+    for n in (1_000, 100_000):
+        share = F.col("id") % 100
+        text = (
+            F.when(share == 0, F.lit(header)).when(share < 60, F.lit("one of us and some others by the sea in 2021"))
+            .when(share < 63, F.lit("a word of example labs")).otherwise(F.lit("plain words only"))
+        )
+        files = spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("a/b").alias("path"))
+        found = ls.license_scan(files).groupBy("own_license").agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("score"))
+        got.append({r["own_license"]: (r["n"] / n, r["score"]) for r in found.collect()})
+    assert got[0]["MIT"][0] == got[1]["MIT"][0] == 0.01
+    assert abs(got[0]["MIT"][1] - got[1]["MIT"][1]) < 0.02
