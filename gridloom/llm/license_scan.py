@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -14,7 +15,28 @@ LEAST_COSINE = 0.7
 TERM = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Customary one-line notices of common licences.
+_AS_IS = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, "
+    "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+    "DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
+    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR "
+    "SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+    "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE "
+    "OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_BSD_2 = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+    "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of "
+    "conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
+    "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+    "distribution. "
+)
+_BSD_3 = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+    "products derived from this software without specific prior written permission. "
+)
+
+#: Customary one-line notices of common licences, then headers, titles and full texts.
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT license, see the LICENSE file."),
@@ -28,6 +50,32 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
+     "compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
+     "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on "
+     "an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for "
+     "the specific language governing permissions and limitations under the License."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
+     "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any "
+     "later version."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General "
+     "Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any "
+     "later version."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+     "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the "
+     "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
+     "persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and "
+     "this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "
+     "\"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+     "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT "
+     "HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+     "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("BSD-2-Clause", _BSD_2 + _AS_IS),
+    ("BSD-3-Clause", _BSD_2 + _BSD_3 + _AS_IS),
 ]
 
 
@@ -59,31 +107,63 @@ def term_weights(counts: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.select("term", (F.log(F.lit(n + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + 1.0).alias("idf"))
 
 
-def telling_terms(weighted: list[tuple[int, str, float]], least: float) -> list[str]:
-    """Terms of which a line must have one to reach the cosine ``least`` with a template.
+def telling_terms(weighted: list[tuple[int, str, float, float]], least: float) -> set[tuple[int, str]]:
+    """Templates with those terms of which a passage must have one to reach the cosine ``least`` with it.
 
-    The lightest terms of a template whose joint length stays below ``least`` cannot reach
-    it by themselves.  The input is a row per template and term, so its size is the templates'.
+    The commonest terms of a template whose joint length stays below ``least`` cannot reach
+    it by themselves.  The input is template, term, weight and idf, so its size is the templates'.
     """
     needed, by_template = set(), {}
-    for template, term, weight in weighted:
-        by_template.setdefault(template, []).append((weight, term))
-    for found in by_template.values():
-        length, light = math.sqrt(sum(w * w for w, _ in found)), 0.0
-        for weight, term in sorted(found):
+    for template, term, weight, idf in weighted:
+        by_template.setdefault(template, []).append((idf, term, weight))
+    for template, found in by_template.items():
+        length, light = math.sqrt(sum(w * w for _, _, w in found)), 0.0
+        for _, term, weight in sorted(found):
             light += weight * weight
             if math.sqrt(light) >= (least - 1e-9) * length:
-                needed.add(term)
-    return sorted(needed)
+                needed.add((template, term))
+    return needed
+
+
+def passages(words: Column, templates: list[tuple[str, str]], telling: set[tuple[int, str]]) -> Column:
+    """Runs of the words, across line breaks, that put a telling term in its place in a template.
+
+    A run is as long as its template.  Those of templates with more than sixteen words begin
+    at every eighth of their length and are longer by an eighth, so that they hold each place.
+    """
+    seeds: dict[str, set[tuple[int, int, int]]] = {}
+    for number, (_, text) in enumerate(templates):
+        held = re.findall(TERM, text.translate(str.maketrans(UPPER, LOWER)))
+        step = len(held) // 8 if len(held) > 16 else 1
+        for place, term in enumerate(held):
+            if (number, term) in telling:
+                seeds.setdefault(term, set()).add((place, step, len(held) + step - 1))
+    places = F.create_map(*(
+        x for term, found in sorted(seeds.items())
+        for x in (F.lit(term), F.array(*(
+            F.struct(F.lit(p).alias("place"), F.lit(s).alias("step"), F.lit(n).alias("size")) for p, s, n in sorted(found)
+        )))
+    ))
+
+    def runs(word, i):
+        return F.transform(F.coalesce(places[word], F.array().cast("array<struct<place:int,step:int,size:int>>")), lambda s: F.struct(
+            (F.floor(F.greatest(i - s["place"], F.lit(0)) / s["step"]).cast("int") * s["step"]).alias("begin"), s["size"].alias("size")
+        ))
+
+    found = F.array_distinct(F.flatten(F.transform(words, runs)))
+    return F.transform(found, lambda r: F.array_join(F.slice(words, r["begin"] + 1, r["size"]), " "))
 
 
 def notices(
     docs: DataFrame, id_col: str, text_col: str, templates: list[tuple[str, str]], least: float
 ) -> DataFrame:
-    """``id``, ``own_license`` and ``score`` of each document with a line at or above the cosine ``least``.
+    """``id``, ``own_license`` and ``score`` of each document with a passage at or above the cosine ``least``.
+
+    Passages are single lines and, for notices that are wrapped, stand within longer lines or
+    are whole licence texts, runs of words as long as a template (see ``passages``).
 
-    Word weights, also those of words in no template, count all documents.  Lines without a telling term cannot match and are
-    passed over.  The best line decides; of equal scores the first template.
+    Word weights, also those of words in no template, count all documents.  Passages without a telling term cannot match and are
+    passed over.  The best one decides; of equal scores the first template.
     """
     counts = stored(term_counts(docs, text_col), "counts")
     held = template_terms(docs, templates)
@@ -91,15 +171,12 @@ def notices(
     parts = held.join(known, "term").withColumn("w", F.col("tf") * F.col("idf"))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("template")))
     unit = parts.withColumn("w", F.col("w") / length).select("template", "license", "term", "w")
-    telling = telling_terms([tuple(r) for r in parts.select("template", "term", "w").collect()], least)
-    # whole terms only: a letter or digit next to the match would make it part of another term
-    sought = f"(?i)(?<![a-z0-9])(?:{'|'.join(t.replace('.', '[.]') for t in telling)})(?![a-z0-9])"
-    lines = (
-        docs.where(F.col(text_col).rlike(sought))
-        .select(F.col(id_col).alias("id"), F.explode(F.split(F.col(text_col), "\n")).alias("line"))
-        .where(F.col("line").rlike(sought))
-        .distinct()
-    )
+    telling = telling_terms([tuple(r) for r in parts.select("template", "term", "w", "idf").collect()], least)
+    sought = F.array(*map(F.lit, sorted({term for _, term in telling})))
+    near = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.arrays_overlap(terms(F.col(text_col)), sought))
+    single = near.select("id", F.explode(F.split("text", "\n")).alias("line")).where(F.arrays_overlap(terms(F.col("line")), sought))
+    run = near.select("id", F.explode(passages(terms(F.col("text")), templates, telling)).alias("line"))
+    lines = single.unionByName(run).distinct()
     lines = stored(lines, "candidates")
     asked = lines.select(F.explode(F.array_distinct(terms(F.col("line")))).alias("term")).distinct()
     weights = stored(term_weights(counts, asked), "weights")

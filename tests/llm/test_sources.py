@@ -166,3 +166,25 @@ def test_license_verdicts_do_not_change_with_the_size_of_the_corpus(spark):
         got.append({r["own_license"]: (r["n"] / n, r["score"]) for r in found.collect()})
     assert got[0]["MIT"][0] == got[1]["MIT"][0] == 0.01
     assert abs(got[0]["MIT"][1] - got[1]["MIT"][1]) < 0.02
+
+
+def test_wrapped_notices_and_licence_texts_are_found(spark):
+    import textwrap
+
+    full = {name: text for name, text in ls.TEMPLATES if len(text) > 900}
+    cut = {name: "\n".join(textwrap.wrap(text, 72)) for name, text in full.items()}
+    rows = [
+        (1, "# Licensed under the Apache\n# License, Version\n# 2.0.\nimport os\nprint(os.sep)", "Apache-2.0"),
+        (2, "We made it over many years and with many hands, and it is released under the MIT License. It has run since then on "
+            "several large machines of the plant, as the others do.", "MIT"),
+        (3, "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Everyone may copy.", "GPL-3.0"),
+        (4, "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Everyone may copy.", "GPL-2.0"),
+        (5, "MIT License\n\nCopyright (c) 2021 Example Labs\n\n" + cut["MIT"], "MIT"),
+        (6, "Copyright (c) 2021, Example Labs\nAll rights reserved.\n\n" + cut["BSD-3-Clause"], "BSD-3-Clause"),
+        (7, "Copyright (c) 2021, Example Labs\nAll rights reserved.\n\n" + cut["BSD-2-Clause"], "BSD-2-Clause"),
+        (8, "/*\n * " + cut["BSD-3-Clause"].replace("\n", "\n * ") + "\n */\nint main() { return 0; }", "BSD-3-Clause"),
+        (9, "the permission of the author was granted to use the software and to copy it", None),
+    ] + [(100 + i, "the work of this year and the use of it in a form of the house is one of many", None) for i in range(60)]
+    files = spark.createDataFrame([(i, t, "p") for i, t, _ in rows], "doc_id long, text string, path string")
+    got = {r["doc_id"]: r["own_license"] for r in ls.license_scan(files, license_file=None).collect()}
+    assert {i: got[i] for i, _, _ in rows} == {i: want for i, _, want in rows}
