@@ -30,10 +30,10 @@ def normal(line: str) -> str:
     return " ".join(line.lower().split())
 
 
-def judged_lines(text: str) -> list[tuple[int, str]]:
-    """Number and normal form of each line with at least ``MIN_WORDS`` words."""
+def judged_lines(text: str, least_words: int = MIN_WORDS) -> list[tuple[int, str]]:
+    """Number and normal form of each line with at least ``least_words`` words, and one at least."""
     forms = ((i, normal(x)) for i, x in enumerate(text.split("\n")))
-    return [(i, x) for i, x in forms if x.count(" ") >= MIN_WORDS - 1]
+    return [(i, x) for i, x in forms if x and x.count(" ") >= least_words - 1]
 
 
 def line_key(line: str) -> bytes:
@@ -112,23 +112,30 @@ def similar_pairs(lines: list[str], least: float = SIMILARITY) -> tuple[np.ndarr
     return np.nonzero(np.triu(both >= least * whole - 1e-4, 1))
 
 
-def _line_table(docs: DataFrame) -> DataFrame:
-    """Of each document (id, text): line number, key (two longs) and bands of its judged lines."""
+def _line_table(docs: DataFrame, least_words: int) -> DataFrame:
+    """Of each document (id, text): line number, key (two longs) and bands of its judged lines.
+
+    Lines shorter than a shingle have no bands: they are similar to equal ones only.
+    """
     kind = pa.list_(pa.int64())
 
     def run(batches):
         for batch in slices(batches, "text"):
             ids, numbers, lines = [], [], []
             for doc, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
-                for i, line in judged_lines(text or ""):
+                for i, line in judged_lines(text or "", least_words):
                     ids.append(doc)
                     numbers.append(i)
                     lines.append(line)
             if lines:
-                bands = signatures(lines).view(np.int64)
+                long = [i for i, x in enumerate(lines) if len(x) >= SHINGLE]
+                bands = [[]] * len(lines)
+                if long:
+                    for i, row in zip(long, signatures([lines[i] for i in long]).view(np.int64)):
+                        bands[i] = row
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, pa.int64()), pa.array(numbers, pa.int64()), *_halves(list(map(line_key, lines))),
-                     pa.array(list(bands), kind)],
+                     pa.array(bands, kind)],
                     names=["id", "line", "k1", "k2", "bands"],
                 )
 
@@ -146,7 +153,7 @@ def _marks(keys: DataFrame) -> np.ndarray:
     return marks.reshape(-1)
 
 
-def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _line_texts(docs: DataFrame, wanted: DataFrame, least_words: int) -> DataFrame:
     """Key and normal form of the lines whose ``k1`` is wanted, once each.
 
     Lines without a mark stay where they are, so the documents are not shuffled; where the
@@ -157,7 +164,7 @@ def _line_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches):
         held = marks.value
         for batch in slices(batches, "text"):
-            lines = list({x for text in batch.column("text").to_pylist() for _, x in judged_lines(text or "")})
+            lines = list({x for text in batch.column("text").to_pylist() for _, x in judged_lines(text or "", least_words)})
             if not lines:
                 continue
             keys = list(map(line_key, lines))
@@ -245,7 +252,7 @@ def _cell_number(n: Column) -> Column:
     return F.ceil(n / SMALL_BUCKET).cast("int")
 
 
-def similar_lines(docs: DataFrame, lines: DataFrame, n_lines: int) -> tuple[DataFrame, DataFrame, int]:
+def similar_lines(docs: DataFrame, lines: DataFrame, n_lines: int, least_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame, int]:
     """Edges (a, b) between keys of similar lines, enough to connect what all similar pairs
     that share a band would connect; the compared lines' ``key``, ``k1``, ``k2``; and a bound
     of the number of edges.
@@ -266,7 +273,7 @@ def similar_lines(docs: DataFrame, lines: DataFrame, n_lines: int) -> tuple[Data
     chosen = met_rows.groupBy("n", "least", "sum", "mixed").agg(F.min("bucket").alias("bucket")).select("bucket")
     shared = stored(met_rows.select("k1", "bucket", "n").join(chosen.hint("merge"), "bucket", "left_semi"), "chosen", met_rows.count())
     n_shared = shared.count()
-    texts = stored(_line_texts(docs, stored(shared.select("k1").distinct(), "wanted", n_shared)), "line_texts")
+    texts = stored(_line_texts(docs, stored(shared.select("k1").distinct(), "wanted", n_shared), least_words), "line_texts")
     members = shared.join(texts.drop("k2").hint("merge"), "k1")
     small = members.where(F.col("n") <= SMALL_BUCKET).select(
         "bucket", F.lit(0).alias("i"), F.lit(0).alias("j"), "key", "line_text", F.col("key").alias("label"), F.lit(True).alias("left")
@@ -309,20 +316,22 @@ def _cell_number(n: Column) -> Column:
     return F.ceil(n / SMALL_BUCKET).cast("int")
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = MIN_WORDS
+) -> DataFrame:
     """One row per row of ``docs``: id, ``n_lines``, ``n_judged``, ``dropped`` (line numbers from 0).
 
-    Lines with at least five words are compared in normal form (lower case, single spaces) by
+    Lines with at least ``least_words`` words (1: every line but blank ones) are compared in normal form (lower case, single spaces) by
     the Jaccard similarity of their five-character shingles; those at 0.8 or more are linked.
     Of each component the first line (by id, then line number; a null id comes last) stays,
-    the others are dropped.  Shorter lines stay.  Nine bands of three MinHash values miss a pair
+    the others are dropped.  Lines with fewer words stay; lines under five characters must be equal.  Nine bands of three MinHash values miss a pair
     at 0.8 with probability 0.002, a pair at 0.9 with 0.000008.  Null and empty texts
     have one empty line and lose nothing.  Rows that repeat an id lose the same lines.
     """
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    lines = stored(_line_table(picked), "lines")
+    lines = stored(_line_table(picked, least_words), "lines")
     n_lines = lines.count()
-    edges, keys, most = similar_lines(picked, lines, n_lines)
+    edges, keys, most = similar_lines(picked, lines, n_lines, least_words)
     roots = components(edges, "a", "b", most)
     top = keys.select(F.col("key").alias("root"), F.col("k1").alias("r1"), F.col("k2").alias("r2"))
     linked = keys.join(roots.withColumnRenamed("node", "key"), "key").join(top, "root").select("k1", "k2", "r1", "r2")

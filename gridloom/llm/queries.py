@@ -102,7 +102,7 @@ def _pii(spark, sf_dir):
 
 @query("op7_fuzzy_line_dedup")
 def _lines(spark, sf_dir):
-    found = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    found = line_dedup.line_dedup(table(spark, sf_dir, "documents"), least_words=1)
     return found.select(
         "doc_id", "n_lines", "n_judged", F.size("dropped").cast("long").alias("n_dropped"),
         F.concat_ws(",", F.col("dropped").cast("array<string>")).alias("dropped_lines"),

@@ -203,3 +203,18 @@ def test_lines_with_one_changed_character_are_linked(spark):
         rows += [(2 * i, line, "en", "s", 0), (2 * i + 1, other, "en", "s", 0)]
     got = {r["doc_id"]: r["dropped"] for r in ld.line_dedup(frame(spark, rows)).collect()}
     assert [i for i in range(60) if got[2 * i + 1] != [0]] == []
+
+
+def test_short_lines_and_lines_without_spaces_are_judged(spark):
+    from gridloom.llm.queries import QUERIES
+
+    chinese = "".join(map(chr, range(0x4E00, 0x4E3C)))
+    rows = [
+        (1, "Home\nok\n\nabout  us\n" + chinese, "en", "s", 0), (2, "HOME\nno\n\nAbout us", "en", "s", 0),
+        (3, "ok\n \n" + chinese[:30] + "龍" + chinese[31:], "zh", "s", 0), (4, "a b c d e f g h", "en", "s", 0),
+    ]
+    got = {r["doc_id"]: (r["n_judged"], r["dropped"]) for r in ld.line_dedup(frame(spark, rows), least_words=1).collect()}
+    assert got == {1: (4, []), 2: (3, [0, 3]), 3: (2, [0, 2]), 4: (1, [])}
+    found = QUERIES["op7_fuzzy_line_dedup"](spark, "/root/testdata/sf0.001").agg({"n_judged": "sum"}).first()[0]
+    texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    assert found == sum(bool(x.strip()) for r in texts for x in (r["text"] or "").split("\n"))
