@@ -162,3 +162,21 @@ def test_repeated_words_meet_in_one_bucket():
     a, _ = qc.features([b"abc abc"])
     b, _ = qc.features([b"xyzw xyzw"])
     assert set(a) & set(b)
+
+
+def test_noise_is_dropped_and_prose_kept_by_length(spark):
+    draw = random.Random(14)
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    kinds = {"letters": lower, "hex": digits + "abcdef", "base62": lower + lower.upper() + digits}
+
+    def noise(alphabet, n):
+        words = ("".join(draw.choice(alphabet) for _ in range(draw.randrange(2, 10))) for _ in range(n))
+        return " ".join(words)[:n]
+
+    # letters below 4 KB and hex below 16 KB compress like prose of that length
+    planted = [("base62", 1100), ("base62", 4200), ("letters", 4200)] + [(k, n) for k in kinds for n in (17_000, 100_000)]
+    rows = [(i, noise(kinds[k], n), "en", "s", 0) for i, (k, n) in enumerate(planted)]
+    rows += [(100 + i, prose(draw, n), "en", "s", 0) for i, n in enumerate((250, 900, 3600, 20_000))]
+    got = {r["doc_id"]: r for r in qr.quality_rules(frame(spark, rows)).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert [planted[i] for i in range(len(planted)) if got[i]["kept"]] == [] and all(got[100 + i]["kept"] for i in range(4))
