@@ -81,12 +81,14 @@ _GAP = r"(?:[ ,]|-|\s)\s?"
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _MARK = re.compile(rf"[ ]?{_OPEN}[ ]?(at|dot|@|\.)[ ]?{_CLOSE}[ ]?|&#(64|46);", re.I | re.A)
 _BARE = re.compile(
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?P<at>\s{1,3}at\s{1,3})"
-    r"[A-Za-z0-9-]+(?P<dots>(?:\s{1,3}dot\s{1,3}[A-Za-z0-9-]+)+)(?![A-Za-z0-9-])", re.I | re.A,
+    r"(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9._%+-]+(?:\s{1,3}dot\s{1,3}[A-Za-z0-9._%+-]+){0,4})(?P<at>\s{1,3}at\s{1,3})"
+    r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*(?P<dots>(?:\s{1,3}dot\s{1,3}[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*)+)(?![A-Za-z0-9-])",
+    re.I | re.A,
 )
 _BARE_DOT = re.compile(r"\s{1,3}dot\s{1,3}", re.I | re.A)
 _SPELLED = re.compile(rf"\b(?:plus{_GAP})?(?:{_WORD}|[0-9])(?:{_GAP}(?:{_WORD}|dot|point|[0-9]))" r"{6,}\b", re.I | re.A)
-_SPELLED_PART = re.compile(rf"plus|{_WORD}|dot|point|[0-9]", re.I | re.A)
+_MIXED = re.compile(rf"\b(?:plus{_GAP})?(?:{_WORD}|[0-9]{{1,19}})(?:{_GAP}(?:{_WORD}|dot|point|[0-9]{{1,19}}))" r"{2,}\b", re.I | re.A)
+_SPELLED_PART = re.compile(rf"plus|{_WORD}|dot|point|[0-9]+", re.I | re.A)
 _SPELLED_HINT = re.compile(rf"\b{_WORD}{_GAP}{_WORD}\b", re.I | re.A)
 
 
@@ -100,6 +102,8 @@ def _folded(char: str) -> str:
         plain = unicodedata.normalize("NFKC", char)
         if char in "․。｡":
             plain = "."
+        elif (digit := unicodedata.decimal(char, None)) is not None:
+            plain = str(digit)
     return plain if len(plain) == 1 and plain.isascii() else char
 
 
@@ -147,6 +151,7 @@ def join_marks(m: Mapped) -> bool:
         m.rewrite(found)
     bare = []
     for x in _BARE.finditer(m.text):
+        bare += [(*d.span(), ".", None) for d in _BARE_DOT.finditer(m.text, *x.span("local"))]
         bare.append((*x.span("at"), "@", None))
         bare += [(*d.span(), ".", None) for d in _BARE_DOT.finditer(m.text, *x.span("dots"))]
     if bare:
@@ -154,26 +159,38 @@ def join_marks(m: Mapped) -> bool:
     return bool(found or bare)
 
 
-def join_spelled_digits(m: Mapped) -> bool:
-    """Runs of at least seven spelled digits (or dots between them) become digits."""
+def join_spelled_digits(m: Mapped, pattern: re.Pattern = _SPELLED) -> bool:
+    """Runs with at least seven digits, spelled or (by ``_MIXED``) also in groups, become digits."""
     if not _SPELLED_HINT.search(m.text):
         return False
     changes = []
-    for x in _SPELLED.finditer(m.text):
+    for x in pattern.finditer(m.text):
         parts = list(_SPELLED_PART.finditer(m.text, *x.span()))
         sign = {"plus": "+", "dot": ".", "point": "."} | _DIGIT_WORDS
-        changes.append((*x.span(), "".join(sign.get(p[0].lower(), p[0]) for p in parts), [p.span() for p in parts]))
+        new = [sign.get(p[0].lower(), p[0]) for p in parts]
+        if pattern is _SPELLED or (len("".join(new)) >= 7 and any(p[0].lower() in _DIGIT_WORDS for p in parts)):
+            places = [(p.start() + i, p.start() + i + 1) if p[0].isdigit() else p.span() for p, c in zip(parts, new) for i in range(len(c))]
+            changes.append((*x.span(), "".join(new), places))
     if changes:
         m.rewrite(changes)
     return bool(changes)
 
 
 def find_disguised(text: str) -> list[tuple[str, int, int]]:
-    """Spans of identifiers that show only after the disguises are undone, in source characters."""
-    m = Mapped(text)
-    if not any([step(m) for step in (fold_characters, join_marks, join_spelled_digits)]):
-        return []
-    return [(kind, *m.source(a, z)) for kind, a, z in find_plain(m.text)]
+    """Spans of identifiers that show only after the disguises are undone, in source characters.
+
+    Spelled digits are joined twice, alone and with groups of digits beside them.
+    """
+    found = set()
+    for pattern in (_SPELLED, _MIXED):
+        m = Mapped(text)
+        changed = [fold_characters(m), join_marks(m)]
+        spelled = join_spelled_digits(m, pattern)
+        if spelled or (pattern is _SPELLED and any(changed)):
+            found |= {(kind, *m.source(a, z)) for kind, a, z in find_plain(m.text)}
+        if not _SPELLED_HINT.search(m.text) and not spelled:
+            break
+    return sorted(s for s in found if not any(o != s and o[0] == s[0] and o[1] <= s[1] and s[2] <= o[2] for o in found))
 
 
 def find_identifiers(text: str) -> list[tuple[str, int, int, bool]]:

@@ -180,3 +180,16 @@ def test_noise_is_dropped_and_prose_kept_by_length(spark):
     got = {r["doc_id"]: r for r in qr.quality_rules(frame(spark, rows)).collect()}
     assert not any(r["base_failed"] for r in got.values())
     assert [planted[i] for i in range(len(planted)) if got[i]["kept"]] == [] and all(got[100 + i]["kept"] for i in range(4))
+
+
+@pytest.mark.parametrize("text, kind, part", [
+    ("write jane at mail.example dot com now", "email", "jane at mail.example dot com"),
+    ("write jane dot doe at example dot com now", "email", "jane dot doe at example dot com"),
+    ("call plus one nine zero zero 555 two zero seven seven ok", "phone", "plus one nine zero zero 555 two zero seven seven"),
+    ("card four one one one 1111 1111 1111 ok", "card", "four one one one 1111 1111 1111"),
+    ("card four one one one 111111111111 ok", "card", "four one one one 111111111111"),
+    ("call +١٩٠٠٥٥٥٢٠٧٧ ok", "phone", "+١٩٠٠٥٥٥٢٠٧٧"), ("card ४१११ ११११ ११११ ११११ ok", "card", "४१११ ११११ ११११ ११११"),
+])
+def test_longer_disguises_are_undone_whole(text, kind, part):
+    start = text.index(part)
+    assert [s for s in pii.find_identifiers(text) if s[0] == kind] == [(kind, start, start + len(part), True)]
