@@ -17,6 +17,7 @@ from gridloom.llm import (
     pii,
     quality_classifier,
     quality_rules,
+    sentence_pieces,
     simhash,
     url_filters,
 )
@@ -122,3 +123,13 @@ def _quality(spark, sf_dir):
 @query("op10_compression_rules")
 def _rules(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query("op12_piece_coding")
+def _pieces(spark, sf_dir):
+    path = tokenizer_path("piece_bpe_32k.model")
+    coded = sentence_pieces.decode_pieces(sentence_pieces.encode_pieces(table(spark, sf_dir, "documents"), path), path)
+    return coded.select(
+        "doc_id", F.size("piece_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("piece_ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
