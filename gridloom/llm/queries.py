@@ -20,6 +20,7 @@ from gridloom.llm import (
     sentence_pieces,
     simhash,
     url_filters,
+    whitening,
 )
 from gridloom.sources.tables import table
 
@@ -133,3 +134,9 @@ def _pieces(spark, sf_dir):
         "doc_id", F.size("piece_ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join("piece_ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op13_whitening")
+def _whitening(spark, sf_dir):
+    white = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return white.withColumn("deviation", F.expr("try_cast(deviation as long)"))
