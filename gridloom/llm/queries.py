@@ -19,6 +19,7 @@ from gridloom.llm import (
     quality_rules,
     sentence_pieces,
     simhash,
+    spelling,
     url_filters,
     whitening,
 )
@@ -126,6 +127,11 @@ def _rules(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+@query("op11_spelling_variants")
+def _variants(spark, sf_dir):
+    return spelling.variant_groups(table(spark, sf_dir, "documents"))
+
+
 @query("op12_piece_coding")
 def _pieces(spark, sf_dir):
     path = tokenizer_path("piece_bpe_32k.model")
