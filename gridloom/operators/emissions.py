@@ -20,27 +20,32 @@ SAG_V, SWELL_V, THD_LIMIT, IDLE_PF, IDLE_KWH = 390.0, 430.0, 8.0, 45.0, 10.0
 # --- End of fixed values ------------------------------------------------------------
 
 
-def _supplied(df: DataFrame, name: str, computed):
-    return F.coalesce(F.col(name), computed) if name in df.columns else computed
+def priced_scopes(smoothed: DataFrame, curve: DataFrame, ts="ts", smooth="_smooth", given="") -> DataFrame:
+    """Scopes and total of readings with their smoothed load, unrounded.
+
+    A value that came with a reading, in a column of the result's name behind ``given``, wins
+    over the computed one; so does ``nsm``, the seconds since midnight.
+    """
+    def nsm():
+        hour = F.hour(ts) * 3600
+        return F.coalesce(F.col(f"{given}nsm"), hour) if f"{given}nsm" in smoothed.columns else hour
+
+    def supplied(name, computed):
+        return F.coalesce(F.col(f"{given}{name}"), computed) if f"{given}{name}" in smoothed.columns else computed
+
+    out = join_hour_curve(smoothed.withColumn("nsm", nsm()), curve, ts)
+    out = out.withColumns({
+        "scope1_co2_kg": supplied("scope1_co2_kg", F.col(smooth) * GAS_PER_KWH * CO2_PER_GAS),
+        "scope2_co2_kg": supplied("scope2_co2_kg", F.col("usage_kwh") * (F.col("carbon_g") / 1000.0)),
+        "scope3_co2_kg": supplied("scope3_co2_kg", F.col("usage_kwh") * SCOPE3_PER_KWH + SCOPE3_PER_DAY * (F.col("nsm") / 86400.0)),
+    })
+    total = (F.col("scope1_co2_kg") + F.col("scope2_co2_kg") + F.col("scope3_co2_kg")) / 1000.0
+    return out.withColumn("co2_tco2", supplied("co2_tco2", total)).drop("tariff", "carbon_g", "solar_factor")
 
 
 def emissions_ingest(df: DataFrame, curve: DataFrame, keys: Sequence[str], ts="ts", order=None) -> DataFrame:
     """Scopes for arriving readings, unrounded; supplied values win over computed ones."""
-    out = df
-    if "nsm" not in out.columns:
-        out = out.withColumn("nsm", F.hour(ts) * 3600)
-    out = join_hour_curve(ewma(out, keys, order or [ts], "usage_kwh", alpha=0.2, name="_smooth"), curve, ts)
-    s1 = _supplied(df, "scope1_co2_kg", F.col("_smooth") * GAS_PER_KWH * CO2_PER_GAS)
-    s2 = _supplied(df, "scope2_co2_kg", F.col("usage_kwh") * (F.col("carbon_g") / 1000.0))
-    s3 = _supplied(
-        df, "scope3_co2_kg",
-        F.col("usage_kwh") * SCOPE3_PER_KWH + SCOPE3_PER_DAY * (F.col("nsm") / 86400.0),
-    )
-    out = out.withColumns({"scope1_co2_kg": s1, "scope2_co2_kg": s2, "scope3_co2_kg": s3})
-    total = (F.col("scope1_co2_kg") + F.col("scope2_co2_kg") + F.col("scope3_co2_kg")) / 1000.0
-    return out.withColumn("co2_tco2", _supplied(df, "co2_tco2", total)).drop(
-        "_smooth", "tariff", "carbon_g", "solar_factor"
-    )
+    return priced_scopes(ewma(df, keys, order or [ts], "usage_kwh", alpha=0.2, name="_smooth"), curve, ts).drop("_smooth")
 
 
 def scope23(df: DataFrame, curve: DataFrame, ts="ts") -> DataFrame:

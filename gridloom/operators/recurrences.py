@@ -13,6 +13,7 @@ states.  The result does not depend on the number of partitions or chunks.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -132,55 +133,55 @@ def _one(table: pa.Table, keys: Sequence[str], values: dict) -> pa.Table:
     return pa.table(head | {k: pa.array([v]) for k, v in values.items()})
 
 
-def carry_scan(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    summary_schema: str,
-    carry_schema: str,
-    output_schema: str,
-    summarise: Callable[[pa.Table], dict],
-    start: Callable[[dict], object],
-    step: Callable[[object, dict], object],
-    emit: Callable[[object], dict],
-    replay: Callable[[pa.Table], dict],
-    target: int = TARGET_ROWS,
-) -> DataFrame:
-    """Two-pass scan; see the module text.
+@dataclass(frozen=True)
+class Scan:
+    """A recurrence in parts that can be worked on apart from each other.
 
     ``summarise`` reads a chunk; ``start``, ``step`` and ``emit`` run over a series' ordered
-    summaries and give each chunk its entry state; ``replay`` reads a chunk whose rows
-    carry that state and returns the new columns.  Both passes read the same shuffle.
+    summaries and give each chunk its entry state, ``load`` is the inverse of ``emit``;
+    ``replay`` reads a chunk whose rows carry that state and returns the new columns.
     """
+
+    summary_schema: str
+    carry_schema: str
+    output_schema: str
+    summarise: Callable[[pa.Table], dict]
+    start: Callable[[dict], object]
+    step: Callable[[object, dict], object]
+    emit: Callable[[object], dict]
+    load: Callable[[dict], object]
+    replay: Callable[[pa.Table], dict]
+
+    def replayed(self, table: pa.Table, names: Sequence[str]) -> pa.Table:
+        new = self.replay(table)
+        kept = table.select(names)
+        for name, values in new.items():
+            kept = kept.append_column(name, pa.array(values))
+        return kept
+
+
+def carry_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], scan: Scan, target: int = TARGET_ROWS) -> DataFrame:
+    """Two-pass scan; see the module text.  Both passes read the same shuffle."""
     keys, names = list(keys), list(df.columns)
     parts = [*keys, "_chunk"]
     head = StructType([df.schema[k] for k in keys] + StructType.fromDDL("_chunk bigint").fields)
-    carry = StructType.fromDDL(carry_schema)
+    carry = StructType.fromDDL(scan.carry_schema)
     chunks = chunk_rows(df, keys, order, 0, target).select(*names, "_chunk").repartition(*parts)
 
     summaries = segment_map(
-        chunks, parts, order, lambda t: _one(t, parts, summarise(t)),
-        StructType(head.fields + StructType.fromDDL(summary_schema).fields),
+        chunks, parts, order, lambda t: _one(t, parts, scan.summarise(t)),
+        StructType(head.fields + StructType.fromDDL(scan.summary_schema).fields),
+    )
+    entries = running_fold(summaries, keys, "_chunk", scan.start, scan.step, scan.emit, StructType(head.fields + carry.fields))
+    return segment_map(
+        chunks.join(entries, parts), parts, order, lambda t: scan.replayed(t, names), _schema_with(df, scan.output_schema)
     )
-    entries = running_fold(summaries, keys, "_chunk", start, step, emit, StructType(head.fields + carry.fields))
-
-    def replay_run(t: pa.Table) -> pa.Table:
-        new = replay(t)
-        kept = t.select(names)
-        for name, values in new.items():
-            kept = kept.append_column(name, pa.array(values))
-        return kept
-
-    return segment_map(chunks.join(entries, parts), parts, order, replay_run, _schema_with(df, output_schema))
 
 
 # --- exponential smoothing ------------------------------------------------------------
 
-def ewma(df: DataFrame, keys, order, col: str, alpha=0.2, name="ewma", seed: str | None = None, **kw) -> DataFrame:
-    """s = (1-alpha) s + alpha x, starting at the first value (or the ``seed`` column).
-
-    The map of a chunk is affine, so its summary is (rows, exit value from entry 0).
-    """
+def ewma_scan(col: str, alpha=0.2, name="ewma", seed: str | None = None) -> Scan:
+    """The map of a chunk is affine, so its summary is (rows, exit value from entry 0)."""
     import pandas as pd
 
     decay = 1.0 - alpha
@@ -200,12 +201,17 @@ def ewma(df: DataFrame, keys, order, col: str, alpha=0.2, name="ewma", seed: str
         s0 = t.column("_in")[0].as_py()
         return {name: local(x) + s0 * np.power(decay, np.arange(1, len(x) + 1))}
 
-    return carry_scan(
-        df, keys, order, "m double, exit0 double, first double", "_in double", f"{name} double", summarise,
-        lambda c: c["first"], lambda s, c: c["exit0"] + decay ** c["m"] * s, lambda s: {"_in": s}, replay, **kw,
+    return Scan(
+        "m double, exit0 double, first double", "_in double", f"{name} double", summarise,
+        lambda c: c["first"], lambda s, c: c["exit0"] + decay ** c["m"] * s, lambda s: {"_in": s}, lambda c: c["_in"], replay,
     )
 
 
+def ewma(df: DataFrame, keys, order, col: str, alpha=0.2, name="ewma", seed: str | None = None, **kw) -> DataFrame:
+    """s = (1-alpha) s + alpha x, starting at the first value (or the ``seed`` column)."""
+    return carry_scan(df, keys, order, ewma_scan(col, alpha, name, seed), **kw)
+
+
 # --- thermal state --------------------------------------------------------------------
 HEATING, COOLING, INITIAL_C = 0.05, 0.002, 150.0
 
@@ -238,10 +244,11 @@ def thermal_state(df: DataFrame, keys, order, power="usage_kwh", ambient="temp",
             h = max(lo_i, keep * h + c_i)
         return {name: states}
 
-    return carry_scan(
-        df, keys, order, "a double, b double, c double", "_in double", f"{name} double", summarise,
-        lambda c: INITIAL_C, lambda h, c: max(c["a"], c["b"] * h + c["c"]), lambda h: {"_in": h}, replay, **kw,
+    scan = Scan(
+        "a double, b double, c double", "_in double", f"{name} double", summarise,
+        lambda c: INITIAL_C, lambda h, c: max(c["a"], c["b"] * h + c["c"]), lambda h: {"_in": h}, lambda c: c["_in"], replay,
     )
+    return carry_scan(df, keys, order, scan, **kw)
 
 
 # --- cumulative-sum drift ---------------------------------------------------------------
@@ -305,22 +312,15 @@ def _first_passages(walk: np.ndarray, h: float, before: int):
     return w[places], places
 
 
-def cusum(
-    df: DataFrame, keys, order, col="usage_kwh", allowance=0.5, threshold=5.0, target_mean: str | None = None, **kw
-) -> DataFrame:
-    """Adds ``cusum_pos, cusum_neg, drift`` ('Upper'/'Lower'/null) and ``drift_severity``.
+def cusum_scan(col="usage_kwh", allowance=0.5, threshold=5.0) -> Scan:
+    """Drift sums over rows that carry their key's ``_mu`` and ``_sd``.
 
-    Sums are kept in units of the key's population deviation and reset to 0 after an
-    alarm.  From entry state (p, n) a chunk first alarms where the free walk passes
-    ``h - p`` (or ``h - n``) or where the walk from (0, 0) alarms anyway; behind the alarm
-    the way no longer depends on the entry.  A chunk's summary therefore lists the free
-    walks' record highs with the exit state that follows an alarm there.
+    Sums are kept in units of the deviation and reset to 0 after an alarm.  From entry state
+    (p, n) a chunk first alarms where the free walk passes ``h - p`` (or ``h - n``) or where
+    the walk from (0, 0) alarms anyway; behind the alarm the way no longer depends on the
+    entry.  A chunk's summary therefore lists the free walks' record highs with the exit
+    state that follows an alarm there.
     """
-    stats = df.groupBy(*keys).agg(
-        (F.avg(col) if target_mean is None else F.first(target_mean)).alias("_mu"),
-        F.stddev_pop(col).alias("_sd0"),
-    ).withColumn("_sd", F.when(F.col("_sd0") == 0, 1.0).otherwise(F.col("_sd0"))).drop("_sd0")
-    rows = df.join(stats, list(keys))
 
     def scaled(t):
         d = doubles(t, col) - t.column("_mu")[0].as_py()
@@ -376,15 +376,25 @@ def cusum(
             "drift_severity": level.tolist() if any(x is not None for x in level) else pa.nulls(len(d), pa.string()),
         }
 
-    out = carry_scan(
-        rows, keys, order,
+    return Scan(
         "h double, own bigint, u_lev array<double>, u_at array<bigint>, v_lev array<double>, v_at array<bigint>, "
         "at array<bigint>, end_p array<double>, end_n array<double>, u_sum double, v_sum double, p0 double, n0 double",
         "_p double, _q double",
         "cusum_pos double, cusum_neg double, drift string, drift_severity string",
-        summarise, lambda c: (0.0, 0.0), step, lambda s: {"_p": s[0], "_q": s[1]}, replay, **kw,
+        summarise, lambda c: (0.0, 0.0), step, lambda s: {"_p": s[0], "_q": s[1]}, lambda c: (c["_p"], c["_q"]), replay,
     )
-    return out.drop("_mu", "_sd")
+
+
+def cusum(
+    df: DataFrame, keys, order, col="usage_kwh", allowance=0.5, threshold=5.0, target_mean: str | None = None, **kw
+) -> DataFrame:
+    """Adds ``cusum_pos, cusum_neg, drift`` ('Upper'/'Lower'/null) and ``drift_severity``; see ``cusum_scan``."""
+    stats = df.groupBy(*keys).agg(
+        (F.avg(col) if target_mean is None else F.first(target_mean)).alias("_mu"),
+        F.stddev_pop(col).alias("_sd0"),
+    ).withColumn("_sd", F.when(F.col("_sd0") == 0, 1.0).otherwise(F.col("_sd0"))).drop("_sd0")
+    rows = df.join(stats, list(keys))
+    return carry_scan(rows, keys, order, cusum_scan(col, allowance, threshold), **kw).drop("_mu", "_sd")
 
 
 def drift_summary(scanned: DataFrame, keys: Sequence[str]) -> DataFrame:

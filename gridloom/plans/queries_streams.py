@@ -10,7 +10,7 @@ from gridloom.plans.queries_base import KEYS
 from gridloom.plans.queries_domain import live_readings
 from gridloom.plans.queries_models import RAW_FEATURES
 from gridloom.plans.queries_series import CUSUM_SQL
-from gridloom.plans.registry import READINGS, USER_READINGS, query, rounded, scratch
+from gridloom.plans.registry import CURVE, READINGS, USER_READINGS, query, rounded, scratch
 from gridloom.sources.files import write_json
 from gridloom.sources.tables import as_readings, readings, table
 from gridloom.streaming import streams as S
@@ -94,33 +94,56 @@ s AS (SELECT meter_id, pos, reading_id, usage_kwh AS v FROM numbered WHERE pos =
 SELECT reading_id, round(v, 6) AS smooth_kwh, round(v * 0.062176 * 1.93, 6) AS scope1_co2_kg FROM s"""
 
 
-def _smoothed(df, delay):
-    out = newest(S.stream_ewma_emissions(df, KEYS, delay=delay), "ewma", ["reading_id"])
+def _smoothed(df):
+    spark = df.sparkSession
+    path = scratch(spark, "ewma")
+    S.stream_ewma_emissions(df, path, KEYS).awaitTermination()
+    out = S.smoothing_store(df.schema, path, KEYS).results(spark)
     return rounded(out, 6, "smooth_kwh", "scope1_co2_kg").select("reading_id", "smooth_kwh", "scope1_co2_kg")
 
 
 @query("stream_ewma_emissions", EWMA_SQL)
 def stream_ewma_emissions(spark, sf_dir):
-    return _smoothed(events_stream(spark, sf_dir).select("meter_id", "reading_id", "ts", "usage_kwh"), "1 hour")
+    return _smoothed(events_stream(spark, sf_dir).select("meter_id", "reading_id", "ts", "usage_kwh"))
 
 
 @query("stream_ewma_shuffled", EWMA_SQL)
 def stream_ewma_shuffled(spark, sf_dir):
-    return _smoothed(shuffled_stream(spark, sf_dir), "40 days")
+    """Rows of all days in each micro-batch: nearly all of them late."""
+    return _smoothed(shuffled_stream(spark, sf_dir))
+
+
+INGEST_SQL = EWMA_SQL.split("SELECT reading_id, round(v, 6)")[0] + f""", {CURVE}, given AS (
+  SELECT s.reading_id, v, usage_kwh, hour, carbon_g, CASE WHEN s.reading_id % 7 = 0 THEN usage_kwh * 0.5::DOUBLE END AS g2,
+         CASE WHEN s.reading_id % 11 = 0 THEN 1.25::DOUBLE END AS g1
+  FROM s JOIN readings r ON r.reading_id = s.reading_id JOIN curve ON hour = hour(r.ts)),
+scopes AS (SELECT reading_id, v, coalesce(g1, v * 0.062176 * 1.93) AS s1, coalesce(g2, usage_kwh * carbon_g / 1000.0) AS s2,
+  usage_kwh * 0.22::DOUBLE + 5.0::DOUBLE * (hour * 3600) / 86400.0 AS s3 FROM given)
+SELECT reading_id, round(v, 6) AS smooth_kwh, round(s1, 6) AS scope1_co2_kg, round(s2, 6) AS scope2_co2_kg, round(s3, 6) AS scope3_co2_kg,
+  round((s1 + s2 + s3) / 1000.0, 8) AS co2_tco2 FROM scopes"""
 
 
-@query("stream_ingest_pipeline", EWMA_SQL)
+@query("stream_ingest_pipeline", INGEST_SQL)
 def stream_ingest_pipeline(spark, sf_dir):
-    """Two loads, the second with rows of the first among its own: checked, smoothed from the
-    stored values on, priced, and each reading stored once."""
+    """Three loads: early days, then later ones with rows of the first among them, then readings of all
+    days that were held back.  Checked, smoothed, priced in all scopes; each reading is stored once."""
     rows = readings(spark, sf_dir).select("meter_id", "reading_id", "ts", "usage_kwh")
-    inbox, out, progress = (scratch(spark, n) for n in ("loads", "ingested", "loads-progress"))
-    for part in (rows.where("ts < timestamp '2024-01-16'"), rows.where("ts >= timestamp '2024-01-15 12:00:00'")):
+    rows = rows.withColumns({
+        "scope1_co2_kg": F.when(F.col("reading_id") % 11 == 0, F.lit(1.25)),
+        "scope2_co2_kg": F.when(F.col("reading_id") % 7 == 0, F.col("usage_kwh") * 0.5),
+    })
+    inbox, out = (scratch(spark, n) for n in ("loads", "ingested"))
+    held, curve = F.col("reading_id") % 10 == 3, dims.hour_curve(spark)
+    for part in (
+        rows.where("ts < timestamp '2024-01-16'").where(~held), rows.where("ts >= timestamp '2024-01-15 12:00:00'").where(~held), rows.where(held)
+    ):
         broken = part.limit(3).withColumns({"usage_kwh": F.lit(-5.0), "reading_id": -F.col("reading_id") - 1})
         part.unionByName(broken).coalesce(1).write.mode("append").parquet(inbox)
         load = S.read_stream(spark, inbox, rows.schema, "parquet", 1)
-        S.ingest(load, out, progress, F.col("usage_kwh") >= 0).awaitTermination()
-    return rounded(spark.read.parquet(out), 6, "smooth_kwh", "scope1_co2_kg").select("reading_id", "smooth_kwh", "scope1_co2_kg")
+        S.ingest(load, out, F.col("usage_kwh") >= 0, curve).awaitTermination()
+    stored = S.ingested(spark, out, rows.withColumnsRenamed({c: f"given_{c}" for c in S.SUPPLIED}).schema, curve)
+    priced = rounded(rounded(stored, 6, "smooth_kwh", "scope1_co2_kg", "scope2_co2_kg", "scope3_co2_kg"), 8, "co2_tco2")
+    return priced.select("reading_id", "smooth_kwh", "scope1_co2_kg", "scope2_co2_kg", "scope3_co2_kg", "co2_tco2")
 
 
 @query("stream_moments", f"""WITH {USER_READINGS} SELECT meter_id, count(*) AS n, round(avg(usage_kwh), 6) AS mean, round(coalesce(stddev_samp(usage_kwh), 0), 6) AS std FROM readings GROUP BY meter_id""")
@@ -134,20 +157,23 @@ CUSUM_STREAM_SQL = CUSUM_SQL + """SELECT reading_id, round(p, 4) AS cusum_pos, r
   CASE WHEN p > h THEN 'Upper' WHEN q > h THEN 'Lower' END AS drift FROM s"""
 
 
-def _drift(spark, sf_dir, df, delay):
+def _drift(spark, sf_dir, df):
     base = readings(spark, sf_dir).groupBy("meter_id").agg(F.avg("usage_kwh").alias("mean"), F.stddev_pop("usage_kwh").alias("std"))
-    out = newest(S.stream_cusum(df, base, KEYS, threshold=4.0, delay=delay), "cusum", ["reading_id"])
+    path = scratch(spark, "cusum")
+    S.stream_cusum(df, path, base, KEYS, threshold=4.0).awaitTermination()
+    schema = df.withColumns({"_mu": F.lit(0.0), "_sd": F.lit(0.0)}).schema
+    out = S.drift_store(schema, path, KEYS, threshold=4.0).results(spark)
     return rounded(out, 4, "cusum_pos", "cusum_neg").select("reading_id", "cusum_pos", "cusum_neg", "drift")
 
 
 @query("stream_cusum", CUSUM_STREAM_SQL)
 def stream_cusum(spark, sf_dir):
-    return _drift(spark, sf_dir, events_stream(spark, sf_dir).select("meter_id", "reading_id", "ts", "usage_kwh"), "1 hour")
+    return _drift(spark, sf_dir, events_stream(spark, sf_dir).select("meter_id", "reading_id", "ts", "usage_kwh"))
 
 
 @query("stream_cusum_shuffled", CUSUM_STREAM_SQL)
 def stream_cusum_shuffled(spark, sf_dir):
-    return _drift(spark, sf_dir, shuffled_stream(spark, sf_dir), "40 days")
+    return _drift(spark, sf_dir, shuffled_stream(spark, sf_dir))
 
 
 @query("stream_alerts", """SELECT event_id AS reading_id, 'Thermal Overload' AS alert_type, 'CRITICAL' AS severity FROM events WHERE 40 + value > 85

@@ -2,32 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from gridloom.operators.emissions import CO2_PER_GAS, GAS_PER_KWH, threshold_alerts
-from gridloom.operators.recurrences import ewma
-from gridloom.session import cut_lineage
-from gridloom.sources.files import append_new, table_exists
+from gridloom.operators.emissions import CO2_PER_GAS, GAS_PER_KWH, priced_scopes, threshold_alerts
+from gridloom.operators.recurrences import cusum_scan, ewma_scan
+from gridloom.sources.files import append_new
+from gridloom.streaming.folds import FoldStore
 
 
 def read_stream(
-    spark: SparkSession, path: str, schema: str | StructType, fmt="json", files_per_batch: int | None = None
+    spark: SparkSession, path: str, schema: str | StructType, fmt="json", files_per_batch: int | None = None,
+    bytes_per_batch: int = 1 << 36,
 ) -> DataFrame:
     """Records from a folder that files arrive in.
 
-    ``files_per_batch`` bounds a micro-batch; results do not depend on it.
+    A micro-batch is bounded by ``files_per_batch`` if given, else by the files' bytes; results do
+    not depend on it.
     """
     reader = spark.readStream.schema(schema).format(fmt)
     if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.load(path)
+        return reader.option("maxFilesPerTrigger", files_per_batch).load(path)
+    return reader.option("maxBytesPerTrigger", bytes_per_batch).load(path)
 
 
 def kafka_records(raw: DataFrame, schema: str) -> DataFrame:
@@ -107,127 +106,75 @@ def stream_moments(df: DataFrame, keys: Sequence[str], col="usage_kwh") -> DataF
     )
 
 
-def _ordered_fold(df: DataFrame, keys, ts, row_id, cols, state_cols, start, step, finish, output, delay):
-    """Fold each key's rows in (ts, row_id) order as they arrive, late rows included.
+def smoothing_store(
+    schema: StructType, path: str, keys: Sequence[str], ts="ts", col="usage_kwh", alpha=0.2, row_id="reading_id", **kw
+) -> FoldStore:
+    """Smoothed load and scope 1 per reading, in (time, id) order whatever the order of arrival."""
+    def scope1(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("scope1_co2_kg", F.col("smooth_kwh") * GAS_PER_KWH * CO2_PER_GAS)
 
-    The state of a key is the fold's value at the watermark and the rows after it.  New rows
-    are put in their places, and the rows from the first new place on are written again
-    with their results; ``latest`` by row id reads the final ones.  Rows that the watermark
-    has passed join the folded value, so what is held per key is the rows of ``delay``.  A
-    row older than that is folded in front of what is held.
-    """
-    keys, cols = list(keys), list(cols)
-    fields = [df.schema[k] for k in keys] + [df.schema[row_id], df.schema[ts]] + [df.schema[cols[0]]]
-    held = StructType.fromDDL(
-        ", ".join(f"{c} double" for c in state_cols) + ", at array<bigint>, ids array<bigint>, "
-        + ", ".join(f"v{i} array<double>" for i in range(len(cols)))
-    )
+    return FoldStore(path, ewma_scan(col, alpha, "smooth_kwh"), keys, ts, row_id, [col], schema, scope1, **kw)
 
-    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        width = len(state_cols)
-        old = state.get if state.exists else None
-        value = start(old[:width] if old else None)
-        parts = [(np.asarray(old[width], np.int64), np.asarray(old[width + 1], np.int64),
-                  *(np.asarray(v, float) for v in old[width + 2 :]))] if old else []
-        n_old = len(parts[0][0]) if parts else 0
-        for pdf in batches:
-            micros = pdf[ts].to_numpy("datetime64[us]").astype(np.int64)
-            parts.append((micros, pdf[row_id].to_numpy(np.int64), *(pdf[c].to_numpy(float) for c in cols)))
-        at, ids, *values = (np.concatenate(p) for p in zip(*parts))
-        order = np.lexsort((ids, at))
-        fresh = order >= n_old
-        first = int(np.argmax(fresh)) if fresh.any() else len(order)
-        at, ids, values = at[order], ids[order], [v[order] for v in values]
-        passed = int(np.searchsorted(at, state.getCurrentWatermarkMs() * 1000, "left"))
-        results, base = [], value
-        for i, row in enumerate(zip(*(v.tolist() for v in values))):
-            value, result = step(value, *row)
-            results.append(result)
-            if i + 1 == passed:
-                base = value
-        state.update((*finish(base), at[passed:].tolist(), ids[passed:].tolist(), *(v[passed:].tolist() for v in values)))
-        out = pd.DataFrame({row_id: ids[first:], ts: pd.to_datetime(at[first:], unit="us"), cols[0]: values[0][first:]})
-        for k, v in zip(keys, key):
-            out[k] = v
-        for name, column in zip(output, zip(*results[first:]) if results[first:] else [[]] * len(output)):
-            out[name] = list(column)
-        yield out[[f.name for f in fields] + list(output)]
-
-    schema = StructType(fields + StructType.fromDDL(", ".join(f"{n} {t}" for n, t in output.items())).fields)
-    rows = df.select(*dict.fromkeys([*keys, row_id, ts, *cols])).withWatermark(ts, delay)
-    return rows.groupBy(*keys).applyInPandasWithState(update, schema, held, "append", GroupStateTimeout.NoTimeout)
-
-
-def stream_ewma_emissions(
-    df: DataFrame, keys: Sequence[str], ts="ts", col="usage_kwh", alpha=0.2, row_id="reading_id", delay="1 hour"
-) -> DataFrame:
-    """Smoothed load and scope 1 per reading, in (time, id) order whatever the order of arrival.
 
-    Written by ``keep_versions`` and read by ``latest``; see ``_ordered_fold`` for late rows.
-    """
-    decay = 1.0 - alpha
+def stream_ewma_emissions(df: DataFrame, path: str, keys: Sequence[str], **kw):
+    """Start a stream that keeps ``smoothing_store`` up to date; its ``results`` are the rows so far."""
+    return smoothing_store(df.schema, path, keys, **kw).start(df)
 
-    def step(s, x):
-        s = x if s is None else decay * s + alpha * x
-        return s, (s, s * GAS_PER_KWH * CO2_PER_GAS)
 
-    return _ordered_fold(
-        df, keys, ts, row_id, [col], ["s"], lambda old: old[0] if old else None, step, lambda s: (s,),
-        {"smooth_kwh": "double", "scope1_co2_kg": "double"}, delay,
-    )
+def _with_baseline(df: DataFrame, baseline: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with their key's mean and deviation; a deviation of zero counts as one."""
+    spread = F.when(F.col("std") > 0, F.col("std")).otherwise(1.0)
+    return df.join(baseline.select(*keys, F.col("mean").alias("_mu"), spread.alias("_sd")), list(keys))
 
 
-def stream_cusum(
-    df: DataFrame, baseline: DataFrame, keys: Sequence[str], ts="ts", col="usage_kwh", allowance=0.5, threshold=5.0,
-    row_id="reading_id", delay="1 hour",
-) -> DataFrame:
-    """Drift alarms per reading, in (time, id) order; ``baseline`` is a static table (keys, mean, std).
+def drift_store(
+    schema: StructType, path: str, keys: Sequence[str], ts="ts", col="usage_kwh", allowance=0.5, threshold=5.0,
+    row_id="reading_id", **kw
+) -> FoldStore:
+    """Drift sums and alarms per reading, in (time, id) order, of rows that carry ``_mu`` and ``_sd``."""
+    return FoldStore(path, cusum_scan(col, allowance, threshold), keys, ts, row_id, [col, "_mu", "_sd"], schema, **kw)
+
 
-    Written by ``keep_versions`` and read by ``latest``.
+def stream_cusum(df: DataFrame, path: str, baseline: DataFrame, keys: Sequence[str], **kw):
+    """Start a stream that keeps ``drift_store`` up to date.
+
+    ``baseline`` is a static table (keys, mean, std), the same for all runs on one ``path``.
     """
-    rows = df.join(baseline.select(*keys, F.col("mean").alias("_mu"), F.col("std").alias("_sd")), list(keys))
-
-    def step(sums, x, mu, sd):
-        sd = sd if sd > 0 else 1.0
-        up = max(0.0, sums[0] + (x - mu) - allowance * sd)
-        down = max(0.0, sums[1] - (x - mu) - allowance * sd)
-        kind = "Upper" if up > threshold * sd else "Lower" if down > threshold * sd else None
-        return (0.0, 0.0) if kind else (up, down), (up, down, kind)
-
-    return _ordered_fold(
-        rows, keys, ts, row_id, [col, "_mu", "_sd"], ["up", "down"], lambda old: tuple(old) if old else (0.0, 0.0), step,
-        lambda sums: sums, {"cusum_pos": "double", "cusum_neg": "double", "drift": "string"}, delay,
-    )
+    rows = _with_baseline(df, baseline, keys)
+    return drift_store(rows.schema, path, keys, **kw).start(rows)
 
 
-def ingest(
-    df: DataFrame, path: str, checkpoint: str, bounds, keys: Sequence[str] = ("meter_id",), ts="ts", col="usage_kwh",
-    row_id="reading_id", alpha=0.2,
-):
-    """Checked, smoothed and priced readings, stored once each.
+#: Columns whose values, where a reading brings them, win over computed ones.
+SUPPLIED = ("nsm", "scope1_co2_kg", "scope2_co2_kg", "scope3_co2_kg", "co2_tco2")
 
-    A micro-batch drops rows outside ``bounds`` (a condition), smooths each meter's rows from
-    the value of its newest stored row on, computes scope 1, and inserts what is not stored.
-    A meter's batches must follow each other in time, as from a meter's own clock; the newest
-    row is looked up in the days that the table has for the batch's meters.
+
+def ingest_store(
+    schema: StructType, path: str, curve: DataFrame, keys: Sequence[str] = ("meter_id",), ts="ts", row_id="reading_id",
+    alpha=0.2, others: Sequence[str] = (), **kw,
+) -> FoldStore:
+    """Readings with smoothed load, scopes 1 to 3 and total; ``others`` are columns to keep as they are."""
+    given = [f"given_{c}" for c in SUPPLIED if f"given_{c}" in schema.names]
+
+    def price(rows: DataFrame) -> DataFrame:
+        return priced_scopes(rows, curve, ts, "smooth_kwh", "given_")
+
+    return FoldStore(path, ewma_scan("usage_kwh", alpha, "smooth_kwh"), keys, ts, row_id, ["usage_kwh", *others, *given], schema, price, **kw)
+
+
+def ingest(df: DataFrame, path: str, bounds, curve: DataFrame, keys: Sequence[str] = ("meter_id",), **kw):
+    """Checked, smoothed and priced readings, stored once each, however late they come.
+
+    Rows outside ``bounds`` (a condition) are dropped.  Scopes and totals that a reading brings
+    along win over computed ones.  A micro-batch reads the chunks that its rows fall into and
+    those whose smoothed values they change; see ``folds``.  ``ingested`` reads the result.
     """
-    keys = list(keys)
+    named = df.where(bounds).withColumnsRenamed({c: f"given_{c}" for c in SUPPLIED if c in df.columns})
+    return ingest_store(named.schema, path, curve, keys, **kw).start(named)
 
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        good = batch.where(bounds)
-        if table_exists(spark, path):
-            stored_rows = spark.read.parquet(path)
-            good = good.join(stored_rows.select(*keys, ts, row_id), [*keys, ts, row_id], "left_anti")
-            newest = stored_rows.groupBy(*keys).agg(F.max_by("smooth_kwh", F.struct(ts, row_id)).alias("_seed"))
-            good = good.join(newest, keys, "left")
-        else:
-            good = good.withColumn("_seed", F.lit(None).cast("double"))
-        smooth = ewma(cut_lineage(good), keys, [ts, row_id], col, alpha, "smooth_kwh", seed="_seed").drop("_seed")
-        priced = smooth.withColumn("scope1_co2_kg", F.col("smooth_kwh") * GAS_PER_KWH * CO2_PER_GAS)
-        append_new(priced, path, [*keys, ts, row_id], col, ts)
 
-    return _each_batch(df, write, checkpoint)
+def ingested(spark: SparkSession, path: str, schema: StructType, curve: DataFrame, keys: Sequence[str] = ("meter_id",), **kw) -> DataFrame:
+    rows = ingest_store(schema, path, curve, keys, **kw).results(spark)
+    return rows.drop(*(c for c in rows.columns if c.startswith("given_")))
 
 
 def stream_alerts(df: DataFrame, limits: DataFrame, keep: Sequence[str]) -> DataFrame:

@@ -174,13 +174,29 @@ def run(df, tmp_path, name):
     return df.sparkSession.read.schema(df.schema).parquet(out)
 
 
+def values(spark, store, col):
+    return [r[col] for r in store.results(spark).orderBy("reading_id").collect()]
+
+
 def test_stream_state_goes_over_batches(spark, tmp_path):
     rows = [("a", i, f"2024-01-01T{i:02d}:00:00", 10.0 * (i % 5)) for i in range(20)]
     shuffled = [rows[3], rows[0], rows[2], rows[1]]  # order within a batch does not matter
     df = feed(spark, tmp_path, [shuffled, rows[4:11], rows[11:]])
-    got = run(streams.stream_ewma_emissions(df, ["meter_id"]), tmp_path, "ewma").toPandas().sort_values("reading_id")
+    store = streams.smoothing_store(df.schema, str(tmp_path / "ewma"), ["meter_id"])
+    store.start(df).awaitTermination()
     want = pd.Series([r[3] for r in rows]).ewm(alpha=0.2, adjust=False).mean()
-    assert got["smooth_kwh"].tolist() == pytest.approx(want.tolist())
+    assert values(spark, store, "smooth_kwh") == pytest.approx(want.tolist())
+
+
+def test_rows_of_any_lateness_are_folded_in(spark, tmp_path):
+    """Days 2, 3, 20 and 21, then day 1, then a row before all others and repeats of stored ones."""
+    rows = [("a", d, f"2024-01-{d:02d}T00:00:00", float(10 * d)) for d in (2, 3, 20, 21, 1)] + [("a", 0, "2023-12-01T00:00:00", 99.0)]
+    again = [("a", 3, "2024-01-03T00:00:00", 7777.0), ("b", 50, "2024-01-02T00:00:00", 1.0)]
+    df = feed(spark, tmp_path, [rows[:2], rows[2:3], rows[3:4], rows[4:5], again, rows[5:]])
+    store = streams.smoothing_store(df.schema, str(tmp_path / "ewma"), ["meter_id"])
+    store.start(df).awaitTermination()
+    want = pd.Series([r[3] for r in sorted(rows, key=lambda r: r[2])]).ewm(alpha=0.2, adjust=False).mean()
+    assert values(spark, store, "smooth_kwh") == pytest.approx([*want.tolist(), 1.0])
 
 
 def test_stream_cusum_equals_batch(spark, tmp_path):
@@ -190,12 +206,110 @@ def test_stream_cusum_equals_batch(spark, tmp_path):
     df = feed(spark, tmp_path, [rows[:25], rows[25:40], rows[40:]])
     batch = spark.createDataFrame(pd.DataFrame(rows, columns=["meter_id", "reading_id", "ts", "usage_kwh"])).withColumn("ts", F.col("ts").cast("timestamp"))
     base = batch.groupBy("meter_id").agg(F.avg("usage_kwh").alias("mean"), F.stddev_pop("usage_kwh").alias("std"))
-    got = run(streams.stream_cusum(df, base, ["meter_id"], threshold=2.0), tmp_path, "cusum").toPandas().sort_values("reading_id")
+    path = str(tmp_path / "cusum")
+    streams.stream_cusum(df, path, base, ["meter_id"], threshold=2.0).awaitTermination()
+    store = streams.drift_store(df.withColumns({"_mu": F.lit(0.0), "_sd": F.lit(0.0)}).schema, path, ["meter_id"], threshold=2.0)
+    got = store.results(spark).toPandas().sort_values("reading_id")
     want = cusum(batch, ["meter_id"], ["ts", "reading_id"], threshold=2.0).toPandas().sort_values("reading_id")
     assert got["cusum_pos"].tolist() == pytest.approx(want["cusum_pos"].tolist())
     assert got["drift"].notna().tolist() == want["drift"].notna().tolist() and got["drift"].notna().any()
 
 
+@pytest.mark.parametrize("kind", ["smooth", "drift"])
+def test_hot_key_stays_in_chunks(spark, tmp_path, kind):
+    """Nine tenths of the rows belong to one meter, half of them to one day, and arrive in no order."""
+    import random
+
+    from gridloom.operators.recurrences import cusum, ewma
+
+    draw = random.Random(4)
+    rows = []
+    for i in range(700):
+        at = pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=draw.choice([draw.randrange(40 * 86_400), 7 * 86_400 + draw.randrange(86_400)]))
+        rows.append(("hot" if i % 10 else f"m{i % 3}", i, at.isoformat(), 10.0 + draw.gauss(0, 3)))
+    order = rows[:]
+    draw.shuffle(order)
+    df = feed(spark, tmp_path, [order[:300], order[300:650], order[650:]])
+    batch = spark.createDataFrame(pd.DataFrame(rows, columns=["meter_id", "reading_id", "ts", "usage_kwh"])).withColumn("ts", F.col("ts").cast("timestamp"))
+    path = str(tmp_path / "store")
+    if kind == "smooth":
+        store = streams.smoothing_store(df.schema, path, ["meter_id"], target=25)
+        store.start(df).awaitTermination()
+        want, col = ewma(batch, ["meter_id"], ["ts", "reading_id"], "usage_kwh", name="smooth_kwh"), "smooth_kwh"
+    else:
+        base = batch.groupBy("meter_id").agg(F.avg("usage_kwh").alias("mean"), F.stddev_pop("usage_kwh").alias("std"))
+        streams.stream_cusum(df, path, base, ["meter_id"], threshold=1.0, target=25).awaitTermination()
+        store = streams.drift_store(df.withColumns({"_mu": F.lit(0.0), "_sd": F.lit(0.0)}).schema, path, ["meter_id"], threshold=1.0, target=25)
+        want, col = cusum(batch, ["meter_id"], ["ts", "reading_id"], threshold=1.0), "cusum_pos"
+    assert values(spark, store, col) == pytest.approx([r[col] for r in want.orderBy("reading_id").collect()])
+    cells = store.cells(spark)
+    assert cells.agg(F.sum("n"), F.max("n")).first()[0] == 700 and cells.agg(F.max("n")).first()[0] <= 50
+    assert cells.where("meter_id = 'hot' and day = date '2024-01-08'").count() > 8
+
+
+def test_batch_that_runs_again_changes_nothing(spark, tmp_path):
+    rows = [("a", i, f"2024-01-{1 + i % 9:02d}T0{i % 7}:00:00", 10.0 * (i % 5)) for i in range(40)]
+    df = spark.createDataFrame(rows, "meter_id string, reading_id bigint, at string, usage_kwh double")
+    df = df.select("meter_id", "reading_id", F.col("at").cast("timestamp").alias("ts"), "usage_kwh")
+    store = streams.smoothing_store(df.schema, str(tmp_path / "store"), ["meter_id"], target=5)
+    for number, part in enumerate(["reading_id < 20", "reading_id between 15 and 30", "reading_id > 28"]):
+        store.write(df.where(part), number)
+        first = values(spark, store, "smooth_kwh")
+        store.write(df.where(part), number)
+        assert values(spark, store, "smooth_kwh") == first
+        store.write(df.where("false"), number) if number == 3 else None
+    want = pd.DataFrame(rows, columns=list("mrtu")).sort_values(["t", "r"])
+    want["s"] = want["u"].ewm(alpha=0.2, adjust=False).mean()
+    assert values(spark, store, "smooth_kwh") == pytest.approx(want.sort_values("r")["s"].tolist())
+
+
+def test_batches_read_no_more_as_the_store_grows(spark, tmp_path, monkeypatch):
+    """Rows in order of time: each batch reads the open chunk; a late row, its chunk and those it changes."""
+    from gridloom.streaming.folds import FoldStore
+
+    rows = spark.range(4000).select(
+        F.lit("a").alias("meter_id"), F.col("id").alias("reading_id"),
+        F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") * 600).alias("ts"), (F.col("id") % 17).cast("double").alias("usage_kwh"),
+    )
+    store = streams.smoothing_store(rows.schema, str(tmp_path / "store"), ["meter_id"])
+    read, plain = [], FoldStore.rows
+
+    def counted(self, spark, versions):
+        found = plain(self, spark, versions)
+        read.append(found.count())
+        return found
+
+    monkeypatch.setattr(FoldStore, "rows", counted)
+    for number in range(5):
+        store.write(rows.where(f"reading_id between {number * 800} and {number * 800 + 799} and reading_id <> 100"), number)
+    assert sum(read) <= 4 * 144  # at most the open day for each batch
+    read.clear()
+    store.write(rows.where("reading_id = 100"), 5)
+    assert sum(read) <= 4 * 144  # of 28 days: its own, and the next until the old value is forgotten
+    want = pd.Series([i % 17 for i in range(4000)], dtype=float).ewm(alpha=0.2, adjust=False).mean()
+    assert values(spark, store, "smooth_kwh") == pytest.approx(want.tolist())
+
+
+def test_ingest_takes_supplied_values_and_late_readings(spark, tmp_path):
+    curve = dims.hour_curve(spark)
+    df = spark.createDataFrame(
+        [("a", 1, "2024-01-01 10:00:00", 100.0, None, None), ("a", 2, "2024-01-01 11:00:00", 50.0, 7.5, None),
+         ("a", 3, "2024-01-02 11:00:00", 20.0, None, 0.25), ("a", 4, "2024-01-02 12:00:00", -1.0, None, None)],
+        "meter_id string, reading_id bigint, at string, usage_kwh double, scope1_co2_kg double, co2_tco2 double",
+    ).withColumn("ts", F.col("at").cast("timestamp")).drop("at")
+    named = df.withColumnsRenamed({c: f"given_{c}" for c in streams.SUPPLIED})
+    store = streams.ingest_store(named.schema, str(tmp_path / "store"), curve)
+    store.write(named.where("reading_id in (1, 3)"), 0)
+    store.write(named.where("reading_id in (2, 3)"), 1)
+    got = streams.ingested(spark, str(tmp_path / "store"), named.schema, curve).orderBy("reading_id").collect()
+    smooth = [100.0, 90.0, 76.0]
+    assert [r["smooth_kwh"] for r in got] == pytest.approx(smooth)
+    assert [r["scope1_co2_kg"] for r in got] == pytest.approx([100 * 0.062176 * 1.93, 7.5, 76 * 0.062176 * 1.93])
+    assert got[0]["scope2_co2_kg"] == pytest.approx(25.0) and got[0]["scope3_co2_kg"] == pytest.approx(22 + 5 * 36000 / 86400)
+    assert got[2]["co2_tco2"] == 0.25
+    assert got[1]["co2_tco2"] == pytest.approx((7.5 + 50 * 0.25 + 11 + 5 * 39600 / 86400) / 1000)
+
+
 def test_late_rows_and_duplicates(spark, tmp_path):
     early = [("a", i, f"2024-01-01T{i:02d}:10:00", 1.0) for i in range(10)]
     later = [("a", 92, "2024-01-01T12:00:00", 1.0)]
