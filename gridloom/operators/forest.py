@@ -1,12 +1,15 @@
 """Isolation forests: sampled, built per tree on executors, scored where the rows are.
 
 Trees see at most 256 rows each, so the model is at most trees x 511 nodes whatever the
-data size; that small table is the only thing the driver reads.  Samples are chosen by a
-hash of the row id and the tree number, so they do not depend on partitioning.
+data size; that small table is the only thing the driver reads.  All random numbers are
+digests of what they are drawn for (row and tree, or tree, node and draw), so samples, splits
+and scores do not depend on partitioning and any SQL engine can draw them again.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -31,10 +34,24 @@ def path_correction(n):
     return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, full))
 
 
+BITS = 52  # of a digest; a double holds them all
+
+
+def uniform(*parts) -> Column:
+    """A number in [0, 1) from the digest of the parts, joined by ``|``."""
+    text = F.concat_ws("|", *(p.cast("string") if isinstance(p, Column) else F.col(p).cast("string") if isinstance(p, str) else F.lit(str(p)) for p in parts))
+    return F.conv(F.substring(F.md5(text), 1, BITS // 4), 16, 10).cast("long") / float(1 << BITS)
+
+
+def draw(*parts) -> float:
+    """``uniform`` of one draw, in Python."""
+    return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[: BITS // 4], 16) / (1 << BITS)
+
+
 def _lots(row_id: Sequence[str], round_: Column, seed: int) -> Column:
     """Trees to skip before the next hit: geometric with the hit rate ``_p``."""
-    u = (F.pmod(F.xxhash64(*row_id, round_, F.lit(seed)), F.lit(1 << 52)) + 1) / float(1 << 52)
-    return F.floor(F.log(u) / F.log1p(-F.col("_p"))).cast("long")
+    u = uniform(*row_id, round_, seed) + 1.0 / (1 << BITS)
+    return F.floor(F.log(u) / F.log(1.0 - F.col("_p"))).cast("long")
 
 
 def sample_per_tree(df: DataFrame, row_id: Sequence[str], trees: int, sample: int, seed: int) -> DataFrame:
@@ -61,21 +78,23 @@ def sample_per_tree(df: DataFrame, row_id: Sequence[str], trees: int, sample: in
 
         met = first.withColumn("_hits", F.aggregate(F.sequence(F.lit(1), F.lit(trees)), start, hop)["hits"]).drop("_p", "_first")
     draws = met.withColumn("tree", F.explode(F.col("_hits").cast("array<int>"))).drop("_hits").withColumn(
-        "_draw", F.xxhash64(*row_id, F.col("tree"), F.lit(seed + 1))
+        "_draw", uniform(*row_id, F.col("tree"), seed + 1)
     )
     w = Window.partitionBy("tree").orderBy("_draw", *row_id)
     return draws.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= sample).drop("_rn", "_draw")
 
 
 def _grow(x: np.ndarray, tree: int, seed: int, extended: bool) -> list[dict]:
-    """Split at random until single rows or the depth limit; nodes in creation order."""
-    rng = np.random.default_rng([seed, tree])
+    """Split at random until single rows or the depth limit; nodes in creation order.
+
+    Draws are named by the node's place: 1 for the root, 2k and 2k + 1 below place k.
+    """
     limit = int(np.ceil(np.log2(max(len(x), 2))))
     nodes: list[dict] = []
-    todo = [(np.arange(len(x)), 0, None, "")]
+    todo = [(np.arange(len(x)), 1, None, "")]
     while todo:
-        rows, depth, parent, side = todo.pop()
-        me = len(nodes)
+        rows, place, parent, side = todo.pop()
+        me, depth = len(nodes), place.bit_length() - 1
         nodes.append(dict(tree=tree, node=me, left=-1, right=-1, size=len(rows), depth=depth,
                           feature=-1, cut=0.0, normal=None, point=None))
         if parent is not None:
@@ -85,24 +104,25 @@ def _grow(x: np.ndarray, tree: int, seed: int, extended: bool) -> list[dict]:
         if depth >= limit or len(rows) <= 1 or not (hi > lo).any():
             continue
         if extended:
-            normal = rng.normal(size=x.shape[1])
-            normal /= np.linalg.norm(normal)
-            point = rng.uniform(lo, hi)
-            goes_left = (part - point) @ normal < 0
+            # directions of two uniforms each: normal by the polar form, so that none is preferred
+            u = [[draw(tree, place, f, i, seed) for i in range(3)] for f in range(x.shape[1])]
+            normal = [math.sqrt(-2.0 * math.log(a + 1.0 / (1 << BITS))) * math.cos(2.0 * math.pi * b) for a, b, _ in u]
+            point = [low + c * (high - low) for (_, _, c), low, high in zip(u, lo.tolist(), hi.tolist())]
+            goes_left = sum((part[:, f] - point[f]) * normal[f] for f in range(x.shape[1])) < 0
             if goes_left.all() or not goes_left.any():
                 continue
-            nodes[me] |= {"normal": normal.tolist(), "point": point.tolist()}
+            nodes[me] |= {"normal": normal, "point": point}
         else:
             open_features = np.flatnonzero(hi > lo)
-            f = int(open_features[rng.integers(len(open_features))])
-            cut = float(rng.uniform(lo[f], hi[f]))
+            f = int(open_features[int(draw(tree, place, "feature", seed) * len(open_features))])
+            cut = float(lo[f] + draw(tree, place, "cut", seed) * (hi[f] - lo[f]))
             goes_left = part[:, f] <= cut
-            if goes_left.all():
-                cut = float(np.sort(part[:, f])[-2])
+            if goes_left.all():  # neighbouring numbers, between which no cut has room
+                cut = float(part[part[:, f] < hi[f], f].max())
                 goes_left = part[:, f] <= cut
             nodes[me] |= {"feature": f, "cut": cut}
-        todo.append((rows[~goes_left], depth + 1, me, "right"))
-        todo.append((rows[goes_left], depth + 1, me, "left"))
+        todo.append((rows[~goes_left], 2 * place + 1, me, "right"))
+        todo.append((rows[goes_left], 2 * place, me, "left"))
     return nodes
 
 

@@ -185,25 +185,89 @@ def load_typed(spark, sf_dir):
 RAW_FEATURES = ["usage_kwh", "reactive_lagging_kvarh", "power_factor_lagging"]
 
 
+def digest_sql(*parts: str) -> str:
+    """The number in [0, 1) that the forest draws for the parts."""
+    return f"(('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 13))::BIGINT)::DOUBLE / 4503599627370496"
+
+
+def path_sql(n: str) -> str:
+    return f"CASE WHEN {n} <= 1 THEN 0 WHEN {n} = 2 THEN 1 ELSE 2 * (ln({n} - 1.0::DOUBLE) + 0.5772156649::DOUBLE) - 2 * ({n} - 1.0::DOUBLE) / {n} END"
+
+
+def forest_sql(extended: bool, trees=100, sample=256, seed=42, features=tuple(RAW_FEATURES)) -> str:
+    """``scored`` (reading_id, the features, score): sample, split and score once more, in one recursive query each."""
+    d = len(features)
+    x = f"[{', '.join(f'coalesce({f}, 0.0)::DOUBLE' for f in features)}]"
+    ends = ", ".join(f"{side}(x[{i + 1}]) OVER node AS {side}{i}" for i in range(d) for side in ("min", "max"))
+    lo, hi = (f"[{', '.join(f'{side}{i}' for i in range(d))}]" for side in ("min", "max"))
+    leaf = f"depth >= steps OR size <= 1 OR NOT ({' OR '.join(f'max{i} > min{i}' for i in range(d))})"
+    if extended:
+        u = lambda i, j: digest_sql("tree", "place", str(i), str(j), str(seed))
+        normal = ", ".join(f"sqrt(-2 * ln({u(i, 0)} + 1.0::DOUBLE / 4503599627370496)) * cos(2 * pi() * ({u(i, 1)}))" for i in range(d))
+        point = ", ".join(f"min{i} + ({u(i, 2)}) * (max{i} - min{i})" for i in range(d))
+        split = f"[{normal}] AS v, [{point}] AS p"
+        left = " + ".join(f"(x[{i + 1}] - p[{i + 1}]) * v[{i + 1}]" for i in range(d)) + " < 0"
+    else:
+        opened = f"list_filter(range(1, {d + 1}), lambda i: ({hi})[i] > ({lo})[i])"
+        f = f"({opened})[1 + floor(({digest_sql('tree', 'place', quoted('feature'), str(seed))}) * len({opened}))::INT]"
+        split = f"[{f}::DOUBLE, ({hi})[{f}]] AS v, [({lo})[{f}] + ({digest_sql('tree', 'place', quoted('cut'), str(seed))}) * (({hi})[{f}] - ({lo})[{f}])] AS p"
+        left = "(x[v[1]::INT] <= p[1] AND x[v[1]::INT] < v[2])"
+    return f"""base AS MATERIALIZED (SELECT reading_id, {', '.join(features)}, {x} AS x FROM readings),
+n AS (SELECT count(*) AS n, 2.0::DOUBLE * {sample} / count(*) AS rate, CASE WHEN 2.0 * {sample} / count(*) < 0.5 THEN ln(1.0 - 2.0::DOUBLE * {sample} / count(*)) END AS ln_miss FROM base),
+hops AS (SELECT reading_id, 0 AS i, floor(ln({digest_sql('reading_id', '0', str(seed))} + 1.0::DOUBLE / 4503599627370496) / ln_miss)::BIGINT AS tree FROM base, n WHERE rate < 0.5
+  UNION ALL SELECT reading_id, i + 1, tree + 1 + floor(ln({digest_sql('reading_id', 'i + 1', str(seed))} + 1.0::DOUBLE / 4503599627370496) / ln_miss)::BIGINT FROM hops, n WHERE tree < {trees}),
+hits AS (SELECT reading_id, tree FROM hops WHERE tree < {trees} UNION ALL SELECT reading_id, t FROM base, n, range({trees}) r(t) WHERE rate >= 0.5),
+drawn AS MATERIALIZED (SELECT tree, x, count(*) OVER (PARTITION BY tree) AS got FROM (
+  SELECT tree, x, row_number() OVER (PARTITION BY tree ORDER BY {digest_sql('reading_id', 'tree', str(seed + 1))}, reading_id) AS rn FROM hits JOIN base USING (reading_id)) WHERE rn <= {sample}),
+grown AS (SELECT tree, 1::BIGINT AS place, x, 0 AS depth, ceil(log2(greatest(got, 2))) AS steps FROM drawn
+  UNION ALL SELECT tree, 2 * place + CASE WHEN goes_left THEN 0 ELSE 1 END, x, depth + 1, steps FROM (
+    SELECT *, {left} AS goes_left FROM (SELECT *, {split} FROM (
+      SELECT tree, place, x, depth, steps, count(*) OVER node AS size, {ends} FROM grown WINDOW node AS (PARTITION BY tree, place)) WHERE NOT ({leaf})))
+    {'QUALIFY count(*) FILTER (WHERE goes_left) OVER (PARTITION BY tree, place) BETWEEN 1 AND size - 1' if extended else ''}),
+sized AS (SELECT tree, place, x, depth, steps, count(*) OVER node AS size, {ends} FROM grown WINDOW node AS (PARTITION BY tree, place)),
+nodes AS (SELECT DISTINCT tree, place, depth, steps, size, {split}, {leaf} AS ended FROM (SELECT DISTINCT tree, place, depth, steps, size, {', '.join(f'min{i}, max{i}' for i in range(d))} FROM sized)),
+tree_nodes AS MATERIALIZED (SELECT a.*, b.place IS NULL AS leaf FROM nodes a LEFT JOIN nodes b ON b.tree = a.tree AND b.place = 2 * a.place),
+walk AS (SELECT reading_id, x, t.tree::BIGINT AS tree, 1::BIGINT AS place, false AS done, 0.0::DOUBLE AS length FROM base, (SELECT DISTINCT tree FROM drawn) t
+  UNION ALL SELECT reading_id, x, w.tree, CASE WHEN leaf THEN w.place ELSE 2 * w.place + CASE WHEN {left} THEN 0 ELSE 1 END END, leaf, CASE WHEN leaf THEN depth + {path_sql('size')} ELSE 0 END
+  FROM walk w JOIN tree_nodes t ON t.tree = w.tree AND t.place = w.place WHERE NOT done),
+fitted AS (SELECT {f'max({sample})' if extended else f'least({sample}, max(size))'} AS m FROM tree_nodes WHERE place = 1),
+scored AS MATERIALIZED (SELECT b.*, s.score FROM base b JOIN (SELECT reading_id, round(power(2.0::DOUBLE, -avg(length) / (SELECT {path_sql('m')} FROM fitted)), 9) AS score FROM walk WHERE done GROUP BY reading_id) s USING (reading_id))"""
+
+
+def quoted(text: str) -> str:
+    return f"'{text}'"
+
+
+def flagged_sql(extended: bool, rate: float, compare: str) -> str:
+    return f"""WITH RECURSIVE {READINGS}, {forest_sql(extended)}, cut AS (SELECT quantile_cont(score, {1 - rate}) AS cutoff FROM scored)
+SELECT reading_id, score, round(cutoff - score, 6) AS anomaly_score, score {compare} cutoff AS is_outlier FROM scored, cut"""
+
+
 def _scored(spark, sf_dir, extended=False):
-    df = readings(spark, sf_dir).fillna(0.0, ["power_factor_lagging"]).select("meter_id", "reading_id", *RAW_FEATURES)
+    """Scores are rounded far below their last meaning digit, so that equal paths give equal scores anywhere."""
+    df = readings(spark, sf_dir).fillna(0.0, ["reactive_lagging_kvarh", "power_factor_lagging"]).select("meter_id", "reading_id", *RAW_FEATURES)
     nodes = I.fit(df, RAW_FEATURES, ["reading_id"], extended=extended)
-    return I.score(df, nodes, RAW_FEATURES, extended=extended)
+    return rounded(I.score(df, nodes, RAW_FEATURES, extended=extended), 9, "score")
 
 
-@query("isolation_forest")
+@query("isolation_forest", flagged_sql(False, 0.0247, ">"))
 def isolation_forest(spark, sf_dir):
     out = I.flag(cut_lineage(_scored(spark, sf_dir)), 0.0247)
-    return rounded(out, 6, "score").select("reading_id", "score", "anomaly_score", "is_outlier")
+    return out.select("reading_id", "score", "anomaly_score", "is_outlier")
 
 
-@query("extended_isolation_forest")
+@query("extended_isolation_forest", flagged_sql(True, 0.0247, ">="))
 def extended_isolation_forest(spark, sf_dir):
     out = I.flag(cut_lineage(_scored(spark, sf_dir, True)), 0.0247, inclusive=True)
-    return rounded(out, 6, "score").select("reading_id", "score", "anomaly_score", "is_outlier")
+    return out.select("reading_id", "score", "anomaly_score", "is_outlier")
 
 
-@query("contamination_sweep")
+@query("contamination_sweep", f"""WITH RECURSIVE {READINGS}, {forest_sql(False)},
+cuts AS (SELECT unnest([0.005, 0.01, 0.02, 0.05]::DOUBLE[]) AS rate, unnest(quantile_cont(score, [0.995, 0.99, 0.98, 0.95])) AS cutoff FROM scored),
+t AS (SELECT rate, count(*) FILTER (WHERE score > cutoff) AS flagged, count(*) FILTER (WHERE score > cutoff AND usage_kwh > 250) AS tp,
+  count(*) FILTER (WHERE score > cutoff AND NOT usage_kwh > 250) AS fp, count(*) FILTER (WHERE usage_kwh > 250) AS hot FROM scored, cuts GROUP BY rate),
+m AS (SELECT *, CASE WHEN flagged > 0 THEN tp / flagged ELSE 0 END AS p, CASE WHEN hot > 0 THEN tp / hot ELSE 0 END AS r, CASE WHEN flagged > 0 THEN fp / flagged ELSE 0 END AS f FROM t)
+SELECT rate, flagged, tp, fp, round(p, 6) AS precision, round(r, 6) AS recall, round(f, 6) AS far, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1 FROM m""")
 def contamination_sweep(spark, sf_dir):
     scored = cut_lineage(_scored(spark, sf_dir))
     labelled = scored.withColumn("y_true", (severity_of(F.col("usage_kwh")) == "Critical").cast("int"))

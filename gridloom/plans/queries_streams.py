@@ -8,7 +8,7 @@ from gridloom import dims
 from gridloom.operators import forest as I
 from gridloom.plans.queries_base import KEYS
 from gridloom.plans.queries_domain import live_readings
-from gridloom.plans.queries_models import RAW_FEATURES
+from gridloom.plans.queries_models import RAW_FEATURES, forest_sql
 from gridloom.plans.queries_series import CUSUM_SQL
 from gridloom.plans.registry import CURVE, READINGS, USER_READINGS, query, rounded, scratch
 from gridloom.sources.files import write_json
@@ -202,13 +202,14 @@ def active_alerts(spark, sf_dir):
     return S.active_alerts(moves).agg(F.count(F.lit(1)).alias("n"), F.min("alert_id").alias("first_id"))
 
 
-@query("score_stream")
+@query("score_stream", f"WITH RECURSIVE {READINGS}, {forest_sql(False)} SELECT reading_id, score, score > 0.6 AS is_outlier FROM scored")
 def score_stream(spark, sf_dir):
     """A forest fitted on the table scores the same rows as they stream in."""
-    r = readings(spark, sf_dir).fillna(0.0, ["power_factor_lagging"])
+    r = readings(spark, sf_dir).fillna(0.0, ["reactive_lagging_kvarh", "power_factor_lagging"])
     nodes = I.fit(r.select("reading_id", *RAW_FEATURES), RAW_FEATURES, ["reading_id"])
-    live = events_stream(spark, sf_dir).fillna(0.0, ["power_factor_lagging"]).select("reading_id", *RAW_FEATURES)
-    return drained(S.score_stream(live, nodes, RAW_FEATURES, 0.6).select("reading_id", "score", "is_outlier"), "scores")
+    live = events_stream(spark, sf_dir).fillna(0.0, ["reactive_lagging_kvarh", "power_factor_lagging"]).select("reading_id", *RAW_FEATURES)
+    scored = drained(S.score_stream(live, nodes, RAW_FEATURES, 0.6).select("reading_id", "score"), "scores")
+    return rounded(scored, 9, "score").withColumn("is_outlier", F.col("score") > 0.6)
 
 
 @query("alert_acknowledgements", """WITH moves AS (
