@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from gridloom.session import cut_lineage
 
 CATEGORY_POINTS, TITLE_POINTS, BODY_POINTS, INSIDE_POINTS = 8, 4, 2, 3
+SEEDS = 200  # documents of a query's rarest lists that are scored first, about
+AHEAD = 10  # times k candidates that are scored to raise the floor
 
 
 def words(text: Column) -> Column:
@@ -43,33 +45,95 @@ def _word_matches(query_words: DataFrame, doc_words: DataFrame) -> DataFrame:
     return sized.select("word", F.explode(cut).alias("term")).join(query_words, "term")
 
 
-def _weighted_words(docs: DataFrame, title: int, body: int) -> DataFrame:
-    """(doc_id, word, weight): distinct title words and distinct body words."""
+def _asked(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.explode(words(F.col("text"))).alias("term"))
+
+
+def word_index(docs: DataFrame) -> DataFrame:
+    """``doc_id``, distinct title words, distinct body words, lower-case category; stored once."""
+    return cut_lineage(docs.select("doc_id", words(F.col("title")).alias("tw"), words(F.col("body")).alias("bw"), F.lower("category").alias("_dc")))
+
+
+def _postings(index: DataFrame) -> DataFrame:
+    """(doc_id, word, weight): a list for each word in titles and one for each word in bodies."""
     def tagged(column, weight):
-        return F.transform(words(F.col(column)), lambda w: F.struct(w.alias("word"), F.lit(weight).alias("weight")))
+        return F.transform(column, lambda w: F.struct(w.alias("word"), F.lit(weight).alias("weight")))
 
-    return docs.select("doc_id", F.inline(F.concat(tagged("title", title), tagged("body", body))))
+    return index.select("doc_id", F.inline(F.concat(tagged(F.col("tw"), TITLE_POINTS), tagged(F.col("bw"), BODY_POINTS))))
 
 
-def _asked(queries: DataFrame) -> DataFrame:
-    return queries.select("query_id", F.explode(words(F.col("text"))).alias("term"))
+def pair_scores(pairs: DataFrame, index: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score) of pairs that share a word, by the whole formula."""
+    both = pairs.join(index, "doc_id").join(asked, "query_id")
+    shared = TITLE_POINTS * F.size(F.array_intersect("tw", "terms")) + BODY_POINTS * F.size(F.array_intersect("bw", "terms"))
+    bonus = F.coalesce(F.when(F.col("_qc") == F.col("_dc"), CATEGORY_POINTS), F.lit(0))
+    return both.select("query_id", "doc_id", (shared + INSIDE_POINTS + bonus).cast("bigint").alias("score"))
 
 
-def word_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score) of the pairs that share a whole word.
+def _kth(scored: DataFrame, k: int) -> DataFrame:
+    """``query_id``, ``floor``: the k-th best score so far, of queries that have k."""
+    return _ranked(scored, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
 
-    A shared word also occurs inside the text, so each of these pairs has those points.
+
+def best_by_words(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
+    """The k best documents of each query among those that share a word with it; exact, with an early stop.
+
+    1. Documents of a query's rarest lists are scored; the k-th of them is a floor that any
+       result must reach.
+    2. Lists are laid aside, longest for their weight first, as long as all of them together
+       stay below the floor: a document found in none of the others cannot reach it.
+    3. The other lists give candidates with a partial score.  What a candidate may still
+       gain is bounded by the lists laid aside and by its own number of words; those with the
+       best partial scores are scored and raise the floor, and then those whose bound reaches it.
+
+    Long lists are thus read for few queries, and most pairs are never scored.  A query without
+    k documents in step 1 has no floor, and all its lists are read.  Lists join by word; Spark
+    splits the rows of a hot word over tasks.
     """
-    posts = _weighted_words(docs, TITLE_POINTS, BODY_POINTS)
-    return posts.join(_asked(queries).withColumnRenamed("term", "word"), "word").groupBy("query_id", "doc_id").agg(
-        (F.sum("weight") + INSIDE_POINTS).alias("score")
+    asked = cut_lineage(queries.select("query_id", words(F.col("text")).alias("terms"), F.lower("category").alias("_qc")))
+    posts = _postings(index)
+    each = asked.select("query_id", "_qc", F.explode("terms").alias("word"))
+    lengths = posts.join(each.select("word").distinct(), "word").groupBy("word", "weight").agg(F.count(F.lit(1)).alias("n"))
+    lists = cut_lineage(each.join(lengths, "word"))
+
+    rarest = Window.partitionBy("query_id").orderBy("n", "word", "weight")  # two rows for each word of the query
+    seeds = lists.withColumn("sum", F.sum("n").over(rarest.rowsBetween(Window.unboundedPreceding, 0))).where(
+        (F.col("sum") <= SEEDS) | (F.col("sum") == F.col("n"))
+    )
+    first = posts.join(seeds.select("query_id", "word", "weight"), ["word", "weight"]).select("query_id", "doc_id").distinct()
+    scored = cut_lineage(pair_scores(first, index, asked))
+
+    longest = Window.partitionBy("query_id").orderBy(F.desc(F.col("n") / F.col("weight")), "word", "weight")
+    most = INSIDE_POINTS + F.when(F.col("_qc").isNotNull(), CATEGORY_POINTS).otherwise(0)
+    reach = F.sum("weight").over(longest.rowsBetween(Window.unboundedPreceding, 0))
+    ordered = cut_lineage(lists.join(_kth(scored, k), "query_id", "left").withColumn("aside", F.coalesce(reach + most < F.col("floor"), F.lit(False))))
+    rest = ordered.groupBy("query_id").agg(
+        F.count_if(F.col("aside") & (F.col("weight") == TITLE_POINTS)).alias("_rt"),
+        F.count_if(F.col("aside") & (F.col("weight") == BODY_POINTS)).alias("_rb"),
     )
+    partial = posts.join(ordered.where("not aside").select("query_id", "word", "weight"), ["word", "weight"]).groupBy("query_id", "doc_id").agg(F.sum("weight").alias("part"))
+    sizes = index.select("doc_id", F.size("tw").alias("_t"), F.size("bw").alias("_b"), "_dc")
+    bonus = F.coalesce(F.when(F.col("_qc") == F.col("_dc"), CATEGORY_POINTS), F.lit(0))
+    bound = F.col("part") + TITLE_POINTS * F.least("_rt", "_t") + BODY_POINTS * F.least("_rb", "_b") + INSIDE_POINTS + bonus
+    open_pairs = cut_lineage(
+        partial.join(rest, "query_id").join(asked.select("query_id", "_qc"), "query_id").join(sizes, "doc_id")
+        .select("query_id", "doc_id", "part", bound.alias("bound")).join(_kth(scored, k), "query_id", "left")
+        .where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor"))).drop("floor")
+        .join(scored.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+    )
+    ahead = _ranked(open_pairs.withColumn("score", F.col("part")), AHEAD * k).select("query_id", "doc_id")
+    scored = cut_lineage(scored.unionByName(pair_scores(ahead, index, asked)))
+    left = (
+        open_pairs.join(_kth(scored, k), "query_id", "left").where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor")))
+        .select("query_id", "doc_id").join(scored.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+    )
+    return cut_lineage(_ranked(scored.unionByName(pair_scores(left, index, asked)), k))
 
 
-def inside_pairs(queries: DataFrame, docs: DataFrame) -> DataFrame:
+def inside_pairs(queries: DataFrame, index: DataFrame) -> DataFrame:
     """(query_id, doc_id) of the pairs where a query word occurs inside a document word."""
     asked = _asked(queries)
-    posts = _weighted_words(docs, 0, 0).select("doc_id", "word").distinct()
+    posts = _postings(index).select("doc_id", "word").distinct()
     matches = _word_matches(asked.select("term").distinct(), posts.select("word").distinct())
     reach = matches.join(asked, "term").select("query_id", "word").distinct()
     return posts.join(reach, "word").select("query_id", "doc_id").distinct()
@@ -90,19 +154,17 @@ def keyword_search(queries: DataFrame, docs: DataFrame, k=3) -> DataFrame:
     only for the other queries are word parts and plain category matches looked up.
     """
     named = queries.select("query_id", F.lower("category").alias("_qc"))
-    cat = docs.select("doc_id", F.lower("category").alias("_dc"))
+    index = word_index(docs)
+    cat = index.select("doc_id", "_dc")
     bonus = F.when(F.col("_qc") == F.col("_dc"), CATEGORY_POINTS).otherwise(0)
-    scored = word_scores(queries, docs).join(named, "query_id").join(cat, "doc_id").select(
-        "query_id", "doc_id", (F.col("score") + F.coalesce(bonus, F.lit(0))).alias("score")
-    )
-    best = cut_lineage(_ranked(scored, k))
+    best = best_by_words(queries, index, k)
 
     most_without = INSIDE_POINTS + F.when(F.col("_qc").isNotNull(), CATEGORY_POINTS).otherwise(0)
     settled = best.join(named, "query_id").filter((F.col("rank") == k) & (F.col("score") > most_without))
     rest = cut_lineage(queries.join(settled.select("query_id"), "query_id", "left_anti"))
     rest_named = rest.filter(F.col("category").isNotNull()).select("query_id", F.lower("category").alias("_qc"))
 
-    parts = inside_pairs(rest, docs).join(rest_named, "query_id", "left").join(cat, "doc_id").select(
+    parts = inside_pairs(rest, index).join(rest_named, "query_id", "left").join(cat, "doc_id").select(
         "query_id", "doc_id", (INSIDE_POINTS + F.coalesce(bonus, F.lit(0))).cast("bigint").alias("score")
     )
     # documents that match by category alone all score 8 and rank by document order; if one of

@@ -136,6 +136,28 @@ def test_search_equals_loop(spark, k):
     assert got == search_loop(QUERIES, DOCS, k)
 
 
+def test_few_pairs_are_scored(spark, monkeypatch):
+    """Passages against all documents: the early stop leaves most pairs that share a word unscored."""
+    from gridloom.plans.queries_text import _queries_docs
+
+    asked, docs = _queries_docs(spark, "/root/testdata/sf0.01")
+    counts, plain = [], R.pair_scores
+
+    def counted(pairs, index, terms):
+        counts.append(pairs.count())
+        return plain(pairs, index, terms)
+
+    monkeypatch.setattr(R, "pair_scores", counted)
+    index = R.word_index(docs)
+    got = sorted(tuple(r) for r in R.best_by_words(asked, index, 3).select("query_id", "doc_id", "score", "rank").collect())
+    n = asked.count() * docs.count()
+    assert sum(counts) < 0.25 * n
+    pairs = asked.select("query_id").crossJoin(docs.select("doc_id"))
+    terms = asked.select("query_id", R.words(F.col("text")).alias("terms"), F.lower("category").alias("_qc"))
+    want = R._ranked(plain(pairs, index, terms).where("score > 11"), 3)
+    assert got == sorted(tuple(r) for r in want.select("query_id", "doc_id", "score", "rank").collect())
+
+
 def test_search_on_documents(spark, sf):
     """Short and odd words, so that queries without enough whole-word matches occur."""
     docs = table(spark, sf, "documents").select(
