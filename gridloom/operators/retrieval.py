@@ -62,6 +62,15 @@ def _postings(index: DataFrame) -> DataFrame:
     return index.select("doc_id", F.inline(F.concat(tagged(F.col("tw"), TITLE_POINTS), tagged(F.col("bw"), BODY_POINTS))))
 
 
+def asked_index(index: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """The index with the words of ``vocabulary`` only; documents with none of them go."""
+    held = _postings(index).join(vocabulary, "word").groupBy("doc_id").agg(
+        F.collect_list(F.when(F.col("weight") == TITLE_POINTS, F.col("word"))).alias("tw"),
+        F.collect_list(F.when(F.col("weight") == BODY_POINTS, F.col("word"))).alias("bw"),
+    )
+    return cut_lineage(held.join(index.select("doc_id", "_dc"), "doc_id"))
+
+
 def pair_scores(pairs: DataFrame, index: DataFrame, asked: DataFrame) -> DataFrame:
     """(query_id, doc_id, score) of pairs that share a word, by the whole formula."""
     both = pairs.join(index, "doc_id").join(asked, "query_id")
@@ -91,9 +100,10 @@ def best_by_words(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
     splits the rows of a hot word over tasks.
     """
     asked = cut_lineage(queries.select("query_id", words(F.col("text")).alias("terms"), F.lower("category").alias("_qc")))
-    posts = _postings(index)
     each = asked.select("query_id", "_qc", F.explode("terms").alias("word"))
-    lengths = posts.join(each.select("word").distinct(), "word").groupBy("word", "weight").agg(F.count(F.lit(1)).alias("n"))
+    index = asked_index(index, each.select("word").distinct())
+    posts = _postings(index)
+    lengths = posts.groupBy("word", "weight").agg(F.count(F.lit(1)).alias("n"))
     lists = cut_lineage(each.join(lengths, "word"))
 
     rarest = Window.partitionBy("query_id").orderBy("n", "word", "weight")  # two rows for each word of the query
