@@ -109,7 +109,8 @@ def winners(history: DataFrame, incoming: DataFrame) -> DataFrame:
     The history's distinct digests are dealt into tables of about 8 000 by their leading
     bits; each becomes a minimal perfect hash whose slots hold the full digest and the
     winner's locator.  Distinct incoming digests are looked up in the table of their bits and
-    compared byte by byte: members take the stored winner, nonmembers group among themselves.
+    compared byte by byte: members take the stored winner, which lies before any incoming one,
+    and add their copies to its group; nonmembers are groups of their own.
     """
     old = stored(_distinct(history), "history", history.count())
     bits = max(0, math.ceil(math.log2(max(1, old.count()) / DIGESTS_PER_TABLE)))
@@ -119,13 +120,12 @@ def winners(history: DataFrame, incoming: DataFrame) -> DataFrame:
         "bucket long, levels array<binary>, sizes array<long>, slot_digests binary, slot_locators binary",
     )
     new = _distinct(incoming).select(bucket, "digest", "locator", "copies")
-    looked_up = new.groupBy("bucket").cogroup(tables.groupBy("bucket")).applyInPandas(
+    looked_up = stored(new.groupBy("bucket").cogroup(tables.groupBy("bucket")).applyInPandas(
         _look_up, "digest binary, locator long, copies long, known long"
-    )
-    met = looked_up.select("digest", F.least("known", "locator").alias("locator"), "copies")
-    return old.unionByName(met).groupBy("digest").agg(
-        F.min("locator").alias("keep"), F.sum("copies").alias("copies")
-    )
+    ), "looked-up")
+    members = looked_up.where("known is not null").select("digest", F.col("known").alias("locator"), "copies")
+    grown = old.unionByName(members).groupBy("digest").agg(F.min("locator").alias("keep"), F.sum("copies").alias("copies"))
+    return grown.unionByName(looked_up.where("known is null").select("digest", F.col("locator").alias("keep"), "copies"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", split: int | None = None) -> DataFrame:

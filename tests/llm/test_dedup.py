@@ -72,6 +72,18 @@ def test_exact_dedup(spark, split, clash):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
+def test_members_are_found_by_the_look_up_alone(spark, monkeypatch):
+    """A look-up that finds nothing leaves members of the history as groups of their own."""
+    rows = documents()
+
+    def blind(part, table):
+        return part[["digest", "locator", "copies"]].assign(known=None).astype({"known": "Int64"})
+
+    right = ex.exact_dedup(frame(spark, rows), split=150).where("kept").count()
+    monkeypatch.setattr(ex, "_look_up", blind)
+    assert ex.exact_dedup(frame(spark, rows), split=150).where("kept").count() > right
+
+
 def test_exact_dedup_of_many_tables(spark, monkeypatch):
     monkeypatch.setattr(ex, "DIGESTS_PER_TABLE", 16)
     rows = [(i, f"text {i % 700}", None, None, None) for i in range(2000)]
