@@ -95,9 +95,9 @@ def _rounds(start: str, rounds: int) -> str:
     return sql
 
 
-_SLOTS = """SELECT source_rank, blocks, pass, unnest(generate_series(0::BIGINT, n - 1)) AS x, 0::BIGINT AS seed, 0::BIGINT AS mirror
-  FROM (SELECT source_rank, blocks, pass, CASE WHEN pass < passes THEN blocks ELSE rest END AS n
-        FROM (SELECT *, unnest(generate_series(0::BIGINT, passes)) AS pass FROM quotas)) WHERE n > 0"""
+_SLOTS = """SELECT *, pass * blocks + x AS number, 0::BIGINT AS seed, 0::BIGINT AS mirror
+  FROM (SELECT source_rank, blocks, pass, unnest(generate_series(0::BIGINT, n - 1)) AS x FROM (SELECT source_rank, blocks, pass, CASE WHEN pass < passes THEN blocks ELSE rest END AS n
+        FROM (SELECT *, unnest(generate_series(0::BIGINT, passes)) AS pass FROM quotas)) WHERE n > 0)"""
 
 MIX = f"""
 WITH sized AS (
@@ -127,7 +127,11 @@ passed AS (
 quotas AS (
   SELECT *, greatest(0, least(blocks, CASE WHEN passes >= 3 THEN 0
          ELSE CAST(floor((target - passes * source_size) / 64.0::DOUBLE + 0.5) AS BIGINT) END)) AS rest FROM passed),
-used AS (SELECT source_rank, x AS block, count(*) AS times FROM ({_rounds(_SLOTS, 12)}) GROUP BY ALL),
+drawn AS (SELECT source_rank, {_scrambled(_scrambled('x + source_rank * 92821') + ' + pass * 31337 + 271')} % greatest(1, (count(*) OVER () + 4095) // 4096) AS shard FROM ({_SLOTS})),
+counts AS (SELECT source_rank, shard, count(*) AS n FROM drawn GROUP BY ALL),
+ranges AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY source_rank ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM counts),
+used AS (SELECT s.source_rank, x AS block, count(*) AS times, list(shard) AS shards FROM ({_rounds(_SLOTS, 12)}) s
+  JOIN ranges r ON r.source_rank = s.source_rank AND number >= first AND number < first + r.n GROUP BY ALL),
 buckets AS (SELECT greatest(1, (count(*) + 19999) // 20000) AS n FROM sized),
 placed AS (
   SELECT s.*, source_rank, source_size, target,
@@ -137,7 +141,8 @@ placed AS (
 pieces AS (
   SELECT *, unnest(generate_series(start // 64, (start + size - 1) // 64)) AS block FROM placed WHERE size > 0),
 counted AS (
-  SELECT doc_id, sum((least(start + size, (block + 1) * 64) - greatest(start, block * 64)) * times)::BIGINT AS taken
+  SELECT doc_id, sum((least(start + size, (block + 1) * 64) - greatest(start, block * 64)) * times)::BIGINT AS taken,
+         array_to_string(list_sort(list_distinct(flatten(list(shards)))), ',') AS shards
   FROM pieces JOIN used USING (source_rank, block) GROUP BY doc_id)
-SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, coalesce(shards, '') AS shards
 FROM placed LEFT JOIN counted USING (doc_id)"""

@@ -1,11 +1,13 @@
 """Mix sources to target weights by blocks of words; DataFrame functions only.
 
 The words of a source, document after document, form a stream that is cut into blocks.  A
-source's target decides how many slots of the mix it fills.  Slots go to output shards at
-random, so the sources' counts per shard are multinomial draws, while a source's total stays
-at its quota.  A slot's number within its source passes through a pseudorandom permutation of
-the block numbers, a new one each time all blocks have been used, and is joined to the block
-of that number.  All draws are integer arithmetic on the slot's own numbers, so reruns agree.
+source's target decides how many slots of the mix it fills.  For each slot a shard of the
+output is drawn: the sources' counts per shard are multinomial draws, while a source's total
+stays at its quota.  A shard then takes its count of the source's next slots.  A slot's number
+within its source passes through a pseudorandom permutation of the block numbers, a new one
+each time all blocks have been used, and is joined to the block of that number, so each taken
+block knows its shards.  All draws are integer arithmetic on the slot's own numbers, so reruns
+agree.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from gridloom.session import stored
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 BLOCK_WORDS = 64
-SHARD_SLOTS = 16_384
+SHARD_SLOTS = 4_096
 CHUNK_SLOTS = 4_096
 BUCKET_ROWS = 20_000
 ROUNDS = 12
@@ -103,32 +105,43 @@ def quotas(goals: DataFrame, block_words: int) -> DataFrame:
     )
 
 
-def slots(plan: DataFrame, parts: int) -> DataFrame:
-    """``source_rank``, ``shard``, ``pass``, ``block`` of every slot of the mix.
+def shard_counts(plan: DataFrame, parts: int) -> DataFrame:
+    """``source_rank``, ``shard``, ``n`` (slots of the source in the shard), ``first`` (its slots in shards before).
 
     A source's slots are listed in chunks that are dealt over the cluster, so a large source
-    is not listed by one task.
+    is not listed by one task, and draw a shard each.
     """
     total = plan.agg(F.sum(F.col("passes") * F.col("blocks") + F.col("rest"))).first()[0] or 0
     shards = max(1, -(-int(total) // SHARD_SLOTS))
     per_pass = plan.select(
         "source_rank", "blocks", "passes", "rest", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes"))).alias("pass")
     ).withColumn("n", F.when(F.col("pass") < F.col("passes"), F.col("blocks")).otherwise(F.col("rest"))).where("n > 0")
-    seeds = F.transform(
-        F.sequence(F.lit(0).cast("long"), F.lit(ROUNDS - 1).cast("long")),
-        lambda r: scrambled(F.col("source_rank") * 1000003 + F.col("pass") * 7919 + r * 104729 + 12345),
-    )
     chunks = per_pass.select(
-        "source_rank", "blocks", "pass", "n", seeds.alias("seeds"),
+        "source_rank", "pass", "n",
         F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / CHUNK_SLOTS).cast("long"))).alias("chunk"),
     ).repartition(parts, "source_rank", "pass", "chunk")
     first, last = F.col("chunk") * CHUNK_SLOTS, F.least(F.col("n"), (F.col("chunk") + 1) * CHUNK_SLOTS) - 1
-    listed = chunks.select("source_rank", "blocks", "pass", "seeds", F.explode(F.sequence(first, last)).alias("slot"))
+    listed = chunks.select("source_rank", "pass", F.explode(F.sequence(first, last)).alias("slot"))
     draw = scrambled(scrambled(F.col("slot") + F.col("source_rank") * 92821) + F.col("pass") * 31337 + 271)
-    return listed.select(
-        "source_rank", "pass", (draw % shards).alias("shard"),
-        permuted(F.col("slot"), F.col("blocks"), F.col("seeds")).alias("block"),
+    counts = listed.groupBy("source_rank", (draw % shards).alias("shard")).agg(F.count(F.lit(1)).alias("n"))
+    ahead = W.partitionBy("source_rank").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
+    return counts.withColumn("first", F.coalesce(F.sum("n").over(ahead), F.lit(0).cast("long")))
+
+
+def slots(plan: DataFrame, parts: int) -> DataFrame:
+    """``source_rank``, ``shard``, ``pass``, ``block`` of every slot of the mix, listed shard by shard."""
+    counts = stored(shard_counts(plan, parts), "shards")
+    taken = counts.join(plan.select("source_rank", "blocks"), "source_rank").repartition(parts, "source_rank", "shard")
+    numbers = F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)
+    listed = taken.select("source_rank", "shard", "blocks", F.explode(numbers).alias("number")).select(
+        "source_rank", "shard", "blocks", F.floor(F.col("number") / F.col("blocks")).cast("long").alias("pass"),
+        (F.col("number") % F.col("blocks")).alias("slot"),
     )
+    seeds = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.lit(ROUNDS - 1).cast("long")),
+        lambda r: scrambled(F.col("source_rank") * 1000003 + F.col("pass") * 7919 + r * 104729 + 12345),
+    )
+    return listed.select("source_rank", "shard", "pass", permuted(F.col("slot"), F.col("blocks"), seeds).alias("block"))
 
 
 def positions(sized: DataFrame, goals: DataFrame) -> DataFrame:
@@ -151,11 +164,13 @@ def positions(sized: DataFrame, goals: DataFrame) -> DataFrame:
 
 
 def taken_blocks(sized: DataFrame, block_words: int) -> tuple[DataFrame, DataFrame]:
-    """Rows with targets, and per row and block: ``word`` (first, in the row), ``words``, ``times`` taken."""
+    """Rows with targets, and per row and block: ``word`` (first, in the row), ``words``, ``times`` taken, the ``shards``."""
     parts = int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     goals = stored(quotas(targets(sized), block_words), "targets")
     rows = positions(sized, goals)
-    used = slots(goals, parts).groupBy("source_rank", "block").agg(F.count(F.lit(1)).alias("times"))
+    used = slots(goals, parts).groupBy("source_rank", "block").agg(
+        F.count(F.lit(1)).alias("times"), F.collect_list("shard").alias("shards")  # three full passes and a part at most
+    )
     first = F.floor(F.col("begin") / block_words).cast("long")
     last = F.floor((F.col("begin") + F.col("size") - 1) / block_words).cast("long")
     cut = rows.where("size > 0").withColumn("block", F.explode(F.sequence(first, last)))
@@ -178,22 +193,23 @@ def mix_counts(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
-    """One row per row of ``docs``: id, ``size`` in words, ``source_size``, ``target``, ``taken`` words.
+    """One row per row of ``docs``: id, ``size`` in words, ``source_size``, ``target``, ``taken`` words,
+    ``shards`` of the output that its blocks go to.
 
     Null texts have no words; null sources form one source.  Rows without words are never
     taken.  Rows that repeat an id are mixed one by one.
     """
     sized = stored(sizes(docs, id_col, text_col, source_col), "sizes")
     rows, pieces = taken_blocks(sized, block_words)
-    found = pieces.groupBy("id", "source_rank", "begin", "size", "source_size", "target").agg(
-        F.sum(F.col("words") * F.col("times")).alias("taken")
-    )
-    whole = rows.where("size > 0").select("id", "source_rank", "begin", "size", "source_size", "target", F.lit(0).alias("taken"))
-    counted = whole.unionByName(found).groupBy("id", "source_rank", "begin", "size", "source_size", "target").agg(
-        F.sum("taken").alias("taken")
+    row = ["id", "source_rank", "begin", "size", "source_size", "target"]
+    found = pieces.groupBy(*row).agg(
+        F.sum(F.col("words") * F.col("times")).alias("taken"), F.array_distinct(F.flatten(F.collect_list("shards"))).alias("shards")
     )
-    empty = rows.where("size = 0").select("id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
-    return counted.select("id", "size", "source_size", "target", "taken").unionByName(empty).withColumnRenamed("id", id_col)
+    none = F.array().cast("array<long>").alias("shards")
+    whole = rows.where("size > 0").select(*row, F.lit(0).cast("long").alias("taken"), none)
+    counted = whole.unionByName(found).groupBy(*row).agg(F.sum("taken").alias("taken"), F.sort_array(F.flatten(F.collect_list("shards"))).alias("shards"))
+    empty = rows.where("size = 0").select("id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), none)
+    return counted.select(*empty.columns).unionByName(empty).withColumnRenamed("id", id_col)
 
 
 def mix_documents(

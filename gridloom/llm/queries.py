@@ -81,7 +81,8 @@ def _urls(spark, sf_dir):
 
 @query("op4_block_mixing", check_sql.MIX)
 def _mixing(spark, sf_dir):
-    return mixing.mix_counts(table(spark, sf_dir, "documents"))
+    mixed = mixing.mix_counts(table(spark, sf_dir, "documents"))
+    return mixed.withColumn("shards", F.array_join("shards", ","))
 
 
 @query("op5_simhash_dedup")

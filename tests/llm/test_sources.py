@@ -114,6 +114,29 @@ def test_mix(spark, monkeypatch, clash):
     assert {k: v for k, v in by_doc.items() if v} == {k: v for k, v in want.items() if v}
 
 
+def test_shards_hold_multinomial_counts_near_the_shares(spark, monkeypatch):
+    """Counts per shard vary like draws, follow the sources' shares, and steer which blocks a shard gets."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(mx, "SHARD_SLOTS", 1000)
+    plan = spark.createDataFrame([(1, 2000, 2, 500), (2, 9000, 0, 4500), (3, 50, 3, 0)], "source_rank long, blocks long, passes long, rest long")
+    counts = [tuple(r) for r in mx.shard_counts(plan, 4).select("source_rank", "shard", "n").collect()]
+    totals, shards = {1: 4500, 2: 4500, 3: 150}, 10
+    assert {s for _, s, _ in counts} == set(range(shards))
+    for source, total in totals.items():
+        mine = [n for r, _, n in counts if r == source]
+        assert sum(mine) == total
+        assert all(abs(n - total / shards) < 5 * (total / shards) ** 0.5 for n in mine) and len(set(mine)) > 3
+    listed = mx.slots(plan, 4)
+    times = {(r["source_rank"], r["block"]): r["n"] for r in listed.groupBy("source_rank", "block").agg(F.count("*").alias("n")).collect()}
+    assert sum(times.values()) == 9150 and all(times[3, b] == 3 for b in range(50)) and all(times[1, b] in (2, 3) for b in range(2000))
+    assert sorted((r["source_rank"], r["shard"], r["n"]) for r in listed.groupBy("source_rank", "shard").agg(F.count("*").alias("n")).collect()) == sorted(counts)
+    before = {(r["source_rank"], r["block"], r["pass"]): r["shard"] for r in listed.collect()}
+    monkeypatch.setattr(mx, "shard_counts", lambda plan, parts: plan.select("source_rank", F.lit(0).cast("long").alias("shard"), (F.col("passes") * F.col("blocks") + F.col("rest")).alias("n"), F.lit(0).cast("long").alias("first")))
+    assert {r["shard"] for r in mx.slots(plan, 4).collect()} == {0}
+    assert len({before[1, b, 0] for b in range(2000)}) > 3
+
+
 def test_permutation_is_a_bijection_without_a_pattern(spark):
     from pyspark.sql import functions as F
 
