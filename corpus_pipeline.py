@@ -2,39 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.exact_dedup import exact_dedup
+from gridloom.llm.exact_dedup import exact_dedup, text_digest
 from gridloom.llm.mixing import mix_documents
 from gridloom.llm.packing import pack_along_curve
-from gridloom.llm.quality_classifier import quality_scores
+from gridloom.llm.quality_classifier import fit, score
 from gridloom.llm.queries import tokenizer_path
 from gridloom.llm.simhash import simhash_dedup
 from gridloom.session import stored
 from gridloom.sources.tables import table
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is in ``ids``, unchanged; a null id matches a null id."""
-    wanted = ids.select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["_kept"]), "left_semi")
+def _only(docs: DataFrame, kept: DataFrame, mark: Column) -> DataFrame:
+    """The rows of ``docs`` whose (id, ``mark``) is in ``kept`` (``_id``, ``_mark``), unchanged; ids may repeat or be null.
+
+    Of rows alike in id and mark as many stay as ``kept`` has, or one if ``kept`` has ``_one``.
+    """
+    one = F.first("_one") if "_one" in kept.columns else F.lit(False)
+    wanted = stored(kept.groupBy("_id", "_mark").agg(F.count(F.lit(1)).alias("_copies"), one.alias("_one")), "kept")
+    marked = docs.withColumn("_print", mark)
+    same = marked["doc_id"].eqNullSafe(wanted["_id"]) & (marked["_print"] == wanted["_mark"])
+    if wanted.where("_one and _copies > 1").isEmpty():
+        return marked.join(wanted, same, "left_semi").select(*docs.columns)
+    found = marked.join(wanted, same)
+    alike = F.col("_one") & (F.col("_copies") > 1)
+    first = found.where(alike).groupBy("_id", "_mark").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    return found.where(~alike).select(*docs.columns).unionByName(first)
+
+
+def _row_key(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_key``: the id, null last, and a hash of the text, so that an id's texts are told apart."""
+    return docs.withColumn("_key", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), _text_mark().alias("mark")))
+
+
+def _text_mark() -> Column:
+    return F.xxhash64(F.col("text"))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores at least one half."""
-    scores = quality_scores(docs, table(spark, sf_dir, "labels"))
-    return _only(docs, scores.where("predicted = 1"))
+    model = fit(docs, table(spark, sf_dir, "labels"))
+    scores = score(_row_key(docs), *model, id_col="_key").where("score >= 0.5")
+    return _only(docs, scores.select(F.col("id.id").alias("_id"), F.col("id.mark").alias("_mark")), _text_mark())
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the smallest id."""
-    return _only(docs, exact_dedup(docs).where("kept"))
+    """Of equal texts one document, that with the smallest id."""
+    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_mark"), F.lit(True).alias("_one"))
+    return _only(docs, kept, F.lower(F.hex(text_digest(F.col("text")))))
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by close fingerprints the one with the smallest id."""
-    return _only(docs, simhash_dedup(docs).where("doc_id <=> component_id"))
+    """Of documents linked by close fingerprints one, that with the smallest id."""
+    kept = simhash_dedup(_row_key(docs), id_col="_key").where("_key = component_id")
+    named = kept.select(F.col("_key.id").alias("_id"), F.col("_key.mark").alias("_mark"), F.lit(True).alias("_one"))
+    return _only(docs, named, _text_mark())
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

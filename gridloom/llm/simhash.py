@@ -42,8 +42,8 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 3)
             found = np.array([simhash(t, shingle) for t in utf8(batch.column("text"))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found.view(np.int64))], names=["id", "fp"])
 
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "id long, fp long")
+    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    return picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, fp long")
 
 
 def _keep_bits(fp: Column, blocks: tuple[int, ...]) -> Column:
@@ -94,7 +94,8 @@ def close_pairs(distinct: DataFrame) -> tuple[DataFrame, int]:
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """One row per row of ``docs``: id, ``fingerprint`` (16 hex digits), ``component_id``.
 
-    The component is the smallest id reachable over links of at most two differing bits.
+    The component is the smallest id reachable over links of at most two differing bits; ids are of
+    any type that has an order.
     Null and empty texts have fingerprint zero and link like any other.  Rows that repeat an
     id count as documents of their own with that id; a row without id is linked, but gives
     its component no id (null if no member has one).

@@ -52,24 +52,44 @@ def test_quality_stage_drops_junk_and_changes_no_row(stages):
     assert all(r[0] in kept for r in good)
 
 
+def one_of_each(before, after, group_of):
+    """Whether ``after`` has one row of each group of rows, one with the group's smallest id."""
+    groups = defaultdict(list)
+    for i, r in enumerate(before):
+        groups[group_of[i]].append(r)
+    assert not Counter(after) - Counter(before)
+    first = Counter(min((r[0] for r in rows if r[0] is not None), default=None) for rows in groups.values())
+    assert Counter(r[0] for r in after) == first
+    found = Counter(g for g, rows in groups.items() for r in set(rows) & set(after))
+    assert found == Counter(list(groups))
+
+
+def normal(text):
+    return re.sub("[\x20\x09-\x0d]+", " ", text or "")
+
+
 def test_exact_stage(stages):
     before, _, after, _ = stages["exact_dedup"]
-    groups = defaultdict(list)
-    for r in before:
-        groups[re.sub("[\x20\x09-\x0d]+", " ", r[1] or "")].append(r[0])
-    first = {min((i for i in ids if i is not None), default=None) for ids in groups.values()}
-    assert Counter(after) == Counter(r for r in before if r[0] in first)
+    one_of_each(before, after, [normal(r[1]) for r in before])
 
 
 def test_simhash_stage(stages):
     before, _, after, _ = stages["simhash_dedup"]
     prints = {i: straight_fingerprint(r[1]) for i, r in enumerate(before)}
     roots = roots_of(prints, [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 2])
-    members = defaultdict(list)
-    for i, root in roots.items():
-        members[root].append(before[i][0])
-    keep = {min((x for x in ids if x is not None), default=None) for ids in members.values()}
-    assert Counter(after) == Counter(r for r in before if r[0] in keep)
+    one_of_each(before, after, [roots[i] for i in range(len(before))])
+
+
+def test_rows_that_share_an_id_are_judged_one_by_one(spark, folder):
+    rows = [(1, "a b"), (1, "a b"), (1, "a  b"), (2, "x y"), (2, "a b"), (3, "z"), (None, "z"), (None, "q"), (None, "q")]
+    docs = spark.createDataFrame([(i, t, "en", "s0", 1) for i, t in rows], SCHEMA)
+    got = [(r["doc_id"], normal(r["text"])) for r in corpus_pipeline.keep_first_copies(spark, docs, folder[0]).collect()]
+    assert Counter(got) == Counter([(1, "a b"), (2, "x y"), (3, "z"), (None, "q")])
+    words = " ".join(f"word{i}" for i in range(80))
+    rows = [(7, words), (7, "other text altogether here"), (8, words), (8, words), (None, words)]
+    docs = spark.createDataFrame([(i, t, "en", "s0", 1) for i, t in rows], SCHEMA)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.keep_one_of_similar(spark, docs, folder[0]).collect()]
+    assert Counter(got) == Counter([(7, words), (7, "other text altogether here")])
 
 
 def test_mixing_stage(stages):
