@@ -16,7 +16,10 @@ from gridloom.session import stored
 SHINGLE = 5
 MIN_WORDS = 5
 SIMILARITY = 0.8
-BANDS, BAND_ROWS = 9, 3
+BANDS, BAND_ROWS = 17, 5
+CELLS = 1 << 16  # hashes turned at a time
+ROWS_PER_TASK = 1_000_000  # rows of two longs
+REMEMBERED = 100_000  # keys of lines that a task has signed lately
 SMALL_BUCKET = 128
 PIVOT_ROUNDS = 3
 COLUMNS = 4_096  # shingles compared at a time
@@ -46,11 +49,8 @@ def _halves(keys: list[bytes]) -> list[pa.Array]:
     return [pa.array(both[:, 0]), pa.array(both[:, 1])]
 
 
-def signatures(lines: list[str]) -> np.ndarray:
-    """One 64-bit value per line and band: the hash of the band's three MinHash values.
-
-    Shingles are runs of five characters; a line has at least as many.
-    """
+def _hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """32-bit hashes of all shingles (a line has one at least), and where each line's begin."""
     codes = np.frombuffer("\n".join([*lines, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = np.array([len(x) for x in lines])
     starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
@@ -58,17 +58,35 @@ def signatures(lines: list[str]) -> np.ndarray:
     grams = np.zeros(n, np.uint64)
     for i in range(SHINGLE):
         grams += codes[i : i + n].astype(np.uint64) * _PLACES[i]
-    inside = np.ones(n, bool)
-    for i in range(SHINGLE):  # shingles that touch a line feed belong to no line
-        inside[np.clip(starts[1:] - 1 - i, 0, n - 1)] = False
-    hashed = (mix64(grams[inside]) >> np.uint64(32)).astype(np.uint32)
-    firsts = np.concatenate([[0], np.cumsum(lengths - SHINGLE + 1)[:-1]])
-    turned = np.empty_like(hashed)
-    least = [np.minimum.reduceat(np.multiply(hashed, t, out=turned), firsts) for t in _TIMES]
+    return (mix64(grams) >> np.uint64(32)).astype(np.uint32), starts
+
+
+def signatures(lines: list[str]) -> np.ndarray:
+    """One 64-bit value per line and band: the hash of the band's five MinHash values.
+
+    Shingles are runs of five characters; a line has at least as many.  Lines of like length
+    are hashed together, the shorter ones filled up with their own hashes.
+    """
+    hashed, starts = _hashes(lines)
+    counts = np.array([len(x) - SHINGLE + 1 for x in lines])
+    order = np.argsort(counts, kind="stable")
+    least = np.empty((len(lines), BANDS * BAND_ROWS), np.uint32)
+    at = 0
+    while at < len(order):
+        stop = at + max(1, min(len(order) - at, CELLS // int(counts[order[at]])))
+        while stop > at + 1 and counts[order[stop - 1]] > 1.25 * counts[order[at]]:
+            stop = at + (stop - at + 1) // 2
+        rows = order[at:stop]
+        width = int(counts[rows[-1]])
+        held = hashed[starts[rows][:, None] + np.minimum(np.arange(width), counts[rows][:, None] - 1)]
+        turned = np.empty_like(held)
+        for i, times in enumerate(_TIMES):
+            least[rows, i] = np.multiply(held, times, out=turned).min(axis=1)
+        at = stop
     out = np.empty((len(lines), BANDS), np.uint64)
     for b in range(BANDS):
         value = np.full(len(lines), b + 1, np.uint64)
-        for row in least[b * BAND_ROWS : (b + 1) * BAND_ROWS]:
+        for row in least[:, b * BAND_ROWS : (b + 1) * BAND_ROWS].T:
             value = mix64(value * np.uint64(0x9E3779B97F4A7C15) + row)
         out[:, b] = value
     return out
@@ -113,33 +131,47 @@ def similar_pairs(lines: list[str], least: float = SIMILARITY) -> tuple[np.ndarr
 
 
 def _line_table(docs: DataFrame, least_words: int) -> DataFrame:
-    """Of each document (id, text): line number, key (two longs) and bands of its judged lines.
-
-    Lines shorter than a shingle have no bands: they are similar to equal ones only.
-    """
-    kind = pa.list_(pa.int64())
+    """Of each document (id, text): line number and key (two longs) of its judged lines."""
 
     def run(batches):
         for batch in slices(batches, "text"):
-            ids, numbers, lines = [], [], []
+            ids, numbers, keys = [], [], []
             for doc, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()):
                 for i, line in judged_lines(text or "", least_words):
                     ids.append(doc)
                     numbers.append(i)
-                    lines.append(line)
-            if lines:
-                long = [i for i, x in enumerate(lines) if len(x) >= SHINGLE]
-                bands = [[]] * len(lines)
-                if long:
-                    for i, row in zip(long, signatures([lines[i] for i in long]).view(np.int64)):
-                        bands[i] = row
+                    keys.append(line_key(line))
+            if keys:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(numbers, pa.int64()), *_halves(list(map(line_key, lines))),
-                     pa.array(bands, kind)],
-                    names=["id", "line", "k1", "k2", "bands"],
+                    [pa.array(ids, pa.int64()), pa.array(numbers, pa.int64()), *_halves(keys)], names=["id", "line", "k1", "k2"]
                 )
 
-    return docs.mapInArrow(run, "id long, line long, k1 long, k2 long, bands array<long>")
+    return docs.mapInArrow(run, "id long, line long, k1 long, k2 long")
+
+
+def _band_table(docs: DataFrame, least_words: int) -> DataFrame:
+    """``bucket`` and ``k1``: a row for each band of a line, from each task about once.
+
+    Lines shorter than a shingle have no bands: they are similar to equal ones only.
+    """
+
+    def run(batches):
+        seen: set[bytes] = set()
+        for batch in slices(batches, "text"):
+            fresh = {}
+            for line in {x for text in batch.column("text").to_pylist() for _, x in judged_lines(text or "", least_words)}:
+                if len(line) >= SHINGLE and (key := line_key(line)) not in seen:
+                    fresh[key] = line
+            if not fresh:
+                continue
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            seen.update(fresh)
+            bands = signatures(list(fresh.values())).view(np.int64)
+            k1 = _halves(list(fresh))[0].to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(bands.reshape(-1)), pa.array(np.repeat(k1, BANDS))], names=["bucket", "k1"])
+
+    return docs.select("text").mapInArrow(run, "bucket long, k1 long")
 
 
 def _marks(keys: DataFrame) -> np.ndarray:
@@ -252,7 +284,11 @@ def _cell_number(n: Column) -> Column:
     return F.ceil(n / SMALL_BUCKET).cast("int")
 
 
-def similar_lines(docs: DataFrame, lines: DataFrame, n_lines: int, least_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame, int]:
+def _tasks(docs: DataFrame) -> int:
+    return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def similar_lines(docs: DataFrame, n_lines: int, least_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame, int]:
     """Edges (a, b) between keys of similar lines, enough to connect what all similar pairs
     that share a band would connect; the compared lines' ``key``, ``k1``, ``k2``; and a bound
     of the number of edges.
@@ -262,13 +298,14 @@ def similar_lines(docs: DataFrame, lines: DataFrame, n_lines: int, least_words:
     label, and the rest goes through two more such rounds.  Then every line outside the first
     label is compared with all lines of the bucket that have another label, cell by cell.
     """
-    rows = lines.groupBy("k1", "k2", "bands").agg(F.count(F.lit(1))).select("k1", F.explode("bands").alias("bucket"))
+    dealt = _band_table(docs, least_words).repartition(max(_tasks(docs), BANDS * n_lines // ROWS_PER_TASK), "bucket")
+    rows = dealt.groupBy("bucket", "k1").agg(F.count(F.lit(1)).alias("copies")).drop("copies")
     bucket = W.partitionBy("bucket")
     met = {
         "n": F.count(F.lit(1)).over(bucket), "least": F.min("k1").over(bucket), "sum": F.bit_xor("k1").over(bucket),
         "mixed": F.bit_xor(F.xxhash64("k1")).over(bucket),
     }
-    met_rows = stored(rows.withColumns(met).where("n > 1"), "buckets", BANDS * n_lines)
+    met_rows = stored(rows.withColumns(met).where("n > 1"), "buckets")
     # similar lines meet in most bands: of buckets that hold the same lines one is enough
     chosen = met_rows.groupBy("n", "least", "sum", "mixed").agg(F.min("bucket").alias("bucket")).select("bucket")
     shared = stored(met_rows.select("k1", "bucket", "n").join(chosen.hint("merge"), "bucket", "left_semi"), "chosen", met_rows.count())
@@ -306,16 +343,11 @@ def similar_lines(docs: DataFrame, lines: DataFrame, n_lines: int, least_words:
     cells = small.unionByName(
         as_right.select("bucket", "i", "j", "key", "line_text", "label", F.lit(False).alias("left"))
     ).unionByName(as_left.select("bucket", "i", "j", "key", "line_text", "label", F.lit(True).alias("left")))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    in_cells = cells.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    in_cells = cells.repartition(max(_tasks(docs), n_shared // ROWS_PER_TASK), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     found = stored(in_cells.mapInArrow(_compare_cells, "a binary, b binary"), "found")
     return found.union(spokes), texts.drop("line_text"), found.count() + spokes.count()
 
 
-def _cell_number(n: Column) -> Column:
-    return F.ceil(n / SMALL_BUCKET).cast("int")
-
-
 def line_dedup(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = MIN_WORDS
 ) -> DataFrame:
@@ -324,14 +356,14 @@ def line_dedup(
     Lines with at least ``least_words`` words (1: every line but blank ones) are compared in normal form (lower case, single spaces) by
     the Jaccard similarity of their five-character shingles; those at 0.8 or more are linked.
     Of each component the first line (by id, then line number; a null id comes last) stays,
-    the others are dropped.  Lines with fewer words stay; lines under five characters must be equal.  Nine bands of three MinHash values miss a pair
-    at 0.8 with probability 0.002, a pair at 0.9 with 0.000008.  Null and empty texts
+    the others are dropped.  Lines with fewer words stay; lines under five characters must be equal.  Seventeen bands of five MinHash values miss a
+    pair at 0.8 with probability 0.0012, a pair at 0.9 with 0.0000003.  Null and empty texts
     have one empty line and lose nothing.  Rows that repeat an id lose the same lines.
     """
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     lines = stored(_line_table(picked, least_words), "lines")
     n_lines = lines.count()
-    edges, keys, most = similar_lines(picked, lines, n_lines, least_words)
+    edges, keys, most = similar_lines(picked, n_lines, least_words)
     roots = components(edges, "a", "b", most)
     top = keys.select(F.col("key").alias("root"), F.col("k1").alias("r1"), F.col("k2").alias("r2"))
     linked = keys.join(roots.withColumnRenamed("node", "key"), "key").join(top, "root").select("k1", "k2", "r1", "r2")
