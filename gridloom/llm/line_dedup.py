@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -21,6 +23,7 @@ CELLS = 1 << 16  # hashes turned at a time
 ROWS_PER_TASK = 1_000_000  # rows of two longs
 REMEMBERED = 100_000  # keys of lines that a task has signed lately
 SMALL_BUCKET = 128
+FEW_LINES = 24  # cells of more lines are compared by matrix products
 PIVOT_ROUNDS = 3
 COLUMNS = 4_096  # shingles compared at a time
 PAGE, MOST_PAGES = 32_768, 4_096  # bits of a page of marks, and pages at most
@@ -254,8 +257,14 @@ def _compare_cells(batches):
             return x
 
         keys, found = sorted(texts), []
-        rows, columns = similar_pairs([texts[k] for k in keys])
-        for a, b in zip(rows.tolist(), columns.tolist()):
+        if len(keys) <= FEW_LINES:
+            held = [shingles(texts[k]) for k in keys]
+            pairs = (p for p in combinations(range(len(keys)), 2) if root(label[keys[p[0]]]) != root(label[keys[p[1]]]))
+            pairs = (p for p in pairs if similar(held[p[0]], held[p[1]]))
+        else:
+            rows, columns = similar_pairs([texts[k] for k in keys])
+            pairs = zip(rows.tolist(), columns.tolist())
+        for a, b in pairs:
             a, b = keys[a], keys[b]
             if a in left or b in left:
                 ra, rb = root(label[a]), root(label[b])
