@@ -1,20 +1,21 @@
 """Reversible masking of sensitive text: entities, patterns, placeholders, restore.
 
-Texts stay where they are: a small Arrow function finds entities and patterns per text.
+Texts stay where they are: built-in functions find entities and patterns per text.
 Only the distinct (session, value) pairs are shuffled to be numbered, and numbering works
 on chunks, so a session holding a large share of all texts is not gathered in one task.
 """
 
 from __future__ import annotations
 
-import re
+import functools
+import operator
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridloom.functions.arrays import with_running_sums
 from gridloom.operators.series import with_position
 from gridloom.session import cut_lineage
 
@@ -45,6 +46,9 @@ CONTEXT_CHARS = 30
 UNICODE = "(?U)"  # word and space classes as in Unicode text
 
 
+FOUND_TYPE = "array<struct<kind:string,value:string>>"
+
+
 def _tagged(kind: str):
     return lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
 
@@ -64,53 +68,115 @@ def extract_patterns(df: DataFrame, text="text", patterns=PATTERNS) -> DataFrame
     ).drop("_f")
 
 
-ENTITY_TYPE = "array<struct<value:string,kind:string,start:int>>"
-FOUND_TYPE = "array<struct<kind:string,value:string>>"
+#: ``ENTITY`` for the JVM: a capitalised word and the capitalised words and numbers after it, each taken whole, so that
+#: long runs need no stack.  Letters and digits of any script end no word.
+_WORD_END = r"(?![\p{L}\p{N}_])"
+_WORD_START = r"(?U)(?=[A-Z])(?<![\p{L}\p{N}_])"
+_WORDS = r"[A-Z][a-zA-Z0-9]*+" + _WORD_END + r"(?:[\s\x1c-\x1f]++[A-Z0-9][a-zA-Z0-9]*+" + _WORD_END + ")*+"
+_ENTITY = _WORD_START + _WORDS
+#: The same with the characters before (group 1 or 2) and after it (group 3).
+_IN_CONTEXT = (
+    _WORD_START + rf"(?s:(?<=(.{{{CONTEXT_CHARS}}}))|(?<=\A(.{{0,{CONTEXT_CHARS - 1}}})))" + _WORDS + rf"(?s:(?=(.{{0,{CONTEXT_CHARS}}})))"
+)
 
+_WIDE = r"[\x{10000}-\x{10FFFF}]"
 
-def _entities(text: str, names, indicators) -> list[tuple[str, str, int]]:
-    """Distinct sensitive word groups of one text: longest first, then first place."""
-    low, out = text.lower(), {}
-    for m in re.finditer(ENTITY, text):
-        value, key = m.group(0), m.group(0).lower()
-        if len(value) < 3 or value in out:
-            continue
-        kind = next((c for n, c in names if n.lower() in key or key in n.lower()), None)
-        if kind is None:
-            around = low[max(0, m.start() - CONTEXT_CHARS) : m.end() + CONTEXT_CHARS]
-            if any(w in around for w in indicators):
-                kind = "FACILITY" if any(w in key for w in FACILITY_MARKS) else "EQUIPMENT"
-        if kind is not None:
-            out[value] = (value, kind, m.start())
-    return sorted(out.values(), key=lambda e: (-len(e[0]), e[2]))
 
+def _any_of(tests) -> Column:
+    return functools.reduce(operator.or_, tests, F.lit(False))
 
-def extract_entities(df: DataFrame, text="text", names=KNOWN_NAMES, indicators=INDICATORS) -> DataFrame:
-    """One row per distinct entity of a text: ``value``, ``kind`` and first ``start``."""
-    names, indicators = list(names), list(indicators)
 
-    @F.pandas_udf(ENTITY_TYPE)
-    def spans(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [dict(zip(("value", "kind", "start"), e)) for e in _entities(t or "", names, indicators)])
+def _kind(value: Column, around: Column, names, indicators) -> Column:
+    """The kind of the first known name that holds the value or is held by it, else by the words around; or null."""
+    key, low = F.lower(value), F.lower(around)
+    chain = F
+    for name, kind in names:
+        name = name.lower()
+        chain = chain.when(key.contains(name) | F.lit(name).contains(key), F.lit(kind))
+    marked = F.when(_any_of(key.contains(w) for w in FACILITY_MARKS), F.lit("FACILITY")).otherwise(F.lit("EQUIPMENT"))
+    return chain.when(_any_of(low.contains(w) for w in indicators), marked)
 
-    return df.withColumn("_e", F.explode(spans(F.col(text)))).withColumns(
-        {"value": F.col("_e.value"), "kind": F.col("_e.kind"), "start": F.col("_e.start")}
-    ).drop("_e")
 
+def _with_entities(df: DataFrame, text: str, names, indicators, with_start: bool) -> DataFrame:
+    """Adds ``_entities``: distinct sensitive word groups (value, kind, start), longest first, then first place.
 
-def _find_patterns(df: DataFrame, text: str, patterns) -> DataFrame:
-    """``found`` for patterns alone, by built-in functions.
+    ``start`` counts characters from the beginning, or word groups if ``with_start`` is False,
+    which saves a pass over the text.
+    """
+    whole = F.coalesce(F.col(text), F.lit(""))
+
+    # looking back counts UTF-16 units: characters of two units become others of their class
+    narrow = F.when(whole.rlike(_WIDE), F.regexp_replace(
+        F.regexp_replace(whole, rf"[\p{{L}}\p{{N}}&&{_WIDE}]", "_"), _WIDE, "-"
+    )).otherwise(whole)
+
+    def around(group):
+        """The context only where the text has an indicator at all."""
+        has = _any_of(F.lower(whole).contains(w) for w in indicators)
+        return F.when(has, F.regexp_extract_all(narrow, F.lit(_IN_CONTEXT), F.lit(group))).otherwise(F.array().cast("array<string>"))
+
+    helpers = ["_value", "_far", "_edge", "_after"]
+    out = df.withColumns({"_value": F.regexp_extract_all(whole, F.lit(_ENTITY), F.lit(0)), "_far": around(1), "_edge": around(2), "_after": around(3)})
+    if with_start:
+        gaps = F.transform(F.split(whole, _ENTITY, -1), lambda x: F.length(x))
+        steps = F.zip_with(F.slice(gaps, 1, F.size("_value")), F.concat(F.array(F.lit(0)), F.transform("_value", lambda v: F.length(v))),
+                           lambda gap, before: (gap + before).cast("long"))
+        out = out.withColumn("_steps", F.slice(steps, 1, F.size("_value")))
+        out = with_running_sums(out, "_steps", "_start")
+    else:
+        out = out.withColumn("_start", F.transform("_value", lambda v, i: i.cast("long")))
+    def before(s):
+        """Group 2 may be left over from an earlier place; from the 30th character on group 1 is set."""
+        return F.when(s["_far"] != "", s["_far"]).otherwise(s["_edge"])
+
+    spots = F.arrays_zip("_value", "_far", "_edge", "_after", "_start")
+    judged = F.transform(spots, lambda s: F.struct(
+        s["_value"].alias("value"), s["_start"].alias("start"),
+        _kind(s["_value"], F.concat_ws("", before(s), s["_value"], s["_after"]), names, indicators).alias("kind"),
+    ))
+    kept = F.array_sort(F.filter(judged, lambda e: e["kind"].isNotNull() & (F.length(e["value"]) >= 3)))
+    out = out.withColumn("_kept", kept).drop(*helpers, "_start")
+    # of each value the first place that counts
+    first = F.filter("_kept", lambda e, i: (i == 0) | (F.get("_kept", i - 1)["value"] != e["value"]))
+    ordered = F.array_sort(F.transform(first, lambda e: F.struct(
+        (-F.length(e["value"])).alias("l"), e["start"].alias("start"), e["value"].alias("value"), e["kind"].alias("kind")
+    )))
+    return out.withColumn("_entities", ordered).drop("_kept")
+
+
+def extract_entities(df: DataFrame, text="text", names=KNOWN_NAMES, indicators=INDICATORS) -> DataFrame:
+    """One row per distinct entity of a text: ``value``, ``kind`` and first ``start``.
 
-    Each pattern is searched in the text left by the ones before it.
+    An entity is a run of capitalised words of three characters at least that shares a known
+    name or stands near an indicator word.  Null and empty texts have none.
     """
-    out, found = df.withColumn("_left", F.coalesce(F.col(text), F.lit(""))), []
+    spans = _with_entities(df, text, list(names), list(indicators), with_start=True)
+    # an inner explode, or a filter on the lists, would be pushed down and search the texts again
+    each = spans.withColumn("_e", F.explode_outer("_entities")).where("_e IS NOT NULL")
+    return each.withColumns(
+        {"value": F.col("_e.value"), "kind": F.col("_e.kind"), "start": F.col("_e.start").cast("int")}
+    ).drop("_e", "_entities")
+
+
+def _find_patterns(df: DataFrame, text: str, patterns, earlier: Column) -> DataFrame:
+    """``found``: ``earlier`` finds, then those of the patterns.
+
+    Each pattern is searched in the text left by the finds before it.
+    """
+    start = F.aggregate(
+        earlier, F.coalesce(F.col(text), F.lit("")),
+        lambda t, e: F.replace(t, e["value"], F.concat(F.lit("[REDACTED_"), e["kind"], F.lit("_0]"))),
+    )
+    out, found = df.withColumn("_left", start), [earlier]
     for i, (kind, pattern) in enumerate(patterns):
         hits = F.array_distinct(F.regexp_extract_all("_left", F.lit(UNICODE + pattern), F.lit(0)))
+        if "@" in pattern:  # few texts hold one, and the search for what stands before it is slow
+            hits = F.when(F.col("_left").contains("@"), hits).otherwise(F.array().cast("array<string>"))
         out = out.withColumn(f"_h{i}", hits)
         mark = F.lit(f"[REDACTED_{kind}_0]")
         out = out.withColumn("_left", _replaced(F.col("_left"), F.col(f"_h{i}"), mark))
         found.append(F.transform(f"_h{i}", _tagged(kind)))
-    return out.withColumn("found", F.flatten(F.array(*found))).drop("_left", *(f"_h{i}" for i in range(len(patterns))))
+    return out.withColumn("found", F.concat(*found)).drop("_left", *(f"_h{i}" for i in range(len(patterns))))
 
 
 def _replaced(text: Column, values: Column, mark: Column) -> Column:
@@ -124,24 +190,10 @@ def find_sensitive(df: DataFrame, text="text", names=KNOWN_NAMES, indicators=IND
     """
     names, indicators, patterns = list(names), list(indicators), list(patterns)
     if not names and not indicators:
-        return _find_patterns(df, text, patterns)
-
-    def finds(whole: str) -> list[dict]:
-        out = [{"kind": k, "value": v} for v, k, _ in _entities(whole, names, indicators)]
-        for e in out:
-            whole = whole.replace(e["value"], f"[REDACTED_{e['kind']}_0]")
-        for kind, pattern in patterns:
-            hits = list(dict.fromkeys(re.findall(pattern, whole)))
-            for value in hits:
-                whole = whole.replace(value, f"[REDACTED_{kind}_0]")
-            out += [{"kind": kind, "value": value} for value in hits]
-        return out
-
-    @F.pandas_udf(FOUND_TYPE)
-    def search(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: finds(t or ""))
-
-    return df.withColumn("found", search(F.col(text)))
+        return _find_patterns(df, text, patterns, F.array().cast(FOUND_TYPE))
+    spans = _with_entities(df, text, names, indicators, with_start=False)
+    spans = spans.withColumn("_named", F.transform("_entities", lambda e: F.struct(e["kind"].alias("kind"), e["value"].alias("value"))))
+    return _find_patterns(spans, text, patterns, F.col("_named")).drop("_named", "_entities")
 
 
 def assign_placeholders(found: DataFrame, session: str, order: str, slot_width: int = 1024) -> DataFrame:
@@ -167,7 +219,8 @@ def found_table(df: DataFrame, session: str, order: str, text_id: Sequence[str],
     """(session, order, text_id, found) of the texts with finds, materialised without the
     texts, so that numbering and replacing do not search the texts again."""
     cols = list(dict.fromkeys([session, order, *text_id]))
-    return cut_lineage(find_sensitive(df.select(*dict.fromkeys([*cols, text])), text, **kw).filter(F.size("found") > 0).select(*cols, "found"))
+    found = cut_lineage(find_sensitive(df.select(*dict.fromkeys([*cols, text])), text, **kw).select(*cols, "found"))
+    return found.filter(F.size("found") > 0)
 
 
 def mask(df: DataFrame, found: DataFrame, mapping: DataFrame, session: str, text_id: Sequence[str], text="text", name="masked"):

@@ -35,7 +35,34 @@ def extract_timestamps(spark, sf_dir):
     return M.extract_patterns(logs).select("reading_id", "kind", "value")
 
 
-@query("extract_entities")
+# Spaces become blanks, other letters and digits an underscore, so that ASCII word ends are Unicode ones.
+PLAIN = r"""regexp_replace(regexp_replace(regexp_replace(text, '[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{0b}\x{1c}-\x{1f}]', ' ', 'g'),
+  '[^\p{L}\p{N}\x00-\x7f]', '-', 'g'), '[^\x00-\x7f]', '_', 'g')"""
+ENTITY_PATTERN = r"\b[A-Z][a-zA-Z0-9]*(?:\s+[A-Z0-9][a-zA-Z0-9]*)*\b"
+NAME_TESTS = " ".join(
+    f"WHEN contains(key, '{n}') OR contains('{n}', key) THEN '{k}'" for n, k in (
+        ("cambridge smelting co.", "FACILITY"), ("cambridge smelting", "FACILITY"), ("steel plant #4", "FACILITY"),
+        ("steel plant", "FACILITY"), ("smelter 3b", "EQUIPMENT"), ("furnace 12", "EQUIPMENT"),
+    )
+)
+AROUND = "facility|plant|smelter|furnace|meter|machine|compressor|boiler|turbine|site|co\\.|inc\\.|corp\\."
+
+
+def entity_sql(rows: str, ids: str) -> str:
+    """CTEs up to ``ents``: (ids, value, kind, start, i) of the table ``rows``; ``i`` orders a text's replacements."""
+    return f"""plain AS (SELECT {ids}, text, {PLAIN} AS plain FROM {rows}),
+hits AS (SELECT {ids}, text, unnest(list_zip(regexp_extract_all(plain, '{ENTITY_PATTERN}'), string_split_regex(plain, '{ENTITY_PATTERN}')[:-2])) AS hit,
+  unnest(range(len(regexp_extract_all(plain, '{ENTITY_PATTERN}')))) AS spot FROM plain),
+spots AS (SELECT {ids}, text, length(hit[1]) AS len, (sum(length(hit[1]) + length(hit[2])) OVER (PARTITION BY {ids} ORDER BY spot))::BIGINT - length(hit[1]) AS start FROM hits),
+valued AS (SELECT *, substr(text, start + 1, len) AS value, lower(substr(text, start + 1, len)) AS key,
+  lower(substr(text, greatest(start - 30, 0) + 1, start + len + 30 - greatest(start - 30, 0))) AS around FROM spots WHERE len >= 3),
+kinds AS (SELECT {ids}, value, start, CASE {NAME_TESTS} WHEN regexp_matches(around, '{AROUND}') THEN
+  CASE WHEN regexp_matches(key, 'plant|site|co|facility') THEN 'FACILITY' ELSE 'EQUIPMENT' END END AS kind FROM valued),
+firsts AS (SELECT {ids}, value, arg_min(kind, start) AS kind, min(start) AS start FROM kinds WHERE kind IS NOT NULL GROUP BY {ids}, value),
+ents AS (SELECT *, row_number() OVER (PARTITION BY {ids} ORDER BY length(value) DESC, start) AS i FROM firsts)"""
+
+
+@query("extract_entities", f"WITH {entity_sql('documents', 'doc_id')} SELECT doc_id, value, kind, start FROM ents")
 def extract_entities(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return M.extract_entities(docs).select("doc_id", "value", "kind", "start")
@@ -68,7 +95,32 @@ def mask_documents(spark, sf_dir):
     return masked.select("doc_id", "masked")
 
 
-@query("mask_messages")
+def _marked(texts: str, hits: str, mark: str) -> str:
+    """``texts`` with each of the list ``hits`` replaced by the mark."""
+    return f"""list_reduce(list_prepend(struct_pack(v := '', p := {texts}), list_transform({hits}, lambda h: struct_pack(v := {mark[0]}, p := {mark[1]}))),
+  lambda a, b: struct_pack(v := '', p := replace(a.p, b.v, b.p))).p"""
+
+
+def _phase(number: int, kind: str, pattern: str) -> str:
+    mark = ("h", f"'[REDACTED_{kind}_0]'")
+    return f"""s{number} AS (SELECT conv_id, turn, text, lists, hits, {_marked('plain', 'hits', mark)} AS plain FROM (
+  SELECT *, regexp_extract_all(plain, '{pattern}') AS hits FROM (SELECT conv_id, turn, text, plain, lists FROM r{number - 1}))),
+r{number} AS (SELECT conv_id, turn, text, plain, list_concat(lists, list_transform(hits, lambda h, n: struct_pack(phase := {number}, i := n, v := h, k := '{kind}'))) AS lists FROM s{number})"""
+
+
+@query("mask_messages", rf"""WITH {entity_sql('conversations', 'conv_id, turn')},
+gathered AS (SELECT conv_id, turn, list(struct_pack(phase := 0, i := i, v := value, k := kind) ORDER BY i) AS lists FROM ents GROUP BY ALL),
+r0 AS (SELECT conv_id, turn, text, {_marked("coalesce(text, '')", 'lists', ("h.v", "'[REDACTED_' || h.k || '_0]'"))} AS plain, lists
+  FROM (SELECT conv_id, turn, text, coalesce(lists, []) AS lists FROM conversations LEFT JOIN gathered USING (conv_id, turn))),
+{_phase(1, 'EMAIL', r'[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}')},
+{_phase(2, 'IP', r'\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}')},
+{_phase(3, 'TIMESTAMP', r'\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}')},
+found AS (SELECT conv_id, turn, v, arg_min(k, (phase, i)) AS k, min((phase, i)) AS o FROM (SELECT conv_id, turn, unnest(lists, max_depth := 2) FROM r3) GROUP BY ALL),
+firsts_ AS (SELECT conv_id, v, arg_min(k, (turn, o)) AS k, min((turn, o)) AS o FROM found GROUP BY ALL),
+named AS (SELECT conv_id, v, '[REDACTED_' || k || '_' || (row_number() OVER (PARTITION BY conv_id ORDER BY o) - 1) || ']' AS p FROM firsts_),
+pairs AS (SELECT conv_id, turn, list(struct_pack(v := v, p := p) ORDER BY o) AS l FROM found JOIN named USING (conv_id, v) GROUP BY ALL)
+SELECT conv_id, turn, CASE WHEN l IS NULL THEN coalesce(text, '') ELSE
+  {_marked("text", "l", ("h.v", "h.p"))} END AS masked FROM conversations LEFT JOIN pairs USING (conv_id, turn)""")
 def mask_messages(spark, sf_dir):
     """Entities and patterns, one session per conversation."""
     chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")

@@ -168,3 +168,36 @@ def test_search_on_documents(spark, sf):
     q = spark.createDataFrame(asked, "query_id int, text string, category string")
     got = sorted(tuple(r) for r in R.keyword_search(q, docs, 4).select("query_id", "doc_id", "score", "rank").collect())
     assert got == search_loop(asked, rows, 4)
+
+
+def straight_entities(text):
+    """Value, kind and first place that counts, by a loop."""
+    low, found = text.lower(), {}
+    for m in re.finditer(M.ENTITY, text):
+        value = m.group(0)
+        if len(value) < 3 or value in found:
+            continue
+        kind = next((k for n, k in M.KNOWN_NAMES if n.lower() in value.lower() or value.lower() in n.lower()), None)
+        context = low[max(0, m.start() - 30) : m.end() + 30]
+        if kind is None and any(i in context for i in M.INDICATORS):
+            kind = "FACILITY" if any(x in value.lower() for x in M.FACILITY_MARKS) else "EQUIPMENT"
+        if kind:
+            found[value] = (value, kind, m.start())
+    return sorted(found.values(), key=lambda e: (-len(e[0]), e[2]))
+
+
+def test_entities_equal_loop_at_word_ends_contexts_and_lengths(spark):
+    import random
+
+    draw = random.Random(7)
+    pieces = ["Alpha", "Beta 4X", "Éclair", "Straße", "Foo_bar", "Caf\u00e9 Zed", "meter", "plant", "Pump\u00a0Two", "x" * 29, "x" * 30,
+              "x" * 31, "漢字", "\U0001f600", "Cafe\u0301", "Co.", "steel", "Steel", "A", "Ab", "12", "\n", ".", "Site"]
+    texts = ["".join(draw.choice(pieces) + draw.choice([" ", "  ", "", ", "]) for _ in range(draw.randint(1, 25))) for _ in range(300)]
+    texts += MESSAGES + ["Gamma " + "x" * 24 + "meter", "Gamma " + "x" * 25 + "meter", "meter" + "x" * 24 + " Gamma", "meter" + "x" * 26 + " Gamma"]
+    texts += ["Word " * 20_000, " ".join(f"Pump{i % 5000} of meter," for i in range(20_000)), None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(5)
+    got = {}
+    for r in M.extract_entities(df).collect():
+        got.setdefault(r.i, []).append((r.value, r.kind, r.start))
+    for i, text in enumerate(texts):
+        assert got.get(i, []) == straight_entities(text or ""), (text or "")[:200]
