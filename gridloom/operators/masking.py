@@ -112,11 +112,12 @@ def _with_entities(df: DataFrame, text: str, names, indicators, with_start: bool
 
     def around(group):
         """The context only where the text has an indicator at all."""
-        has = _any_of(F.lower(whole).contains(w) for w in indicators)
-        return F.when(has, F.regexp_extract_all(narrow, F.lit(_IN_CONTEXT), F.lit(group))).otherwise(F.array().cast("array<string>"))
+        return F.when(F.col("_has"), F.regexp_extract_all(narrow, F.lit(_IN_CONTEXT), F.lit(group))).otherwise(F.array().cast("array<string>"))
 
     helpers = ["_value", "_far", "_edge", "_after"]
-    out = df.withColumns({"_value": F.regexp_extract_all(whole, F.lit(_ENTITY), F.lit(0)), "_far": around(1), "_edge": around(2), "_after": around(3)})
+    out = df.withColumn("_low", F.lower(whole))
+    out = out.withColumn("_has", _any_of(F.col("_low").contains(w) for w in indicators)).drop("_low")
+    out = out.withColumns({"_value": F.regexp_extract_all(whole, F.lit(_ENTITY), F.lit(0)), "_far": around(1), "_edge": around(2), "_after": around(3)})
     if with_start:
         gaps = F.transform(F.split(whole, _ENTITY, -1), lambda x: F.length(x))
         steps = F.zip_with(F.slice(gaps, 1, F.size("_value")), F.concat(F.array(F.lit(0)), F.transform("_value", lambda v: F.length(v))),
@@ -135,7 +136,7 @@ def _with_entities(df: DataFrame, text: str, names, indicators, with_start: bool
         _kind(s["_value"], F.concat_ws("", before(s), s["_value"], s["_after"]), names, indicators).alias("kind"),
     ))
     kept = F.array_sort(F.filter(judged, lambda e: e["kind"].isNotNull() & (F.length(e["value"]) >= 3)))
-    out = out.withColumn("_kept", kept).drop(*helpers, "_start")
+    out = out.withColumn("_kept", kept).drop(*helpers, "_has", "_start")
     # of each value the first place that counts
     first = F.filter("_kept", lambda e, i: (i == 0) | (F.get("_kept", i - 1)["value"] != e["value"]))
     ordered = F.array_sort(F.transform(first, lambda e: F.struct(
