@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from gridloom.session import stored
 
 LEAST_COSINE = 0.7
+_SIZES = 1 << 16  # above the words of any template
 TERM = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -125,8 +126,8 @@ def telling_terms(weighted: list[tuple[int, str, float, float]], least: float) -
     return needed
 
 
-def passages(words: Column, templates: list[tuple[str, str]], telling: set[tuple[int, str]]) -> Column:
-    """Runs of the words, across line breaks, that put a telling term in its place in a template.
+def passages(words: str, templates: list[tuple[str, str]], telling: set[tuple[int, str]]) -> Column:
+    """Runs of the words of the array column ``words``, across line breaks, that put a telling term in its place in a template.
 
     A run is as long as its template.  Those of templates with more than sixteen words begin
     at every eighth of their length and are longer by an eighth, so that they hold each place.
@@ -145,13 +146,16 @@ def passages(words: Column, templates: list[tuple[str, str]], telling: set[tuple
         )))
     ))
 
+    # a run as one long, begin before size, so that they are made distinct by hashing
     def runs(word, i):
-        return F.transform(F.coalesce(places[word], F.array().cast("array<struct<place:int,step:int,size:int>>")), lambda s: F.struct(
-            (F.floor(F.greatest(i - s["place"], F.lit(0)) / s["step"]).cast("int") * s["step"]).alias("begin"), s["size"].alias("size")
+        return F.transform(F.coalesce(places[word], F.array().cast("array<struct<place:int,step:int,size:int>>")), lambda s: (
+            F.floor(F.greatest(i - s["place"], F.lit(0)) / s["step"]).cast("long") * s["step"] * _SIZES + s["size"]
         ))
 
     found = F.array_distinct(F.flatten(F.transform(words, runs)))
-    return F.transform(found, lambda r: F.array_join(F.slice(words, r["begin"] + 1, r["size"]), " "))
+    return F.transform(found, lambda r: F.array_join(
+        F.slice(words, F.floor(r / _SIZES).cast("int") + 1, (r % _SIZES).cast("int")), " "
+    ))
 
 
 def notices(
@@ -175,18 +179,19 @@ def notices(
     sought = F.array(*map(F.lit, sorted({term for _, term in telling})))
     near = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.arrays_overlap(terms(F.col(text_col)), sought))
     single = near.select("id", F.explode(F.split("text", "\n")).alias("line")).where(F.arrays_overlap(terms(F.col("line")), sought))
-    run = near.select("id", F.explode(passages(terms(F.col("text")), templates, telling)).alias("line"))
-    lines = single.unionByName(run).distinct()
-    lines = stored(lines, "candidates")
-    asked = lines.select(F.explode(F.array_distinct(terms(F.col("line")))).alias("term")).distinct()
-    weights = stored(term_weights(counts, asked), "weights")
-    words = (
-        lines.withColumn("term", F.explode(terms(F.col("line")))).groupBy("id", "line", "term")
-        .agg(F.count(F.lit(1)).alias("tf")).join(weights, "term")
-        .withColumn("v", F.col("tf") * F.col("idf"))
-    )
-    words = words.withColumn("norm", F.sqrt(F.sum(F.col("v") * F.col("v")).over(W.partitionBy("id", "line"))))
-    scores = words.join(unit, "term").groupBy("id", "line", "template", "license").agg(
+    listed = near.select("id", terms(F.col("text")).alias("words"))
+    # an inner explode would be tested below the list of words, which then is made anew for each run
+    run = listed.select("id", F.explode_outer(passages("words", templates, telling)).alias("line")).where("line IS NOT NULL")
+    # passages of one document with the same words have the same score; from here on a hash stands for the text
+    worded = single.unionByName(run).select("id", F.array_join(terms(F.col("line")), " ").alias("line")).distinct()
+    key = F.unhex(F.md5("line"))
+    lines = stored(worded.select("id", key.alias("key"), F.explode(F.split("line", " ")).alias("term")).groupBy("id", "key", "term").agg(
+        F.count(F.lit(1)).alias("tf")
+    ), "candidates")
+    weights = stored(term_weights(counts, lines.select("term").distinct()), "weights")
+    words = lines.join(weights, "term").withColumn("v", F.col("tf") * F.col("idf"))
+    words = words.withColumn("norm", F.sqrt(F.sum(F.col("v") * F.col("v")).over(W.partitionBy("id", "key"))))
+    scores = words.join(unit, "term").groupBy("id", "key", "template", "license").agg(
         (F.sum(F.col("v") * F.col("w")) / F.max("norm")).alias("cosine")
     ).withColumn("score", F.round("cosine", 6)).where(F.col("score") >= least)
     best = F.max(F.struct("score", (-F.col("template")).alias("order"), "license")).alias("best")
