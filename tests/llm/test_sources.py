@@ -211,3 +211,76 @@ def test_wrapped_notices_and_licence_texts_are_found(spark):
     files = spark.createDataFrame([(i, t, "p") for i, t, _ in rows], "doc_id long, text string, path string")
     got = {r["doc_id"]: r["own_license"] for r in ls.license_scan(files, license_file=None).collect()}
     assert {i: got[i] for i, _, _ in rows} == {i: want for i, _, want in rows}
+
+
+def straight_licenses(texts, least=ls.LEAST_COSINE):
+    """Best (license, score) of each text by a loop over its lines and runs of words."""
+    import math
+    import re
+    from collections import Counter
+
+    def words(text):
+        return re.findall(ls.TERM, "".join(c.lower() if c.isascii() else c for c in text))
+
+    df = Counter(w for t in texts for w in set(words(t)))
+
+    def vector(held):
+        return {w: n * (math.log((len(texts) + 1) / (df[w] + 1)) + 1) for w, n in Counter(held).items()}
+
+    def norm(v):
+        return math.sqrt(sum(x * x for x in v.values()))
+
+    templates, seeds = [], {}
+    for name, text in ls.TEMPLATES:
+        held = words(text)
+        v = vector(held)
+        templates.append((name, v, norm(v)))
+        light, telling = 0.0, set()
+        for _, w in sorted((math.log((len(texts) + 1) / (df[w] + 1)) + 1, w) for w in v):
+            light += v[w] * v[w]
+            if math.sqrt(light) >= (least - 1e-9) * norm(v):
+                telling.add(w)
+        step = len(held) // 8 if len(held) > 16 else 1
+        for place, w in enumerate(held):
+            if w in telling:
+                seeds.setdefault(w, set()).add((place, step, len(held) + step - 1))
+    known = set(seeds)
+    out = []
+    for text in texts:
+        held = words(text)
+        runs = {
+            tuple(held[max(0, i - place) // step * step :][:size])
+            for i, w in enumerate(held) for place, step, size in seeds.get(w, ())
+        }
+        runs |= {tuple(x) for x in map(words, text.split("\n")) if known & set(x)}
+        best = (0.0, 0, None)
+        for run in runs:
+            v = vector(run)
+            for number, (name, unit, length) in enumerate(templates):
+                score = round(sum(x * unit.get(w, 0.0) for w, x in v.items()) / (norm(v) * length), 6)
+                if score >= least:
+                    best = max(best, (score, -number, name))
+        out.append((best[2], best[0]))
+    return out
+
+
+def test_license_scores_equal_a_loop(spark):
+    import random
+
+    draw = random.Random(3)
+    plain = "the of a work under version public code file see dogs year house released free software as is terms".split()
+    texts = []
+    for i in range(120):
+        around = [" ".join(draw.choice(plain) for _ in range(draw.randint(0, 30))) for _ in range(2)]
+        notice = draw.choice(ls.TEMPLATES[:19])[1] if i % 2 else ""
+        cut = notice.split(" ")
+        if i % 4 == 3 and len(cut) > 4:
+            cut[draw.randrange(len(cut))] = draw.choice(plain)
+        texts.append(draw.choice([" ", "\n"]).join([around[0], draw.choice([" ", "\n"]).join(cut), around[1]]))
+    texts += ["", "Released under the MIT License. and", "one of the works released under the MIT License and others " * 60]
+    files = spark.createDataFrame([(i, t, "p") for i, t in enumerate(texts)], "doc_id long, text string, path string")
+    got = {r["doc_id"]: (r["own_license"], r["score"] or 0.0) for r in ls.license_scan(files).collect()}
+    want = straight_licenses(texts)
+    assert sum(name is not None for name, _ in want) > 40
+    for i, (name, score) in enumerate(want):
+        assert abs(got[i][1] - score) < 2e-6 and (got[i][0] == name), (texts[i][:200], got[i], want[i])
