@@ -16,7 +16,7 @@ from gridloom.llm.components import components
 from gridloom.session import stored
 
 SHINGLE = 5
-MIN_WORDS = 5
+MIN_WORDS = 1  # every line but blank ones
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 17, 5
 CELLS = 1 << 16  # hashes turned at a time
@@ -362,7 +362,7 @@ def line_dedup(
 ) -> DataFrame:
     """One row per row of ``docs``: id, ``n_lines``, ``n_judged``, ``dropped`` (line numbers from 0).
 
-    Lines with at least ``least_words`` words (1: every line but blank ones) are compared in normal form (lower case, single spaces) by
+    Lines with at least ``least_words`` words (default: every line but blank ones) are compared in normal form (lower case, single spaces) by
     the Jaccard similarity of their five-character shingles; those at 0.8 or more are linked.
     Of each component the first line (by id, then line number; a null id comes last) stays,
     the others are dropped.  Lines with fewer words stay; lines under five characters must be equal.  Seventeen bands of five MinHash values miss a

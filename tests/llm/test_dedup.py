@@ -148,10 +148,10 @@ def test_close_pairs_keep_all_links_in_hot_buckets(spark, monkeypatch, small):
     assert {r["node"]: r["root"] for r in got} == {n: want[n] for n in {x for p in links for x in p}}
 
 
-def straight_lines(rows):
+def straight_lines(rows, least_words):
     spots = []
     for doc, text, *_ in rows:
-        spots += [(doc, i, x) for i, x in ld.judged_lines(text or "")]
+        spots += [(doc, i, x) for i, x in ld.judged_lines(text or "", least_words)]
     forms = sorted({x for _, _, x in spots})
     sets = {x: ld.shingles(x) for x in forms}
     links = [(a, b) for a in forms for b in forms if a < b and ld.similar(sets[a], sets[b])]
@@ -174,13 +174,13 @@ def test_line_dedup(spark, monkeypatch, small, clash):
     rows = [r for r in documents(3, 60) if r[0] != 1005]
     stem = "the common passage about rivers and their long slow bends number"
     rows += [(2000 + i, f"{stem} {i}\nshort one\n{prose(random.Random(i), 12)}", "en", "s0", 0) for i in range(40)]
-    lost = straight_lines(rows)
-    got = ld.line_dedup(frame(spark, rows, clash)).collect()
+    lost = straight_lines(rows, 5)
+    got = ld.line_dedup(frame(spark, rows, clash), least_words=5).collect()
     assert len(got) == len(rows)
     for r in got:
         assert set(r["dropped"]) == lost.get(r["doc_id"], set()), r
     assert {r["doc_id"]: r["n_lines"] for r in got}[1002] == 1
-    cleaned = {r["doc_id"]: r["text"] for r in ld.drop_lines(frame(spark, rows), ld.line_dedup(frame(spark, rows))).collect()}
+    cleaned = {r["doc_id"]: r["text"] for r in ld.drop_lines(frame(spark, rows), ld.line_dedup(frame(spark, rows), least_words=5)).collect()}
     assert cleaned[2003].startswith("short one\n") and cleaned[1001] is None and cleaned[1003] == " \t\n "
 
 
