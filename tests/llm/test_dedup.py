@@ -230,3 +230,14 @@ def test_short_lines_and_lines_without_spaces_are_judged(spark):
     found = QUERIES["op7_fuzzy_line_dedup"](spark, "/root/testdata/sf0.001").agg({"n_judged": "sum"}).first()[0]
     texts = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
     assert found == sum(bool(x.strip()) for r in texts for x in (r["text"] or "").split("\n"))
+
+
+def test_similar_lines_of_the_corpus_share_a_band():
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])["text"].to_pylist()
+    lines = sorted({x for t in texts for _, x in ld.judged_lines(t or "") if len(x) >= ld.SHINGLE})
+    signed, sets = ld.signatures(lines), [ld.shingles(x) for x in lines]
+    links = [(i, j) for i in range(len(lines)) for j in range(i) if ld.similar(sets[i], sets[j])]
+    met = sum(bool((signed[i] == signed[j]).any()) for i, j in links)
+    assert len(links) >= 5 and met >= 0.9 * len(links)
