@@ -86,15 +86,17 @@ def _any_of(tests) -> Column:
     return functools.reduce(operator.or_, tests, F.lit(False))
 
 
-def _kind(value: Column, around: Column, names, indicators) -> Column:
-    """The kind of the first known name that holds the value or is held by it, else by the words around; or null."""
-    key, low = F.lower(value), F.lower(around)
+def _kind(key: Column, around: Column, names, indicators) -> Column:
+    """The kind of the first known name that holds the value or is held by it, else by the words around; or null.
+
+    Both texts are in lower case.
+    """
     chain = F
     for name, kind in names:
         name = name.lower()
         chain = chain.when(key.contains(name) | F.lit(name).contains(key), F.lit(kind))
     marked = F.when(_any_of(key.contains(w) for w in FACILITY_MARKS), F.lit("FACILITY")).otherwise(F.lit("EQUIPMENT"))
-    return chain.when(_any_of(low.contains(w) for w in indicators), marked)
+    return chain.when(_any_of(around.contains(w) for w in indicators), marked)
 
 
 def _with_entities(df: DataFrame, text: str, names, indicators, with_start: bool) -> DataFrame:
@@ -131,9 +133,12 @@ def _with_entities(df: DataFrame, text: str, names, indicators, with_start: bool
         return F.when(s["_far"] != "", s["_far"]).otherwise(s["_edge"])
 
     spots = F.arrays_zip("_value", "_far", "_edge", "_after", "_start")
-    judged = F.transform(spots, lambda s: F.struct(
-        s["_value"].alias("value"), s["_start"].alias("start"),
-        _kind(s["_value"], F.concat_ws("", before(s), s["_value"], s["_after"]), names, indicators).alias("kind"),
+    lowered = F.transform(spots, lambda s: F.struct(
+        s["_value"].alias("value"), s["_start"].alias("start"), F.lower(s["_value"]).alias("key"),
+        F.lower(F.concat_ws("", before(s), s["_value"], s["_after"])).alias("around"),
+    ))
+    judged = F.transform(lowered, lambda s: F.struct(
+        s["value"].alias("value"), s["start"].alias("start"), _kind(s["key"], s["around"], names, indicators).alias("kind")
     ))
     kept = F.array_sort(F.filter(judged, lambda e: e["kind"].isNotNull() & (F.length(e["value"]) >= 3)))
     out = out.withColumn("_kept", kept).drop(*helpers, "_has", "_start")
