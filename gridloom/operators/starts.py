@@ -30,15 +30,15 @@ def hourly_cost(
     """Net draw, cost and carbon of each candidate hour.
 
     ``solar``: 24-row table (hour, solar_kwh) of the yield of 100 kW; the clear-sky curve
-    of ``curve`` serves where none is given.
+    of ``curve`` serves where none is given.  It joins the 24 rows of the curve, which are
+    broadcast: candidate hours are never shuffled by their hour.
     """
-    hours = run_hours(tasks)
-    c = curve.select("hour", "tariff", "carbon_g", "solar_factor")
-    out = hours.join(c, "hour")
+    day = curve.select("hour", "tariff", "carbon_g", "solar_factor")
     base = F.col("solar_factor") * 100.0 * 0.12
     if solar is not None:
-        out = out.join(solar.select("hour", "solar_kwh"), "hour", "left")
+        day = day.join(solar.select("hour", "solar_kwh"), "hour", "left")
         base = F.coalesce("solar_kwh", F.lit(0.0))
+    out = run_hours(tasks).join(F.broadcast(day), "hour")
     gen = base * (F.col("solar_kw") / 100.0) * (yield_coeff / 0.12)
     q = F.greatest(F.lit(0.0), reactive_power(F.col("load_kw"), F.lit(pf)) - bank_kvar)
     out = out.withColumn("solar_gen", gen).withColumn(

@@ -76,6 +76,18 @@ def test_equal_candidates_take_the_first_hour(spark):
     assert starts.best_start(starts.hourly_cost(tasks, flat)).first().start_hour == 0
 
 
+def test_candidate_hours_are_not_shuffled_by_hour(spark):
+    tasks = spark.createDataFrame([(1, 100.0, 4, 150.0)], "task_id int, load_kw double, duration_h int, solar_kw double")
+    solar = spark.range(48).selectExpr("int(id % 24) AS hour", "double(id) AS y").groupBy("hour").agg(F.avg("y").alias("solar_kwh"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = starts.hourly_cost(tasks, dims.hour_curve(spark), solar)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Exchange" not in plan.split("Generate")[0]
+
+
 RULES = [
     (900.0, 415.0, 2.0, 90.0, "Medium_Load", "Weekday", "Critical Power Spike", "Critical"),
     (50.0, 385.0, 9.0, 90.0, "Medium_Load", "Weekday", "Voltage Sag", "High"),
