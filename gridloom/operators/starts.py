@@ -12,11 +12,22 @@ from gridloom.functions.physics import net_power_factor, pf_cost_multiplier, rea
 from gridloom.operators.ranking import argmin_candidate
 
 BASE_HOUR = 9
+JOBS_PER_TASK = 5_000  # each makes up to 24 x 24 hours
 
 
-def run_hours(tasks: DataFrame) -> DataFrame:
+def dealt_jobs(tasks: DataFrame, task="task_id") -> DataFrame:
+    """The jobs dealt by their key to as many tasks as their number asks for.
+
+    The few columns of the jobs are shuffled, not the hundreds of hours that each becomes:
+    totals per job and start hour need no other shuffle, and their groups per task are bounded.
+    Rows that repeat a key meet in one task and stream into the key's 24 groups.
+    """
+    return tasks.repartition(max(1, -(-tasks.count() // JOBS_PER_TASK)), task)
+
+
+def run_hours(tasks: DataFrame, task="task_id") -> DataFrame:
     """(job, start_hour, hour) for each start hour and each hour the job then runs."""
-    starts = tasks.withColumn("start_hour", F.explode(F.sequence(F.lit(0), F.lit(23))))
+    starts = dealt_jobs(tasks, task).withColumn("start_hour", F.explode(F.sequence(F.lit(0), F.lit(23))))
     step = F.explode(F.sequence(F.lit(0), F.col("duration_h") - 1))
     return starts.withColumn("_k", step).withColumn(
         "hour", F.pmod(F.col("start_hour") + F.col("_k"), F.lit(24))
@@ -25,7 +36,7 @@ def run_hours(tasks: DataFrame) -> DataFrame:
 
 def hourly_cost(
     tasks: DataFrame, curve: DataFrame, solar: DataFrame | None = None,
-    pf=0.80, pf_penalty=2.0, bank_kvar=50.0, yield_coeff=0.12,
+    pf=0.80, pf_penalty=2.0, bank_kvar=50.0, yield_coeff=0.12, task="task_id",
 ) -> DataFrame:
     """Net draw, cost and carbon of each candidate hour.
 
@@ -38,7 +49,7 @@ def hourly_cost(
     if solar is not None:
         day = day.join(solar.select("hour", "solar_kwh"), "hour", "left")
         base = F.coalesce("solar_kwh", F.lit(0.0))
-    out = run_hours(tasks).join(F.broadcast(day), "hour")
+    out = run_hours(tasks, task).join(F.broadcast(day), "hour")
     gen = base * (F.col("solar_kw") / 100.0) * (yield_coeff / 0.12)
     q = F.greatest(F.lit(0.0), reactive_power(F.col("load_kw"), F.lit(pf)) - bank_kvar)
     out = out.withColumn("solar_gen", gen).withColumn(

@@ -88,6 +88,41 @@ def test_candidate_hours_are_not_shuffled_by_hour(spark):
     assert "Exchange" not in plan.split("Generate")[0]
 
 
+def test_candidate_hours_stay_where_their_job_is(spark, monkeypatch):
+    """Only the jobs are shuffled, in as many tasks as they ask for; repeated keys add up."""
+    monkeypatch.setattr(starts, "JOBS_PER_TASK", 4, raising=False)
+    jobs = [(i % 17, 60.0 + 3 * i, 1 + i % 24, float(i)) for i in range(20)] + [(None, 70.0, 3, 9.0), (99, 50.0, None, 1.0)]
+    tasks = spark.createDataFrame(jobs, "task_id int, load_kw double, duration_h int, solar_kw double")
+    curve = dims.hour_curve(spark)
+    yields = {h: 0.5 * h for h in range(23)}
+    solar = spark.createDataFrame(list(yields.items()), "hour int, solar_kwh double").groupBy("hour").agg({"solar_kwh": "max"}).toDF("hour", "solar_kwh")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = starts.best_start(starts.hourly_cost(tasks, curve, solar))
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = {r.task_id: (r.start_hour, round(r.score, 6)) for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Exchange" not in plan.split("Generate")[0] and "hashpartitioning(task_id" in plan and ", 6)" in plan
+    day, want = {r.hour: r for r in curve.collect()}, {}
+    for key in {j[0] for j in jobs} - {99}:
+        best = None
+        for s in range(24):
+            total = 0.0
+            for _, load, hours, kw in (j for j in jobs if j[0] == key):
+                q = max(0.0, load * math.sqrt(1 - 0.64) / 0.8 - 50.0)
+                for h in ((s + k) % 24 for k in range(hours)):
+                    net = max(0.0, load - yields.get(h, 0.0) * kw / 100.0)
+                    pf = net / math.hypot(net, q) if net > 0 and q > 0 else 1.0
+                    total += net * day[h].tariff * (1 + 2 * max(0.0, 0.9 - pf)) + net * day[h].carbon_g / 1000 * 0.15
+            if best is None or total < best[1] - 1e-9:
+                best = (s, total)
+        want[key] = (best[0], round(best[1], 6))
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-5 for k in want)
+
+
 RULES = [
     (900.0, 415.0, 2.0, 90.0, "Medium_Load", "Weekday", "Critical Power Spike", "Critical"),
     (50.0, 385.0, 9.0, 90.0, "Medium_Load", "Weekday", "Voltage Sag", "High"),
