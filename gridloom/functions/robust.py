@@ -4,7 +4,9 @@ A mergeable quantile sketch brackets the middle of each group; exact counts belo
 bracket and the value counts inside it then give the exact middle.  Only values inside
 the narrow bracket are shuffled, already counted per distinct value, and the bracket is
 divided into cells of which only the one or two that hold the middle are sorted.  So
-neither a hot group nor a hot value gathers its rows in one task.
+neither a hot group nor a hot value gathers its rows in one task.  Brackets and medians have
+one row per group; they are stored, so that Spark joins them by their measured size and the
+values of a few large groups are not shuffled to a task per group.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.session import stored
+
 SKETCH_ACCURACY = 1000
 REACH = 0.01  # of the bracket, to both sides of the quantile
 CELLS = 1024
@@ -42,6 +46,7 @@ def exact_quantile(values: DataFrame, group: Sequence[str], q: float, col="value
         F.count(col).alias("n"),
         F.percentile_approx(col, around, SKETCH_ACCURACY).alias("_b"),
     ).withColumn("_lo", F.col("_b")[0]).withColumn("_hi", F.col("_b")[1]).drop("_b")
+    bracket = stored(bracket, "bracket")
     # cell -1 holds everything below the bracket, cells 0.. divide the bracket evenly
     place = F.coalesce(
         F.floor(F.try_divide(F.col(col) - F.col("_lo"), F.col("_hi") - F.col("_lo")) * CELLS), F.lit(0)
@@ -51,7 +56,7 @@ def exact_quantile(values: DataFrame, group: Sequence[str], q: float, col="value
         F.when(F.col(col) < F.col("_lo"), F.lit(-1)).otherwise(place).alias("_cell"),
         F.when(F.col(col) >= F.col("_lo"), F.col(col)).alias("_v"),
     )
-    counts = tagged.groupBy(*group, "n", "_cell", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    counts = stored(tagged.groupBy(*group, "n", "_cell", "_v").agg(F.count(F.lit(1)).alias("_c")), "counts")
 
     at = (F.col("n") - 1) * q
     low = F.floor(at) + 1
@@ -81,7 +86,7 @@ def median_and_mad(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> D
     """(keys, feature, n, median, mad) with the raw median absolute deviation."""
     values = long_form(df, keys, cols)
     group = [*keys, "feature"]
-    medians = exact_median(values, group)
+    medians = stored(exact_median(values, group), "medians")
     spread = values.join(medians.select(*group, "median"), group).withColumn(
         "value", F.abs(F.col("value") - F.col("median"))
     )

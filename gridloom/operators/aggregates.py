@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.robust import median_and_mad
+from gridloom.session import stored
 
 
 def resample(df: DataFrame, keys: Sequence[str], ts="ts", unit="hour", cols: Sequence[str] = ("usage_kwh",), fn="avg"):
@@ -83,7 +84,7 @@ def outlier_rate(df: DataFrame, keys: Sequence[str], cols: Sequence[str], lo=0.0
     """Share of rows with any modified z-score above the threshold, clipped to [lo, hi]."""
     stats = robust_stats(df, keys, cols)
     wide = stats.groupBy(*keys).pivot("feature", list(cols)).agg(F.first("median").alias("med"), F.first("mad").alias("mad"))
-    rows = df.select(*keys, *cols).join(wide, list(keys))
+    rows = df.select(*keys, *cols).join(stored(wide, "spread"), list(keys))
     marks = [
         F.coalesce(
             (F.col(f"{c}_mad") > 1e-5)

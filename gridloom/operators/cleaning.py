@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.robust import median_and_mad
-from gridloom.session import cut_lineage
+from gridloom.session import cut_lineage, stored
 
 # --- Fixed values: source headers and accepted aliases (compared in lower case) --------
 SOURCE_HEADERS = {
@@ -185,9 +185,10 @@ def clip(col: Column | str, lo=None, hi=None) -> Column:
 def classify_load(df: DataFrame, keys: Sequence[str], col="usage_kwh") -> DataFrame:
     """Light / Medium / Maximum against half and one and a half times the key's mean.
 
-    The mean is an aggregate joined back, so no key is gathered in one task.
+    The mean is an aggregate, stored and joined back by its measured size, so no key is
+    gathered in one task.
     """
-    means = df.groupBy(*keys).agg(F.avg(col).alias("_mean"))
+    means = stored(df.groupBy(*keys).agg(F.avg(col).alias("_mean")), "means")
     kind = (
         F.when(F.col(col) < 0.5 * F.col("_mean"), "Light_Load")
         .when(F.col(col) > 1.5 * F.col("_mean"), "Maximum_Load")
@@ -197,7 +198,7 @@ def classify_load(df: DataFrame, keys: Sequence[str], col="usage_kwh") -> DataFr
 
 
 def mean_impute(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    means = df.groupBy(*keys).agg(*[F.avg(c).alias(f"_m_{c}") for c in cols])
+    means = stored(df.groupBy(*keys).agg(*[F.avg(c).alias(f"_m_{c}") for c in cols]), "means")
     filled = df.join(means, list(keys)).withColumns({c: F.coalesce(F.col(c), F.col(f"_m_{c}")) for c in cols})
     return filled.drop(*[f"_m_{c}" for c in cols])
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.physics import solar_columns
 from gridloom.operators.joins import join_hour_curve
 from gridloom.operators.recurrences import ewma, thermal_state
+from gridloom.session import stored
 
 # --- Fixed values: emission coefficients and rule limits ------------------------------
 GAS_PER_KWH = 0.062176
@@ -93,7 +94,7 @@ def solar_yield(df: DataFrame, ts="ts", lat="lat_deg", temp="temp", cloud="cloud
 
 def power_quality_proxy(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Distortion and voltage estimated from load; measured columns stay as they are."""
-    peaks = df.groupBy(*keys).agg(F.max("usage_kwh").alias("_peak"))
+    peaks = stored(df.groupBy(*keys).agg(F.max("usage_kwh").alias("_peak")), "peaks")
     out = df.join(peaks, list(keys))
     thd = 1.5 + 5.0 * (F.col("reactive_lagging_kvarh") / (F.col("usage_kwh") + 1.0))
     volts = 415.0 - 15.0 * (F.col("usage_kwh") / (F.col("_peak") + 1.0))

@@ -9,17 +9,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.session import stored
 
 Z_80, Z_95 = 1.2816, 1.96  # normal quantiles of two-sided 80 % and 95 % bands
 
 
 def standard_scale(df: DataFrame, keys: Sequence[str], cols: Sequence[str], suffix="_z") -> DataFrame:
-    """Population z-scores; a constant column scales by 1."""
+    """Population z-scores; a constant column scales by 1.
+
+    The statistics are stored: few keys are then broadcast by measured size, and their rows
+    stay where they are.
+    """
     stats = df.groupBy(*keys).agg(
         *[F.avg(c).alias(f"{c}_mean") for c in cols], *[F.stddev_pop(c).alias(f"{c}_sd") for c in cols]
     )
     if keys:
-        joined = df.join(stats, list(keys))
+        joined = df.join(stored(stats, "scales"), list(keys))
     else:
         one = stats.select(F.struct(*stats.columns)).scalar()
         joined = df.withColumn("_s", one).select("*", "_s.*").drop("_s")

@@ -72,8 +72,8 @@ def sample_per_tree(df: DataFrame, row_id: Sequence[str], trees: int, sample: in
         none = F.array().cast("array<bigint>")
         start = F.struct(F.col("_first").alias("at"), F.array("_first").alias("hits"))
 
-        def hop(state, i):
-            at = state["at"] + 1 + _lots(row_id, i, seed)
+        def hop(state, i):  # a row beyond the last tree draws no more
+            at = F.when(state["at"] < trees, state["at"] + 1 + _lots(row_id, i, seed)).otherwise(state["at"])
             return F.struct(at.alias("at"), F.concat(state["hits"], F.when(at < trees, F.array(at)).otherwise(none)).alias("hits"))
 
         met = first.withColumn("_hits", F.aggregate(F.sequence(F.lit(1), F.lit(trees)), start, hop)["hits"]).drop("_p", "_first")
@@ -147,15 +147,15 @@ def _compile(nodes: pd.DataFrame, extended: bool) -> list[dict]:
     """Trees as arrays; leaves lead to themselves, so all rows take the same steps."""
     forest = []
     for _, t in nodes.sort_values(["tree", "node"]).groupby("tree", sort=True):
-        leaf, me = t["left"].to_numpy() < 0, np.arange(len(t), dtype=np.int32)
-        next_node = np.empty(2 * len(t), dtype=np.int32)  # right child, then left child, per node
+        leaf, me = t["left"].to_numpy() < 0, np.arange(len(t))
+        next_node = np.empty(2 * len(t), np.intp)  # right child, then left child, per node
         next_node[0::2] = np.where(leaf, me, t["right"])
         next_node[1::2] = np.where(leaf, me, t["left"])
         width = len(next((p for p in t["point"] if p is not None), []))
         fill = lambda v: np.stack([np.zeros(width) if p is None else np.asarray(p, float) for p in v])
         forest.append({
             "rows": int(t["size"].iloc[0]), "steps": int(t["depth"].max()), "next": next_node,
-            "feature": np.where(leaf, 0, t["feature"]).astype(np.int32), "cut": t["cut"].to_numpy(),
+            "feature": np.where(leaf, 0, t["feature"]).astype(np.intp), "cut": t["cut"].to_numpy(),
             "length": t["depth"].to_numpy() + path_correction(t["size"].to_numpy()),
             "normal": fill(t["normal"]) if extended and width else None,
             "point": fill(t["point"]) if extended and width else None,
@@ -164,16 +164,17 @@ def _compile(nodes: pd.DataFrame, extended: bool) -> list[dict]:
 
 
 def _mean_path(x: np.ndarray, forest: list[dict]) -> np.ndarray:
-    total, row = np.zeros(len(x)), np.arange(len(x))
+    total, flat = np.zeros(len(x)), np.ascontiguousarray(x).reshape(-1)
+    begins = np.arange(0, flat.size, x.shape[1])
     for t in forest:
-        at = np.zeros(len(x), dtype=np.int32)
+        at = np.zeros(len(x), np.intp)
         for _ in range(t["steps"]):
             if t["normal"] is not None:
                 left = np.einsum("ij,ij->i", x - t["point"][at], t["normal"][at]) < 0
             else:
-                left = x[row, t["feature"][at]] <= t["cut"][at]
-            at = t["next"][2 * at + left]
-        total += t["length"][at]
+                left = flat.take(t["feature"].take(at) + begins) <= t["cut"].take(at)
+            at = t["next"].take(2 * at + left)
+        total += t["length"].take(at)
     return total / max(len(forest), 1)
 
 

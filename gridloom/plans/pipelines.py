@@ -47,11 +47,12 @@ def detect_anomalies(
 ) -> DataFrame:
     """Flag unusual readings with a forest and explain them with rules; all rows, all meters.
 
-    ``rate`` None: the share of robust outliers, between 0.5 % and 4 %.  The feature table
-    feeds the rate, the fit, the scores and the rules, so it is materialised once.
+    ``rate`` None: the share of robust outliers, between 0.5 % and 4 %.  The readings
+    feed peaks, chunks and rolling frames, the feature table the rate, the fit, the scores and
+    the rules, so both are materialised once.
     """
     keys, order = list(keys), list(order)
-    feats = cut_lineage(anomaly_features(df, keys, order, ts))
+    feats = cut_lineage(anomaly_features(cut_lineage(df), keys, order, ts))
     # one forest serves all meters: each feature counts in deviations of its own meter
     scaled = standard_scale(feats, keys, ANOMALY_FEATURES)
     columns = [f"{c}_z" for c in ANOMALY_FEATURES]

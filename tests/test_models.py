@@ -1,5 +1,7 @@
 """Forecasts, tests and forests against straight loops and injected faults."""
 
+import math
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -266,3 +268,49 @@ def test_report_adds_unit_root_and_backtest(spark):
     got = pipelines.forecast_report(spark.createDataFrame(hourly_frame(400)), horizon=24, folds=2).toPandas()
     assert set(got["model"]) == {"persistence", "holt_winters", "random_forest"}
     assert got["adf_p"].notna().all() and got["backtest_rmse"].notna().all() and got["is_best"].sum() == 1
+
+
+def test_a_few_large_groups_are_not_shuffled_by_their_key(spark):
+    """Statistics of a group are joined by measured size, though the estimate of their input is large."""
+    from gridloom.functions.robust import median_and_mad
+    from gridloom.operators.cleaning import classify_load, mean_impute
+    from gridloom.operators.emissions import power_quality_proxy
+    from gridloom.operators.evaluation import standard_scale
+
+    df = spark.range(1_000, numPartitions=4).selectExpr(
+        "concat('m', id % 2) AS meter_id", "id AS reading_id", "double(id % 77) AS usage_kwh", "double(id % 5) AS reactive_lagging_kvarh"
+    )
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "9000")  # the table is larger, its statistics are not
+    try:
+        for out in (
+            standard_scale(df, ["meter_id"], ["usage_kwh"]), classify_load(df, ["meter_id"]),
+            mean_impute(df, ["meter_id"], ["usage_kwh"]), power_quality_proxy(df, ["meter_id"]),
+        ):
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan, plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    got = {r.meter_id: (r.n, r["median"], r.mad) for r in median_and_mad(df, ["meter_id"], ["usage_kwh"]).collect()}
+    pdf = df.toPandas().groupby("meter_id")["usage_kwh"]
+    assert got == {k: (len(v), v.median(), (v - v.median()).abs().median()) for k, v in pdf}
+
+
+def test_rows_draw_no_more_once_they_are_past_the_last_tree(spark):
+    """Draws of a row end with its hits: the sample of a tree is what hops to the end would give."""
+    from gridloom.operators import forest
+
+    df = spark.range(3_000).withColumnRenamed("id", "reading_id").withColumn("x", F.col("reading_id") % 91)
+    got = {}
+    for r in forest.sample_per_tree(df, ["reading_id"], 20, 16, 5).collect():
+        got.setdefault(r.tree, set()).add(r.reading_id)
+    rate, want = 2.0 * 16 / 3_000, {}
+    for i in range(3_000):
+        at, hop = -1, 0
+        while True:
+            at += 1 + math.floor(math.log(forest.draw(i, hop, 5) + 2.0**-52) / math.log(1.0 - rate))
+            if at >= 20:
+                break
+            want.setdefault(at, []).append((forest.draw(i, at, 6), i))
+            hop += 1
+    assert got == {t: {i for _, i in sorted(v)[:16]} for t, v in want.items()}
