@@ -223,17 +223,16 @@ def _edges(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
 
 
 def _link_to_pivot(batches):
-    """Whether each row's line is similar to its bucket's first line."""
+    """Whether each row's line is similar to the first line that it is compared with."""
     for batch in batches:
         held, wanted, out = None, set(), []
         for text, pivot in zip(batch.column("line_text").to_pylist(), batch.column("pivot_text").to_pylist()):
             if pivot != held:
                 held, wanted = pivot, shingles(pivot)
-            out.append(text == pivot or similar(shingles(text), wanted))
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("bucket", "n", "key", "line_text", "pivot_key")), pa.array(out, pa.bool_())],
-            names=["bucket", "n", "key", "line_text", "pivot_key", "linked"],
-        )
+            most = max(1, len(text) - SHINGLE + 1)  # shingles that it can have
+            out.append(text == pivot or (most >= SIMILARITY * len(wanted) and similar(shingles(text), wanted)))
+        kept = [c for c in batch.schema.names if c != "pivot_text"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.bool_())], names=[*kept, "linked"])
 
 
 def _compare_cells(batches):
@@ -302,10 +301,12 @@ def similar_lines(docs: DataFrame, n_lines: int, least_words: int = MIN_WORDS) -
     that share a band would connect; the compared lines' ``key``, ``k1``, ``k2``; and a bound
     of the number of edges.
 
-    Lines of a band bucket are compared within cells of about 128.  In a larger bucket all
-    lines are first compared with one of them; those similar to it are connected and take its
-    label, and the rest goes through two more such rounds.  Then every line outside the first
-    label is compared with all lines of the bucket that have another label, cell by cell.
+    Each line of a band bucket is first compared with the bucket's first line; buckets share
+    most of these pairs, and each pair is checked once.  Lines similar to the first one are
+    connected and take its label.  Only buckets with other lines besides are looked at again,
+    without their first line: in those of more than 128 lines the others go through two more
+    such rounds, then every line outside the first label is compared with all lines of the
+    bucket that have another label, within cells of about 128.
     """
     dealt = _band_table(docs, least_words).repartition(max(_tasks(docs), BANDS * n_lines // ROWS_PER_TASK), "bucket")
     rows = dealt.groupBy("bucket", "k1").agg(F.count(F.lit(1)).alias("copies")).drop("copies")
@@ -317,16 +318,34 @@ def similar_lines(docs: DataFrame, n_lines: int, least_words: int = MIN_WORDS) -
     met_rows = stored(rows.withColumns(met).where("n > 1"), "buckets")
     # similar lines meet in most bands: of buckets that hold the same lines one is enough
     chosen = met_rows.groupBy("n", "least", "sum", "mixed").agg(F.min("bucket").alias("bucket")).select("bucket")
-    shared = stored(met_rows.select("k1", "bucket", "n").join(chosen.hint("merge"), "bucket", "left_semi"), "chosen", met_rows.count())
+    shared = stored(met_rows.select("k1", "bucket", "n", "least").join(chosen.hint("merge"), "bucket", "left_semi"), "chosen", met_rows.count())
     n_shared = shared.count()
     texts = stored(_line_texts(docs, stored(shared.select("k1").distinct(), "wanted", n_shared), least_words), "line_texts")
-    members = shared.join(texts.drop("k2").hint("merge"), "k1")
+    firsts = texts.select(F.col("k1").alias("least"), F.col("key").alias("pivot_key"), F.col("line_text").alias("pivot_text"))
+    paired = stored(
+        shared.where("k1 <> least").select("k1", "least").distinct().join(texts.drop("k2").hint("merge"), "k1")
+        .join(firsts.hint("merge"), "least").select("k1", "least", "key", "line_text", "pivot_key", "pivot_text")
+        .mapInArrow(_link_to_pivot, "k1 long, least long, key binary, line_text string, pivot_key binary, linked boolean")
+        .drop("line_text"),
+        "paired",
+    )
+    others = shared.where("n > 2 AND k1 <> least")
+    unlike = paired.where("NOT linked").select("k1", "least").distinct()
+    mixed = stored(others.join(unlike.hint("merge"), ["k1", "least"], "left_semi").select("bucket").distinct(), "mixed", n_shared)
+    members = stored(
+        others.join(mixed.hint("merge"), "bucket").join(paired.hint("merge"), ["k1", "least"])
+        .join(texts.select("key", "line_text").hint("merge"), "key").select("bucket", "n", "key", "line_text", "pivot_key", "linked"),
+        "members",
+    )
+    label = F.when(F.col("linked"), F.col("pivot_key")).otherwise(F.col("key")).alias("label")
     small = members.where(F.col("n") <= SMALL_BUCKET).select(
-        "bucket", F.lit(0).alias("i"), F.lit(0).alias("j"), "key", "line_text", F.col("key").alias("label"), F.lit(True).alias("left")
+        "bucket", F.lit(0).alias("i"), F.lit(0).alias("j"), "key", "line_text", label, (~F.col("linked")).alias("left")
     )
-    unlinked = members.where(F.col("n") > SMALL_BUCKET).select("bucket", "n", "key", "line_text")
-    labelled = None
-    for number in range(PIVOT_ROUNDS):
+    large = members.where(F.col("n") > SMALL_BUCKET)
+    labelled = large.where("linked").select("bucket", "n", "key", "line_text", label, F.lit(False).alias("left"))
+    unlinked = large.where("NOT linked").select("bucket", "n", "key", "line_text")
+    spokes = paired.where("linked").select(F.col("pivot_key").alias("a"), F.col("key").alias("b"))
+    for _ in range(1, PIVOT_ROUNDS):
         first = unlinked.groupBy("bucket").agg(F.min(F.struct("key", "line_text")).alias("p"))
         checked = stored(
             unlinked.join(first.hint("merge"), "bucket")
@@ -335,11 +354,11 @@ def similar_lines(docs: DataFrame, n_lines: int, least_words: int = MIN_WORDS) -
             "checked",
         )
         near = checked.where("linked").select(
-            "bucket", "n", "key", "line_text", F.col("pivot_key").alias("label"), F.lit(number > 0).alias("left")
+            "bucket", "n", "key", "line_text", F.col("pivot_key").alias("label"), F.lit(True).alias("left")
         )
-        labelled = near if labelled is None else labelled.unionByName(near)
+        labelled = labelled.unionByName(near)
+        spokes = spokes.unionByName(near.where("key <> label").select(F.col("label").alias("a"), F.col("key").alias("b")))
         unlinked = checked.where("NOT linked").select("bucket", "n", "key", "line_text")
-    spokes = labelled.where("key <> label").select(F.col("label").alias("a"), F.col("key").alias("b"))
     labelled = labelled.unionByName(unlinked.select("*", F.col("key").alias("label"), F.lit(True).alias("left")))
     others = labelled.where("left").groupBy("bucket").agg(F.count(F.lit(1)).alias("m"))
     open_rows = labelled.join(others, "bucket")

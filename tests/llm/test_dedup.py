@@ -241,3 +241,20 @@ def test_similar_lines_of_the_corpus_share_a_band():
     links = [(i, j) for i in range(len(lines)) for j in range(i) if ld.similar(sets[i], sets[j])]
     met = sum(bool((signed[i] == signed[j]).any()) for i, j in links)
     assert len(links) >= 5 and met >= 0.9 * len(links)
+
+
+def test_a_pair_of_lines_is_checked_once_for_all_its_buckets(spark):
+    """Edges follow the lines, not the buckets that the lines share."""
+    draw = random.Random(33)
+    rows = []
+    for i in range(8):
+        stem = prose(draw, 40).replace("\n", " ")
+        rows += [(100 * i + j, stem + " no " + "abcdefghij"[j] * (j + 1), "en", "s", 0) for j in range(10)]
+    docs = frame(spark, rows).selectExpr("doc_id AS id", "text")
+    lines = [ld.normal(r[1]) for r in rows]
+    edges, keys, most = ld.similar_lines(docs, len(lines))
+    found = [(bytes(a), bytes(b)) for a, b in edges.collect()]
+    sets, named = [ld.shingles(x) for x in lines], [ld.line_key(x) for x in lines]
+    links = [(named[a], named[b]) for a in range(80) for b in range(a) if ld.similar(sets[a], sets[b])]
+    assert roots_of(named, found) == roots_of(named, links) and len(links) > 300
+    assert len(found) <= most <= 2 * len(lines)
