@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gridloom.session import ROWS_PER_FILE, stored
 
 
-def _forest(batches):
+def forest(batches):
     """Replace the edges of a partition by stars around the smallest node of each local component.
 
     Rows are handled batch by batch, so memory follows a batch: what one batch links, later
@@ -59,7 +59,7 @@ def components(edges: DataFrame, a: str, b: str, rows: int | None = None) -> Dat
     # a forest edge points from any node of a tree to its root, the smallest one
     if rows is not None:
         pairs = pairs.coalesce(max(1, -(-rows // ROWS_PER_FILE)))
-    current = stored(pairs.mapInArrow(_forest, f"u {kind}, v {kind}"), "edges")
+    current = stored(pairs.mapInArrow(forest, f"u {kind}, v {kind}"), "edges")
     before = _state(current)
     smaller = W.partitionBy("u")
     while before[0]:

@@ -258,3 +258,52 @@ def test_a_pair_of_lines_is_checked_once_for_all_its_buckets(spark):
     links = [(named[a], named[b]) for a in range(80) for b in range(a) if ld.similar(sets[a], sets[b])]
     assert roots_of(named, found) == roots_of(named, links) and len(links) > 300
     assert len(found) <= most <= 2 * len(lines)
+
+
+def test_prints_leave_out_no_similar_pair():
+    draw = random.Random(8)
+    lines = [prose(draw, n).replace("\n", " ") for n in (1, 2, 9, 40, 90, 300)] + ["漢字かな交じり文" * 9, "aaaaa", "ab " * 50]
+    lines += [x[:i] + "#é" + x[i + j :] for x in lines for i in (1, len(x) // 3) for j in (0, 2, len(x) // 9, len(x) // 4)]
+    lines = [x for x in lines if len(x) >= ld.SHINGLE]
+    marks, sets, runs = ld.prints(lines), [ld.shingles(x) for x in lines], [len(x) - ld.SHINGLE + 1 for x in lines]
+    seen = set()
+    for i in range(len(lines)):
+        for j in range(len(lines)):
+            same = ld.similar(sets[i], sets[j])
+            assert same == ld.similar_texts(lines[i], lines[j])
+            seen.add((same, ld.far(runs[i], marks[i], runs[j], marks[j])))
+    assert seen == {(True, False), (False, False), (False, True)}
+
+
+def test_bands_are_sent_by_part_and_meet_there(spark):
+    """A task sends one packed row a part, not one a band; chance pairs and buckets of any size come out."""
+    draw = random.Random(12)
+    stem = prose(draw, 60).replace("\n", " ")
+    rows = [(i, stem + " " + "abcdefghijklmnopqrst"[i] * 3, "en", "s", 0) for i in range(20)]
+    rows += [(100 + i, prose(draw, 30).replace("\n", " "), "en", "s", 0) for i in range(30)]
+    docs = frame(spark, rows).selectExpr("doc_id AS id", "text")
+    sent = ld._band_table(docs, 1, 4)
+    assert sent.count() <= 4 * docs.rdd.getNumPartitions()
+    met = sent.repartitionById(4, "part").mapInArrow(ld._meet, "a long, b long, bucket long, n long").collect()
+    lines = [ld.normal(r[1]) for r in rows]
+    keys = ld._halves([ld.line_key(x) for x in lines])[0].to_pylist()
+    signed = ld.signatures(lines)
+    shared = {tuple(sorted((keys[i], keys[j]))) for i in range(50) for j in range(i) if (signed[i] == signed[j]).any()}
+    got = roots_of(keys, [(r["a"], r["b"]) for r in met])
+    assert got == roots_of(keys, shared) and len(shared) >= 190
+    assert {r["n"] for r in met if r["bucket"] is not None} and all(r["a"] < r["b"] for r in met)
+
+
+@pytest.mark.parametrize("paired, small", [(2, 4)])
+def test_larger_buckets_lose_no_link(spark, monkeypatch, paired, small):
+    monkeypatch.setattr(ld, "PAIRED", paired)
+    monkeypatch.setattr(ld, "SMALL_BUCKET", small)
+    draw, rows = random.Random(14), []
+    for i in range(6):
+        stem = prose(draw, 14).replace("\n", " ")
+        for j in range(12):
+            at = draw.randrange(len(stem))
+            rows.append((100 * i + j, stem[:at] + draw.choice("#%&") * draw.randrange(1, 9) + stem[at:], "en", "s", 0))
+    lost = straight_lines(rows, 1)
+    got = {r["doc_id"]: r["dropped"] for r in ld.line_dedup(frame(spark, rows)).collect()}
+    assert {i: set(x) for i, x in got.items() if x} == lost and len(lost) > 20
