@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -297,8 +299,8 @@ def _meet(batches):
 
 
 def _marks(keys: DataFrame) -> np.ndarray:
-    """A bit for each remainder of ``k1`` among ``keys``, about eight bits a key, at most 16 MB."""
-    bits = PAGE * min(MOST_PAGES, max(1, -(-8 * keys.count() // PAGE)))
+    """A bit for each remainder of ``k1`` among ``keys``, about sixteen bits a key, at most 16 MB."""
+    bits = PAGE * min(MOST_PAGES, max(1, -(-16 * keys.count() // PAGE)))
     place = F.pmod("k1", F.lit(bits))
     pages = keys.groupBy(F.floor(place / PAGE).alias("page")).agg(F.bitmap_construct_agg((place % PAGE).cast("long")).alias("bits"))
     marks = np.zeros((bits // PAGE, PAGE // 8), np.uint8)
@@ -373,15 +375,26 @@ def _runs(codes: np.ndarray) -> np.ndarray:
     return out[np.append(True, out[1:] != out[:-1])]
 
 
+def _codes(line: str) -> np.ndarray:
+    return np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+@lru_cache(256)
+def _line_runs(line: str) -> np.ndarray | None:
+    """``_runs`` of a line's characters; None if any is 4096 or more."""
+    codes = _codes(line)
+    return _runs(codes) if codes.max() < 4096 else None
+
+
 def similar_texts(first: str, second: str) -> bool:
     """``similar`` of the shingles of two lines of five characters at least."""
-    a, b = (np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in (first, second))
-    if max(a.max(), b.max()) >= 4096:
-        letters, numbers = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = _line_runs(first), _line_runs(second)
+    if a is None or b is None:
+        codes = _codes(first + second)
+        letters, numbers = np.unique(codes, return_inverse=True)
         if len(letters) > 4096:
             return similar(shingles(first), shingles(second))
-        a, b = numbers[: len(a)], numbers[len(a) :]
-    a, b = _runs(a), _runs(b)
+        a, b = _runs(numbers[: len(first)]), _runs(numbers[len(first) :])
     if min(len(a), len(b)) < SIMILARITY * max(len(a), len(b)):
         return False
     met = np.concatenate([a, b])
