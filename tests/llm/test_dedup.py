@@ -307,3 +307,43 @@ def test_larger_buckets_lose_no_link(spark, monkeypatch, paired, small):
     lost = straight_lines(rows, 1)
     got = {r["doc_id"]: r["dropped"] for r in ld.line_dedup(frame(spark, rows)).collect()}
     assert {i: set(x) for i, x in got.items() if x} == lost and len(lost) > 20
+
+
+def test_chance_pairs_end_in_their_bucket(spark):
+    """Of the pairs that share a band, similar ones leave their bucket and chance ones do not, whatever its size."""
+    import pyarrow as pa
+
+    draw = random.Random(17)
+    lines = [prose(draw, 40).replace("\n", " ") for _ in range(400)]
+    lines += [x[:i] + "#" + x[i + 1 :] for x in lines for i in (20, 90)]
+    lines = sorted({ld.normal(x) for x in lines if len(x) > 60})
+    keys = ld._halves([ld.line_key(x) for x in lines])[0].to_pylist()
+    drawn, sets = ld.sketches(lines), [ld.shingles(x) for x in lines]
+    of = dict(zip(keys, sets))
+    assert len({*drawn.tolist()}) > len(lines) / 3
+    for size in (2, 8, 9, 300):  # lines of a bucket, most of them there by chance
+        rows = np.zeros(len(lines), ld._BAND)
+        rows["bucket"], rows["k1"], rows["sketch"] = np.arange(len(lines)) // size, keys, drawn
+        part = pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([rows.tobytes()])], names=["part", "rows"])
+        links = {
+            tuple(sorted((keys[i], keys[j])))
+            for i in range(len(lines)) for j in range(i) if i // size == j // size and ld.similar(sets[i], sets[j])
+        }
+
+        def pairs(*most_off):
+            return [p for b in ld._meet(iter([part]), *most_off) for p in zip(b.column("a").to_pylist(), b.column("b").to_pylist())]
+
+        near, met = pairs(ld.MOST_OFF), pairs()
+        roots = roots_of(keys, near)
+        assert all(roots[a] == roots[b] for a, b in links) and len(links) > 50
+        assert sum(not ld.similar(of[a], of[b], 0.1) for a, b in near) <= 0.05 * sum(not ld.similar(of[a], of[b], 0.1) for a, b in met)
+
+
+def test_runs_of_many_lines_are_those_of_each():
+    draw = random.Random(18)
+    lines = [prose(draw, n).replace("\n", " ") for n in (2, 9, 40)] + ["aaaaa", "ab " * 50, "née à Zürich"]
+    for some in (lines, [*lines, "漢字かな交じり文" * 9], [*lines, "".join(map(chr, range(0x4E00, 0x5F00)))]):
+        runs, sets = ld._runs(some), [ld.shingles(x) for x in some]
+        assert [len(r) for r in runs] == [len(s) for s in sets]
+        both = [len(np.intersect1d(a, b)) for a in runs for b in runs]
+        assert both == [len(a & b) for a in sets for b in sets]
