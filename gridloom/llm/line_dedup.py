@@ -20,9 +20,9 @@ MIN_WORDS = 1  # every line but blank ones
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 17, 5
 CELLS = 1 << 15  # hashes turned at a time
-ROWS_PER_TASK = 1_000_000  # rows of 20 bytes
+ROWS_PER_TASK = 500_000  # rows of 20 bytes
 REMEMBERED = 100_000  # keys of lines that a task has signed lately
-MOST_OFF = 20  # bits in which sketches of similar lines differ at most
+MOST_OFF = 18  # bits in which sketches of similar lines differ at most
 PAIRED = 8  # lines of a bucket whose pairs are all looked at
 MOST_SPLIT = 4_096  # lines of a bucket that is split by sketches
 SMALL_BUCKET = 128
@@ -129,8 +129,8 @@ def _sketches(least: np.ndarray) -> np.ndarray:
 def _near(a: np.ndarray, b: np.ndarray, most_off: int = MOST_OFF) -> np.ndarray:
     """Whether lines with these sketches may be similar.
 
-    A bit differs with probability (1 - s) / 2 at Jaccard similarity s.  More than 20 of 64
-    differ with probability 0.0000006 at 0.8, and 0.996 at 0.03.
+    A bit differs with probability (1 - s) / 2 at Jaccard similarity s.  More than 18 of 64
+    differ with probability 0.00001 at 0.8, and 0.999 at 0.03.
     """
     return np.bitwise_count(a ^ b) <= most_off
 
@@ -651,7 +651,7 @@ def line_dedup(
     the Jaccard similarity of their five-character shingles; those at 0.8 or more are linked.
     Of each component the first line (by id, then line number; a null id comes last) stays,
     the others are dropped.  Lines with fewer words stay; lines under five characters must be equal.  Seventeen bands of five MinHash values miss a
-    pair at 0.8 with probability 0.0012, a pair at 0.9 with 0.0000003; sketches with 0.0000006 at 0.8.  Null and empty texts
+    pair at 0.8 with probability 0.0012, a pair at 0.9 with 0.0000003; sketches with 0.00001 at 0.8.  Null and empty texts
     have one empty line and lose nothing.  Rows that repeat an id lose the same lines.
     """
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
