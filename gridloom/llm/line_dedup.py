@@ -356,7 +356,8 @@ def _meet(batches, most_off: int = 64):
         if len(at):
             yield made(k1[at], k1[at + d])
     pairs, stars, held = [], [], 0
-    for start, n in zip(starts[sizes > PAIRED].tolist(), sizes[sizes > PAIRED].tolist()):
+    larger = np.flatnonzero(sizes > PAIRED)
+    for at, start, n in zip(larger.tolist(), starts[larger].tolist(), sizes[larger].tolist()):
         drawn = sketch[start : start + n]
         for part in _parted(drawn, most_off) if n <= MOST_SPLIT else [np.arange(n)]:
             lines = k1[start + part]
@@ -368,7 +369,7 @@ def _meet(batches, most_off: int = 64):
                 name = xxhash.xxh3_64_intdigest(lines.tobytes()) - (1 << 63)
                 stars.append(tuple(np.full(len(lines) - 1, x, np.int64) for x in (lines[0], name, len(lines))) + (lines[1:],))
             held += len(lines)
-        if held >= ROWS_PER_TASK or start == starts[sizes > PAIRED][-1]:
+        if held >= ROWS_PER_TASK or at == larger[-1]:
             if pairs:
                 yield made(*map(np.concatenate, zip(*pairs)))
             if stars:
